@@ -98,7 +98,7 @@ def fit_rows(lists: list[list[int]], labels: np.ndarray, folds: np.ndarray, chai
     if y.any() and not y.all():
         order = np.argsort(-p, kind="stable")
         hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+        f1 = 1.25 * hits / (np.arange(1, len(p) + 1) + 0.25 * y.sum())  # F 0.5: a clean document lost weighs more
         best = int(np.argmax(f1))
         below = p[order[best + 1]] if best + 1 < len(p) else p[order[best]] - 1
         chain.threshold = float(1 / (1 + np.exp(-(p[order[best]] + below) / 2)))

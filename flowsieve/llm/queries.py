@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secret_scan, simhash, toxicity
+from . import chat, decontaminate, jaccard_join, packing, secret_scan, simhash, toxicity
 from .common import read
 
 
@@ -27,10 +27,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_preferences(chat.neighbour_pairs(read(spark, sf_dir, "conversations"))))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": chat.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, packing, secret_scan, simhash, toxicity
+from . import chat, decontaminate, jaccard_join, packing, secret_scan, simhash, suffix_tree_lm, toxicity
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, packing, secret_scan, simhash, suffix_tree_lm, toxicity
+from . import chat, decontaminate, fm_dedup, jaccard_join, packing, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("kept")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
@@ -51,6 +55,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

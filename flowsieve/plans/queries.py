@@ -58,9 +58,9 @@ def ranked_sql(salt: str, family: str = "family", seed: int = 42, source: str =
 QUOTA = "CASE WHEN n <= 2 THEN 0 ELSE greatest(1, CAST(round_even(n * 0.25, 0) AS BIGINT)) END"
 SPLIT = f"{FLOWS}, split AS (SELECT *, CASE WHEN r <= {QUOTA} THEN 'test' ELSE 'train' END AS split FROM ({ranked_sql('split')}))"
 
-LOGITS = """s0 AS (SELECT vec_id AS key, CAST(label AS INTEGER) AS y, list_transform(embedding[1:10], v -> CAST(v AS DOUBLE) * 8) AS logits, CAST(embedding[11] AS DOUBLE) AS gate FROM embeddings),
-s1 AS (SELECT *, list_transform(logits, v -> exp(v - list_max(logits))) AS e FROM s0),
-s2 AS (SELECT *, list_transform(e, v -> v / list_sum(e)) AS probs FROM s1),
+LOGITS = """s0 AS (SELECT vec_id AS key, CAST(label AS INTEGER) AS y, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE) * 8) AS logits, CAST(embedding[11] AS DOUBLE) AS gate FROM embeddings),
+s1 AS (SELECT *, list_transform(logits, lambda v: exp(v - list_max(logits))) AS e FROM s0),
+s2 AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS probs FROM s1),
 scored AS (SELECT key, y, logits, gate, probs, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred, list_max(probs) AS confidence FROM s2)"""
 
 
@@ -366,9 +366,9 @@ def u3(spark, sf_dir):
 # ---- aggregations --------------------------------------------------------------------------------------------------
 
 
-@query("a1_family_counts", f"WITH {FLOWS} SELECT CAST(user_id % 3 AS BIGINT) AS dataset, skewed AS family, count(*) AS n FROM flows GROUP BY ROLLUP (1, 2)")
+@query("a1_family_counts", f"WITH {FLOWS} SELECT CAST(user_id % 3 AS VARCHAR) AS dataset, skewed AS family, count(*) AS n FROM flows GROUP BY ROLLUP (1, 2)")
 def a1(spark, sf_dir):
-    return report.family_counts(flows(spark, sf_dir).withColumn("d", (F.col("user_id") % 3).cast("long")), "skewed", "d")
+    return report.family_counts(flows(spark, sf_dir).withColumn("d", (F.col("user_id") % 3).cast("string")), "skewed", "d")
 
 
 @query("a2_label_fractions", f"WITH {FLOWS} SELECT skewed AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM flows GROUP BY 1")
@@ -385,11 +385,11 @@ def a3(spark, sf_dir):
     return rounded(p.join(profile.select_by_profile(p), "column_name").select("column_name", "n", "parse_ratio", "n_distinct", "kind", "reason"), "parse_ratio")
 
 
-@query("a4_impute_stats", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(median(x), 6) AS median, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT coalesce(v, (SELECT median(w) FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS w FROM lineitem))) AS x FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS v FROM lineitem))" for c in ("l_quantity", "l_extendedprice")))
+@query("a4_impute_stats", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(median(x), 3) AS median, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS std FROM (SELECT coalesce(v, (SELECT median(w) FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS w FROM lineitem))) AS x FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS v FROM lineitem))" for c in ("l_quantity", "l_extendedprice")))
 def a4(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     df = df.select(*[F.when(F.col("l_partkey") % 7 != 0, F.col(c)).alias(c) for c in ("l_quantity", "l_extendedprice")])
-    return rounded(rounded(profile.impute_stats(df, df.columns), "median"), "mean", "std", places=5)
+    return rounded(profile.impute_stats(df, df.columns), "median", "mean", "std", places=3)
 
 
 @query("a5_quantile_thresholds", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.75), 6) AS threshold FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")))
@@ -428,7 +428,7 @@ def f2(spark, sf_dir):
     return rounded(out.select("key", *[F.col("logits")[k].alias(f"z{k}") for k in range(3)]), "z0", "z1", "z2")
 
 
-@query("f2_h3_batch_score", "SELECT vec_id AS key, round(list_sum(list_transform(embedding, (v, i) -> CAST(v AS DOUBLE) * (i % 5))), 5) AS z0 FROM embeddings")
+@query("f2_h3_batch_score", "SELECT vec_id AS key, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * (i % 5))), 5) AS z0 FROM embeddings")
 def f2_h3(spark, sf_dir):
     import numpy as np
 
@@ -460,7 +460,7 @@ def a9(spark, sf_dir):
 BINS_SQL = "b AS (SELECT CAST(least(floor(confidence * 15), 14) AS INTEGER) AS bin, count(*) AS n, avg((pred = y)::INT) AS accuracy, avg(confidence) AS confidence FROM scored GROUP BY 1)"
 
 
-@query("a10_a11_calibration", f"WITH {LOGITS}, {BINS_SQL} SELECT round((SELECT sum(n * abs(accuracy - confidence)) / sum(n) FROM b), 6) AS ece, round(avg(list_sum(list_transform(probs, (v, i) -> (v - (i - 1 = y)::INT) ** 2))), 6) AS brier, round(avg(confidence), 6) AS mean_confidence FROM scored")
+@query("a10_a11_calibration", f"WITH {LOGITS}, {BINS_SQL} SELECT round((SELECT sum(n * abs(accuracy - confidence)) / sum(n) FROM b), 6) AS ece, round(avg(list_sum(list_transform(probs, lambda v, i: (v - (i - 1 = y)::INT) ** 2))), 6) AS brier, round(avg(confidence), 6) AS mean_confidence FROM scored")
 def a10(spark, sf_dir):
     return rounded(metrics.calibration(scored(spark, sf_dir)), "ece", "brier", "mean_confidence")
 
@@ -471,7 +471,7 @@ def a12(spark, sf_dir):
 
 
 _GRID = "[" + ", ".join(f"{t:.2f}" for t in calibrate.GRID) + "]"
-NLL_SQL = f"g AS (SELECT i AS g, CAST({_GRID}[i] AS DOUBLE) AS t FROM range(1, 47) r(i)), x AS (SELECT key, y, gate, g, t, list_transform(logits, v -> v / t) AS z FROM s0, g), l AS (SELECT key, y, gate, g, t, -ln(exp(z[y + 1] - list_max(z)) / list_sum(list_transform(z, v -> exp(v - list_max(z)))) + 1e-12) AS loss FROM x)"
+NLL_SQL = f"g AS (SELECT i AS g, CAST({_GRID}[i] AS DOUBLE) AS t FROM range(1, 47) r(i)), x AS (SELECT key, y, gate, g, t, list_transform(logits, lambda v: v / t) AS z FROM s0, g), l AS (SELECT key, y, gate, g, t, -ln(exp(z[y + 1] - list_max(z)) / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))) + 1e-12) AS loss FROM x)"
 
 
 @query("a13_nll_grid", f"WITH {LOGITS}, {NLL_SQL} SELECT CAST(g - 1 AS INTEGER) AS grid, round(avg(loss), 6) AS nll FROM l GROUP BY g")
@@ -493,7 +493,7 @@ def a15(spark, sf_dir):
     return rounded(temperatures, "temperature")
 
 
-@query("j7_apply_gate_temperatures", f"WITH {LOGITS}, {NLL_SQL}, m AS (SELECT {_BIN} AS gate_bin, g, t, avg(loss) AS nll FROM l GROUP BY ALL), o AS (SELECT gate_bin AS gb, t AS temperature, row_number() OVER (PARTITION BY gate_bin ORDER BY nll, g) AS r FROM m), q AS (SELECT key, logits, temperature, list_transform(logits, v -> v / temperature) AS z FROM s0 JOIN o ON {_BIN} = gb AND r = 1) SELECT key, round(temperature, 6) AS temperature, round(list_max(list_transform(z, v -> exp(v - list_max(z)))) / list_sum(list_transform(z, v -> exp(v - list_max(z)))), 6) AS confidence FROM q")
+@query("j7_apply_gate_temperatures", f"WITH {LOGITS}, {NLL_SQL}, m AS (SELECT {_BIN} AS gate_bin, g, t, avg(loss) AS nll FROM l GROUP BY ALL), o AS (SELECT gate_bin AS gb, t AS temperature, row_number() OVER (PARTITION BY gate_bin ORDER BY nll, g) AS r FROM m), q AS (SELECT key, logits, temperature, list_transform(logits, lambda v: v / temperature) AS z FROM s0 JOIN o ON {_BIN} = gb AND r = 1) SELECT key, round(temperature, 6) AS temperature, round(list_max(list_transform(z, lambda v: exp(v - list_max(z)))) / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))), 6) AS confidence FROM q")
 def j7(spark, sf_dir):
     df = logits(spark, sf_dir)
     temperatures, thresholds = calibrate.binned_temperatures(df, "gate", 3)

@@ -150,3 +150,15 @@ def _finish(keep_text: bool):
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row of docs (doc_id, text)."""
     return apply(docs, Words(), earliest, _finish(keep_text), RESULT, "word-parts")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) AS x FROM d, unnest(range(1, len(w) - 18)) t(s)),
+later AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM later)),
+word AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

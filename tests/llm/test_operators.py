@@ -1,0 +1,351 @@
+"""The text operators against brute force on small rows: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowsieve.llm import chat, components, decontaminate, fm_dedup, jaccard_join, packing, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
+
+SCHEMA = "doc_id long, text string"
+
+
+def frame(spark, texts, first=0):
+    return spark.createDataFrame([(i + first, t) for i, t in enumerate(texts)], SCHEMA)
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def word_text(rng, n, vocabulary=400):
+    return " ".join(f"w{i}" for i in rng.integers(0, vocabulary, n))
+
+
+# ---- secret scan ---------------------------------------------------------------------------------------------------
+
+
+def test_secret_base_spans():
+    text = 'x password=abcdefgh1 TOKEN : "short" api-key=abcdefghi AKIA' + "A1" * 8 + " " + "0a" * 16 + "g ſecret=abcdefghij"
+    kinds = [(k, text[s:e]) for k, s, e, *_ in secret_scan.base_spans(text)]
+    assert kinds == [("assign", "password=abcdefgh1"), ("access", "AKIA" + "A1" * 8), ("hex", "0a" * 16)]
+
+
+def test_secret_propagation():
+    text = 'part = "Zx91kfQw"\nother = "plain words here"\nDB_PASSWORD = part + "7711aaZZ"\n{"authToken": "q8Zr2LmN4x"}\nsecret_url = "${part}/v1x9"\npassword = "changeme"'
+    found = {text[s:e]: name for k, s, e, name, _ in secret_scan.lexed_spans(text)}
+    assert found["Zx91kfQw"] in ("DB_PASSWORD", "secret_url") and "7711aaZZ" in found and found["q8Zr2LmN4x"] == "authToken"
+    assert "changeme" not in found and "plain words here" not in found
+
+
+def test_secret_table(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "é password=abcdefgh1", "c"), (3, "é password=abcdefgh1", "c"), (None, "token=" + "x" * 200_000, "d")], "doc_id long, text string, secret_spans string")
+    got = secret_scan.digest(secret_scan.scan_secrets(docs)).collect()
+    assert len(got) == 5 and sorted(r["n_assign"] for r in got) == [0, 0, 1, 1, 1]
+    one = next(r for r in got if r["doc_id"] == 3)
+    assert one["base_sha256"] == hashlib.sha256(b"assign:2:20").hexdigest()
+    clean = secret_scan.redact_secrets(docs)
+    assert clean.columns == docs.columns and clean.where("doc_id = 3").head()["text"] == "é [SECRET]"
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+
+
+# ---- decontamination -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [1 << 25, 600])
+def test_contamination(spark, size):
+    rng = np.random.default_rng(1)
+    items = [word_text(rng, 30), "Short ONE, item!", None, "", word_text(rng, 12)]
+    w = items[0].split()
+    docs = ["a b " + " , ".join(w[3:20]) + " z", "x short-one item y short one", None, "", items[4] + " . " + items[0], word_text(rng, 3000), "Été " + items[4].upper()]
+    bench = spark.createDataFrame([(i * 7, t) for i, t in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_contamination(frame(spark, docs), bench, automaton_bytes=size)
+    got = rows(decontaminate.digest(found))
+    windows = {}
+    for i, t in enumerate(items):
+        x = decontaminate.words_of(t)
+        for k in range(max(1, len(x) - 9) if x else 0):
+            windows.setdefault(tuple(x[k : k + 10]), set()).add(str(i * 7))
+    for d, t in enumerate(docs):
+        x, hit, ids = decontaminate.words_of(t), set(), set()
+        for win, of in windows.items():
+            for k in range(len(x) - len(win) + 1):
+                if tuple(x[k : k + len(win)]) == win:
+                    hit.update(range(k, k + len(win)))
+                    ids |= of
+        r = got[d]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(x), len(hit), len(ids), bool(hit))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    span = rows(found)[6]["hit_spans"][0]
+    assert docs[6][span["start"] : span["end"]] == items[4].upper()
+    kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3, 5} and kept.columns == ["doc_id", "text"]
+
+
+# ---- packing -------------------------------------------------------------------------------------------------------
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rng = np.random.default_rng(2)
+    texts = [word_text(rng, n) for n in (1, 5, 40, 900, 2500)] + [None, "", "It's, ok...\t<|endoftext|> Été!! İ ﬁ", "same text."] + ["same text."] * 30
+    got = packing.pack(frame(spark, texts), path).collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array((whole.encode(t, add_special_tokens=False).ids if t else []) + [2], dtype="<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in by.values():
+        at = 0
+        for o, n in sorted(x):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert sum(sum(n for _, n in x) < 4096 for x in by.values()) <= 2
+    assert packing.pack(frame(spark, ["a"]).limit(0), path).count() == 0
+
+
+def test_best_fill_is_best():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        left = {int(n): int(rng.integers(1, 4)) for n in rng.integers(3, 30, 5)}
+        room = int(rng.integers(5, 70))
+        best = max(s for c in itertools.product(*[range(k + 1) for k in left.values()]) if (s := sum(a * n for a, n in zip(c, left, strict=True))) <= room)
+        got = packing.best_fill(left, sorted(left, reverse=True), room)
+        assert sum(n * c for n, c in got.items()) == best and all(c <= left[n] for n, c in got.items())
+
+
+# ---- near copies ---------------------------------------------------------------------------------------------------
+
+
+def test_jaccard_classes(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = word_text(rng, 120, 5000).split()
+        texts.append(" ".join(base))
+        for k in range(int(rng.integers(0, 4))):
+            edited = list(base)
+            for at in rng.integers(0, 120, k + 1):
+                edited[at] = f"x{rng.integers(0, 999)}"
+            texts.append(" ".join(edited))
+    texts += [texts[0], "", None, "one two", "One, two!", word_text(rng, 5000)]
+    got = rows(jaccard_join.near_classes(frame(spark, texts), block=4))
+    sets = [frozenset(s.tolist()) for s in jaccard_join.shingle_sets(texts)]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [set() for _ in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            same = (texts[a] or "") == (texts[b] or "")
+            if same or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+                if not same:
+                    links[a].add(texts[b])
+                    links[b].add(texts[a])
+    for i in range(len(texts)):
+        assert (got[i]["class_id"], got[i]["n_links"]) == (top(i), len(links[i]))
+    kept = jaccard_join.drop_near_copies(frame(spark, texts).unionByName(frame(spark, texts[:1])))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({top(i) for i in range(len(texts))})
+    assert jaccard_join.near_classes(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_prefix_reaches_recall():
+    depth = jaccard_join.prefix_length()
+    recall = lambda d: 1 - (1 - 0.8**d) ** jaccard_join.TREES
+    assert recall(depth) >= jaccard_join.RECALL > recall(depth + 1)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 5000 + i) for i in range(80)]
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in got} and len(got) >= 400
+
+
+# ---- fingerprints --------------------------------------------------------------------------------------------------
+
+
+def test_simhash(spark):
+    rng = np.random.default_rng(6)
+    texts = [word_text(rng, int(n)) for n in rng.integers(1, 300, 40)] + ["", None, "é€😀 x", "same", "same"]
+    ids = sorted(int(x) for x in rng.choice(100_000, len(texts), replace=False))
+    got = rows(simhash.fingerprints(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA), query_step=1))
+    prints = {}
+    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        t, after = t or "", texts[(k + 1) % len(texts)] or ""
+        n = len(t) // 4
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
+        assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        assert r["near_edited"] == pytest.approx(1 - bin(int(r["fingerprint"], 16) ^ int(r["edited_fingerprint"], 16)).count("1") / 64)
+        assert r["near_next"] == pytest.approx(1 - bin(int(r["fingerprint"], 16) ^ int(got[ids[(k + 1) % len(ids)]]["fingerprint"], 16)).count("1") / 64)
+        assert r["n_near"] == sum(bin(int(r["fingerprint"], 16) ^ int(x["fingerprint"], 16)).count("1") <= 3 for x in got.values()) - 1
+    odd = spark.createDataFrame([(None, "a b c d e f g h"), (1, "x"), (1, "x")], SCHEMA)
+    assert simhash.fingerprints(odd).count() == 3 and simhash.fingerprints(odd.limit(0)).count() == 0
+
+
+def test_block_tables_find_all(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(2**62), 2**62, 30)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(1, 6)), replace=False)) for b in base]
+    prints = sorted({int(b) for b in base} | set(near))
+    df = spark.createDataFrame([(p, 1) for p in prints], "fingerprint long, n long")
+    got = {(r["fingerprint"], r["found"]) for r in simhash.within_radius(df, df.select("fingerprint")).collect()}
+    assert got == {(a, b) for a in prints for b in prints if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+
+
+# ---- language model ------------------------------------------------------------------------------------------------
+
+
+def test_suffix_tree_scores(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["the cat", "A dog", "le chat"][int(k)] + f" w{k}{int(j) % 7}" for k, j in zip(rng.integers(0, 3, 60), rng.integers(0, 50, 60), strict=True)) for _ in range(60)] + [None, "", "ŝtrange Word"]
+    got = rows(suffix_tree_lm.score(frame(spark, texts)))
+    tokens = [(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() + [None] for t in texts]
+    counts = {}
+    for i, t in enumerate(tokens):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in t:
+                counts[w] = counts.get(w, 0) + 1
+    total, kinds = sum(counts.values()), len(counts)
+    for i, t in enumerate(tokens):
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(w in counts for w in t), total)
+        assert r["base_score"] == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (kinds + 1))) for w in t))
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert suffix_tree_lm.score(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_suffix_tree_sums_to_one():
+    root = np.array([0.5, 0.3, 0.2])
+    levels = [suffix_tree_lm.Level(np.array([1], np.uint64), np.array([12.0]), np.array([4.0]), np.array([0, 2], np.uint64), np.array([5.0, 3.0]))]
+    stream = np.array([s for n in range(3) for s in (1, n)], dtype=np.uint16)
+    assert suffix_tree_lm.probabilities(stream, np.array([0, 2, 4]), root, levels)[1::2].sum() == pytest.approx(1)
+
+
+# ---- repeated passages ---------------------------------------------------------------------------------------------
+
+
+def repeated_texts():
+    rng = np.random.default_rng(9)
+    passage = word_text(rng, 60)
+    texts = [word_text(rng, 200), passage + " tail", "head " + passage, word_text(rng, 30) + " " + passage + "\n\n" + word_text(rng, 30), "la " * 90, "x " * 25, None, "", "été " * 40]
+    return [*texts, texts[0], "b " + texts[0][40:700] + " c", word_text(rng, 19), passage + " " + passage]
+
+
+def test_word_repeats(spark):
+    texts = repeated_texts()
+    got = rows(fm_dedup.remove_repeats(frame(spark, texts)))
+    split = [(t or "").encode().split() for t in texts]
+    first = {}
+    for i, w in enumerate(split):
+        for p in range(len(w) - 19):
+            first.setdefault(tuple(w[p : p + 20]), (i, p))
+    for i, w in enumerate(split):
+        gone = set()
+        for p in range(len(w) - 19):
+            if first[tuple(w[p : p + 20])] < (i, p):
+                gone.update(range(p, p + 20))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    assert fm_dedup.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_byte_repeats(spark):
+    texts = repeated_texts()
+    got = rows(suffix_dedup.remove_repeats(frame(spark, texts)))
+    raw = [(t or "").encode() for t in texts]
+    first = {}
+    for i, t in enumerate(raw):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in enumerate(raw):
+        gone = np.zeros(len(t) + 1, dtype=bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
+        spans = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if t else 0
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    twice = frame(spark, ["z" * 80]).unionByName(frame(spark, ["z" * 80]))
+    assert [r["n_removed"] for r in suffix_dedup.remove_repeats(twice).collect()] == [0, 0]
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(10)
+    s = rng.integers(1, 5, 500).astype(np.uint64)
+    index = fm_dedup.FMIndex(s, 6)
+    low, high = fm_dedup.matches(index, s, np.arange(495), 6)
+    for p in range(495):
+        n = sum((s[k : k + 6] == s[p : p + 6]).all() for k in range(495))
+        assert (high[p] - low[p]) == (n if n > 1 else 0)
+
+
+# ---- toxicity ------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_chain(spark):
+    rng = np.random.default_rng(11)
+    texts, marks = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        texts.append(word_text(rng, 60) + (" you foulword" + "xyz"[i % 3] if bad else ""))
+        marks.append((i, int(i % 7 != 0), int(bad)))
+    docs = frame(spark, [*texts, None, ""])
+    found = spark.createDataFrame(marks[:300] + marks[:10], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, toxicity.category_labels(found))
+    got = rows(toxicity.score(docs, chain))
+    rest = range(300, 400)
+    assert sum(got[i]["is_toxic"] == (i % 5 == 0) for i in rest) >= 98
+    assert not got[400]["is_toxic"] and not got[401]["is_toxic"]
+    assert len(chain.weights) == 2 and len(chain.weights[1]) == len(chain.weights[0]) + 1
+    none = toxicity.fit_chain(docs, toxicity.category_labels(found.limit(0)))
+    assert toxicity.drop_toxic(docs, none).count() == 402
+
+
+# ---- chat ----------------------------------------------------------------------------------------------------------
+
+
+def test_preferences(spark):
+    said = [(0, True, 0, "user", "hi"), (0, False, 0, "user", "hi"), (0, True, 1, "assistant", "good <|end|>"), (0, False, 1, "assistant", "bad"), (0, False, 2, "user", None), (1, True, 0, "user", "alone"), (2, True, 0, "user", "x"), (2, False, 0, "user", "x"), (None, True, 0, "user", "x"), (0, True, 0, "user", "hi")]
+    got = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(said, "pair_id long, chosen boolean, turn long, role string, text string")).collect()}
+    assert set(got) == {0, 2} and got[0]["prompt"] == "<|user|>\nhi<|end|>\n" and got[0]["prompt_turns"] == 1
+    assert got[0]["chosen"] == "<|assistant|>\ngood < |end|><|end|>\n"
+    assert [tuple(s) for s in got[0]["rejected_mask"]] == [(0, len("<|assistant|>\nbad<|end|>\n"))]
+    assert got[2]["chosen"] == "" and got[2]["rejected_mask"] == []
+    long = spark.range(600).select(F.lit(1).cast("long").alias("pair_id"), (F.col("id") % 2 == 0).alias("chosen"), (F.col("id") / 2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    assert sorted(r["prompt_turns"] for r in chat.format_preferences(long).collect()) == [44, 256]

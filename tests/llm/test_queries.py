@@ -1,0 +1,35 @@
+"""The registered text queries and the pipeline on the smallest tables."""
+
+from pathlib import Path
+
+import pytest
+
+from flowsieve.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+
+
+def test_chat_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    cur = con.execute(Q.oracle_sql()["op3_chat_formatting"])
+    names = [d[0] for d in cur.description]
+    got = Q.op3_chat_formatting(spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(cur.fetchall())
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, k
+    whole = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert 0.5 * whole < docs.count() <= whole
+    assert P.run(spark, SF).select("doc_id").distinct().count() == docs.count()

@@ -26,16 +26,43 @@ from .common import add_columns, ranked, stored
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _plain(word: str) -> list[str]:
-    """Parts of a word that give its ids when encoded one by one: case folded and a final mark split off where safe."""
-    if not word.isascii() or "<" in word:
+    """Parts of a word that give its ids when encoded one by one: letters and the ASCII marks behind them are runs of
+    their own for the tokenizer; case is folded where that is sure to be the tokenizer's own folding."""
+    core = word.rstrip(MARKS)
+    if not core.isalpha():
         return [word]
-    word = word.lower()
-    return [word[:-1], word[-1]] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else [word]
+    if core.isascii():
+        core = core.lower()
+    return [core, word[len(core) :]] if len(core) < len(word) else [core]
+
+
+def _encode_parts(tokenizer, ends: np.ndarray, fresh: list[str]) -> list[bytes]:
+    """Ids of each part. Parts of letters alone are one run for the tokenizer and end in one word-end id, so many of
+    them are encoded as one text and cut there; the rest, and texts where the count is off, go one by one."""
+    out: dict[str, bytes] = {}
+    runs, single = [p for p in fresh if p.isalpha()], [p for p in fresh if not p.isalpha()]
+    for at in range(0, len(runs), 400):
+        some = runs[at : at + 400]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(some):
+            single += some
+            continue
+        raw, a = ids.tobytes(), 0
+        for p, b in zip(some, (stops * 4).tolist(), strict=True):
+            out[p] = raw[a:b]
+            a = b
+    for at in range(0, len(single), 4096):
+        some = single[at : at + 4096]
+        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, dtype="<u4").tobytes()
+    return [out[p] for p in fresh]
 
 
 def encode(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
@@ -45,20 +72,22 @@ def encode(texts: list[str | None], path: str, end_id: int = END_ID) -> list[byt
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, words, parts = _TOKENIZERS[path]
+        made = Tokenizer.from_file(path)
+        ends = np.zeros(made.get_vocab_size(), dtype=bool)
+        ends[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (made, ends, {}, {})
+    tokenizer, ends, words, parts = _TOKENIZERS[path]
     split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
     new = {w for x in split for w in x if w not in words}
     if len(words) + len(new) > REMEMBERED:
         words.clear()
-        parts.clear()
         new = {w for x in split for w in x}
     cut = {w: _plain(w) for w in new}
-    fresh = list({p for x in cut.values() for p in x} - parts.keys())
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at : at + 4096]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+    wanted = {p for x in cut.values() for p in x}
+    if len(parts) + len(wanted) > 2 * REMEMBERED:
+        parts.clear()
+    fresh = list(wanted - parts.keys())
+    parts.update(zip(fresh, _encode_parts(tokenizer, ends, fresh), strict=True))
     for w, x in cut.items():
         words[w] = parts[x[0]] if len(x) == 1 else parts[x[0]] + parts[x[1]]
     end = np.array([end_id], dtype="<u4").tobytes()

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import q
 from .train import gradient, softmax_rows
 
 UPDATE = "client int, coord int, value double, n long"
@@ -107,7 +106,7 @@ def train_clients(df: DataFrame, weights: np.ndarray, classes: int, lr: float =
 
 
 def federated_rounds(df: DataFrame, classes: int, width: int, rounds: int, clients: int, how: str = "avg", lr: float = 0.05, mu: float = 0.0, attack: str = "none", ratio: float = 0.0, scale: float = 5.0, trim: float = 0.2) -> tuple[np.ndarray, list[float]]:
-    """Weights after some rounds, and the mean confidence of the true class before each (M4). Weights are features *
+    """Weights after some rounds, and the sum of their absolute values after each (M4). Weights are features *
     classes numbers and travel by the driver; rows stay where they are cached."""
     spark = df.sparkSession
     bad = malicious(F.col("client_id"), clients, ratio)
@@ -144,5 +143,3 @@ def scenario_matrix(df: DataFrame, classes: int, width: int, clients: int, round
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "scenario string, aggregator string, attack string, accuracy double")
 
-
-__all__ = ["q"]

@@ -1,4 +1,4 @@
-"""Column profiles, label fractions, fitted statistics and column selection (A2-A6, P1-P4, W of specs)."""
+"""Column profiles, label fractions, fitted statistics and column selection."""
 
 from __future__ import annotations
 

@@ -140,7 +140,7 @@ def test_reports(spark):
 
 
 def test_feature_spec(spark):
-    df = spark.createDataFrame([(1.0, "a"), (3.0, None), (None, "a"), (5.0, "b")], "x.1 double, c string")
+    df = spark.createDataFrame([(1.0, "a"), (3.0, None), (None, "a"), (5.0, "b")], "`x.1` double, c string")
     spec = features.fit_spec(df, numeric_ratio=0.7)
     assert features.feature_names(spec) == ["x.1", "c=a", "c=b", "c=nan"]
     assert features.transform(df, spec).head()["features"][1:] == [1.0, 0.0, 0.0]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .repeats import Reader, apply, merged
-from .suffix_dedup import ranks
+from .suffix_dedup import doubled, ranks
 from .tokens import words
 
 WINDOW, GRAM = 20, 5
@@ -67,10 +67,10 @@ class FMIndex:
         sequence = np.append(sequence, np.uint64(0))
         n = len(sequence)
         padded = np.concatenate([sequence, np.zeros(depth, np.uint64)])
-        r, width = padded, 1
+        r, width = padded.astype(np.uint64), 1
         while width < depth:
             step = min(width, depth - width)
-            r = ranks(r[: len(r) - step] * np.uint64(len(r) + int(r.max()) + 1) + r[step:])
+            r = doubled(r, step)
             width += step
         self.order = np.argsort(r[:n], kind="stable")
         transform = np.roll(sequence, 1)[self.order]  # the symbol before each suffix
@@ -108,7 +108,7 @@ def earliest(contents: list[bytes], ids: np.ndarray, starts: np.ndarray):
     begin, _, hashes = words(raw)
     lengths = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(c) + 1 for c in contents])])))
     first = np.cumsum(lengths) - lengths
-    sequence = ranks(hashes) + np.uint64(1)
+    sequence = ranks(hashes).astype(np.uint64) + np.uint64(1)
     count = lengths - WINDOW + 1
     offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(first, count) + offset

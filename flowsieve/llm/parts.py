@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bound_batches, col, stored
 
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 
 
 def squeeze(x: np.ndarray | bytes) -> bytes:
@@ -73,9 +73,9 @@ def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, p
     return stored(source.mapInArrow(run, full), name)
 
 
-def shard_count(parts: DataFrame) -> int:
-    """As many shards as parts, so that a shard's share stays that of a part as the corpus grows."""
-    return max(4, min(parts.count(), 1 << 14))
+def shard_count(parts: DataFrame, per_part: int = 1) -> int:
+    """`per_part` shards a part, so that a shard's share stays that of a part, or less, as the corpus grows."""
+    return max(4, min(parts.count() * per_part, 1 << 15))
 
 
 def by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, int, int]]:

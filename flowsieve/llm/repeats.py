@@ -293,7 +293,7 @@ def mark(row, answers, places, reader: Reader, shards: int):
 def apply(docs: DataFrame, reader: Reader, index: Callable, finish: Callable, schema: T.StructType, name: str) -> DataFrame:
     """finish(doc_id, text, ranges) gives the row of a document."""
     parts = parts_of(docs, reader, name)
-    shards = shard_count(parts)
+    shards = shard_count(parts, 3)  # the index takes some sixty bytes of memory a byte of its contents
     answers = repeated_anchors(parts, shards)
     places = earlier_places(parts, reader, index, shards)
     tagged = answers.selectExpr("part", "shard", "a", "false AS placed").unionByName(places.selectExpr("part", "shard", "a", "true AS placed"))

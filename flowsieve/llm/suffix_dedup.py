@@ -36,24 +36,39 @@ class Bytes(Reader):
 
 
 def ranks(x: np.ndarray) -> np.ndarray:
-    """Dense ranks from 0."""
+    """Dense ranks from 0, as 32-bit numbers where they fit."""
     order = np.argsort(x)
     y = x[order]
-    out = np.empty(len(x), dtype=np.uint64)
-    out[order] = np.cumsum(np.concatenate([[False], y[1:] != y[:-1]])).astype(np.uint64)
+    step = np.empty(len(x), dtype=bool)
+    step[:1] = False
+    np.not_equal(y[1:], y[:-1], out=step[1:])
+    del y
+    small = np.uint32 if len(x) < 1 << 32 else np.uint64
+    out = np.empty(len(x), dtype=small)
+    out[order] = np.cumsum(step, dtype=small)
     return out
 
 
+def doubled(r: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of what r stands for together with what follows `step` further on."""
+    key = r[: len(r) - step].astype(np.uint64)
+    key *= np.uint64(int(r.max()) + 1)
+    key += r[step:]
+    return ranks(key)
+
+
 def window_ranks(text: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Rank of the `window` bytes from each position on, by prefix doubling from packed groups of eight."""
     n = len(text) - 7
     eight = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        eight = eight << np.uint64(8) | text[k : k + n].astype(np.uint64)
+        eight <<= np.uint64(8)
+        eight |= text[k : k + n]
     r, width = ranks(eight), 8
+    del eight
     while width < window:
         step = min(width, window - width)
-        r = ranks(r[: len(r) - step] * np.uint64(len(r) + 1) + r[step:])
+        r = doubled(r, step)
         width += step
     return r
 

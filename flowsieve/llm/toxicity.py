@@ -6,7 +6,7 @@ model also sees the log-odds of the earlier categories; in training these come f
 
 Fitting takes a bounded sample of labelled rows (`sample_rows`, the least by hash of doc_id); scoring takes all rows.
 
-Defined results: null and empty texts have no features and get the models' base rate; without labelled rows, or with
+Defined results: texts without any known feature, null and empty ones too, get the base rates and are not rejected; without labelled rows, or with
 labels of one kind only, no document is rejected; labels repeated for a doc_id count once, a category as soon as one
 row has it; repeated documents get equal scores; clashing columns are replaced; an empty table gives an empty table.
 """
@@ -39,6 +39,7 @@ class Chain:
     categories: tuple[str, ...]
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    base: list[float] = field(default_factory=list)
     threshold: float = 2.0
     key: str = ""
 
@@ -93,6 +94,7 @@ def fit_rows(lists: list[list[int]], labels: np.ndarray, folds: np.ndarray, chai
             if len(fit):
                 out[rest] = logits(*_take(starts, index, rest), held[rest], fit_linear(*_take(starts, index, fit), held[fit], y[fit], width))
         chain.weights.append(fit_linear(starts, index, held, y, width))
+        chain.base.append(float(y.mean()))
         held = np.column_stack([held, out])
     p, y = held[:, -1], labels[:, -1].astype(bool)
     if y.any() and not y.all():
@@ -168,7 +170,9 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         for w in c.weights:
             z = np.column_stack([z, logits(starts, index, z, w)])
         p = 1 / (1 + np.exp(-z))
-        return [p[:, k].tolist() for k in range(p.shape[1])] + [(p[:, -1] >= c.threshold).tolist()]
+        p[np.diff(starts) == 0] = c.base  # nothing to go by
+        toxic = (p[:, -1] >= c.threshold) & (np.diff(starts) > 0)
+        return [p[:, k].tolist() for k in range(p.shape[1])] + [toxic.tolist()]
 
     return add_columns(docs, [text], fields, run)
 

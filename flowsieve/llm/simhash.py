@@ -92,14 +92,17 @@ def fingerprints(docs: DataFrame, query_step: int = 50) -> DataFrame:
     """docs: doc_id, text. One row per document: its fingerprint and that of its edited text (the last quarter replaced
     by the beginning of the next document), their likeness, the likeness to the next document, and for each doc_id
     divisible by `query_step` how many other documents have a fingerprint within RADIUS."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
-    sizes = docs.select("doc_id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int").alias("k")).where("doc_id IS NOT NULL").distinct()
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    sizes = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(quarter).alias("k"))
     after = next_ids(docs.select("doc_id"))
     wanted = sizes.join(after, "doc_id").select(F.col("doc_id").alias("_prev"), "k", F.col("next_id").alias("doc_id"))
-    heads = base.join(wanted, "doc_id").select("_prev", "k", F.expr("left(text, k)").alias("head"), F.col("doc_id").alias("next_id")).groupBy("_prev", "k").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
-    measured = base.withColumn("n_chars", F.length("text")).withColumn("_k", F.floor(F.col("n_chars") / 4).cast("int"))
-    joined = measured.join(heads, (F.col("doc_id") == F.col("_prev")) & (F.col("_k") == F.col("k")), "left")
-    joined = joined.select("doc_id", "next_id", "text", F.col("n_chars").cast("long").alias("n_chars"), F.concat(F.expr("left(text, n_chars - _k)"), F.coalesce("head", F.lit(""))).alias("edited"))
+    # both joins are on doc_id alone, so the texts are dealt out once and the exchange is used twice
+    heads = base.join(wanted, "doc_id").select("_prev", F.expr("left(text, k)").alias("head"), F.col("doc_id").alias("next_id")).groupBy("_prev").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
+    known = base.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("_prev"), "left")
+    nameless = base.where("doc_id IS NULL").select("*", F.lit(None).cast("long").alias("_prev"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("long").alias("next_id"))
+    joined = known.unionByName(nameless).withColumn("n_chars", F.length("text")).withColumn("_k", F.floor(F.col("n_chars") / 4).cast("int"))
+    joined = joined.select("doc_id", "next_id", "text", F.col("n_chars").cast("long").alias("n_chars"), F.concat(F.expr("left(text, n_chars - _k)"), F.coalesce(F.expr("left(head, _k)"), F.lit(""))).alias("edited"))
     made = with_fingerprint(joined.withColumn("edited_sha256", F.sha2("edited", 256)), F.col("edited"), "edited_fp").drop("edited")
     made = stored(with_fingerprint(made, F.col("text"), "fp").drop("text"), "fingerprints")
     following = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))

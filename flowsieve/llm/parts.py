@@ -16,7 +16,6 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -27,7 +26,7 @@ PART_BYTES = 4 << 20
 
 def squeeze(x: np.ndarray | bytes) -> bytes:
     raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def expand(x: bytes, dtype=None):
@@ -73,9 +72,9 @@ def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, p
     return stored(source.mapInArrow(run, full), name)
 
 
-def shard_count(parts: DataFrame, per_part: int = 1) -> int:
-    """`per_part` shards a part, so that a shard's share stays that of a part, or less, as the corpus grows."""
-    return max(4, min(parts.count() * per_part, 1 << 15))
+def shard_count(parts: DataFrame) -> int:
+    """As many shards as parts, so that a shard's share stays that of a part as the corpus grows."""
+    return max(4, min(parts.count(), 1 << 15))
 
 
 def by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
@@ -87,9 +86,7 @@ def by_shard(hashes: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 def map_rows(parts: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     """fn(row as dict) yields tuples; a part at a time."""
-    names = schema.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = list(fn({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}))
@@ -97,7 +94,6 @@ def map_rows(parts: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     arrow = to_arrow_schema(schema)
-    assert names
     return parts.mapInArrow(run, schema)
 
 
@@ -119,5 +115,3 @@ def with_answers(parts: DataFrame, answers: DataFrame, fn: Callable, schema: T.S
 
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(run, schema)
 
-
-__all__ = ["F", "by_shard", "expand", "in_shards", "make_parts", "map_rows", "shard_count", "squeeze", "with_answers"]

@@ -70,7 +70,7 @@ def anchors_of(units: np.ndarray, first: np.ndarray, reader) -> np.ndarray:
     f = fragments(units, first, reader.window, reader.gram)
     if not reader.places or not len(f.start):
         return f.anchor
-    grams = rolling(units, reader.gram)
+    grams = mix(rolling(units, reader.gram)) >> np.uint64(16)
     width = f.windows + reader.window - reader.gram
     begin = np.cumsum(width) - width
     at = np.repeat(f.start - begin, width) + np.arange(int(width.sum()))
@@ -88,7 +88,7 @@ def fragments(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> F
     at = np.flatnonzero(np.arange(len(low)) + window <= ends)
     if not len(at):
         return Fragments(none, none, np.zeros(0, np.uint64), none)
-    low = low[at]
+    low = mix(low[at]) >> np.uint64(16)  # minima crowd at the low end; mixed again, they spread evenly over the shards
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])]))
     return Fragments(at[new], np.diff(np.append(new, len(at))), low[new], np.searchsorted(first, at[new], "right") - 1)
 
@@ -293,7 +293,7 @@ def mark(row, answers, places, reader: Reader, shards: int):
 def apply(docs: DataFrame, reader: Reader, index: Callable, finish: Callable, schema: T.StructType, name: str) -> DataFrame:
     """finish(doc_id, text, ranges) gives the row of a document."""
     parts = parts_of(docs, reader, name)
-    shards = shard_count(parts, 3)  # the index takes some sixty bytes of memory a byte of its contents
+    shards = shard_count(parts)
     answers = repeated_anchors(parts, shards)
     places = earlier_places(parts, reader, index, shards)
     tagged = answers.selectExpr("part", "shard", "a", "false AS placed").unionByName(places.selectExpr("part", "shard", "a", "true AS placed"))

@@ -1,7 +1,7 @@
 """Byte-level deduplication by longest previous factors.
 
 In each shard the distinct contents stand in ascending order of doc_id, so that an earlier position means an earlier
-document. The suffixes at window starts are sorted to the depth of a window by prefix doubling; within a run of
+document. The suffixes at window starts are sorted to the depth of a window by ranks of packed bytes; within a run of
 suffixes that share a window, the previous and next smaller positions of the suffix order lead to the earliest one,
 the source of the longest previous factor cut off at the window. A byte goes if a window over it has an earlier
 source in a document with a smaller doc_id.
@@ -57,20 +57,34 @@ def doubled(r: np.ndarray, step: int) -> np.ndarray:
     return ranks(key)
 
 
-def window_ranks(text: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rank of the `window` bytes from each position on, by prefix doubling from packed groups of eight."""
+def window_runs(text: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes from positions `at` (ascending) that share their first `window` bytes with another one: (indices into
+    `at`, run of each) in suffix order, by position within a run.
+
+    Packed groups of eight bytes are ranked once for all positions; the suffixes are then refined by the rank of the
+    next group, and those that no other one can match any more leave."""
     n = len(text) - 7
     eight = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         eight <<= np.uint64(8)
         eight |= text[k : k + n]
-    r, width = ranks(eight), 8
-    del eight
-    while width < window:
-        step = min(width, window - width)
-        r = doubled(r, step)
-        width += step
-    return r
+    eight = ranks(eight)
+    wide, run, live = np.uint64(int(eight.max()) + 1), eight[at], np.arange(len(at))
+    for depth in [*range(8, window - 7, 8), window - 8]:
+        key = run.astype(np.uint64)
+        key *= wide
+        key += eight[at[live] + depth]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.empty(len(key), dtype=bool)
+        new[:1] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        begin = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(begin, len(key))) > 1, np.diff(np.append(begin, len(key))))
+        live, run = live[order[several]], np.cumsum(new[several], dtype=np.uint32) - np.uint32(1)
+        if not len(live):
+            break
+    return live, run
 
 
 def earliest(contents: list[bytes], ids: np.ndarray, starts: np.ndarray):
@@ -79,11 +93,10 @@ def earliest(contents: list[bytes], ids: np.ndarray, starts: np.ndarray):
     first = np.cumsum(lengths) - lengths
     count = lengths - WINDOW + 1
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    rank = window_ranks(text)[at]
-    order = np.argsort(rank, kind="stable")  # suffix order; equal windows by position
-    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    source = np.empty(len(at), dtype=np.int64)
-    source[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    live, run = window_runs(text, at)
+    source = np.arange(len(at))
+    if len(live):  # within a run, the previous smaller positions lead back to its first
+        source[live] = np.minimum.reduceat(live, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])))[run]
     owner = np.repeat(np.arange(len(contents)), count)[source]
     return count, ids[owner], np.zeros(len(at), np.int64)
 

@@ -1,16 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Counts of every word are gathered over all training documents. Words of at least `P_SYMBOL` of the tokens are symbols
-of their own; the others share a symbol with words of the same ending or first non-ASCII letter, within which a word
-has its smoothed relative frequency. The tree's contexts are up to `DEPTH` symbols long. A context becomes a state if
-it makes up `P_CONTEXT` of the tokens and its next-symbol distribution diverges from that of its longest suffix state:
-count times Kullback-Leibler divergence exceeds half the number of next symbols times the logarithm of the count.
-State distributions are smoothed towards the suffix state by the Witten-Bell rule; next symbols that are too rare to
-keep (`P_ENTRY`) leave their mass to the suffix state, so every distribution sums to one. A token is scored by the
-longest suffix of its history that is a state.
-
-The thresholds are shares of the training tokens: they bound the tree (and what is broadcast) by their reciprocals at
-any corpus size, while all counts are over all training documents. Words are told apart by 64-bit hashes.
+Counts of every word are gathered over all training documents. Words that occur `LEAST_SYMBOL` times are symbols of
+their own; the others share a symbol with words of the same ending or first non-ASCII letter, within which a word has
+its smoothed relative frequency. The tree's contexts are up to `DEPTH` symbols long. A context becomes a state if it
+occurs `LEAST_CONTEXT` times and its next-symbol distribution diverges from that of its longest suffix state: count
+times Kullback-Leibler divergence exceeds half the number of next symbols times the logarithm of the count. State
+distributions are smoothed towards the suffix state by the Witten-Bell rule, so every distribution sums to one. A token
+is scored by the longest suffix of its history that is a state.
+
+The least counts are absolute: the tree grows with the corpus and is never in one place. For each depth a part sends
+every shard the next symbols it saw behind the shard's contexts, with their counts and their probabilities by the suffix
+state, and gets back the totals over all parts and which contexts are states. A frequent context is dealt to several
+shards by its next symbols; its sums (count, next symbols, divergence) meet on the driver, a few numbers a shard. Words
+and contexts are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; a row without doc_id is never held out (there is no
 number to take); without training documents all probabilities come from the smoothing; repeated rows count and are
@@ -31,14 +33,17 @@ from .common import stored
 from .parts import by_shard, expand, in_shards, make_parts, map_rows, shard_count, squeeze, with_answers
 from .tokens import LOWER, joined, words
 
-DEPTH, P_SYMBOL, P_CONTEXT, P_ENTRY = 3, 2e-4, 5e-5, 1e-6
+DEPTH, LEAST_SYMBOL, LEAST_CONTEXT = 3, 2, 4
 CLASSES = 64
+#: A context is dealt to one shard for each share of a shard's tokens over this that it makes up.
+SPREAD = 4
 END = np.uint64(0x656E64)
 
 PART = T.StructType([T.StructField(n, t) for n, t in (("ids", T.ArrayType(T.LongType())), ("held", T.BinaryType()), ("lengths", T.BinaryType()), ("tokens", T.BinaryType()), ("hashes", T.BinaryType()), ("classes", T.BinaryType()), ("counts", T.BinaryType()))])
 MESSAGE = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 ANSWER = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("rare_score", T.DoubleType()), T.StructField("symbols", T.BinaryType())])
+ASKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("keys", "kinds", "spread", "entries", "counts", "parents")]])
+SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -89,70 +94,171 @@ def _total(frame):
     for part, x in zip(frame["part"], asked, strict=True):
         yield "counts", int(part), int(frame["shard"].iloc[0]), squeeze(total[index[at : at + len(x)]]), None
         at += len(x)
-    seen = total > 0
-    by_class = np.zeros((2, CLASSES), dtype=np.int64)
-    by_class[0] += np.bincount(classes[first][seen], total[seen], CLASSES).astype(np.int64)
-    by_class[1] += np.bincount(classes[first][seen], minlength=CLASSES)
-    yield "classes", -1, int(frame["shard"].iloc[0]), squeeze(by_class), None
-    # candidates for symbols: no word outside the shard's own `1 / P_SYMBOL` most frequent can reach the share
-    top = np.argsort(-total, kind="stable")[: int(1 / P_SYMBOL) + 1]
-    top = top[total[top] >= max(1, P_SYMBOL * total.sum())]
-    yield "words", -1, int(frame["shard"].iloc[0]), squeeze(np.stack([distinct[top], total[top].astype(np.uint64), classes[first][top].astype(np.uint64)])), None
+    own = total >= LEAST_SYMBOL
+    rare = (total > 0) & ~own
+    found = np.zeros((3, CLASSES), dtype=np.int64)
+    found[0] = np.bincount(classes[first][rare], total[rare], CLASSES).astype(np.int64)
+    found[1] = np.bincount(classes[first][rare], minlength=CLASSES)
+    found[2, 0], found[2, 1] = total[own].sum(), own.sum()
+    yield "classes", -1, int(frame["shard"].iloc[0]), squeeze(found), None
 
 
 @dataclass
 class Vocabulary:
     tokens: int
     types: int
-    hashes: np.ndarray  # sorted, of the words that are symbols
-    counts: np.ndarray
+    symbols: int  # words that are symbols
     class_tokens: np.ndarray  # of the words that aren't
     class_types: np.ndarray
-
-    def root(self) -> np.ndarray:
-        c = np.concatenate([self.counts, self.class_tokens]) + 0.5
-        return c / c.sum()
-
-
-def _vocabulary(answers: DataFrame) -> Vocabulary:
-    by_class = np.zeros((2, CLASSES), dtype=np.int64)
-    rows = answers.where("kind <> 'counts'").collect()  # per shard 2 * CLASSES numbers and at most 1 / P_SYMBOL words
-    for r in rows:
-        if r["kind"] == "classes":
-            by_class += expand(bytes(r["a"]), np.int64).reshape(2, CLASSES)
-    tokens, types = int(by_class[0].sum()), int(by_class[1].sum())
-    found = [expand(bytes(r["a"]), np.uint64).reshape(3, -1) for r in rows if r["kind"] == "words"]
-    found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)
-    found = found[:, found[1] >= max(1.0, P_SYMBOL * tokens)]
-    found = found[:, np.argsort(found[0], kind="stable")]
-    for _, c, k in found.T.tolist():
-        by_class[0, k] -= c
-        by_class[1, k] -= 1
-    return Vocabulary(tokens, types, found[0].copy(), found[1].astype(np.int64), by_class[0], by_class[1])
-
-
-def _score_words(held):
+    spread: int  # tokens behind a context for each shard that it is dealt to
+
+    def mass(self) -> float:
+        return self.tokens + 0.5 * (self.symbols + CLASSES)
+
+
+def _vocabulary(answers: DataFrame, shards: int) -> Vocabulary:
+    found = np.zeros((3, CLASSES), dtype=np.int64)
+    for r in answers.where("kind = 'classes'").select("a").collect():  # per shard 3 * CLASSES numbers
+        found += expand(bytes(r["a"]), np.int64).reshape(3, CLASSES)
+    tokens, symbols = int(found[0].sum() + found[2, 0]), int(found[2, 1])
+    return Vocabulary(tokens, int(found[1].sum()) + symbols, symbols, found[0], found[1], max(256, tokens // (SPREAD * shards)))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Walk:
+    """A part's tokens on their way down the tree. At each depth `n` is how often a token's context occurs in training
+    documents, `key` names the context, and `p` is the token's probability by the longest suffix that is a state."""
+
+    def __init__(self, row, total: np.ndarray, v: Vocabulary):
+        self.v, lengths, index = v, expand(row["lengths"], np.int32), expand(row["tokens"], np.uint32)
+        hashes, classes, held = expand(row["hashes"], np.uint64), expand(row["classes"], np.uint8), expand(row["held"], bool)
+        self.lengths, self.begin, self.held = lengths, np.cumsum(lengths) - lengths, held
+        self.trained = np.repeat(~held, lengths)
+        self.position = np.arange(len(index)) - np.repeat(self.begin, lengths)
+        own = total >= LEAST_SYMBOL
+        count = np.where(own, total, v.class_tokens[classes])
+        self.base = np.log10((total + 0.5) / (v.tokens + 0.5 * (v.types + 1)))[index]
+        self.rare = np.where(own, 0.0, np.log10((total + 0.5) / (v.class_tokens[classes] + 0.5 * (v.class_types[classes] + 1))))[index]
+        self.known = (total > 0).astype(np.int64)[index]
+        self.symbol = _mix(np.where(own, hashes, classes.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))[index]
+        self.p = ((count + 0.5) / v.mass())[index]
+        self.depth, self.entry, self.c = 0, self.symbol, count[index]
+
+    def ask(self):
+        """Down to the next depth: the distinct (context, next symbol) pairs of contexts that may be states, by the key
+        that deals them out."""
+        self.depth += 1
+        n = np.concatenate([[0], self.c[:-1]])
+        n[self.position < self.depth] = 0
+        self.at = np.flatnonzero(n >= LEAST_CONTEXT)
+        self.n, self.context = n[self.at], self.entry[self.at - 1]
+        pair = _mix(self.context * np.uint64(0x9E3779B97F4A7C15) + self.symbol[self.at])
+        self.entry = np.zeros(len(n), dtype=np.uint64)
+        self.entry[self.at] = pair
+        entries, first, index = np.unique(pair, return_index=True, return_inverse=True)
+        spread = (self.n[first] // self.v.spread + 1).astype(np.uint64)
+        context = self.context[first]
+        key = np.where(spread > 1, _mix(context + entries % spread), context)
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.place = rank[index]
+        counts = np.bincount(self.place, self.trained[self.at], len(order)).astype(np.uint32)
+        key, first = key[order], first[order]
+        self.runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.kinds = np.diff(np.append(self.runs, len(key)))
+        self.spread_of = np.where(spread[order] > 1, context[order], np.uint64(0))[self.runs]
+        return key, entries[order], counts, self.p[self.at[first]].astype(np.float32)
+
+    def answer(self, totals: np.ndarray, mass: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
+        """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), and that of all
+        contexts that were spread."""
+        self.c = np.zeros(len(self.p), dtype=np.int64)
+        if not len(self.at):
+            return
+        keys, of_spread = spread
+        if len(keys):
+            where = np.minimum(np.searchsorted(keys, self.spread_of), len(keys) - 1)
+            mass = np.where(self.spread_of == 0, mass, np.where(keys[where] == self.spread_of, of_spread[where], 0))
+        m, c = np.repeat(mass, self.kinds)[self.place], totals[self.place]
+        self.c[self.at] = c
+        self.p[self.at] = np.where(m > 0, (c + m * self.p[self.at]) / (self.n + m), self.p[self.at])
+
+
+def _walk(row, answers, model) -> Walk:
+    """A part's tokens after the depths that are answered."""
+    v, spreads = model
+    by = {k: x.sort_values("shard") for k, x in answers.groupby("kind")}
+    gather = lambda kind, name: np.concatenate([np.zeros(0, np.int64), *[expand(x, np.int64) for x in (by[kind][name] if kind in by else ())]])
+    walk = Walk(row, gather("counts", "a"), v)
+    for d, spread in enumerate(spreads, 1):
+        walk.ask()
+        walk.answer(gather(f"depth{d}", "a"), gather(f"depth{d}", "b"), spread)
+    return walk
+
+
+def _ask_depth(model, shards: int):
     def run(row, answers):
-        v = held.value
-        ids, out = row["ids"], expand(row["held"], bool)
-        lengths, index, hashes, classes = expand(row["lengths"], np.int32), expand(row["tokens"], np.uint32), expand(row["hashes"], np.uint64), expand(row["classes"], np.uint8)
-        answers = answers.sort_values("shard")
-        total = np.concatenate([expand(x, np.int64) for x in answers["a"]]) if len(answers) else np.zeros(0, np.int64)
-        base = np.log10((total + 0.5) / (v.tokens + 0.5 * (v.types + 1)))
-        at = np.searchsorted(v.hashes, hashes)
-        own = (at < len(v.hashes)) & (v.hashes[np.minimum(at, len(v.hashes) - 1)] == hashes) if len(v.hashes) else np.zeros(len(hashes), bool)
-        symbol = np.where(own, at, len(v.hashes) + classes.astype(np.int64)).astype(np.uint16)
-        rare = np.where(own, 0.0, np.log10((total + 0.5) / (v.class_tokens[classes] + 0.5 * (v.class_types[classes] + 1))))
-        ends = np.cumsum(lengths)
-        begin = ends - lengths
-        sums = [np.add.reduceat(x[index], begin) for x in (base, rare, (total > 0).astype(np.int64))]
-        symbols = symbol[index]
-        for i in range(len(ids)):
-            yield None if ids[i] is None or ids[i] != ids[i] else int(ids[i]), bool(out[i]), int(lengths[i]), int(sums[2][i]), float(sums[0][i]), float(sums[1][i]), symbols[begin[i] : ends[i]].tobytes()
+        walk = _walk(row, answers, model.value)
+        key, entries, counts, parents = walk.ask()
+        runs = np.append(walk.runs, len(key))
+        for s, a, b in by_shard(key[walk.runs], shards):
+            x, y = runs[a], runs[b]
+            yield int(row["part"]), s, squeeze(key[walk.runs[a:b]]), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(entries[x:y]), squeeze(counts[x:y]), squeeze(parents[x:y])
+
+    return run
+
+
+def _states(depth: int):
+    """A shard: totals of its pairs and the smoothing mass of its contexts to each part; sums of the spread ones."""
+
+    def run(frame):
+        asked = [expand(x, np.uint64) for x in frame["entries"]]
+        keys, kinds = [expand(x, np.uint64) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
+        key, k = np.concatenate(keys), np.concatenate(kinds)
+        spread = np.concatenate([expand(x, np.uint64) for x in frame["spread"]])
+        contexts, first, of_run = np.unique(key, return_index=True, return_inverse=True)
+        spread = spread[first]
+        entries, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        context = np.repeat(of_run, k)[first]
+        c = np.bincount(index, np.concatenate([expand(x, np.uint32) for x in frame["counts"]]), len(entries))
+        parent = np.concatenate([expand(x, np.float32) for x in frame["parents"]])[first].astype(np.float64)
+        seen = c > 0
+        n = np.bincount(context, c, len(contexts))
+        followers = np.bincount(context[seen], minlength=len(contexts))
+        gain = np.bincount(context[seen], c[seen] * np.log(c[seen] / parent[seen]), len(contexts))
+        mass = np.where(spread == 0, smoothing_mass(n, followers, gain), 0)
+        c, at, run = c.astype(np.int64), 0, 0
+        for part, x, y in zip(frame["part"], asked, keys, strict=True):
+            yield f"depth{depth}", int(part), int(frame["shard"].iloc[0]), squeeze(c[index[at : at + len(x)]]), squeeze(mass[of_run[run : run + len(y)]])
+            at, run = at + len(x), run + len(y)
+        if (parts := spread > 0).any():
+            yield "spread", -1, int(frame["shard"].iloc[0]), squeeze(spread[parts]), squeeze(np.stack([n[parts], followers[parts], gain[parts]]))
 
     return run
 
 
+def smoothing_mass(n: np.ndarray, followers: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The number of next symbols of each context that passes the divergence test, else 0. gain: the sum of count times
+    log(count / probability by the suffix state)."""
+    gain = gain - n * np.log(np.maximum(n, 1))
+    return np.where((n >= LEAST_CONTEXT) & (gain > 0.5 * followers * np.log(np.maximum(n, 2))), followers, 0).astype(np.int64)
+
+
+def _spread(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts that were dealt to several shards, their smoothing mass); at most 2 * SPREAD rows a shard."""
+    rows = answers.where("kind = 'spread'").select("a", "b").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *[expand(bytes(r["a"]), np.uint64) for r in rows]])
+    sums = np.concatenate([np.zeros((3, 0)), *[expand(bytes(r["b"]), np.float64).reshape(3, -1) for r in rows]], axis=1)
+    keys, index = np.unique(keys, return_inverse=True)
+    return keys, smoothing_mass(*[np.bincount(index, x, len(keys)) for x in sums])
+
+
 def _contexts(stream: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions with `depth` symbols before them in their document, and these packed with the latest one lowest."""
     position = np.arange(len(stream)) - np.repeat(starts, np.diff(np.append(starts, len(stream))))
@@ -163,50 +269,9 @@ def _contexts(stream: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     return at, key
 
 
-def _count_level(table: DataFrame, known, depth: int, shards: int) -> DataFrame:
-    """(shard, contexts and next symbols packed, counts) of the training documents, by contexts in `known`."""
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-
-    def run(batches):
-        import pyarrow as pa
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-            distinct, index = np.unique(keys, return_inverse=True)
-            held[:] = [(distinct, np.bincount(index, counts, len(distinct)).astype(np.int64))]
-
-        size = 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                arrays = [np.frombuffer(x, np.uint16) for x in batch.column(0).slice(i, 500).to_pylist()]
-                stream = np.concatenate(arrays)
-                at, key = _contexts(stream, np.cumsum([0] + [len(a) for a in arrays[:-1]]), depth)
-                place = np.minimum(np.searchsorted(known.value, key), len(known.value) - 1)
-                keep = known.value[place] == key
-                pair, n = np.unique(place[keep].astype(np.uint64) << np.uint64(16) | stream[at[keep]].astype(np.uint64), return_counts=True)
-                held.append((pair, n))
-                size += len(pair)
-                if size > 4_000_000:
-                    merged()
-                    size = len(held[0][0])
-        if held:
-            merged()
-            keys, counts = held[0]
-            shard = (keys >> np.uint64(16)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, squeeze(keys[order[edges[s] : edges[s + 1]]]), squeeze(counts[order[edges[s] : edges[s + 1]]])) for s in range(shards) if edges[s + 1] > edges[s]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
-
-    return table.where("NOT held_out").select("symbols").mapInArrow(run, schema)
-
-
 @dataclass
 class Level:
-    """States of one depth: sorted context keys; totals and smoothing mass; entries (state << 16 | symbol) and counts."""
+    """A tree small enough for one place: states of one depth: sorted context keys; totals and smoothing mass; entries (state << 16 | symbol) and counts."""
 
     keys: np.ndarray
     totals: np.ndarray
@@ -231,83 +296,27 @@ def probabilities(stream: np.ndarray, starts: np.ndarray, root: np.ndarray, leve
     return p
 
 
-def diverging(known: np.ndarray, keys: np.ndarray, counts: np.ndarray, depth: int, root: np.ndarray, levels: list[Level], least_entry: float):
-    """Of the contexts (indices into `known`, packed with next symbols in `keys`) those that pass the divergence test:
-    rows of context key, total, smoothing mass, and the kept entries."""
-    context = (keys >> np.uint64(16)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    total, kinds = np.add.reduceat(counts, edges).astype(np.float64), np.diff(np.append(edges, len(keys)))
-    # the suffix state's distribution: score the next symbol behind the suffix of the context
-    suffix = known[context] & np.uint64((1 << (16 * (depth - 1))) - 1)
-    stream = np.empty((len(keys), depth), dtype=np.uint16)
-    for k in range(1, depth):
-        stream[:, depth - 1 - k] = (suffix >> np.uint64(16 * (k - 1))).astype(np.uint64) & np.uint64(0xFFFF)
-    stream[:, depth - 1] = (keys & np.uint64(0xFFFF)).astype(np.uint16)
-    parent = probabilities(stream.ravel(), np.arange(len(keys)) * depth, root, levels)[depth - 1 :: depth]
-    n = np.repeat(total, kinds)
-    gain = np.add.reduceat(counts * np.log(counts / n / parent), edges)
-    passed = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
-    keep = np.repeat(passed, kinds) & (counts >= least_entry)
-    dropped = total - np.add.reduceat(np.where(keep, counts, 0), edges)
-    return known[context[edges[passed]]], (total + kinds)[passed], (kinds + dropped)[passed], known[context[keep]], (keys[keep] & np.uint64(0xFFFF)), counts[keep]
-
-
-def fit_tree(table: DataFrame, v: Vocabulary, depth: int = DEPTH) -> list[Level]:
-    spark, root, levels = table.sparkSession, v.root(), []
-    known = np.arange(len(root), dtype=np.uint64)
-    least_context, least_entry = max(4.0, P_CONTEXT * v.tokens), max(2.0, P_ENTRY * v.tokens)
-    found = T.StructType([T.StructField(n, T.BinaryType()) for n in ("keys", "totals", "mass", "context", "symbol", "counts", "next", "next_counts")])
-    for d in range(1, depth + 1):
-        held, model = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast((root, list(levels)))
-
-        def test(frame, d=d, held=held, model=model):
-            keys = np.concatenate([expand(x, np.uint64) for x in frame["keys"]])
-            counts = np.concatenate([expand(x, np.int64) for x in frame["counts"]])
-            keys, index = np.unique(keys, return_inverse=True)
-            counts = np.bincount(index, counts, len(keys))
-            often = counts >= least_context
-            longer = held.value[(keys[often] >> np.uint64(16)).astype(np.int64)] << np.uint64(16) | (keys[often] & np.uint64(0xFFFF))
-            yield (*(squeeze(x) for x in diverging(held.value, keys, counts, d, model.value[0], model.value[1], least_entry)), squeeze(longer), squeeze(counts[often]))
-
-        shards = 64
-        # bounded by the shares: 1 / P_CONTEXT contexts, 1 / P_ENTRY entries
-        got = in_shards(_count_level(table, held, d, shards), "shard", test, found).collect()
-        types = (np.uint64, np.float64, np.float64, np.uint64, np.uint64, np.float64, np.uint64, np.float64)
-        keys, totals, mass, context, symbol, counts, longer, _ = [np.concatenate([expand(bytes(r[k]), t) for r in got] or [np.zeros(0, t)]) for k, t in enumerate(types)]
-        order = np.argsort(keys, kind="stable")
-        keys, totals, mass = keys[order], totals[order], mass[order]
-        entries = np.searchsorted(keys, context).astype(np.uint64) << np.uint64(16) | symbol
-        by = np.argsort(entries, kind="stable")
-        levels.append(Level(keys, totals, mass, entries[by], counts[by]))
-        known = np.sort(longer)
-        if not len(known):
-            break
-    return levels
-
-
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score of every row of docs."""
     spark = docs.sparkSession
     parts = make_parts(docs, tokenise, PART, "tokens")
     shards = shard_count(parts)
     answers = stored(in_shards(map_rows(parts.select("part", "hashes", "classes", "counts"), _ask(shards), MESSAGE), "shard", _total, ANSWER), "counts")
-    v = _vocabulary(answers)
-    held = spark.sparkContext.broadcast(v)
-    table = stored(with_answers(parts.drop("counts"), answers.where("kind = 'counts'").select("part", "shard", "a"), _score_words(held), SCORED), "symbols")
-    model = spark.sparkContext.broadcast((v.root(), fit_tree(table, v, depth)))
-    names = [f.name for f in SCORED.fields if f.name not in ("symbols", "rare_score")]
-    schema = T.StructType([*[SCORED[n] for n in names], T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        import pyarrow as pa
-
-        root, levels = model.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                arrays = [np.frombuffer(x, np.uint16) for x in part.column("symbols").to_pylist()]
-                starts = np.cumsum([0] + [len(a) for a in arrays[:-1]])
-                s = np.add.reduceat(np.log10(probabilities(np.concatenate(arrays), starts, root, levels)), starts) + np.array(part.column("rare_score").to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(s)], names=[*names, "score"])
-
-    return table.mapInArrow(run, schema).withColumn("train_tokens", F.lit(v.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    v, spreads = _vocabulary(answers, shards), []
+    parts = parts.drop("counts")
+    for d in range(1, depth + 1):
+        model = spark.sparkContext.broadcast((v, list(spreads)))
+        messages = with_answers(parts.drop("ids"), answers.where("part >= 0"), _ask_depth(model, shards), ASKED)
+        found = stored(in_shards(messages, "shard", _states(d), ANSWER), f"depth{d}")
+        spreads.append(_spread(found))
+        answers = answers.unionByName(found)
+    model = spark.sparkContext.broadcast((v, spreads))
+
+    def run(row, answers):
+        walk = _walk(row, answers, model.value)
+        sums = [np.add.reduceat(x, walk.begin) for x in (walk.known, walk.base, np.log10(walk.p) + walk.rare)]
+        for i, x in enumerate(row["ids"]):
+            yield None if x is None or x != x else int(x), bool(walk.held[i]), int(walk.lengths[i]), int(sums[0][i]), float(sums[1][i]), float(sums[2][i])
+
+    scored = with_answers(parts, answers.where("part >= 0"), run, SCORED)
+    return scored.withColumn("train_tokens", F.lit(v.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

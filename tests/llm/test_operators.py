@@ -250,6 +250,68 @@ def test_suffix_tree_scores(spark):
     assert suffix_tree_lm.score(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def suffix_tree_by_hand(tokens, held, depth=3):
+    """log10 probabilities by the definition, from dictionaries of all contexts."""
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    words = {}
+    for t in train:
+        for w in t:
+            words[w] = words.get(w, 0) + 1
+    rare = lambda w: 0 if w is None else ord(w[-1]) % 32
+    symbol = lambda w: w if words.get(w, 0) >= 2 else ("class", rare(w))
+    count, own = {("class", k): 0 for k in range(64)}, {}
+    for w, n in words.items():
+        count[symbol(w)] = count.get(symbol(w), 0) + n
+        if n < 2:
+            own[symbol(w)] = own.get(symbol(w), 0) + 1
+    total = sum(n + 0.5 for n in count.values())
+    nexts = {}
+    for t in [[symbol(w) for w in t] for t in train]:
+        for i, s in enumerate(t):
+            for d in range(1, min(depth, i) + 1):
+                at = nexts.setdefault(tuple(t[i - d : i]), {})
+                at[s] = at.get(s, 0) + 1
+    states = {}
+
+    def p(context, s):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (count[s] + 0.5) / total
+        at = states[context]
+        n = sum(at.values())
+        return (at.get(s, 0) + len(at) * p(context[1:], s)) / (n + len(at))
+
+    for context, at in sorted(nexts.items(), key=lambda x: len(x[0])):
+        n = sum(at.values())
+        if n >= 4 and sum(c * np.log(c / n / p(context[1:], s)) for s, c in at.items()) > 0.5 * len(at) * np.log(n):
+            states[context] = at
+    within = lambda w: 1.0 if words.get(w, 0) >= 2 else (words.get(w, 0) + 0.5) / (count[symbol(w)] + 0.5 * (own.get(symbol(w), 0) + 1))
+    return [sum(np.log10(p(tuple(symbol(x) for x in t[max(0, i - depth) : i]), symbol(w)) * within(w)) for i, w in enumerate(t)) for t in tokens], len(states)
+
+
+def test_suffix_tree_by_hand(spark):
+    rng = np.random.default_rng(18)
+    phrases = [word_text(rng, int(n), 300) for n in rng.integers(2, 7, 60)]
+    texts = [" ".join(phrases[int(k)] for k in rng.zipf(1.5, 30) % 60) + f" rare{i}x only{i}" for i in range(120)] + [None, "", "one"]
+    tokens = [(t or "").split() + [None] for t in texts]
+    held = [suffix_tree_lm.is_held_out(i) for i in range(len(texts))]
+    want, states = suffix_tree_by_hand(tokens, held)
+    got = rows(suffix_tree_lm.score(frame(spark, texts).repartition(6)))
+    assert states > 100
+    for i, x in enumerate(want):
+        assert got[i]["score"] == pytest.approx(x, rel=1e-4)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Sequences of words that are a vanishing share of the tokens are still learnt."""
+    rng = np.random.default_rng(19)
+    texts = [" ".join(f"s{k}w{j}" for k in part for j in range(5)) for _ in range(8) for part in rng.permutation(6000).reshape(-1, 30)]
+    got = [r for r in suffix_tree_lm.score(frame(spark, texts)).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in got)
+    assert sum(r["score"] - r["base_score"] for r in got) / n > 2
+
+
 def test_suffix_tree_sums_to_one():
     root = np.array([0.5, 0.3, 0.2])
     levels = [suffix_tree_lm.Level(np.array([1], np.uint64), np.array([12.0]), np.array([4.0]), np.array([0, 2], np.uint64), np.array([5.0, 3.0]))]

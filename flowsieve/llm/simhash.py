@@ -4,6 +4,11 @@ Terms are shingles of five lower-cased words, weighted by how often they occur;
 bits. Votes are added in eight longs of eight 8-bit counters per run of 127 terms, so no row needs 64 sums per term.
 Permuted block tables (three of six bit blocks as key) find every fingerprint within Hamming distance three.
 
+Near documents are those of a shingle similarity (Jaccard) of `SIMILAR`. Of two such texts 15 % of the bits differ, ten of
+64, which many unrelated fingerprints of a large table do as well; so 64 more bits are voted on for the search, and
+`NEAR` of the 128 bits may differ: the least radius that keeps `RECALL` of the pairs at exactly SIMILAR (more above it).
+No key of agreeing blocks is selective at that radius, so every asked fingerprint is held against all distinct ones.
+
 Defined results: null texts count as empty; texts of under five words are one term, the empty text too; equal texts
 have equal fingerprints. The next document is that of the next greater doc_id (of repeated ids the least text), after
 the last the first; a row without doc_id has no next one and nothing takes the place of its last quarter.
@@ -11,6 +16,7 @@ the last the first; a row without doc_id has no next one and nothing takes the p
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -23,18 +29,43 @@ from .common import stored
 WORDS, BITS, RADIUS, RUN = 5, 64, 3, 127
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _LANES = 0x0101010101010101
+SIMILAR, RECALL = 0.8, 0.98
+#: Fingerprints that are broadcast at once.
+ASKED = 1 << 20
+
+
+def radius(similarity: float, bits: int, recall: float = RECALL) -> int:
+    """The least Hamming distance within which `recall` of the pairs of this Jaccard similarity are; two sets of one
+    size have the cosine 2 J / (1 + J), and a bit differs with the probability angle / pi."""
+    p, seen = math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.0
+    for r in range(bits + 1):
+        seen += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if seen >= recall:
+            return r
+    return bits
+
+
+NEAR = radius(SIMILAR, 2 * BITS)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """df plus the 64-bit fingerprint (long) of `text`."""
+def with_fingerprint(df: DataFrame, text: Column, name: str, more: str | None = None) -> DataFrame:
+    """df plus the 64-bit fingerprint (long) of `text`, and in `more` 64 further bits from other hashes of its terms."""
     words = F.transform(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     df = df.withColumn("_w", words)
     terms = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - WORDS, F.lit(0))), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WORDS)]))
     df = df.withColumn("_t", terms)
+    for seed, column in enumerate([name, more] if more else [name]):
+        if seed:
+            df = df.withColumn("_t", F.transform("_t", lambda t: F.xxhash64(t, F.lit(1))))
+        df = _with_bits(df, column)
+    return df.drop("_w", "_t", "_r", "_n")
+
+
+def _with_bits(df: DataFrame, name: str) -> DataFrame:
     zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
     add = lambda s, h: F.struct(*[(s[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(8)])
     runs = F.transform(F.sequence(F.lit(0), ((F.size("_t") - 1) / RUN).cast("int")), lambda c: F.aggregate(F.slice("_t", c * RUN + 1, RUN), zero, add))
@@ -44,7 +75,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
         votes = F.aggregate("_r", F.lit(0), _counter(b))
         x = F.when(votes * 2 > F.col("_n"), F.lit(_signed(1 << b)).cast("long")).otherwise(F.lit(0).cast("long"))
         bit = x if bit is None else bit.bitwiseOR(x)
-    return df.withColumn(name, bit).drop("_w", "_t", "_r", "_n")
+    return df.withColumn(name, bit)
 
 
 def _counter(bit: int):
@@ -88,10 +119,26 @@ def within_radius(index: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select(F.col("q_fingerprint").alias("fingerprint"), F.col("x_fingerprint").alias("found"), F.col("x_n").alias("n"))
 
 
+def count_near(index: DataFrame, queries: DataFrame, columns: list[str], radius: int) -> DataFrame:
+    """index: distinct fingerprints (`columns`, 64 bits each), n; queries: distinct fingerprints. For each query the sum
+    of n over all fingerprints that differ in at most `radius` bits. The comparisons are spread over the index and their
+    number is the product of both sizes; only the hits become rows."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(tasks, *columns).select(*[F.col(c).alias(f"x_{c}") for c in columns], "n")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in columns[1:]), F.bit_count(F.col(columns[0]).bitwiseXOR(F.col(f"x_{columns[0]}"))))
+    chunks = -(-queries.count() // ASKED) or 1
+    found = None
+    for k in range(chunks):
+        some = queries.select(*columns).where(F.pmod(F.xxhash64(*columns), F.lit(chunks)) == k) if chunks > 1 else queries.select(*columns)
+        pairs = dealt.join(F.broadcast(some), differ <= radius).select(*columns, "n")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.groupBy(*columns).agg(F.sum("n").alias("n_found"))
+
+
 def fingerprints(docs: DataFrame, query_step: int = 50) -> DataFrame:
     """docs: doc_id, text. One row per document: its fingerprint and that of its edited text (the last quarter replaced
     by the beginning of the next document), their likeness, the likeness to the next document, and for each doc_id
-    divisible by `query_step` how many other documents have a fingerprint within RADIUS."""
+    divisible by `query_step` how many other documents have a 128-bit fingerprint within NEAR."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     sizes = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(quarter).alias("k"))
@@ -104,12 +151,12 @@ def fingerprints(docs: DataFrame, query_step: int = 50) -> DataFrame:
     joined = known.unionByName(nameless).withColumn("n_chars", F.length("text")).withColumn("_k", F.floor(F.col("n_chars") / 4).cast("int"))
     joined = joined.select("doc_id", "next_id", "text", F.col("n_chars").cast("long").alias("n_chars"), F.concat(F.expr("left(text, n_chars - _k)"), F.coalesce(F.expr("left(head, _k)"), F.lit(""))).alias("edited"))
     made = with_fingerprint(joined.withColumn("edited_sha256", F.sha2("edited", 256)), F.col("edited"), "edited_fp").drop("edited")
-    made = stored(with_fingerprint(made, F.col("text"), "fp").drop("text"), "fingerprints")
+    made = stored(with_fingerprint(made, F.col("text"), "fp", "fp_more").drop("text"), "fingerprints")
     following = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
-    index = made.groupBy(F.col("fp").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
-    asked = made.where(F.col("doc_id") % query_step == 0).select(F.col("fp").alias("fingerprint")).distinct()
-    near = within_radius(index, asked).groupBy(F.col("fingerprint").alias("fp")).agg(F.sum("n").alias("n_found")).withColumn("is_query", F.lit(True))
-    out = made.withColumn("is_query", F.when(F.col("doc_id") % query_step == 0, True)).join(following, "next_id", "left").join(near, ["fp", "is_query"], "left")
+    index = made.groupBy("fp", "fp_more").agg(F.count(F.lit(1)).alias("n"))
+    asked = made.where(F.col("doc_id") % query_step == 0).select("fp", "fp_more").distinct()
+    near = count_near(index, asked, ["fp", "fp_more"], NEAR).withColumn("is_query", F.lit(True))
+    out = made.withColumn("is_query", F.when(F.col("doc_id") % query_step == 0, True)).join(following, "next_id", "left").join(near, ["fp", "fp_more", "is_query"], "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp")).alias("fingerprint"), hex_of(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), (F.col("n_found") - 1).alias("n_near")
     )

@@ -217,6 +217,21 @@ def test_simhash(spark):
     assert simhash.fingerprints(odd).count() == 3 and simhash.fingerprints(odd.limit(0)).count() == 0
 
 
+def test_simhash_finds_similar_texts(spark):
+    """Pairs at a shingle similarity of 0.8, against brute force over the shingles."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(150):
+        words = [f"v{i}" for i in rng.integers(0, 5000, 300)]
+        texts += [" ".join(words), " ".join(words[:-32] + [f"v{i}" for i in rng.integers(0, 5000, 32)])]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = [sum(len(a & b) >= 0.8 * len(a | b) for b in shingles) - 1 for a in shingles]
+    got = rows(simhash.fingerprints(frame(spark, texts), query_step=1))
+    near = [got[i]["n_near"] for i in range(len(texts))]
+    assert sum(similar) == 300 and max(near) == 1
+    assert sum(near) >= 0.95 * sum(similar)
+
+
 def test_block_tables_find_all(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(-(2**62), 2**62, 30)

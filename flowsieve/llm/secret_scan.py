@@ -2,7 +2,9 @@
 
 Source and configuration syntax (`name = "literal"`, `name: literal`, `"name": "literal"`, `name := other + "x"`) is
 parsed into name-literal pairs. Constants are propagated: a literal that reaches a sensitive name through other names,
-concatenation or `${name}` is scored by that name. Three fixed patterns are always reported as well.
+concatenation or `${name}` is scored by that name. Three fixed patterns are always reported as well. Values and their
+literals may have any length and number: names refer to the values that they are made of, and of a value over `WHOLE`
+characters only what its score depends on is kept (both ends, length, counts of characters).
 
 Defined results: null and empty texts have no spans; rows are judged one by one, so repeated rows give equal results;
 an empty table gives an empty table; columns that clash with the new ones are replaced.
@@ -35,6 +37,7 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|change_?me.*|your[_-].*|example.*|dummy.*|test|none|null|true|false|todo|<.*>|\$\{.*\}|%\(.*\)s)$")
 LEAST_SCORE = 4.5
+WHOLE, ENDS = 4096, 64
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS), re.compile(HEX)
 _TARGETS = re.compile(r"password|passwd|secret|token|api_?key")
@@ -63,19 +66,58 @@ def name_score(name: str) -> float:
     return max(sum(NAME_WEIGHTS.get(p, 0.0) for p in parts), 3.0 if "apikey" in joined else 0.0)
 
 
-def value_score(value: str) -> float:
+class Value:
+    """What a name holds: its characters (`text` up to WHOLE of them, then only the ends and the counts), the spans of
+    its own literals, the values that it uses, and the best score of a name that any of them reached."""
+
+    __slots__ = ("text", "head", "tail", "length", "counts", "spans", "uses", "best")
+
+    def __init__(self, text: str = ""):
+        self.text, self.head, self.tail, self.length, self.counts = "", "", "", 0, None
+        self.spans: list[tuple[int, int]] = []
+        self.uses: list[Value] = []
+        self.best = ("", 0.0)
+        self.add(text)
+
+    def add(self, more: str | Value) -> None:
+        other = more if isinstance(more, Value) else None
+        length = other.length if other else len(more)
+        if not length:
+            return
+        text = other.text if other else more
+        if self.text is not None and text is not None and self.length + length <= WHOLE:
+            self.text += text
+        else:
+            if self.counts is None:
+                self.counts = Counter(self.text)
+                self.head, self.tail, self.text = self.text[:ENDS], self.text[-ENDS:], None
+            head, tail = (text[:ENDS], text[-ENDS:]) if text is not None else (other.head, other.tail)
+            self.counts.update(Counter(text) if text is not None else other.counts)
+            self.head, self.tail = (self.head + head)[:ENDS], (self.tail + tail)[-ENDS:]
+        self.length += length
+
+    def use(self, other: Value) -> None:
+        self.add(other)
+        self.uses.append(other)
+
+
+def value_score(value: str | Value) -> float:
     """Length, mixed character classes and entropy speak for a secret; blanks and placeholders against it."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    v = value if isinstance(value, Value) else Value(value)
+    n, counts = v.length, v.counts if v.text is None else Counter(v.text)
+    if n < 8 or any(c.isspace() for c in counts):
         return -9.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    digits, letters = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    # a placeholder is told by its ends and by which characters it has
+    if PLACEHOLDER.match(v.head + "".join(counts) + v.tail if v.text is None else v.text):
+        return -9.0
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    digits, letters = any(c.isdigit() for c in counts), any(c.isalpha() for c in counts)
     return 1.0 + (bits >= 2.8) + (digits and letters) - (not digits)
 
 
-def literal_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value after propagation, spans of the literals it is made of) of each assignment, in order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def literal_pairs(text: str) -> list[tuple[str, Value]]:
+    """(target name, value after propagation) of each assignment, in order."""
+    known: dict[str, Value] = {}
     out = []
     for m in _OPERATOR.finditer(text):
         end = m.start()
@@ -89,7 +131,7 @@ def literal_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
         name = text[start:end].lstrip(".-")
         if not name or name[0].isdigit():
             continue
-        at, value, spans = m.end(), "", []
+        at, value = m.end(), Value()
         while a := _ATOM.match(text, at):
             at = a.end()
             group = a.lastindex
@@ -97,26 +139,22 @@ def literal_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
                 break
             piece = a[group]
             if group == 3 and piece in known:
-                value += known[piece][0]
-                spans += known[piece][1]
+                value.use(known[piece])
             else:
-                if group < 3:
-                    for u in _USE.finditer(piece):
-                        if (used := u[1] or u[2] or u[3]) in known:
-                            spans += known[used][1]
-                    value += _USE.sub(lambda u: known.get(u[1] or u[2] or u[3], (u[0],))[0], piece)
-                else:
-                    value += piece
-                spans.append((a.start(group), a.end(group)))
+                done = 0
+                for u in _USE.finditer(piece) if group < 3 else ():
+                    if (used := u[1] or u[2] or u[3]) in known:
+                        value.add(piece[done : u.start()])
+                        value.use(known[used])
+                        done = u.end()
+                value.add(piece[done:])
+                value.spans.append((a.start(group), a.end(group)))
             if not (p := _PLUS.match(text, at)):
                 break
             at = p.end()
-            if len(value) > 4096:  # no credential is that long; keeps chains of doublings small
-                break
-        if spans and len(value) <= 4096:
-            spans = list(dict.fromkeys(spans))[:64]
-            known[name] = (value, spans)
-            out.append((name, value, spans))
+        if value.spans or value.uses:
+            known[name] = value
+            out.append((name, value))
     return out
 
 
@@ -124,11 +162,18 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     if "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value, spans in literal_pairs(text):
+    for name, value in literal_pairs(text):
         if (of_name := name_score(name)) >= 2.0 and (score := of_name + value_score(value)) >= LEAST_SCORE:
-            for s in spans:
-                if score > best.get(s, ("", 0.0))[1]:
-                    best[s] = (name, score)
+            # a value that a name of this score has reached has passed it on, so each is visited once a score at most
+            ahead = [value]
+            while ahead:
+                v = ahead.pop()
+                if score > v.best[1]:
+                    v.best = (name, score)
+                    ahead += v.uses
+                    for s in v.spans:
+                        if score > best.get(s, ("", 0.0))[1]:
+                            best[s] = (name, score)
     return [("literal", s, e, *x) for (s, e), x in best.items()]
 
 

@@ -40,6 +40,24 @@ def test_secret_propagation():
     assert "changeme" not in found and "plain words here" not in found
 
 
+def test_secret_of_any_length():
+    rng = np.random.default_rng(16)
+    key = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789+/"), 5000))
+    text = f'signing = "{key}"\nprivate_key = "{key[::-1]}"\nAUTH_SECRET = signing\npassword = "{"x" * 5000}"\n'
+    found = {text[s:e]: name for _, s, e, name, _ in secret_scan.lexed_spans(text)}
+    assert found == {key: "AUTH_SECRET", key[::-1]: "private_key"}
+    pieces = [f"p{k}Q{k * 7}" for k in range(100)]
+    text = "db_password = " + " + ".join(f'"{p}"' for p in pieces)
+    assert [text[s:e] for _, s, e, *_ in secret_scan.all_spans(text)] == pieces
+
+
+def test_secret_chains_stay_linear():
+    doublings = 'a0 = "Zx91kfQw"\n' + "".join(f"a{k + 1} = a{k} + a{k}\n" for k in range(300)) + "password = a300"
+    assert [doublings[s:e] for _, s, e, *_ in secret_scan.lexed_spans(doublings)] == ["Zx91kfQw"]
+    chain = 'secret0 = "Zx91kfQw"\n' + "".join(f'secret{k + 1} = secret{k} + "y{k}"\n' for k in range(20_000))
+    assert len(secret_scan.lexed_spans(chain)) == 20_001
+
+
 def test_secret_table(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "é password=abcdefgh1", "c"), (3, "é password=abcdefgh1", "c"), (None, "token=" + "x" * 200_000, "d")], "doc_id long, text string, secret_spans string")
     got = secret_scan.digest(secret_scan.scan_secrets(docs)).collect()

@@ -87,22 +87,59 @@ def communication_mb(features: int, classes: int, clients: int) -> float:
     return (features * classes + classes) * 4 / 2**20 * clients * 2
 
 
-def train_clients(df: DataFrame, weights: np.ndarray, classes: int, lr: float = 0.05, epochs: int = 1, mu: float = 0.0, client: str = "client_id", features: str = "features", label: str = "y", key: str = "key") -> DataFrame:
-    """Updates of every client after `epochs` full-batch steps from `weights` (features + 1 rows, the last the bias),
-    with the proximal term mu * (w - w0) (M3). A client's rows meet in one task; cap them with family_cap where a
-    client is large."""
-    held = df.sparkSession.sparkContext.broadcast(weights)
+#: Numbers of partial gradients that a task holds before it passes them on.
+HELD = 4_000_000
+
+
+def client_gradients(rows: DataFrame, weights: np.ndarray, classes: int) -> DataFrame:
+    """client, coord, gradient, n: summed over the rows (client, x, y, and w: the client's own weights, if it is there)
+    of each client. A partial gradient per partition and client, so no client's rows meet in one task."""
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+    own = "w" in rows.columns
+
+    def run(batches):
+        sums: dict = {}
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        x = np.column_stack([np.stack(part[features].to_numpy()), np.ones(len(part))])
-        w = held.value.copy()
-        for _ in range(epochs):
-            w = w - lr * (gradient(x, part[label].to_numpy(), w, classes) / len(part) + mu * (w - held.value))
-        flat = w.ravel()
-        return pd.DataFrame({"client": int(part[client].iloc[0]), "coord": np.arange(len(flat)), "value": flat, "n": len(part)})
+        def passed():
+            size = held.value.size
+            out = pd.DataFrame({"client": np.repeat(np.array(list(sums)), size), "coord": np.tile(np.arange(size), len(sums)), "gradient": np.concatenate([g.ravel() for g, _ in sums.values()]), "n": np.repeat([n for _, n in sums.values()], size)})
+            sums.clear()
+            return out
 
-    return df.select(client, key, features, label).groupBy(client).applyInPandas(run, UPDATE)
+        for batch in batches:
+            for client, part in batch.groupby("client", sort=False):
+                w = part["w"].iloc[0].reshape(held.value.shape) if own else held.value
+                x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
+                g, n = sums.get(client, (0.0, 0))
+                sums[client] = g + gradient(x, part["y"].to_numpy(), w, classes), n + len(part)
+                if len(sums) * held.value.size > HELD:
+                    yield passed()
+        if sums:
+            yield passed()
+
+    partial = rows.mapInPandas(run, "client int, coord int, gradient double, n long")
+    return partial.groupBy("client", "coord").agg(F.sum("gradient").alias("gradient"), F.sum("n").alias("n"))
+
+
+def train_clients(df: DataFrame, weights: np.ndarray, classes: int, lr: float = 0.05, epochs: int = 1, mu: float = 0.0, client: str = "client_id", features: str = "features", label: str = "y", key: str = "key") -> DataFrame:
+    """Updates of every client after `epochs` full-batch steps from `weights` (features + 1 rows, the last the bias),
+    with the proximal term mu * (w - w0) (M3). Every epoch sums partial gradients by client and coordinate; rows without
+    a client are left out."""
+    rows = df.select(F.col(client).cast("int").alias("client"), F.col(features).alias("x"), F.col(label).alias("y")).where("client IS NOT NULL")
+    first = F.broadcast(df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(weights.ravel())], "coord int, w0 double"))
+    state = None
+    for epoch in range(epochs):
+        if state is None:
+            sums, at = client_gradients(rows, weights, classes).join(first, "coord"), F.col("w0")
+        else:
+            own = state.groupBy("client").agg(F.sort_array(F.collect_list(F.struct("coord", "value"))).alias("w")).select("client", F.col("w.value").alias("w"))
+            sums, at = client_gradients(rows.join(own, "client"), weights, classes).join(first, "coord").join(state.select("client", "coord", "value"), ["client", "coord"]), F.col("value")
+        state = sums.select("client", "coord", (at - lr * (F.col("gradient") / F.col("n") + mu * (at - F.col("w0")))).alias("value"), "n")
+        if epoch + 1 < epochs:
+            state = state.persist()  # read twice by the next epoch
+    if state is None:
+        state = rows.groupBy("client").agg(F.count(F.lit(1)).alias("n")).crossJoin(first).select("client", "coord", F.col("w0").alias("value"), "n")
+    return state
 
 
 def federated_rounds(df: DataFrame, classes: int, width: int, rounds: int, clients: int, how: str = "avg", lr: float = 0.05, mu: float = 0.0, attack: str = "none", ratio: float = 0.0, scale: float = 5.0, trim: float = 0.2) -> tuple[np.ndarray, list[float]]:
@@ -111,7 +148,7 @@ def federated_rounds(df: DataFrame, classes: int, width: int, rounds: int, clien
     spark = df.sparkSession
     bad = malicious(F.col("client_id"), clients, ratio)
     data = df.withColumn("y", flip_labels(F.col("y"), classes, bad)) if attack == "label_flip" else df
-    data = data.repartition("client_id").persist()
+    data = data.persist()
     w, seen = np.zeros((width + 1, classes)), []
     for _ in range(rounds):
         updates = train_clients(data, w, classes, lr, mu=mu)
@@ -127,7 +164,7 @@ def federated_rounds(df: DataFrame, classes: int, width: int, rounds: int, clien
 
 def scenario_matrix(df: DataFrame, classes: int, width: int, clients: int, rounds: int = 2, methods=("avg", "median", "trimmed_mean", "krum"), attacks=("none", "label_flip", "update_scale"), ratio: float = 0.2, lr: float = 0.05) -> DataFrame:
     """scenario, aggregator, attack, accuracy on all rows (M5): a loop over runs that share one cached table."""
-    data = df.repartition("client_id").persist()
+    data = df.persist()
     rows = []
     for attack in attacks:
         for how in methods:

@@ -144,3 +144,23 @@ def test_feature_spec(spark):
     spec = features.fit_spec(df, numeric_ratio=0.7)
     assert features.feature_names(spec) == ["x.1", "c=a", "c=b", "c=nan"]
     assert features.transform(df, spec).head()["features"][1:] == [1.0, 0.0, 0.0]
+
+
+def test_large_clients_are_not_groups(spark, capsys):
+    """A client with most of the rows is trained from partial gradients, for several epochs, as by hand."""
+    rng = np.random.default_rng(5)
+    data = [(i, 0 if i % 10 else 1 + i % 3, [float(v) for v in rng.normal(size=3)], int(rng.integers(0, 2))) for i in range(600)]
+    df = spark.createDataFrame(data, "key long, client_id int, features array<double>, y int").repartition(5)
+    start = rng.normal(size=(4, 2))
+    got = federated.train_clients(df, start, 2, epochs=3, mu=0.1)
+    assert got.columns == ["client", "coord", "value", "n"]
+    found = {(r["client"], r["coord"]): (r["value"], r["n"]) for r in got.collect()}
+    for c in {r[1] for r in data}:
+        own = [r for r in data if r[1] == c]
+        x, y, w = np.array([[*r[2], 1.0] for r in own]), np.array([r[3] for r in own]), start
+        for _ in range(3):
+            w = w - 0.05 * (train.gradient(x, y, w, 2) / len(own) + 0.1 * (w - start))
+        for i, v in enumerate(w.ravel()):
+            assert found[c, i] == (pytest.approx(v), len(own))
+    federated.train_clients(df, start, 2).explain()
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out

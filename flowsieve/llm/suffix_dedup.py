@@ -1,10 +1,10 @@
-"""Byte-level deduplication by longest previous factors.
+"""Byte-level deduplication by the earliest place of every window.
 
 In each shard the distinct contents stand in ascending order of doc_id, so that an earlier position means an earlier
 document. The suffixes at window starts are sorted to the depth of a window by ranks of packed bytes; within a run of
-suffixes that share a window, the previous and next smaller positions of the suffix order lead to the earliest one,
-the source of the longest previous factor cut off at the window. A byte goes if a window over it has an earlier
-source in a document with a smaller doc_id.
+suffixes that share a window, the least position is the source of all. No array of longest previous factors is made:
+that such a factor has at least the length of a window is the same as that the run has an earlier position. A byte goes
+if a window over it has an earlier source in a document with a smaller doc_id.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window keep all; documents without an id
 count as the last ones; rows that share a doc_id remove nothing from one another; an empty table gives an empty table.
@@ -95,7 +95,7 @@ def earliest(contents: list[bytes], ids: np.ndarray, starts: np.ndarray):
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     live, run = window_runs(text, at)
     source = np.arange(len(at))
-    if len(live):  # within a run, the previous smaller positions lead back to its first
+    if len(live):  # the least position of each run
         source[live] = np.minimum.reduceat(live, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])))[run]
     owner = np.repeat(np.arange(len(contents)), count)[source]
     return count, ids[owner], np.zeros(len(at), np.int64)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_order, q, to_double
 from .profile import quantile_thresholds
-from .sampling import quota_thresholds
+from .sampling import bucket_in, distributed_row_number, hash_bucket, quota_thresholds, range_edges
 
 #: How far each source of evidence is trusted, by dataset family.
 RELIABILITY = {
@@ -147,12 +147,13 @@ def permute_binary(df: DataFrame, columns: list[str], within: str, key: str, see
 
 
 def permute_column(df: DataFrame, column: str, within: str, key: str, seed: int = 42) -> DataFrame:
-    """Any column shuffled within the groups of `within` by a rank join."""
-    w = Window.partitionBy(q(within))
+    """Any column shuffled within the groups of `within` (few: train, valid, test) by a rank join (J6). Both numberings are
+    distributed: by key range and by hash prefix."""
+    cut = [q(within), bucket_in(q(key), range_edges(df, q(key), by=q(within)))]
+    to = distributed_row_number(df, [q(key)], cut, "_pos", within=1)
     h = hash_order(seed, column, q(key))
-    to = df.withColumn("_pos", F.row_number().over(w.orderBy(q(key))))
-    source = df.select(q(within).alias("_w"), q(column).alias("_value"), F.row_number().over(w.orderBy(h, q(key))).alias("_from"))
-    return to.join(source, q(within).eqNullSafe(F.col("_w")) & (F.col("_pos") == F.col("_from"))).withColumn(column, F.col("_value")).drop("_w", "_value", "_from", "_pos")
+    source = distributed_row_number(df.select(q(within).alias("_w"), q(column).alias("_value"), h.alias("_h"), q(key).alias("_k")), [F.col("_h"), F.col("_k")], [F.col("_w"), hash_bucket(F.col("_h"))], "_from", within=1)
+    return to.join(source, q(within).eqNullSafe(F.col("_w")) & (F.col("_pos") == F.col("_from"))).withColumn(column, F.col("_value")).drop("_w", "_value", "_from", "_pos", "_h", "_k")
 
 
 MODES = ("traffic_only", "weak_cti_concat", "source_gate", "source_gate_pruned", "random_cti", "random_source_gate")
@@ -179,6 +180,15 @@ def scale_evidence(features: Column, names: list[str], alpha: float) -> Column:
     return F.zip_with(features, mask, lambda v, m: v * m)
 
 
+def poison_evidence(df: DataFrame, columns: list[str], share: float, within: str, key: str, seed: int = 42) -> DataFrame:
+    """On a share of the rows, chosen by hash, the evidence columns are those of another chosen row of the same group."""
+    chosen = F.conv(F.substring(hash_order(seed, "poison", q(key)), 1, 8), 16, 10).cast("double") < share * float(1 << 32)
+    marked = df.withColumn("_row", F.struct(*[q(c).alias(f"c{i}") for i, c in enumerate(columns)])).withColumn("_group", F.when(chosen, F.coalesce(q(within).cast("string"), F.lit(""))))
+    moved = permute_column(marked.where("_group IS NOT NULL"), "_row", "_group", key, seed)
+    moved = moved.withColumns({c: F.col(f"_row.c{i}") for i, c in enumerate(columns)})
+    return marked.where("_group IS NULL").unionByName(moved).drop("_row", "_group")
+
+
 def drop_evidence(df: DataFrame, columns: list[str], share: float, key: str, seed: int = 42) -> DataFrame:
     """Evidence columns set to 0 on a share of the rows, chosen by hash."""
     chosen = F.conv(F.substring(hash_order(seed, "dropout", q(key)), 1, 8), 16, 10).cast("double") < share * float(1 << 32)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import argmax, brier, ece_bin, linear_logits, q, softmax
+from .sampling import bucket_in, range_edges
 
 
 def score_logits(df: DataFrame, logits: str = "logits", temperature: float = 1.0) -> DataFrame:
@@ -82,8 +83,9 @@ def ranking_scores(df: DataFrame, score: str, positive: str) -> DataFrame:
     """auroc (ties count half) and auprc (step-wise) of a score (A27). Rows are first counted by score value; running
     sums then go over ranges of scores, so that no task holds all rows."""
     counts = df.groupBy(q(score).alias("s")).agg(F.sum(q(positive).cast("long")).alias("p"), F.sum((~q(positive)).cast("long")).alias("m"))
-    ranged = counts.repartitionByRange(16, F.desc("s")).withColumn("_p", F.spark_partition_id()).persist()
-    sums = sorted(ranged.groupBy("_p").agg(F.sum("p"), F.sum("m")).collect())  # a row per range
+    edges = range_edges(df, q(score), 256)
+    ranged = counts.withColumn("_p", bucket_in(F.col("s"), edges))
+    sums = sorted(ranged.groupBy("_p").agg(F.sum("p"), F.sum("m")).collect(), reverse=True)  # a row per range
     at, offsets = (0, 0), []
     for part, p, m in sums:
         offsets.append((part, *at))

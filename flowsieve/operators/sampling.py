@@ -97,18 +97,45 @@ def random_rows(df: DataFrame, key: str, n: int, seed: int = 42, salt: str = "ro
     return df.withColumn("_h", hash_order(seed, salt, q(key))).orderBy("_h", q(key)).limit(n).drop("_h")
 
 
-def distributed_row_number(df: DataFrame, order: list[Column], name: str = "row_number", partitions: int = 32) -> DataFrame:
-    """df plus a global 1-based row number in `order` (H5): range partitions are counted and numbered apart."""
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
-    spark = df.sparkSession
-    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one row a partition
-    starts, at = [], 0
-    for p in sorted(counts):
-        starts.append((p, at))
-        at += counts[p]
-    offsets = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "_q int, _s long"))
-    numbered = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return numbered.join(offsets, F.col("_p") == F.col("_q")).withColumn(name, F.col("_s") + F.col("_r")).drop("_p", "_q", "_s", "_r")
+def hash_bucket(h: Column) -> Column:
+    """The first hex digits of a hash: 4096 buckets in hash order."""
+    return F.substring(h, 1, DIGITS)
+
+
+def range_edges(df: DataFrame, column: Column, buckets: int = 64, by: Column | None = None) -> Column:
+    """Inner quantiles of a number as an array column literal for `bucket_in`; with `by` (few values, as labels), one array
+    for each of them. The edges only balance the buckets, so approximate ones do; they are found once and are then fixed."""
+    at = [k / buckets for k in range(1, buckets)]
+    one = F.percentile_approx(column.try_cast("double"), at, 1000)
+    as_array = lambda edges: F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
+    if by is None:
+        return as_array(df.agg(one).head()[0])
+    out = F.array().cast("array<double>")
+    for value, edges in df.groupBy(by).agg(one).collect():
+        out = F.when(by.eqNullSafe(F.lit(value)), as_array(edges)).otherwise(out)
+    return out
+
+
+def bucket_in(column: Column, edges: Column) -> Column:
+    """Number of edges under a number (null: 0)."""
+    x = column.try_cast("double")
+    return F.size(F.filter(edges, lambda e: e < x))
+
+
+def distributed_row_number(df: DataFrame, order: list[Column], bucket: list[Column], name: str = "row_number", within: int = 0) -> DataFrame:
+    """df plus a 1-based row number in `order` (H5), global or within the first `within` columns of `bucket`.
+
+    bucket: columns by which the rows are cut into runs of the order: rows of a lesser bucket come before all rows of a
+    greater one. They are functions of the row alone, so the sizes counted in one job hold for the numbering in the next,
+    and no join drops a row. No task sorts more than a bucket."""
+    names = [f"_b{i}" for i in range(len(bucket))]
+    cut = df.withColumns(dict(zip(names, bucket, strict=True)))
+    before = Window.partitionBy(*names[:within]).orderBy(*names[within:]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*names).count()
+    starts = sizes.select(*[F.col(c).alias(f"_s{c}") for c in names], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row a bucket
+    inside = cut.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    on = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in names]
+    return inside.join(starts, on, "left").withColumn(name, F.col("_start") + F.col("_r")).drop(*names, *[f"_s{c}" for c in names], "_start", "_r")
 
 
 def _parts(number: Column, total: int, parts: int) -> Column:
@@ -121,18 +148,20 @@ def _parts(number: Column, total: int, parts: int) -> Column:
 
 def iid_clients(df: DataFrame, key: str, clients: int, seed: int = 42) -> DataFrame:
     """df plus client_id: equal runs of the hash order."""
-    numbered = distributed_row_number(df.withColumn("_h", hash_order(seed, "client", q(key))), [F.col("_h"), q(key)], "_n")
+    hashed = df.withColumn("_h", hash_order(seed, "client", q(key)))
+    numbered = distributed_row_number(hashed, [F.col("_h"), q(key)], [hash_bucket(F.col("_h"))], "_n")
     return numbered.withColumn("client_id", _parts(F.col("_n"), df.count(), clients)).drop("_h", "_n")
 
 
 def label_skew_clients(df: DataFrame, label: str, key: str, clients: int, classes: int, seed: int = 42) -> DataFrame:
     """df plus client_id: rows in label order are cut into max(2 * clients, 2 * classes) shards, and the shards, in
-    hash order, are dealt out in turn (W8)."""
+    hash order, are dealt out in turn (W8). Rows are numbered by label and key range, so a label may have any share."""
     shards = max(2 * clients, 2 * classes)
-    numbered = distributed_row_number(df, [q(label), q(key)], "_n").withColumn("_shard", _parts(F.col("_n"), df.count(), shards)).drop("_n")
+    bucket = [q(label), bucket_in(q(key), range_edges(df, q(key), by=q(label)))]
+    numbered = distributed_row_number(df, [q(key)], bucket, "_n").withColumn("_shard", _parts(F.col("_n"), df.count(), shards)).drop("_n")
     deal = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("_s"), hash_order(seed, "shard", F.col("id")).alias("_h"))
     deal = deal.select("_s", F.pmod(F.row_number().over(Window.orderBy("_h", "_s")) - 1, F.lit(clients)).cast("int").alias("client_id"))
-    return numbered.join(F.broadcast(deal), F.col("_shard") == F.col("_s")).drop("_s", "_shard")
+    return numbered.join(F.broadcast(deal), F.col("_shard") == F.col("_s"), "left").drop("_s", "_shard")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -616,7 +616,7 @@ def w8(spark, sf_dir):
 @query("w9_shuffled_order", "SELECT event_id AS key, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'shuffle', CAST(event_id AS VARCHAR))), event_id) AS place FROM events")
 def w9_h5(spark, sf_dir):
     df = flows(spark, sf_dir).select("key", X.hash_order(42, "shuffle", F.col("key")).alias("h"))
-    return sampling.distributed_row_number(df, [F.col("h"), F.col("key")], "place").select("key", "place")
+    return sampling.distributed_row_number(df, [F.col("h"), F.col("key")], [sampling.hash_bucket(F.col("h"))], "place").select("key", "place")
 
 
 CANDIDATES = f"{RUNS}, c AS (SELECT dataset, seed, scenario, macro_f1, ece, brier, ece + brier AS nll, length(scenario) / 10.0 AS alpha FROM runs)"

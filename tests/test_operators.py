@@ -66,7 +66,7 @@ def test_permutation_keeps_sums(spark):
 def test_empty_columns_and_tables(spark):
     empty = spark.createDataFrame([], "key long, family string")
     assert sampling.family_cap(empty, "family", "key", 3).count() == 0
-    assert sampling.distributed_row_number(empty, [F.col("key")]).count() == 0
+    assert sampling.distributed_row_number(empty, [F.col("key")], [F.col("key") % 3]).count() == 0
     assert labels.label_dimension(empty, "family").count() == 0
 
 
@@ -164,3 +164,25 @@ def test_large_clients_are_not_groups(spark, capsys):
             assert found[c, i] == (pytest.approx(v), len(own))
     federated.train_clients(df, start, 2).explain()
     assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("parts", [1, 8, 33])
+def test_numbering_loses_and_repeats_no_row(spark, parts):
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 15_000, "b").alias("label")).repartition(parts)
+    h = F.md5(F.col("key").cast("string"))
+    by_hash = sampling.distributed_row_number(rows.withColumn("h", h), [F.col("h"), F.col("key")], [sampling.hash_bucket(F.col("h"))], "n").orderBy("n").select("n", "h").collect()
+    assert [r["n"] for r in by_hash] == list(range(1, n + 1)) and [r["h"] for r in by_hash] == sorted(r["h"] for r in by_hash)
+    clients = sampling.iid_clients(rows, "key", 7).groupBy("client_id").count().collect()
+    assert sorted(r["count"] for r in clients) == sorted([n // 7 + 1] * (n % 7) + [n // 7] * (7 - n % 7))
+    skew = sampling.label_skew_clients(rows, "label", "key", 5, 3).collect()
+    assert sorted(r["key"] for r in skew) == list(range(n)) and {r["client_id"] for r in skew} == set(range(5))
+
+
+def test_permuted_and_poisoned_columns_keep_their_values(spark):
+    rows = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 2).alias("split"), (F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0).alias("y"))
+    moved = evidence.permute_column(rows, "x", "split", "key").collect()
+    assert sorted(r["x"] for r in moved) == [float(i) for i in range(3000)] and all(r["x"] % 2 == r["split"] for r in moved) and sum(r["x"] != r["key"] for r in moved) > 2900
+    bad = evidence.poison_evidence(rows, ["x", "y"], 0.3, "split", "key").collect()
+    assert sorted(r["x"] for r in bad) == [float(i) for i in range(3000)] and all(r["y"] == 2 * r["x"] and r["x"] % 2 == r["split"] for r in bad)
+    assert 700 < sum(r["x"] != r["key"] for r in bad) < 1100

@@ -1,10 +1,13 @@
-"""Word-level deduplication by a compressed FM-index per shard.
+"""Word-level deduplication by matching statistics over a compressed FM-index per shard.
 
-A shard holds the distinct contents that may repeat, as one sequence of word numbers. Its Burrows-Wheeler transform
-(rotations sorted to the depth of a window) is kept in a wavelet matrix of packed bits with sampled ranks. Every window
-of the streamed contents is matched backwards, all windows at once, one word and one rank pair a step; a window whose
-interval has shrunk to one row occurs nowhere else and leaves the search. The others' matching statistic reaches the
-threshold, and the least (doc_id, word) of the interval's rows is the place that stays.
+A shard holds the distinct contents that may repeat, as one sequence of word numbers with an end mark behind each. Its
+Burrows-Wheeler transform (suffixes sorted to the length of the longest content) is kept in a wavelet matrix of packed
+bits with sampled ranks. The streamed contents are searched backwards from every word at once, one word and one rank
+pair a step, for as long as the suffix interval holds an occurrence that starts earlier in the order of (doc_id, word).
+The steps taken are the matching statistics; those of at least a window are reported as intervals, which are removed.
+
+Statistics are cut at `DEPTH` words. That loses nothing: behind a match of DEPTH words that ends at one word stands one of
+at least DEPTH that ends at the next, or it has ended.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all; documents without an id
 count as the last ones; rows that share a doc_id and place remove nothing from one another; an empty table gives an
@@ -19,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .repeats import Reader, apply, merged
+from .repeats import Reader, apply, merge_intervals, merged
 from .suffix_dedup import doubled, ranks
 from .tokens import words
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM, DEPTH = 20, 5, 40
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
 
@@ -61,15 +64,13 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for patterns of at most `depth` symbols over a sequence of numbers from 1; 0 ends it."""
-
-    def __init__(self, sequence: np.ndarray, depth: int):
-        sequence = np.append(sequence, np.uint64(0))
-        n = len(sequence)
-        padded = np.concatenate([sequence, np.zeros(depth, np.uint64)])
-        r, width = padded.astype(np.uint64), 1
-        while width < depth:
-            step = min(width, depth - width)
+    """Backward search over a sequence of numbers from 1, in which 0 marks ends (the last number has to be 0)."""
+
+    def __init__(self, sequence: np.ndarray, longest: int):
+        n, width = len(sequence), 1
+        r = ranks(np.concatenate([sequence, np.zeros(longest, np.uint64)]))
+        while width < longest and int(r[:n].max()) + 1 < n:
+            step = min(width, longest - width)
             r = doubled(r, step)
             width += step
         self.order = np.argsort(r[:n], kind="stable")
@@ -86,52 +87,83 @@ class FMIndex:
         return self.first[symbol] + self.matrix.rank(symbol, at) - self.run[symbol]
 
 
-def matches(index: FMIndex, sequence: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interval of the `depth` symbols from each position on; (0, 0) where only that position matches."""
-    low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
-    a, b = np.zeros(len(at), np.int64), np.full(len(at), len(sequence) + 1, dtype=np.int64)
-    for k in range(depth - 1, -1, -1):
-        symbol = sequence[at[live] + k]
+class Minima:
+    """Least entry of any range, from the minima of all runs of a power of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = [x]
+        while 2 << len(self.rows) <= 2 * len(x):
+            y, half = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(y[:-half], y[half:]))
+
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of [a, b); no range is empty."""
+        row = np.frexp((b - a).astype(float))[1] - 1
+        out = np.empty(len(a), dtype=self.rows[0].dtype)
+        for k in np.unique(row):
+            at = row == k
+            y = self.rows[k]
+            out[at] = np.minimum(y[a[at]], y[b[at] - (1 << k)])
+        return out
+
+
+def matching_statistics(index: FMIndex, sequence: np.ndarray, key: np.ndarray, window: int, depth: int) -> np.ndarray:
+    """For the place behind each word the length, to `depth`, of the longest match that ends there and has an occurrence
+    of a lesser key than its own; lengths under `window` may be greater, as their keys aren't compared."""
+    least = Minima(key[index.order])
+    length = np.zeros(len(sequence) + 1, np.int64)
+    live = np.arange(1, len(sequence) + 1)
+    a, b = np.zeros(len(live), np.int64), np.full(len(live), len(sequence), dtype=np.int64)
+    for k in range(1, depth + 1):
+        there = live >= k
+        there[there] = sequence[live[there] - k] > 0
+        live, a, b = live[there], a[there], b[there]
+        symbol = sequence[live - k]
         a, b = index.step(symbol, a), index.step(symbol, b)
         more = b - a > 1
-        if not more.all():
-            live, a, b = live[more], a[more], b[more]
+        if k >= window:
+            more[more] = least.least(a[more], b[more]) < key[live[more] - k]
+        live, a, b = live[more], a[more], b[more]
         if not len(live):
-            return low, high
-    low[live], high[live] = a, b
-    return low, high
-
-
-def earliest(contents: list[bytes], ids: np.ndarray, starts: np.ndarray):
+            break
+        length[live] = k
+    return length
+
+
+def word_numbers(raw: bytes, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 1 of equal words. Words with one hash are compared byte by byte with the first of them."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    data, length, of = np.frombuffer(raw, dtype=np.uint8), end - begin, first[number]
+    same = np.array_equal(length, length[of])
+    if same and len(length):
+        offset = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        same = np.array_equal(data[np.repeat(begin, length) + offset], data[np.repeat(begin[of], length) + offset])
+    if not same:
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return number.astype(np.uint64) + np.uint64(1)
+
+
+def earlier_intervals(contents: list[bytes], ids: np.ndarray, starts: np.ndarray, window: int = WINDOW, depth: int = DEPTH):
     raw = b"\n".join(contents)
-    begin, _, hashes = words(raw)
+    begin, end, hashes = words(raw)
     lengths = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(c) + 1 for c in contents])])))
-    first = np.cumsum(lengths) - lengths
-    sequence = ranks(hashes).astype(np.uint64) + np.uint64(1)
-    count = lengths - WINDOW + 1
-    offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(first, count) + offset
-    index = FMIndex(sequence, WINDOW)
-    low, high = matches(index, sequence, at, WINDOW)
-    owner = np.repeat(np.arange(len(contents)), lengths)
+    sequence = np.insert(word_numbers(raw, begin, end, hashes), np.cumsum(lengths), np.uint64(0))
+    first = np.cumsum(lengths + 1) - lengths - 1
+    owner = np.repeat(np.arange(len(contents)), lengths + 1)
     place = np.arange(len(sequence)) - first[owner]
+    word, document = starts[owner] + place, ids[owner]
+    order = np.lexsort((word, document))
+    step = np.concatenate([[False], (word[order][1:] != word[order][:-1]) | (document[order][1:] != document[order][:-1])])
     key = np.empty(len(sequence), dtype=np.int64)
-    key[np.lexsort((starts[owner] + place, ids[owner]))] = np.arange(len(sequence))  # order of (doc_id, word)
-    starts_a_window = place < count[owner]
-    key_row = np.append(np.where(starts_a_window, key, len(sequence)), len(sequence))[index.order]
-    best = key[at].copy()
-    several = np.flatnonzero(high > low)
-    if len(several):
-        lows, which = np.unique(low[several], return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[which] = high[several]
-        least = np.minimum.reduceat(np.append(key_row, len(sequence)), np.stack([lows, highs], axis=1).ravel())[::2]
-        best[several] = np.minimum(best[several], least[which])
-    position = np.empty(len(sequence), dtype=np.int64)
-    position[key] = np.arange(len(sequence))
-    source = position[best]
-    return count, ids[owner[source]], starts[owner[source]] + place[source]
+    key[order] = np.cumsum(step)  # order of (doc_id, word)
+    length = matching_statistics(FMIndex(sequence, int(lengths.max()) + 1), sequence, key, window, depth)
+    hit = np.flatnonzero(length >= window)
+    content = owner[hit - 1]
+    stop = hit - first[content]
+    start = stop - length[hit]
+    order = np.lexsort((start, content))
+    return merge_intervals(content[order], start[order], stop[order])
 
 
 def _finish(keep_text: bool):
@@ -149,7 +181,7 @@ def _finish(keep_text: bool):
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row of docs (doc_id, text)."""
-    return apply(docs, Words(), earliest, _finish(keep_text), RESULT, "word-parts")
+    return apply(docs, Words(), earlier_intervals, _finish(keep_text), RESULT, "word-parts")
 
 
 ORACLE = r"""

@@ -14,7 +14,9 @@ row; an empty table gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,73 +27,57 @@ from .common import add_columns, ranked, stored
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and runs of letters in them, whose ids a worker remembers.
+REMEMBERED = 1_000_000
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-_TOKENIZERS: dict[str, tuple] = {}
-
-
-def _plain(word: str) -> list[str]:
-    """Parts of a word that give its ids when encoded one by one: letters and the ASCII marks behind them are runs of
-    their own for the tokenizer; case is folded where that is sure to be the tokenizer's own folding."""
-    core = word.rstrip(MARKS)
-    if not core.isalpha():
-        return [word]
-    if core.isascii():
-        core = core.lower()
-    return [core, word[len(core) :]] if len(core) < len(word) else [core]
-
-
-def _encode_parts(tokenizer, ends: np.ndarray, fresh: list[str]) -> list[bytes]:
-    """Ids of each part. Parts of letters alone are one run for the tokenizer and end in one word-end id, so many of
-    them are encoded as one text and cut there; the rest, and texts where the count is off, go one by one."""
-    out: dict[str, bytes] = {}
-    runs, single = [p for p in fresh if p.isalpha()], [p for p in fresh if not p.isalpha()]
-    for at in range(0, len(runs), 400):
-        some = runs[at : at + 400]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = np.flatnonzero(ends[ids]) + 1
-        if len(stops) != len(some):
-            single += some
-            continue
-        raw, a = ids.tobytes(), 0
-        for p, b in zip(some, (stops * 4).tolist(), strict=True):
-            out[p] = raw[a:b]
-            a = b
-    for at in range(0, len(single), 4096):
-        some = single[at : at + 4096]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, dtype="<u4").tobytes()
-    return [out[p] for p in fresh]
+#: Latin letters that NFC keeps and that fold, each by itself, to letters (the dotted capital I doesn't).
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_WORDS: dict[str, _Words] = {}
 
 
-def encode(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text. Words between blanks are encoded once and remembered: the
-    tokenizer drops white space before it merges, so the ids of a text are those of its words."""
-    if path not in _TOKENIZERS:
+class _Words(dict):
+    """Ids of words between blanks, made when first asked for. A run of Latin letters is a token run of its own, and so
+    are the ASCII marks behind it: the model takes the folded letters as they are, without the normaliser's and the
+    splitter's patterns. Every other word goes to the whole tokenizer."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(path)
-        ends = np.zeros(made.get_vocab_size(), dtype=bool)
-        ends[[i for t, i in made.get_vocab().items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (made, ends, {}, {})
-    tokenizer, ends, words, parts = _TOKENIZERS[path]
-    split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-    new = {w for x in split for w in x if w not in words}
-    if len(words) + len(new) > REMEMBERED:
-        words.clear()
-        new = {w for x in split for w in x}
-    cut = {w: _plain(w) for w in new}
-    wanted = {p for x in cut.values() for p in x}
-    if len(parts) + len(wanted) > 2 * REMEMBERED:
-        parts.clear()
-    fresh = list(wanted - parts.keys())
-    parts.update(zip(fresh, _encode_parts(tokenizer, ends, fresh), strict=True))
-    for w, x in cut.items():
-        words[w] = parts[x[0]] if len(x) == 1 else parts[x[0]] + parts[x[1]]
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return [b"".join([words[w] for w in x]) + end for x in split]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.letters: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        # the byte-level alphabet: how the model sees each character
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {c: spell(chr(c))[0][0] for c in range(128, 0x2E80) if chr(c).isalpha()}
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if _LATIN.fullmatch(core):
+            low = core.lower()
+            if (ids := self.letters.get(low)) is None:
+                if len(self.letters) >= REMEMBERED:
+                    self.letters.clear()
+                found = self.tokenize(low if low.isascii() else low.translate(self.alphabet))
+                ids = self.letters[low] = array("I", [t.id for t in found]).tobytes()
+            if len(core) < len(word):
+                ids += self[word[len(core) :]]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def encode(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each text. The tokenizer drops white space before it merges, so the ids of a
+    text are those of its words."""
+    if path not in _WORDS:
+        _WORDS[path] = _Words(path)
+    of_word, end = _WORDS[path].__getitem__, array("I", [end_id]).tobytes()
+    return [b"".join(map(of_word, t.replace("\n", " ").split(" "))) + end if t else end for t in texts]
 
 
 def best_fill(left: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:

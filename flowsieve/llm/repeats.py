@@ -4,8 +4,9 @@ Every window of `window` units (words or bytes) is led by its minimizer, the lea
 it; windows in a row with the same minimizer form a fragment. Equal windows have equal minimizers, so
 1. each part sends its minimizers to shards by hash range and learns which occur again anywhere,
 2. sends the fragments of those, each distinct content of the part once with its earliest place, to the shard of the
-   minimizer, where an index over the distinct contents finds for every window its earliest place in the corpus,
-3. and gets back, as runs of windows, the earlier places, by which it marks what to remove.
+   minimizer, where an index over the distinct contents, in the order of their earliest places, finds the intervals of
+   each that also start earlier,
+3. and gets these back, or that the whole content has an earlier place, and removes what they cover.
 Messages go from part to shard and back; a content occurs once per part, whatever the number of its copies.
 """
 
@@ -213,9 +214,10 @@ def contents_of(ids: np.ndarray, texts: list[bytes], marked: np.ndarray, reader:
 
 
 def earlier_places(parts: DataFrame, reader: Reader, index: Callable, shards: int) -> DataFrame:
-    """(part, shard, runs): for contents of the part, runs of windows with an earlier place than the part's own.
-    index(contents, ids, starts) gives for every window of the distinct contents the id and unit of its earliest
-    place; contents are in ascending order of (id, start)."""
+    """(part, shard, intervals): of contents of the part, as rows content, begin, end in units; an end of -1 stands for the
+    whole content, where it has an earlier place than the part's own. index(contents, ids, starts) gets the distinct
+    contents in ascending order of their earliest (id, start) and gives (content, begin, end) of the intervals whose
+    windows also start earlier, sorted by content."""
 
     def send(row, answers):
         ids, texts = _unpacked(row)
@@ -242,54 +244,58 @@ def earlier_places(parts: DataFrame, reader: Reader, index: Callable, shards: in
             asked.append((ids, starts, np.array(which, dtype=np.int64)))
         order = np.array(sorted(range(len(best)), key=best.__getitem__), dtype=np.int64)
         names = list(number)
-        count, found_id, found_start = index([names[k] for k in order], np.array([best[k][0] for k in order], dtype=np.int64), np.array([best[k][1] for k in order], dtype=np.int64))
-        first = np.cumsum(count) - count
-        offset = np.arange(int(count.sum())) - np.repeat(first, count)
-        moved = found_start - offset if reader.places else np.zeros(len(offset), np.int64)
-        new = np.concatenate([[True], (offset[1:] == 0) | (found_id[1:] != found_id[:-1]) | (moved[1:] != moved[:-1])])
-        run = np.flatnonzero(new)
-        run_to = np.append(run[1:], len(offset)) - run + offset[run]
-        runs = np.add.reduceat(new.astype(np.int64), first)  # per content
-        run_first = np.cumsum(runs) - runs
+        best_id, best_start = np.array(best, dtype=np.int64).reshape(-1, 2).T
+        content, begin, end = index([names[k] for k in order], best_id[order], best_start[order])
+        intervals = np.bincount(content, minlength=len(order))
+        first = np.cumsum(intervals) - intervals
+        begin, end = np.append(begin, 0), np.append(end, -1)
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         for part, (ids, starts, which) in zip(frame["part"], asked, strict=True):
+            later = ids > best_id[which]
+            if reader.places:
+                later |= (ids == best_id[which]) & (starts > best_start[which])
             c = back[which]
-            n = runs[c]
+            n = np.where(later, 1, intervals[c])
             mine = np.repeat(np.arange(len(c)), n)
-            r = np.repeat(run_first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            at = run[r]
-            i, s = found_id[at], found_start[at]
-            own = starts[mine] + offset[at]
-            keep = (i < ids[mine]) | ((i == ids[mine]) & (s < own) if reader.places else False)
-            if keep.any():
-                yield int(part), int(frame["shard"].iloc[0]), squeeze(np.stack([mine[keep], offset[at][keep], run_to[r][keep], i[keep], s[keep]])), None
+            at = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            at[np.repeat(later, n)] = len(begin) - 1
+            if len(at):
+                yield int(part), int(frame["shard"].iloc[0]), squeeze(np.stack([mine, begin[at], end[at]])), None
 
     sent = with_answers(parts, repeated_anchors(parts, shards), send, MESSAGE)
     return in_shards(sent, "shard", look, MESSAGE)
 
 
 def mark(row, answers, places, reader: Reader, shards: int):
-    """(ids, texts, removed): for every document of the part the ranges of units to remove, as an array of pairs."""
+    """(ids, texts, removed): for every document of the part the ranges of units to remove, as a list of pairs."""
     ids, texts = _unpacked(row)
     found = contents_of(ids, texts, _marked(row, answers, shards), reader, shards)
-    runs: dict[tuple[int, int], list] = {}
+    intervals: dict[tuple[int, int], list] = {}
     for s, x in zip(places["shard"], places["a"], strict=True):
-        for k, a, b, i, p in expand(x, np.int64).reshape(5, -1).T.tolist():
-            runs.setdefault((int(s), k), []).append((a, b, i, p))
+        for k, a, b in expand(x, np.int64).reshape(3, -1).T.tolist():
+            intervals.setdefault((int(s), k), []).append((a, b))
     removed: list[list[tuple[int, int]]] = [[] for _ in texts]
     for s, k, d, at, n in found.uses:
-        i = int(ids[d])
+        i, whole = int(ids[d]), n + reader.window - 1
         first, where = found.ids[s][k], found.starts[s][k]
         if first < i or (reader.places and first == i and where < at):
-            removed[d].append((at, at + n + reader.window - 1))
+            removed[d].append((at, at + whole))
             continue
-        for a, b, other, p in runs.get((s, k), ()):
-            if other < i or (reader.places and other == i and p < at + a):
-                removed[d].append((at + a, at + b + reader.window - 1))
+        removed[d] += [(at + a, at + (b if b >= 0 else whole)) for a, b in intervals.get((s, k), ())]
     return ids, texts, removed
 
 
+def merge_intervals(content: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of intervals of each content; they are sorted by (content, begin)."""
+    if not len(begin):
+        return content, begin, end
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(content * wide + end)
+    new = np.flatnonzero(np.concatenate([[True], (content * wide + begin)[1:] > reach[:-1]]))
+    return content[new], begin[new], np.append(reach[new[1:] - 1], reach[-1]) - content[new] * wide
+
+
 def apply(docs: DataFrame, reader: Reader, index: Callable, finish: Callable, schema: T.StructType, name: str) -> DataFrame:
     """finish(doc_id, text, ranges) gives the row of a document."""
     parts = parts_of(docs, reader, name)

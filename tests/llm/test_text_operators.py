@@ -400,14 +400,76 @@ def test_byte_repeats(spark):
     assert [r["n_removed"] for r in suffix_dedup.remove_repeats(twice).collect()] == [0, 0]
 
 
-def test_fm_index_counts():
-    rng = np.random.default_rng(10)
-    s = rng.integers(1, 5, 500).astype(np.uint64)
-    index = fm_dedup.FMIndex(s, 6)
-    low, high = fm_dedup.matches(index, s, np.arange(495), 6)
-    for p in range(495):
-        n = sum((s[k : k + 6] == s[p : p + 6]).all() for k in range(495))
-        assert (high[p] - low[p]) == (n if n > 1 else 0)
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics(seed):
+    rng = np.random.default_rng(seed)
+    s = rng.integers(0 if seed % 2 else 1, 4, 300).astype(np.uint64)
+    s[-1] = 0
+    key = rng.integers(0, 150, 300)
+    for k in range(1, 300):  # places grow within a content
+        key[k] = key[k - 1] + 1 if s[k - 1] else key[k]
+    got = fm_dedup.matching_statistics(fm_dedup.FMIndex(s, 301), s, key, 4, 9)
+    for e in range(1, 301):
+        best = 0
+        for k in range(4, 10):
+            if e >= k and s[e - k : e].all():
+                mine = s[e - k : e]
+                if any((s[p : p + k] == mine).all() and key[p] < key[e - k] for p in range(301 - k)):
+                    best = k
+        assert best == (got[e] if got[e] >= 4 else 0)
+
+
+def test_words_with_one_hash_are_told_apart():
+    raw = b"aa bb aa cc"
+    begin, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    assert fm_dedup.word_numbers(raw, begin, end, np.zeros(4, np.uint64)).tolist() == [1, 2, 1, 3]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_previous_factors(seed):
+    rng = np.random.default_rng(seed)
+    base = bytes(rng.integers(97, 99 + 8 * (seed % 3), 60).astype(np.uint8))
+    contents, ids = [], []
+    for k in range(12):
+        a, b = sorted(rng.integers(0, 60, 2))
+        contents.append(base[a:b] + bytes(rng.integers(97, 100, 9).astype(np.uint8)) + base[b // 2 :][:20])
+        ids.append(int(rng.integers(0, 6)))
+    order = sorted(range(12), key=lambda k: ids[k])
+    contents, ids = [contents[k] for k in order if len(contents[k]) >= 10], np.array([ids[k] for k in order if len(contents[k]) >= 10])
+    got = {(int(c), int(p)): (int(n), int(s)) for c, p, n, s in zip(*suffix_dedup.longest_previous(contents, ids, 10, 26), strict=True)}
+    for c, text in enumerate(contents):
+        for p in range(len(text) - 9):
+            best = 0
+            for o in range(c):
+                if ids[o] < ids[c]:
+                    while best < 26 and p + best < len(text) and text[p : p + best + 1] in contents[o]:
+                        best += 1
+            assert best == got.get((c, p), (best, 0))[0] and (best >= 10) == ((c, p) in got)
+            if best >= 10:
+                assert text[p : p + best] in contents[got[c, p][1]] and ids[got[c, p][1]] < ids[c]
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 333):
+        x = rng.integers(0, 9, n)
+        want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(n)]
+        assert suffix_dedup.previous_smaller(x).tolist() == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_ids_are_the_tokenizers(seed):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from flowsieve.llm.queries import tokenizer_path
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), random.Random(seed)
+    odd = list("abcXYZ éÉñİıßŒœĀǅΣσςאب日本𝔘İ-.\"'\n\t1٣½₂ªµﬁKÅŉẞ😀|<>~ǰȺ𐐀Ꭰა") + ["\u0307", "\u0301", "\u030a", "'s", "'T", "'LL", "<|startoftext|>", "<|endoftext|>", *" \xa0\u3000\u200b\u2028\x85\x1c"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["İ-", "İ.", 'İ"', "", None]
+    for t, ids in zip(texts, packing.encode(texts, tokenizer_path()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
 # ---- toxicity ------------------------------------------------------------------------------------------------------

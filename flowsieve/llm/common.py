@@ -79,6 +79,14 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], f
     return done.toDF(*names)
 
 
+def filtered(docs: DataFrame, names: dict[str, str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs with their own columns: keep gets them with the columns of `names` (name for keep: own name, in any
+    case) and all others under names that can't clash with what it adds, and returns those that stay."""
+    own = {v.lower(): k for k, v in names.items()}
+    at = [own.pop(c.lower(), f"k{i}") for i, c in enumerate(docs.columns)]
+    return keep(docs.toDF(*at)).select(*at).toDF(*docs.columns)
+
+
 def ranked(df: DataFrame, key: Column, order: list[Column], name: str = "rank", spread: int = 64) -> DataFrame:
     """df plus a 0-based rank of each row within `key`, without one task per key.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, col
+from .common import add_columns, col, filtered
 
 NGRAM = 10
 #: Bytes of windows in one automaton. A larger benchmark is split into more of them, each with its own scan.
@@ -110,7 +110,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ngram: int = NGRAM) -> DataFrame:
     """The documents without any hit word, with their own columns."""
-    return find_contamination(docs, benchmark, text, ngram).where(F.size("hit_items") == 0).select(*[col(c) for c in docs.columns])
+    return filtered(docs, {"text": text}, lambda rows: find_contamination(rows, benchmark, "text", ngram).where(F.size("hit_items") == 0))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Nodes are distinct texts (64-bit text hash; equal texts share one). Each tree of the forest orders nodes by a label of
-minhashes; nodes that share a label prefix are candidates. The prefix starts at its full length and is shortened
-until the expected recall at the similarity threshold reaches the target. Candidates are linked to the least node of
-their prefix where a 256-bit sketch does not rule the pair out; within the components so formed every pair is verified
-exactly on its shingle sets, in blocks, inside tasks. Pairs never become rows.
+Nodes are distinct texts (64-bit text hash; equal texts share one). Every tree of the forest is a prefix trie of labels,
+`LABEL` minhashes each. The tries are cut where they may be: at the longest prefix that two texts at the threshold share
+in some tree with the target recall; what stands alone below a cut has no partner in that tree and leaves. What is left
+is sorted by label, and every trie is walked from the leaves up: at each depth the representatives of the branches that
+meet are compared by 256-bit sketches and linked. A text whose sketch is as near as `ABSORB` to a representative goes no
+further up, as the representative stands for it; the prefixes of the others are shortened on, down to the cut. Large
+tries are walked in slots first, and the representatives of the slots meet afterwards. Within the components of the
+links every pair is verified exactly on its shingle sets, in blocks, inside tasks. Pairs never become rows.
 
 Similarity is the Jaccard index of the sets of five consecutive words (A-Z lower-cased, runs of letters, digits and
 non-ASCII characters); a text of fewer words is one shingle.
@@ -20,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, col, stored
+from .common import add_columns, col, filtered, stored
 from .components import connected_components
 from .decontaminate import _FOLD
 from .tokens import BLANKS, grams, joined, mix, words
@@ -32,6 +36,10 @@ from .tokens import BLANKS, grams, joined, mix, words
 WORDS, THRESHOLD, TREES, LABEL, RECALL = 5, 0.8, 32, 10, 0.999
 #: A pair whose sketches agree less is taken to be below the threshold (four standard deviations away from 0.8).
 SKETCH_LEAST = 0.64
+#: What is near a text this near to a representative is, by the triangle inequality, near enough to link to that as well.
+ABSORB = 0.8
+#: Entries of a trie that are walked at once.
+SLOT = 4096
 BLOCK = 256
 
 
@@ -72,30 +80,124 @@ class MinHasher:
 
 
 def signatures(docs: DataFrame, trees: int, label: int, depth: int) -> DataFrame:
-    """doc_id, node, keys (a prefix key per tree) and a sketch of 256 bits in four longs; no keys without words."""
-    fields = [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
+    """doc_id, node, an entry per tree (key: the first `depth` minhashes and the tree; rest: 16 bits of each further one,
+    the first highest) and a sketch of 256 bits in four longs; no entries without words."""
+    entry = T.StructType([T.StructField("key", T.LongType()), T.StructField("rest", T.LongType())])
+    fields = [T.StructField("entries", T.ArrayType(entry)), T.StructField("sketch", T.ArrayType(T.LongType()))]
     tree = mix(np.arange(1, trees + 1, dtype=np.uint64))
 
     def run(texts):
-        hasher, keys, sketches = MinHasher(trees * label), [], []
+        hasher, entries, sketches = MinHasher(trees * label), [], []
         for h in shingle_sets(texts):
             if not len(h):
-                keys.append([])
+                entries.append([])
                 sketches.append([0, 0, 0, 0])
                 continue
             low = hasher(h)
-            x = tree.copy()
+            labels = mix(low.reshape(trees, label).astype(np.uint64))
+            key, rest = tree.copy(), np.zeros(trees, np.uint64)
             for k in range(depth):
-                x = mix(x ^ low.reshape(trees, label)[:, k].astype(np.uint64))
-            keys.append(x.view(np.int64).tolist())
+                key = mix(key ^ labels[:, k])
+            for k in range(depth, label):
+                rest = rest << np.uint64(16) | labels[:, k] >> np.uint64(48)
+            entries.append([{"key": a, "rest": b} for a, b in zip(key.view(np.int64).tolist(), rest.view(np.int64).tolist(), strict=True)])
             bits = np.packbits((mix(low[:256].astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
             sketches.append(bits.view(np.int64).tolist())
-        return [keys, sketches]
+        return [entries, sketches]
 
     source = docs.select(col("doc_id").alias("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
     return add_columns(source.withColumn("node", F.xxhash64("text")), ["text"], fields, run).drop("text")
 
 
+def walk_trie(rest: np.ndarray, sketch: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, representatives left at the cut): links between the entries of one trie, as places. Entries come sorted by
+    rest; levels: minhashes in it."""
+    live, left, right = np.arange(len(rest)), [], []
+    for level in range(levels, -1, -1):
+        branch = rest[live] >> np.int64(16 * (levels - level)) if level else np.zeros(len(live), np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(branch[1:] != branch[:-1]) + 1, [len(live)]])
+        gone = np.zeros(len(rest), dtype=bool)
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            some = live[begin:end]
+            while len(some) > 1:
+                hub, others = some[0], some[1:]
+                near = 1 - np.bitwise_count(sketch[others] ^ sketch[hub]).sum(axis=1) / 128.0
+                linked = others[near >= SKETCH_LEAST]
+                left.append(linked)
+                right.append(np.full(len(linked), hub))
+                gone[others[near >= ABSORB]] = True
+                some = others[near < ABSORB]
+        live = live[~gone[live]]
+        if len(live) == 1:
+            break
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), live
+
+
+def _pairs(low: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Of tries of two entries, by where each begins: whether these are linked."""
+    return 1 - np.bitwise_count(sketch[low] ^ sketch[low + 1]).sum(axis=1) / 128.0 >= SKETCH_LEAST
+
+
+def walk_forest(entries: DataFrame, levels: int) -> DataFrame:
+    """entries: key, slot, rest, node, s0..s3. (key, node, hub) of links, and a row without hub for what is left at the
+    cut of a trie that has several slots (`many`)."""
+    schema = "key long, node long, hub long, s0 long, s1 long, s2 long, s3 long"
+    arrow = pa.schema([(n, pa.int64()) for n in ("key", "node", "hub", "s0", "s1", "s2", "s3")])
+    columns = ["key", "slot", "rest", "node", "s0", "s1", "s2", "s3", "many"]
+
+    def walked(x: np.ndarray) -> pa.RecordBatch | None:
+        """Rows of whole tries, sorted."""
+        key, node, sketch = x[0], x[3], np.ascontiguousarray(x[4:8].T).view(np.uint64)
+        edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (x[1][1:] != x[1][:-1])) + 1, [len(key)]])
+        begin, size = edges[:-1], np.diff(edges)
+        two = begin[(size == 2) & (x[8][begin] == 0)]
+        two = two[_pairs(two, sketch)]
+        a, b, up = [two + 1], [two], [np.zeros(0, np.int64)]
+        for at, n in zip(begin.tolist(), size.tolist(), strict=True):
+            if n > 2 or x[8][at]:
+                i, j, live = walk_trie(x[2][at : at + n], sketch[at : at + n], levels)
+                a.append(i + at)
+                b.append(j + at)
+                if x[8][at]:
+                    up.append(live + at)
+        a, b, up = np.concatenate(a), np.concatenate(b), np.concatenate(up)
+        if not len(a) + len(up):
+            return None
+        hub = pa.array(np.concatenate([node[b], np.zeros(len(up), np.int64)]), mask=np.arange(len(a) + len(up)) >= len(a))
+        at = np.concatenate([a, up])
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), hub, *[pa.array(np.concatenate([np.zeros(len(a), np.int64), x[k][up]])) for k in range(4, 8)]], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(columns), 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+            if len(new):  # the last trie may go on
+                if (out := walked(held[:, : new[-1] + 1])) is not None:
+                    yield out
+                held = held[:, new[-1] + 1 :]
+        if held.shape[1] and (out := walked(held)) is not None:
+            yield out
+
+    ordered = entries.select(*columns).repartition("key", "slot").sortWithinPartitions("key", "slot", "rest", F.xxhash64("node", "key"), "node")
+    return ordered.mapInArrow(run, schema)
+
+
+def candidate_links(signed: DataFrame, levels: int, slot: int = SLOT) -> DataFrame:
+    """(a, b): links between nodes that the forest finds."""
+    entries = signed.select("node", F.inline("entries")).distinct()
+    cuts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
+    sketch = signed.groupBy("node").agg(*[F.min(F.col("sketch")[k]).alias(f"s{k}") for k in range(4)])
+    placed = entries.join(cuts, F.col("key") == F.col("k")).join(sketch, "node")
+    slots = F.ceil(F.col("n") / slot)
+    placed = placed.select("key", F.pmod(F.xxhash64("node", "key"), slots).alias("slot"), "rest", "node", "s0", "s1", "s2", "s3", (slots > 1).cast("long").alias("many"))
+    first = stored(walk_forest(placed, levels), "forest")
+    # the representatives of a trie's slots; their labels differ or their sketches do
+    left = first.where("hub IS NULL").select("key", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("rest"), "node", "s0", "s1", "s2", "s3", F.lit(0).cast("long").alias("many"))
+    return first.where("hub IS NOT NULL").select("node", "hub").union(walk_forest(left, 0).select("node", "hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def _count_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """left x right matrix of booleans: Jaccard of the sets at least `threshold`. Only shingles that two sets share
     take part in the product."""
@@ -161,15 +263,10 @@ def verify_block(block: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFr
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, node, class_id, n_links, copies of every row of docs (doc_id, text)."""
-    signed = stored(signatures(docs, trees, label, prefix_length(threshold, trees, label, recall)), "signatures")
+    depth = prefix_length(threshold, trees, label, recall)
+    signed = stored(signatures(docs, trees, label, depth), "signatures")
     texts = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    entries = signed.select("node", F.explode("keys").alias("key")).distinct()
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub")
-    near = entries.join(hubs, F.col("key") == F.col("k")).where("node <> hub").select("node", "hub").distinct()
-    sketch = signed.groupBy("node").agg(*[F.min(F.col("sketch")[k]).alias(f"s{k}") for k in range(4)])
-    other = sketch.select(F.col("node").alias("hub"), *[F.col(f"s{k}").alias(f"h{k}") for k in range(4)])
-    differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"h{k}"))) for k in range(4))
-    edges = near.join(sketch, "node").join(other, "hub").where(1 - 2 * differ / F.lit(256.0) >= SKETCH_LEAST).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    edges = candidate_links(signed, label - depth)
     members = connected_components(edges)
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).select(F.col("component").alias("c"), "nb")
     placed = members.join(sizes, F.col("component") == F.col("c")).select("node", "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("own"))
@@ -219,10 +316,15 @@ def _in_groups(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each class, with its own columns; of rows that share it, one stays."""
-    classes = near_classes(docs).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "class_id").distinct()
-    kept = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("_id").alias("_id"), F.min("_node").alias("_node"))
-    rows = docs.withColumn("_n", F.xxhash64(F.coalesce(col("text"), F.lit(""))))
-    joined_rows = rows.join(kept.drop("class_id"), (F.col("_n") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    one = Window.partitionBy("_id", "_node").orderBy(*[col(c) for c in docs.columns])
-    return joined_rows.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*[col(c) for c in docs.columns])
+    """The document with the least doc_id of each class, with its own columns; of rows that share it and the text, one
+    stays."""
+
+    def kept(rows: DataFrame) -> DataFrame:
+        classes = near_classes(rows.select("doc_id", "text"))
+        first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node")).select(F.col("class_id").alias("_id"), "_node")
+        found = rows.withColumn("_n", F.xxhash64(F.coalesce("text", F.lit("")))).join(first, (F.col("_n") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        one = Window.partitionBy("_id", "_node").orderBy(*plain)
+        return found.withColumn("_one", F.row_number().over(one)).where("_one = 1")
+
+    return filtered(docs, {"doc_id": "doc_id", "text": "text"}, kept)

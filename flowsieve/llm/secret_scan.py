@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, col
 
 #: The base patterns and the least length of what they must hold.
 KINDS = ("assign", "access", "hex", "literal")
@@ -200,7 +200,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
             out.append("".join(kept) + t[at:] if spans else t)
         return [out]
 
-    return add_columns(docs, [text], [T.StructField(text, T.StringType())], cleaned).select(*docs.columns)
+    return add_columns(docs, [text], [T.StructField(text, T.StringType())], cleaned).select(*[col(c) for c in docs.columns])
 
 
 def digest(scanned: DataFrame, spans: str = "secret_spans") -> DataFrame:

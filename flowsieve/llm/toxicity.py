@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, col, stored
+from .common import add_columns, col, filtered, stored
 from .decontaminate import words_of
 
 CATEGORIES = ("low_quality", "toxic")
@@ -183,4 +183,4 @@ def category_labels(labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """The documents that the chain doesn't reject, with their own columns."""
-    return score(docs, chain).where(f"NOT is_{chain.categories[-1]}").select(*[col(c) for c in docs.columns])
+    return filtered(docs, {"text": "text"}, lambda rows: score(rows, chain).where(f"NOT is_{chain.categories[-1]}"))

@@ -189,6 +189,40 @@ def test_jaccard_classes(spark):
     assert jaccard_join.near_classes(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_forest_finds_all_similar_pairs(spark):
+    """Families of texts around 0.8 that share boilerplate of about 0.45 with all others, walked in slots."""
+    rng = np.random.default_rng(12)
+    shared = word_text(rng, 90, 10**6).split()
+    texts = []
+    for _ in range(300):
+        base = shared + word_text(rng, 60, 10**6).split()
+        for _ in range(3):
+            edited = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 3)), replace=False):
+                edited[at] = f"y{rng.integers(0, 10**6)}"
+            texts.append(" ".join(edited))
+    sets = [frozenset(x.tolist()) for x in jaccard_join.shingle_sets(texts)]
+    want = {(a, b) for f in range(0, 900, 3) for a in range(f, f + 3) for b in range(a) if b >= f and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    depth = jaccard_join.prefix_length()
+    signed = jaccard_join.signatures(frame(spark, texts), jaccard_join.TREES, jaccard_join.LABEL, depth).persist()
+    node = {r["node"]: r["doc_id"] for r in signed.select("node", "doc_id").collect()}
+    parent = list(range(900))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for slot in (jaccard_join.SLOT, 2):
+        parent[:] = range(900)
+        for r in jaccard_join.candidate_links(signed, jaccard_join.LABEL - depth, slot).collect():
+            x, y = top(node[r["a"]]), top(node[r["b"]])
+            parent[max(x, y)] = min(x, y)
+        found = sum(top(a) == top(b) for a, b in want)
+        assert len(want) > 400 and found >= 0.99 * len(want), (slot, found, len(want))
+    signed.unpersist()
+
+
 def test_prefix_reaches_recall():
     depth = jaccard_join.prefix_length()
     recall = lambda d: 1 - (1 - 0.8**d) ** jaccard_join.TREES
@@ -472,6 +506,42 @@ def test_packing_ids_are_the_tokenizers(seed):
         assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
+# ---- columns of their own ------------------------------------------------------------------------------------------
+
+EXTRA = "doc_id long, text string, n_words string, `a.b` int, p_toxic int, _n long, _id long, node long, class_id long, hit_items int, secret_spans int, n_chars int, k0 int"
+
+
+def stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    return [(name, lambda docs, stage=stage: stage(spark, docs, sf)) for name, stage in corpus_pipeline.STAGES]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_keep_columns_nulls_repeats(spark, at):
+    row = lambda i, t: (i, t, "own", 1, 2, 3, 4, 5, 6, 7, 8, len(t or ""), 9)
+    long = " ".join(f"word{k}" for k in range(30_000))
+    texts = [(1, None), (2, ""), (3, "a quiet sentence about gardens and rivers"), (3, "a quiet sentence about gardens and rivers"), (None, "nothing to see here at all"), (4, long), (5, "  \n\t ")]
+    docs = spark.createDataFrame([row(i, t) for i, t in texts], EXTRA)
+    name, stage = stages(spark)[at]
+    out = stage(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = [tuple(r) for r in out.collect()]
+    want = [row(i, t) for i, t in texts]
+    if name == "ngram_jaccard_join":  # the texts without words are not copies of one another: null and "" are one text
+        want = [row(1, None), *want[2:3], *want[4:]]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert stage(docs.limit(0)).count() == 0
+
+
+def test_packing_takes_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (None, "", 2), (1, "ab", 3), (1, "ab", 3)], "doc_id long, text string, `x.y` int")
+    got = sorted((r["sequence_id"], r["offset"], r["length"]) for r in stages(spark)[4][1](docs).collect())
+    assert [g[2] for g in sorted(got)] and sum(g[2] for g in got) == 2 * 1 + 2 * 2 and len({g[:2] for g in got}) == 4
+
+
 # ---- toxicity ------------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ pieces of the packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowsieve.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
 from flowsieve.llm.common import read, stored
@@ -30,8 +31,9 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: secrets give way to a mark; the documents stay."""
-    return secret_scan.redact_secrets(docs)
+    """Operator 8: secrets give way to a mark, and n_chars follows; the documents stay."""
+    clean = secret_scan.redact_secrets(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df as a table of the shared warehouse in buckets of `key`: joins and groups by key read it without an exchange."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)

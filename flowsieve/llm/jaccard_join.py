@@ -134,6 +134,17 @@ def walk_trie(rest: np.ndarray, sketch: np.ndarray, levels: int) -> tuple[np.nda
     return np.concatenate([none, *left]), np.concatenate([none, *right]), live
 
 
+def least_linked(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each entry the least node of those that links connect it to."""
+    least = node.copy()
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        if np.array_equal(before, least):
+            return least
+
+
 def _pairs(low: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Of tries of two entries, by where each begins: whether these are linked."""
     return 1 - np.bitwise_count(sketch[low] ^ sketch[low + 1]).sum(axis=1) / 128.0 >= SKETCH_LEAST
@@ -161,12 +172,14 @@ def walk_forest(entries: DataFrame, levels: int) -> DataFrame:
                 b.append(j + at)
                 if x[8][at]:
                     up.append(live + at)
-        a, b, up = np.concatenate(a), np.concatenate(b), np.concatenate(up)
-        if not len(a) + len(up):
+        up = np.concatenate(up)
+        hub = least_linked(node, np.concatenate(a), np.concatenate(b))  # one link a node keeps what is connected together
+        linked = np.flatnonzero(hub != node)
+        if not len(linked) + len(up):
             return None
-        hub = pa.array(np.concatenate([node[b], np.zeros(len(up), np.int64)]), mask=np.arange(len(a) + len(up)) >= len(a))
-        at = np.concatenate([a, up])
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), hub, *[pa.array(np.concatenate([np.zeros(len(a), np.int64), x[k][up]])) for k in range(4, 8)]], schema=arrow)
+        at = np.concatenate([linked, up])
+        hubs = pa.array(hub[at], mask=np.arange(len(at)) >= len(linked))
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), hubs, *[pa.array(np.concatenate([np.zeros(len(linked), np.int64), x[k][up]])) for k in range(4, 8)]], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((len(columns), 0), np.int64)

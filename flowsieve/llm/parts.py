@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, col, stored
+from .common import bound_batches, col, stored, stored_in_buckets
 
 PART_BYTES = 4 << 20
 
@@ -34,9 +34,10 @@ def expand(x: bytes, dtype=None):
     return raw if dtype is None else np.frombuffer(raw, dtype=dtype)
 
 
-def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, part_bytes: int = PART_BYTES) -> DataFrame:
+def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, part_bytes: int = PART_BYTES, bucketed: bool = False) -> DataFrame:
     """docs: doc_id, text. fn(ids, texts as bytes) gives the fields of a part's row; a leading `part` is its number.
-    Nothing is shuffled: parts are runs of rows of the scan, fixed by being written."""
+    Nothing is shuffled: parts are runs of rows of the scan, fixed by being written. With `bucketed` they are written by
+    buckets of `part`, so that answers meet them as often as needed without another exchange of the parts."""
     spark = docs.sparkSession
     bound_batches(spark)
     full = T.StructType([T.StructField("part", T.LongType()), *schema.fields])
@@ -69,7 +70,10 @@ def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, p
             yield part()
 
     source = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
-    return stored(source.mapInArrow(run, full), name)
+    made = source.mapInArrow(run, full)
+    if not bucketed:
+        return stored(made, name)
+    return stored_in_buckets(made, "part", max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions()), name)
 
 
 def shard_count(parts: DataFrame) -> int:

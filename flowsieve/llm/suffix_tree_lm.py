@@ -173,7 +173,7 @@ class Walk:
         self.runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.kinds = np.diff(np.append(self.runs, len(key)))
         self.spread_of = np.where(spread[order] > 1, context[order], np.uint64(0))[self.runs]
-        return key, entries[order], counts, self.p[self.at[first]].astype(np.float32)
+        return key, (entries[order] >> np.uint64(32)).astype(np.uint32), counts, np.log(self.p[self.at[first]]).astype(np.float16)
 
     def answer(self, totals: np.ndarray, mass: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
         """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), and that of all
@@ -209,7 +209,7 @@ def _ask_depth(model, shards: int):
         runs = np.append(walk.runs, len(key))
         for s, a, b in by_shard(key[walk.runs], shards):
             x, y = runs[a], runs[b]
-            yield int(row["part"]), s, squeeze(key[walk.runs[a:b]]), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(entries[x:y]), squeeze(counts[x:y]), squeeze(parents[x:y])
+            yield int(row["part"]), s, squeeze(np.diff(key[walk.runs[a:b]], prepend=np.uint64(0))), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(entries[x:y]), squeeze(counts[x:y]), squeeze(parents[x:y])
 
     return run
 
@@ -218,20 +218,21 @@ def _states(depth: int):
     """A shard: totals of its pairs and the smoothing mass of its contexts to each part; sums of the spread ones."""
 
     def run(frame):
-        asked = [expand(x, np.uint64) for x in frame["entries"]]
-        keys, kinds = [expand(x, np.uint64) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
+        asked = [expand(x, np.uint32) for x in frame["entries"]]
+        keys, kinds = [np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
         key, k = np.concatenate(keys), np.concatenate(kinds)
         spread = np.concatenate([expand(x, np.uint64) for x in frame["spread"]])
         contexts, first, of_run = np.unique(key, return_index=True, return_inverse=True)
         spread = spread[first]
-        entries, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        context = np.repeat(of_run, k)[first]
-        c = np.bincount(index, np.concatenate([expand(x, np.uint32) for x in frame["counts"]]), len(entries))
-        parent = np.concatenate([expand(x, np.float32) for x in frame["parents"]])[first].astype(np.float64)
+        pairs = np.repeat(of_run, k).astype(np.uint64) << np.uint64(32) | np.concatenate(asked)
+        pairs, first, index = np.unique(pairs, return_index=True, return_inverse=True)
+        context = (pairs >> np.uint64(32)).astype(np.int64)
+        c = np.bincount(index, np.concatenate([expand(x, np.uint32) for x in frame["counts"]]), len(pairs))
+        parent = np.concatenate([expand(x, np.float16) for x in frame["parents"]])[first].astype(np.float64)
         seen = c > 0
         n = np.bincount(context, c, len(contexts))
         followers = np.bincount(context[seen], minlength=len(contexts))
-        gain = np.bincount(context[seen], c[seen] * np.log(c[seen] / parent[seen]), len(contexts))
+        gain = np.bincount(context[seen], c[seen] * (np.log(c[seen]) - parent[seen]), len(contexts))
         mass = np.where(spread == 0, smoothing_mass(n, followers, gain), 0)
         c, at, run = c.astype(np.int64), 0, 0
         for part, x, y in zip(frame["part"], asked, keys, strict=True):
@@ -299,7 +300,7 @@ def probabilities(stream: np.ndarray, starts: np.ndarray, root: np.ndarray, leve
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score of every row of docs."""
     spark = docs.sparkSession
-    parts = make_parts(docs, tokenise, PART, "tokens")
+    parts = make_parts(docs, tokenise, PART, "tokens", bucketed=True)
     shards = shard_count(parts)
     answers = stored(in_shards(map_rows(parts.select("part", "hashes", "classes", "counts"), _ask(shards), MESSAGE), "shard", _total, ANSWER), "counts")
     v, spreads = _vocabulary(answers, shards), []

@@ -1,10 +1,13 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration syntax (`name = "literal"`, `name: literal`, `"name": "literal"`, `name := other + "x"`) is
-parsed into name-literal pairs. Constants are propagated: a literal that reaches a sensitive name through other names,
-concatenation or `${name}` is scored by that name. Three fixed patterns are always reported as well. Values and their
-literals may have any length and number: names refer to the values that they are made of, and of a value over `WHOLE`
-characters only what its score depends on is kept (both ends, length, counts of characters).
+Text is lexed as source or configuration: comments, strings (over several lines too), brackets and assignment operators
+(`=`, `:`, `:=`, `=>`). Assignments give name-literal pairs: plain and concatenated values, the items of lists, the
+arguments of calls, and keys nested in braces or by indentation, whose path counts where their own name says nothing.
+Constants are propagated within the braces that hold them, and by their full path: a literal that reaches a sensitive
+name through other names, concatenation or `${name}` is scored by that name. What a comment assigns is reported but
+reaches nothing outside it. Three fixed patterns are always reported as well. Values and their literals may have any
+length and number: names refer to the values that they are made of, and of a value over `WHOLE` characters only what its
+score depends on is kept (both ends, length, counts of characters).
 
 Defined results: null and empty texts have no spans; rows are judged one by one, so repeated rows give equal results;
 an empty table gives an empty table; columns that clash with the new ones are replaced.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,16 @@ WHOLE, ENDS = 4096, 64
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS), re.compile(HEX)
 _TARGETS = re.compile(r"password|passwd|secret|token|api_?key")
-_OPERATOR = re.compile(r"(?<![=!<>:+*/%-])(?::=|=>|=(?![=~])|:(?![:/]))")
-_ATOM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*+)|([A-Za-z0-9+/_.=-]++))""")
+_EVENT = re.compile(
+    r"""(?P<comment>(?<![^\s])(?:\#|//)[^\n]*|/\*(?s:.*?)\*/)"""
+    r"""|(?P<string>\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"(?:[^"\\\n]|\\.)*+"|(?<![A-Za-z0-9])'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)"""
+    r"""|(?P<open>[\[({])|(?P<close>[\])}])|(?P<assign>(?<![=!<>:+*/%-])(?::=|=>|=(?![=~])|:(?![:/])))"""
+)
+_ATOM = re.compile(r"""[ \t]*(?:(\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)|([A-Za-z_][A-Za-z0-9_.]*+)|([A-Za-z0-9+/_.=-]++))""")
+_AHEAD = re.compile(r"[ \t]*([\[({]|\r?\n|$)")
+_CLOSES = {"[": "]", "(": ")", "{": "}"}
+#: Names that say nothing about what they hold; the key above them does.
+GENERIC = frozenset(("value", "values", "default", "data", "text", "literal", "content", "string", "plain", "current", "items", "main", "prod", "dev"))
 _PLUS = re.compile(r"[ \t]*\+(?!=)")
 _USE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)|%\(([A-Za-z_][A-Za-z0-9_.]*)\)s")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -63,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, str, float]]:
 def name_score(name: str) -> float:
     parts = [w.lower() for w in _WORDS.findall(name)]
     joined = "".join(parts)
-    return max(sum(NAME_WEIGHTS.get(p, 0.0) for p in parts), 3.0 if "apikey" in joined else 0.0)
+    return max(sum(NAME_WEIGHTS.get(p, NAME_WEIGHTS.get(p.removesuffix("s"), 0.0)) for p in parts), 3.0 if "apikey" in joined else 0.0)
 
 
 class Value:
@@ -115,55 +127,135 @@ def value_score(value: str | Value) -> float:
     return 1.0 + (bits >= 2.8) + (digits and letters) - (not digits)
 
 
-def literal_pairs(text: str) -> list[tuple[str, Value]]:
-    """(target name, value after propagation) of each assignment, in order."""
-    known: dict[str, Value] = {}
-    out = []
-    for m in _OPERATOR.finditer(text):
-        end = m.start()
-        while end and text[end - 1] in " \t":
-            end -= 1
-        quoted = end and text[end - 1] in "\"'"
-        end -= bool(quoted)
-        start = end
-        while start and text[start - 1] in _NAME_CHARS:
-            start -= 1
-        name = text[start:end].lstrip(".-")
-        if not name or name[0].isdigit():
-            continue
-        at, value = m.end(), Value()
-        while a := _ATOM.match(text, at):
-            at = a.end()
-            group = a.lastindex
-            if group is None:
-                break
-            piece = a[group]
-            if group == 3 and piece in known:
-                value.use(known[piece])
-            else:
-                done = 0
-                for u in _USE.finditer(piece) if group < 3 else ():
-                    if (used := u[1] or u[2] or u[3]) in known:
-                        value.add(piece[done : u.start()])
-                        value.use(known[used])
-                        done = u.end()
-                value.add(piece[done:])
-                value.spans.append((a.start(group), a.end(group)))
-            if not (p := _PLUS.match(text, at)):
-                break
-            at = p.end()
-        if value.spans or value.uses:
-            known[name] = value
-            out.append((name, value))
+@dataclass
+class Frame:
+    """An open bracket, or a key with an indented block: `path` of names above, the bracket that ends it (or none), the
+    column of the key, the constants in it, and the value that its bare literals belong to."""
+
+    path: tuple[str, ...]
+    closes: str
+    column: int
+    known: dict[str, Value]
+    value: Value | None = None
+
+
+def _name_before(text: str, at: int, string: tuple[int, int] | None) -> tuple[str, int]:
+    """(name, its start) of what stands before an assignment."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if string and string[1] == end:
+        return text[string[0] + 1 : end - 1], string[0]
+    start = end
+    while start and text[start - 1] in _NAME_CHARS:
+        start -= 1
+    name = text[start:end].lstrip(".-")
+    return ("" if name[:1].isdigit() else name), start
+
+
+def _inside(text: str, start: int, end: int) -> tuple[int, int]:
+    """The characters within the quotes of a string."""
+    n = 3 if end - start >= 6 and text[start : start + 3] in ('"""', "\'\'\'") else 1
+    return start + n, end - n
+
+
+def literal_pairs(text: str, begin: int = 0, stop: int | None = None) -> list[tuple[str, Value]]:
+    """(target name with the keys above it, value after propagation) of each assignment, in order."""
+    stop = len(text) if stop is None else stop
+    frames = [Frame((), "", -1, {})]
+    out: list[tuple[str, Value]] = []
+    string: tuple[int, int] | None = None
+
+    def find(name: str) -> Value | None:
+        return next((f.known[name] for f in reversed(frames) if name in f.known), None)
+
+    def literal(value: Value, start: int, end: int, quoted: bool) -> None:
+        done = start
+        for u in _USE.finditer(text, start, end) if quoted else ():
+            if used := find(u[1] or u[2] or u[3]):
+                value.add(text[done : u.start()])
+                value.use(used)
+                done = u.end()
+        value.add(text[done:end])
+        if end > start:
+            value.spans.append((start, end))
+
+    def record(path: tuple[str, ...], value: Value) -> None:
+        frames[-1].known[path[-1]] = value
+        if len(path) > 1:
+            frames[0].known[".".join(path)] = value
+        out.append((".".join(path), value))
+
+    at = begin
+    while m := _EVENT.search(text, at, stop):
+        at, kind = m.end(), m.lastgroup
+        if kind == "comment":
+            out += literal_pairs(text, m.start() + 1, m.end())
+        elif kind == "string":
+            string = (m.start(), m.end())
+            if frames[-1].value is not None:
+                item = Value()
+                literal(item, *_inside(text, *string), True)
+                frames[-1].value.uses.append(item)
+                out.append((".".join(frames[-1].path), item))
+        elif kind == "open":
+            frames.append(Frame(frames[-1].path, _CLOSES[m[0]], -1, {}, frames[-1].value if m[0] != "{" else None))
+        elif kind == "close":
+            depth = next((k for k in range(len(frames) - 1, 0, -1) if frames[k].closes == m[0]), 0)
+            if depth:
+                del frames[depth:]
+        else:
+            name, start = _name_before(text, m.start(), string)
+            if not name or start < begin:
+                continue
+            column = start - (text.rfind("\n", 0, start) + 1)
+            while not frames[-1].closes and frames[-1].column >= column and len(frames) > 1:
+                frames.pop()
+            path = (*frames[-1].path[-8:], name)
+            ahead = _AHEAD.match(text, at, stop)
+            if ahead and ahead[1] in _CLOSES:
+                frames.append(Frame(path, _CLOSES[ahead[1]], -1, {}, None if ahead[1] == "{" else Value()))
+                at = ahead.end()
+                continue
+            if ahead:  # a key with an indented block, or without a value
+                if m[0] == ":" and not text[text.rfind("\n", 0, start) + 1 : start].strip(" -\t"):
+                    frames.append(Frame(path, "", column, {}))
+                continue
+            value = Value()
+            while a := _ATOM.match(text, at, stop):
+                at = a.end()
+                group = a.lastindex
+                piece = a[group]
+                if group == 2 and text[at : at + 1] == "(":  # a call: its arguments are the name's
+                    frames.append(Frame(path, ")", -1, {}, value))
+                    at += 1
+                    break
+                if group == 2 and (used := find(piece)):
+                    value.use(used)
+                else:
+                    literal(value, *(_inside(text, a.start(1), a.end(1)) if group == 1 else a.span(group)), group == 1)
+                if not (p := _PLUS.match(text, at, stop)):
+                    break
+                at = p.end()
+            if value.spans or value.uses:
+                record(path, value)
     return out
 
 
+def path_score(path: str) -> float:
+    """The score of the last name; where that says nothing, of the nearest one above that does, a little less."""
+    *above, name = path.split(".") if "." in path else [path]
+    if (own := name_score(name)) or name.lower() not in GENERIC:
+        return own
+    return max(0.0, next((name_score(n) for n in reversed(above) if n.lower() not in GENERIC), 0.0) - 0.5)
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     if "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], tuple[str, float]] = {}
     for name, value in literal_pairs(text):
-        if (of_name := name_score(name)) >= 2.0 and (score := of_name + value_score(value)) >= LEAST_SCORE:
+        if (of_name := path_score(name)) >= 2.0 and (score := of_name + value_score(value)) >= LEAST_SCORE:
             # a value that a name of this score has reached has passed it on, so each is visited once a score at most
             ahead = [value]
             while ahead:

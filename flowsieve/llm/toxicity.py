@@ -4,7 +4,8 @@ The labelled categories are predicted one after the other by linear models over
 model also sees the log-odds of the earlier categories; in training these come from models that did not see the row
 (out-of-fold), in use from the models fitted on all rows.
 
-Fitting takes a bounded sample of labelled rows (`sample_rows`, the least by hash of doc_id); scoring takes all rows.
+Fitting takes a bounded sample of labelled rows (`sample_rows`, the least by hash of doc_id) and the `features` most
+telling features of each category, picked anew without each held-out fold; scoring takes all rows.
 
 Defined results: texts without any known feature, null and empty ones too, get the base rates and are not rejected; without labelled rows, or with
 labels of one kind only, no document is rejected; labels repeated for a doc_id count once, a category as soon as one
@@ -82,18 +83,42 @@ def _take(starts, index, rows):
     return out, index[at]
 
 
-def fit_rows(lists: list[list[int]], labels: np.ndarray, folds: np.ndarray, chain: Chain) -> np.ndarray:
-    """Fits chain.weights and the threshold of the last category; returns the out-of-fold log-odds."""
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    index = np.array([i for x in lists for i in x], dtype=np.int64)
-    width, held = len(chain.vocabulary), np.zeros((len(lists), 0))
+def pick_features(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, width: int, features: int) -> np.ndarray:
+    """Which of `width` candidates speak most for or against a category in these rows: the `features` of the greatest
+    signed root of the 2 x 2 chi-square, of each category."""
+    n, rows = len(labels), np.repeat(np.arange(len(labels)), np.diff(starts))
+    df, picked = np.bincount(index, minlength=width), np.zeros(width, dtype=bool)
+    for y in labels.T.astype(float):
+        expected = df * y.mean()
+        score = np.abs(np.bincount(index, y[rows], width) - expected) / np.sqrt(expected * (1 - y.sum() / n) + 0.5)
+        score[df < LEAST_ROWS] = -1
+        best = np.argsort(-score, kind="stable")[:features]
+        picked[best[score[best] >= 0]] = True
+    return picked
+
+
+def _only(starts: np.ndarray, index: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the picked features alone, numbered anew."""
+    keep = picked[index]
+    return np.concatenate([[0], np.cumsum(keep)])[starts], (np.cumsum(picked) - 1)[index[keep]]
+
+
+def fit_rows(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, folds: np.ndarray, chain: Chain, candidates: list[bytes], features: int = FEATURES) -> np.ndarray:
+    """Fits chain.weights and the threshold of the last category on rows of candidate features; returns the out-of-fold
+    log-odds. Features are picked without the fold that is held out, as the weights are."""
+    held, width = np.zeros((len(labels), 0)), len(candidates)
+    parts = [(np.flatnonzero(folds != f), np.flatnonzero(folds == f)) for f in np.unique(folds)]
+    views = [_only(starts, index, pick_features(*_take(starts, index, fit), labels[fit], width, features)) for fit, _ in parts]
+    picked = pick_features(starts, index, labels, width, features)
+    whole = _only(starts, index, picked)
+    chain.vocabulary = {candidates[i]: k for k, i in enumerate(np.flatnonzero(picked).tolist())}
     for k in range(len(chain.categories)):
-        y, out = labels[:, k].astype(float), np.zeros(len(lists))
-        for f in np.unique(folds):
-            fit, rest = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+        y, out = labels[:, k].astype(float), np.zeros(len(labels))
+        for (fit, rest), view in zip(parts, views, strict=True):
             if len(fit):
-                out[rest] = logits(*_take(starts, index, rest), held[rest], fit_linear(*_take(starts, index, fit), held[fit], y[fit], width))
-        chain.weights.append(fit_linear(starts, index, held, y, width))
+                size = int(view[1].max()) + 1 if len(view[1]) else 0
+                out[rest] = logits(*_take(*view, rest), held[rest], fit_linear(*_take(*view, fit), held[fit], y[fit], size))
+        chain.weights.append(fit_linear(*whole, held, y, int(picked.sum())))
         chain.base.append(float(y.mean()))
         held = np.column_stack([held, out])
     p, y = held[:, -1], labels[:, -1].astype(bool)
@@ -108,7 +133,8 @@ def fit_rows(lists: list[list[int]], labels: np.ndarray, folds: np.ndarray, chai
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """docs: doc_id, text; labels: doc_id and a 0/1 column per category."""
+    """docs: doc_id, text; labels: doc_id and a 0/1 column per category. Only a sample of at most `sample_rows` rows is
+    fitted on; of each row the driver gets the numbers of its candidate features."""
     chain = Chain(CATEGORIES, key=uuid.uuid4().hex)
     marked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.coalesce(col(c).cast("int"), F.lit(0))).alias(f"y_{c}") for c in CATEGORIES])
     order = F.xxhash64("doc_id")
@@ -118,20 +144,28 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{c}").alias(c) for c in CATEGORIES]).head()
     if not total["n"] or not 0 < (total[CATEGORIES[-1]] or 0) < total["n"]:
         return chain
-    named = add_columns(sample, ["text"], [T.StructField("f", T.ArrayType(T.BinaryType()))], lambda texts: [[list(features_of(t)) for t in texts]])
-    seen = named.select(F.explode("f").alias("f"), *[f"y_{c}" for c in CATEGORIES]).groupBy("f").agg(F.count(F.lit(1)).alias("df"), *[F.sum(f"y_{c}").alias(c) for c in CATEGORIES]).where(F.col("df") >= LEAST_ROWS)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).cast("int")
+    named = add_columns(sample.withColumn("fold", fold), ["text"], [T.StructField("f", T.ArrayType(T.BinaryType()))], lambda texts: [[list(features_of(t)) for t in texts]])
+    # candidates: features that the picking of any fold can prefer, by their counts in the rows of all other folds
+    counts = [F.count(F.when(F.col("fold") != f, 1)).alias(f"d{f}") for f in range(folds)]
+    counts += [F.coalesce(F.sum(F.when(F.col("fold") != f, F.col(f"y_{c}"))), F.lit(0)).alias(f"d{f}_{c}") for f in range(folds) for c in CATEGORIES]
+    seen = named.select("fold", F.explode("f").alias("f"), *[f"y_{c}" for c in CATEGORIES]).groupBy("f").agg(F.count(F.lit(1)).alias("df"), *[F.sum(f"y_{c}").alias(c) for c in CATEGORIES], *counts).where(F.col("df") >= LEAST_ROWS)
+    sizes = sample.withColumn("fold", fold).agg(*[F.count(F.when(F.col("fold") != f, 1)).alias(f"d{f}") for f in range(folds)], *[F.coalesce(F.sum(F.when(F.col("fold") != f, F.col(f"y_{c}"))), F.lit(0)).alias(f"d{f}_{c}") for f in range(folds) for c in CATEGORIES]).head()
+    seen = seen.persist()
     picked: set[bytes] = set()
     for c in CATEGORIES:
-        # the signed root of the 2 x 2 chi-square; both signs are kept
-        a, n, y = F.col(c), F.lit(float(total["n"])), F.lit(float(total[c] or 0))
-        expected = F.col("df") * y / n
-        score = F.abs(a - expected) / F.sqrt(expected * (1 - y / n) + 0.5)
-        picked |= {bytes(r["f"]) for r in seen.select("f", score.alias("s")).orderBy(F.desc("s"), "f").limit(features).collect()}
-    chain.vocabulary = {f: i for i, f in enumerate(sorted(picked))}
-    vocabulary = docs.sparkSession.sparkContext.broadcast(chain.vocabulary)
-    indexed = add_columns(sample.select("doc_id", "text", *[f"y_{c}" for c in CATEGORIES]), ["text"], [T.StructField("i", T.ArrayType(T.IntegerType()))], lambda texts: [[sorted(vocabulary.value[f] for f in features_of(t) if f in vocabulary.value) for t in texts]])
-    got = indexed.select("i", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)).alias("fold"), *[f"y_{c}" for c in CATEGORIES]).orderBy("doc_id", "i").collect()
-    fit_rows([r["i"] for r in got], np.array([[r[f"y_{c}"] for c in CATEGORIES] for r in got]), np.array([r["fold"] for r in got]), chain)
+        for df, hits, n, y in [("df", c, total["n"], total[c] or 0), *[(f"d{f}", f"d{f}_{c}", sizes[f"d{f}"], sizes[f"d{f}_{c}"]) for f in range(folds)]]:
+            expected, rest = F.col(df) * F.lit(y / max(n, 1)), F.lit(1 - y / max(n, 1))
+            score = F.abs(F.col(hits) - expected) / F.sqrt(expected * rest + 0.5)
+            picked |= {bytes(r["f"]) for r in seen.where(F.col(df) >= LEAST_ROWS).select("f", score.alias("s")).orderBy(F.desc("s"), "f").limit(features).collect()}
+    seen.unpersist()
+    candidates = sorted(picked)
+    numbers = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(candidates)})
+    indexed = add_columns(sample.select("doc_id", "text", *[f"y_{c}" for c in CATEGORIES]), ["text"], [T.StructField("i", T.BinaryType())], lambda texts: [[np.array(sorted(numbers.value[f] for f in features_of(t) if f in numbers.value), dtype="<u4").tobytes() for t in texts]])
+    got = indexed.select("i", fold.alias("fold"), *[f"y_{c}" for c in CATEGORIES]).orderBy("doc_id", "i").collect()
+    starts = np.concatenate([[0], np.cumsum([len(r["i"]) // 4 for r in got])]).astype(np.int64)
+    index = np.frombuffer(b"".join(bytes(r["i"]) for r in got), dtype="<u4").astype(np.int64)
+    fit_rows(starts, index, np.array([[r[f"y_{c}"] for c in CATEGORIES] for r in got]), np.array([r["fold"] for r in got]), chain, candidates, features)
     return chain
 
 

@@ -40,6 +40,85 @@ def test_secret_propagation():
     assert "changeme" not in found and "plain words here" not in found
 
 
+def test_secret_lexing():
+    text = (
+        'db:\n  credentials:\n    value: "Zx91kfQw77aa"\n  note: "Zx91kfQw77ab"\n'  # nested keys by indentation
+        'tokens = ["q8Zr2LmN4x1", "q8Zr2LmN4x2"]\n'  # items of a list
+        'API_KEY = os.getenv("NAME", "k8Zr2LmN4x3")\n'  # arguments of a call
+        '# secret = "c8Zr2LmN4x4"\n'  # a comment
+        'url = "see password: not here"\n'  # no assignment within a string
+        'function f() { inner = "n8Zr2LmN4x5"; }\nAUTH_SECRET = inner\n'  # constants end with their braces
+        'private_key = """\nMIIEvgIBADANBg7kqhk\n"""\n{"oauth": {"clientSecret": "s8Zr2LmN4x6"}}\n'
+    )
+    found = {text[s:e].strip(): name for _, s, e, name, _ in secret_scan.lexed_spans(text)}
+    assert found.pop("Zx91kfQw77aa") == "db.credentials.value" and "Zx91kfQw77ab" not in found
+    assert {"q8Zr2LmN4x1", "q8Zr2LmN4x2", "k8Zr2LmN4x3", "c8Zr2LmN4x4", "s8Zr2LmN4x6"} <= set(found)
+    assert "n8Zr2LmN4x5" not in found and not any("not here" in f for f in found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_secret_base_columns_by_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    bits = ["password", "PassWD", "secret", "TOKEN", "api_key", "apikey", "api-key", "ſecret", '"', "'", " ", "  ", "\t", ":", "=", "abcdefgh", "A1b2", "=", ".", "é", "AKIA", "AKIA" + "Z9" * 6, "Z9", "0a1b2c3d", "f" * 31, "G", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+
+    def assign(t):
+        """Leftmost matches by a hand-written scan."""
+        low, at, out = "".join(c.lower() if c.isascii() else c for c in t), 0, []
+        value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+        while at < len(t):
+            for n in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if not low.startswith(n, at):
+                    continue
+                k = at + len(n)
+                for optional in (1, 0):  # the quotes may be there or not; blanks are all taken
+                    j = k + 1 if optional and t[k : k + 1] in ('"', "'") and k < len(t) else k
+                    while t[j : j + 1] == " ":
+                        j += 1
+                    if j < len(t) and t[j] in ":=":
+                        break
+                else:
+                    continue
+                j += 1
+                while t[j : j + 1] == " ":
+                    j += 1
+                j += t[j : j + 1] in ('"', "'") and j < len(t)
+                e = j
+                while e < len(t) and t[e] in value:
+                    e += 1
+                if e > j:
+                    if e - j >= 8:
+                        out.append(("assign", at, e))
+                    at = e - 1
+                    break
+            at += 1
+        return out
+
+    def runs(t, kind, chars, start, least):
+        at, out = 0, []
+        while at < len(t):
+            if t.startswith(start, at) and t[at] in chars:
+                e = at + len(start)
+                while e < len(t) and t[e] in chars:
+                    e += 1
+                if e - at >= least and e > at + len(start):
+                    out.append((kind, at, e))
+                at = max(e, at + 1)
+            else:
+                at += 1
+        return out
+
+    got = rows(secret_scan.digest(secret_scan.scan_secrets(frame(spark, texts))))
+    for i, t in enumerate(texts):
+        spans = assign(t) + runs(t, "access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), "AKIA", 16) + runs(t, "hex", set("0123456789abcdef"), "", 32)
+        spans.sort(key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+        text = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in spans) for k in ("assign", "access", "hex")], repr(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
+
+
 def test_secret_of_any_length():
     rng = np.random.default_rng(16)
     key = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789+/"), 5000))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def q(name: str) -> Column:
@@ -20,6 +21,14 @@ def to_double(c: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """to_double of a column; numeric types don't take the way through text."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        x = q(name).cast("double")
+        return F.when(~F.isnan(x), x)
+    return to_double(q(name))
+
+
 def finite(c: Column) -> Column:
     """Null for NaN and both infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
@@ -77,9 +86,9 @@ def netflow_family(label: Column) -> Column:
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Probabilities of an array of logits at a temperature, shifted by the maximum."""
     t = F.greatest(F.lit(temperature) if not isinstance(temperature, Column) else temperature, F.lit(1e-6))
-    scaled = F.transform(logits, lambda v: v / t)
-    e = F.transform(scaled, lambda v: F.exp(v - F.array_max(scaled)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    bound = lambda x, f: F.transform(F.array(x), f)[0]
+    powers = bound(F.array_max(logits), lambda m: F.transform(logits, lambda v: F.exp((v - m) / t)))
+    return bound(powers, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def argmax(values: Column) -> Column:

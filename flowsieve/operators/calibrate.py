@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import nll, q, softmax
+from ..functions.expr import q, softmax
 
 #: 26 temperatures from 0.5 to 3 and 20 from 3.25 to 8, evenly spaced.
 GRID = [0.5 + i * 0.1 for i in range(26)] + [3.25 + i * 0.25 for i in range(20)]
+#: Scales of the evidence among which the validation rows choose.
+ALPHAS = [0.0, 0.25, 0.5, 0.75, 1.0, 1.25]
 
 
-def _losses(logits: Column, y: Column, grid: list[float]) -> list[Column]:
-    return [nll(softmax(logits, t), y) for t in grid]
+def _losses(logits: Column, y: Column, grid: list[float]) -> Column:
+    """The row's loss at each temperature. The logits less their maximum are bound once (by a transform over one
+    element); each temperature is then one sum of exponentials."""
+    shifted = F.transform(logits, lambda v: v - F.array_max(logits))
+    points = F.array(*[F.lit(float(max(t, 1e-6))) for t in grid])
+
+    def row(z: Column) -> Column:
+        own = F.element_at(z, (y + 1).cast("int"))
+        return F.transform(points, lambda t: -F.ln(F.exp(own / t) / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v / t)) + 1e-12))
+
+    return F.transform(F.array(shifted), row)[0]
 
 
 def temperature_losses(df: DataFrame, by: tuple[str, ...] = (), grid: list[float] | None = None) -> DataFrame:
     """nll: array of the mean loss at each temperature, n, n_labels: one pass with an average per grid point."""
     grid = grid or GRID
-    losses = df.select(*by, "y", F.array(*_losses(q("logits"), q("y"), grid)).alias("l"))
+    losses = df.select(*by, "y", _losses(q("logits"), q("y"), grid).alias("l"))
     return losses.groupBy(*by).agg(F.array(*[F.avg(F.col("l")[k]) for k in range(len(grid))]).alias("nll"), F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("n_labels"))
 
 

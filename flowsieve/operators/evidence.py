@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_order, q, to_double
+from ..functions.expr import hash_order, number_of, q, to_double
 from .profile import quantile_thresholds
 from .sampling import bucket_in, distributed_row_number, hash_bucket, quota_thresholds, range_edges
 
@@ -56,7 +56,7 @@ def first_number(df: DataFrame, names: tuple[str, ...]) -> Column:
     """The first of the named columns that the table has, null as 0; 0 if it has none."""
     for n in names:
         if n in df.columns:
-            return F.coalesce(to_double(q(n)), F.lit(0.0))
+            return F.coalesce(number_of(df, n), F.lit(0.0))
     return F.lit(0.0)
 
 

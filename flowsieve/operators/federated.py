@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .train import gradient, softmax_rows
+from .metrics import class_counts, confusion, family_scores, score_linear, score_logits, summary_scores
+from .train import gradient
 
 UPDATE = "client int, coord int, value double, n long"
 
@@ -142,41 +143,45 @@ def train_clients(df: DataFrame, weights: np.ndarray, classes: int, lr: float =
     return state
 
 
-def federated_rounds(df: DataFrame, classes: int, width: int, rounds: int, clients: int, how: str = "avg", lr: float = 0.05, mu: float = 0.0, attack: str = "none", ratio: float = 0.0, scale: float = 5.0, trim: float = 0.2) -> tuple[np.ndarray, list[float]]:
-    """Weights after some rounds, and the sum of their absolute values after each (M4). Weights are features *
-    classes numbers and travel by the driver; rows stay where they are cached."""
+def test_scores(df: DataFrame, w: np.ndarray, classes: int) -> tuple[float, float]:
+    """(accuracy, macro F1) of rows (features, y) by weights: one pass to a confusion table of classes * classes rows."""
+    scored = score_logits(score_linear(df.select("features", "y"), np.asarray(w[:-1]), np.asarray(w[-1])))
+    dimension = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("label_id"))
+    return tuple(summary_scores(family_scores(class_counts(confusion(scored), dimension))).select("accuracy", "macro_f1").head())
+
+
+def federated_rounds(df: DataFrame, test: DataFrame | None, classes: int, width: int, rounds: int, clients: int, how: str = "avg", lr: float = 0.05, epochs: int = 1, mu: float = 0.0, attack: str = "none", ratio: float = 0.0, scale: float = 5.0, trim: float = 0.2) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """Weights after some rounds, and (accuracy, macro F1) of the test rows after each (M4). Weights are features * classes
+    numbers and travel by the driver; rows stay where they are."""
     spark = df.sparkSession
     bad = malicious(F.col("client_id"), clients, ratio)
     data = df.withColumn("y", flip_labels(F.col("y"), classes, bad)) if attack == "label_flip" else df
-    data = data.persist()
     w, seen = np.zeros((width + 1, classes)), []
     for _ in range(rounds):
-        updates = train_clients(data, w, classes, lr, mu=mu)
+        updates = train_clients(data, w, classes, lr, epochs, mu)
         if attack == "update_scale":
             base = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w.ravel())], "coord int, value double")
             updates = scale_updates(updates, base, malicious(F.col("client"), clients, ratio), scale)
         merged = sorted((r["coord"], r["value"]) for r in aggregate(updates, how, trim, math.floor(clients * ratio)).collect())
         w = np.array([v for _, v in merged]).reshape(w.shape)
-        seen.append(float(np.abs(w).sum()))
-    data.unpersist()
+        if test is not None:
+            seen.append(test_scores(test, w, classes))
     return w, seen
 
 
-def scenario_matrix(df: DataFrame, classes: int, width: int, clients: int, rounds: int = 2, methods=("avg", "median", "trimmed_mean", "krum"), attacks=("none", "label_flip", "update_scale"), ratio: float = 0.2, lr: float = 0.05) -> DataFrame:
-    """scenario, aggregator, attack, accuracy on all rows (M5): a loop over runs that share one cached table."""
-    data = df.persist()
-    rows = []
-    for attack in attacks:
-        for how in methods:
-            w, _ = federated_rounds(data, classes, width, rounds, clients, how, lr, attack=attack, ratio=0.0 if attack == "none" else ratio)
-            held = df.sparkSession.sparkContext.broadcast(w)
+#: Aggregators and attacks of the matrix, and FedProx without attack.
+MATRIX = [(f"{how}_{attack}", how, attack, 0.0) for attack in ("none", "label_flip", "update_scale") for how in ("avg", "median", "trimmed_mean", "krum")] + [("fedprox_none", "avg", "none", 0.01)]
 
-            def hits(batches, held=held):
-                for part in batches:
-                    x = np.column_stack([np.stack(part["features"].to_numpy()), np.ones(len(part))])
-                    yield pd.DataFrame({"hit": (softmax_rows(x @ held.value).argmax(axis=1) == part["y"].to_numpy()).astype(float)})
 
-            rows.append((f"{how}_{attack}", how, attack, data.select("features", "y").mapInPandas(hits, "hit double").agg(F.avg("hit")).head()[0]))
+def scenario_matrix(df: DataFrame, test: DataFrame, classes: int, width: int, clients: int, rounds: int = 2, runs: list[tuple[str, str, str, float]] | None = None, ratio: float = 0.2, lr: float = 0.05) -> DataFrame:
+    """scenario, aggregator, attack, mu, round, accuracy, macro_f1 on the test rows (M5): a loop over runs that share two
+    cached tables, a row per run and round."""
+    data, held = df.persist(), test.select("features", "y").persist()
+    rows = []
+    for name, how, attack, mu in runs or MATRIX:
+        # the proximal term says nothing at the first step from the shared weights, so such runs take two
+        _, seen = federated_rounds(data, held, classes, width, rounds, clients, how, lr, 2 if mu else 1, mu, attack, 0.0 if attack == "none" else ratio)
+        rows += [(name, how, attack, mu, k + 1, float(a), float(f)) for k, (a, f) in enumerate(seen)]
     data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "scenario string, aggregator string, attack string, accuracy double")
-
+    held.unpersist()
+    return df.sparkSession.createDataFrame(rows, "scenario string, aggregator string, attack string, mu double, round int, accuracy double, macro_f1 double")

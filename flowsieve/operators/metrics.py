@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,5 +95,18 @@ def ranking_scores(df: DataFrame, score: str, positive: str) -> DataFrame:
     w = Window.partitionBy("_p").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     run = ranged.join(before, F.col("_p") == F.col("_q")).withColumn("tp", F.col("_bp") + F.sum("p").over(w)).withColumn("fp", F.col("_bm") + F.sum("m").over(w))
     total_p, total_m = F.lit(float(at[0])), F.lit(float(at[1]))
-    out = run.agg((F.sum(F.col("m") * (F.col("tp") - F.col("p") / 2.0)) / (total_p * total_m)).alias("auroc"), F.sum(F.col("p") / total_p * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
+    out = run.agg((F.sum(F.col("m") * (F.col("tp") - F.col("p") / 2.0)) / F.nullif(total_p * total_m, F.lit(0.0))).alias("auroc"), F.sum(F.col("p") / F.nullif(total_p, F.lit(0.0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
     return out
+
+
+def macro_ranking(df: DataFrame, classes: int, probs: str = "probs", y: str = "y") -> DataFrame:
+    """auroc and auprc, each class against the rest, and the plain mean over the classes that have rows and others."""
+    frames = [ranking_scores(df.select(F.get(q(probs), F.lit(k)).alias("s"), (q(y) == k).alias("p")), "s", "p").withColumn("label_id", F.lit(k)) for k in range(classes)]
+    each = reduce(DataFrame.unionAll, frames).where("auroc IS NOT NULL")
+    return each.agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"), F.count(F.lit(1)).alias("n_classes"))
+
+
+def retention(clean: DataFrame, poisoned: DataFrame, score: str, by: tuple[str, ...]) -> DataFrame:
+    """by, clean, poisoned, retention: the poisoned score as a share of the clean one (A27); null where that is 0."""
+    a, b = clean.select(*by, q(score).alias("clean")), poisoned.select(*by, q(score).alias("poisoned"))
+    return a.join(b, list(by)).withColumn("retention", F.when(F.col("clean") != 0, F.col("poisoned") / F.col("clean")))

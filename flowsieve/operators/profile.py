@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, q, to_double
+from ..functions.expr import finite, number_of, q
 
 #: Column names that tell the label, and parts of names that identify a host.
 LABEL_LIKE = ("label", "attack", "attack_cat", "attack_type", "attack_label", "class", "category", "target", "_family_label")
@@ -23,7 +25,7 @@ def find_label(columns: list[str], requested: str | None = None, candidates: tup
         if name in by_lower:
             return by_lower[name]
     for c in columns:
-        if "label" in c.lower() or "attack" in c.lower():
+        if any(part in c.lower() for part in ("label", "attack", "class")):
             return c
     raise ValueError(f"no label column among {columns}")
 
@@ -39,12 +41,16 @@ def drop_identifiers(df: DataFrame, parts: tuple[str, ...] = IDENTIFIERS) -> Dat
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n, parse_ratio, n_distinct, std (sample), n_null: a row per column, one pass over the table (A3)."""
+    """column_name, n, parse_ratio, n_distinct, std (sample), n_null: a row per column (A3). All but n_distinct is one pass
+    of partial sums; distinct values are counted column by column, so that no row is multiplied."""
     stats = []
     for c in columns:
-        x = to_double(q(c))
-        stats.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.avg(x.isNotNull().cast("double")).alias("parse_ratio"), F.count_distinct(q(c).cast("string")).alias("n_distinct"), F.stddev_samp(F.coalesce(x, F.lit(0.0))).alias("std"), F.sum(q(c).isNull().cast("long")).alias("n_null")))
-    return df.agg(F.array(*stats).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+        x = number_of(df, c)
+        stats.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.avg(x.isNotNull().cast("double")).alias("parse_ratio"), F.stddev_samp(F.coalesce(x, F.lit(0.0))).alias("std"), F.sum(q(c).isNull().cast("long")).alias("n_null")))
+    one_pass = df.agg(F.array(*stats).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    distinct = [df.groupBy(q(c)).agg(F.lit(1)).agg(F.count(q(c)).alias("n_distinct")).select(F.lit(c).alias("column_name"), "n_distinct") for c in columns]
+    counts = reduce(DataFrame.unionAll, distinct)
+    return one_pass.join(F.broadcast(counts), "column_name").select("column_name", "n", "parse_ratio", "n_distinct", "std", "n_null")
 
 
 def select_by_profile(profiled: DataFrame, numeric_ratio: float = 0.9, max_categories: int = 80, least_std: float = 1e-12) -> DataFrame:
@@ -68,7 +74,7 @@ def impute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     the median filled in, from sums; a deviation under 1e-8 counts as 1. One pass."""
     rows = []
     for c in columns:
-        x = finite(to_double(q(c)))
+        x = finite(number_of(df, c))
         n, m, s, s2 = F.count(F.lit(1)), F.coalesce(F.percentile(x, 0.5), F.lit(0.0)), F.coalesce(F.sum(x), F.lit(0.0)), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0))
         k = F.count(x)
         mean = (s + m * (n - k)) / n
@@ -83,7 +89,7 @@ def quantile_thresholds(df: DataFrame, columns: list[str], at: float = 0.75, app
     """column_name, threshold (A5): exact interpolated quantiles of all columns at once, nulls as 0; with
     `approximate`, percentile_approx at that accuracy, for tables whose distinct values don't fit a task."""
     one = lambda x: F.percentile_approx(x, at, approximate) if approximate else F.percentile(x, at)
-    rows = [F.struct(F.lit(c).alias("column_name"), one(F.coalesce(to_double(q(c)), F.lit(0.0))).alias("threshold")) for c in columns]
+    rows = [F.struct(F.lit(c).alias("column_name"), one(F.coalesce(number_of(df, c), F.lit(0.0))).alias("threshold")) for c in columns]
     return df.agg(F.array(*rows).alias("t")).select(F.explode("t").alias("t")).select("t.*")
 
 

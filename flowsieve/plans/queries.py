@@ -241,15 +241,44 @@ def p11_all(spark, sf_dir):
     return rounded(gated(spark, sf_dir, "all").select("key", F.col(f"{evidence.PREFIX}source_gate_mean").alias("gate_mean")), "gate_mean")
 
 
-@query("p12_evidence_modes", " UNION ALL ".join(f"SELECT '{m}' AS mode, CAST({n} AS BIGINT) AS n_columns, count(*) AS n FROM events" for m, n in (("traffic_only", 0), ("weak_cti_concat", 11), ("source_gate", 40), ("source_gate_pruned", 29), ("random_cti", 11), ("random_source_gate", 40))))
+_COLUMNS = {h.name: h.name for h in evidence.NETFLOW_HINTS}
+#: The hints shuffled within each split: the ones go to the first rows in the hash order of the column.
+_ONES = ", ".join(f"sum({h}) OVER (PARTITION BY split) AS ones_{h}, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '42', '{evidence.PREFIX}{h}', CAST(key AS VARCHAR))), key) AS place_{h}" for h in _COLUMNS)
+_RANDOM = f"o AS (SELECT key, split, {_ONES} FROM h), r AS (SELECT key, " + ", ".join(f"(place_{h} <= ones_{h})::INT::DOUBLE AS {h}" for h in _COLUMNS) + " FROM o)"
+_HINT_SUM = " + ".join(_COLUMNS)
+_GATE_MEAN = "(g1+g2+g3+g4+g5+g6+g7+g8) / 8"
+
+
+def _mode_sql(mode: str, n: int, table: str, hints: str, gates: str) -> str:
+    return f"SELECT '{mode}' AS mode, CAST({n} AS BIGINT) AS n_columns, count(*) AS n, round({hints}, 3) AS hints, round({gates}, 3) AS gates, round({gates.replace('sum(', 'sum(power(').removesuffix(')') + ', 2))' if gates != '0.0' else gates}, 3) AS squares FROM {table}"
+
+
+_MODES_SQL = " UNION ALL ".join((
+    _mode_sql("traffic_only", 0, "h", "0.0", "0.0"), _mode_sql("weak_cti_concat", 11, "h", f"sum({_HINT_SUM})", "0.0"), _mode_sql("source_gate", 40, "g", f"sum({_HINT_SUM})", f"sum({_GATE_MEAN})"),
+    _mode_sql("source_gate_pruned", 29, "g", "0.0", f"sum({_GATE_MEAN})"), _mode_sql("random_cti", 11, "r", f"sum({_HINT_SUM})", "0.0"), _mode_sql("random_source_gate", 40, "rg", f"sum({_HINT_SUM})", f"sum({_GATE_MEAN})"),
+))
+
+
+@query("p12_evidence_modes", f"WITH {SPLIT}, {HINT_SQL}, {GATE_SQL}, {_RANDOM}, {GATE_SQL.replace('g AS (', 'rg AS (', 1).replace('FROM h)', 'FROM r)')} {_MODES_SQL}")
 def p12(spark, sf_dir):
     base = split_flows(spark, sf_dir)
     frames = []
     for mode in evidence.MODES:
         df = evidence.evidence_mode(base, mode, evidence.NETFLOW_HINTS, evidence.RELIABILITY["netflow"], "split", "key", F.col("split") == "train")
         n = len([c for c in df.columns if c.startswith(evidence.PREFIX)])
-        frames.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), F.lit(n).cast("long").alias("n_columns"), "n"))
-    return report.union_all(frames)
+        held = [X.q(evidence.PREFIX + h) for h in HINTS if evidence.PREFIX + h in df.columns]
+        gate = evidence.PREFIX + "source_gate_mean"
+        hints = F.sum(sum(held, F.lit(0.0))) if held else F.lit(0.0)
+        gates = F.sum(gate) if gate in df.columns else F.lit(0.0)
+        squares = F.sum(F.pow(gate, F.lit(2.0))) if gate in df.columns else F.lit(0.0)
+        frames.append(df.agg(F.count(F.lit(1)).alias("n"), hints.alias("hints"), gates.alias("gates"), squares.alias("squares")).select(F.lit(mode).alias("mode"), F.lit(n).cast("long").alias("n_columns"), "n", "hints", "gates", "squares"))
+    return rounded(report.union_all(frames), "hints", "gates", "squares", places=3)
+
+
+@query("p18_evidence_poisoning", f"WITH {SPLIT}, {HINT_SQL}, c AS (SELECT key, split, proto_tcp, substr(md5(concat_ws('|', '42', 'poison', CAST(key AS VARCHAR))), 1, 8) < '4ccccccd' AS chosen FROM h), a AS (SELECT key, split, row_number() OVER (PARTITION BY split ORDER BY key) AS p FROM c WHERE chosen), b AS (SELECT split, proto_tcp, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '42', '_row', CAST(key AS VARCHAR))), key) AS p FROM c WHERE chosen) SELECT a.key, b.proto_tcp FROM a JOIN b ON a.split = b.split AND a.p = b.p UNION ALL SELECT key, proto_tcp FROM c WHERE NOT chosen")
+def p18_poison(spark, sf_dir):
+    c = evidence.PREFIX + "proto_tcp"
+    return evidence.poison_evidence(hinted(spark, sf_dir), [c], 0.3, "split", "key").select("key", F.col(c).alias("proto_tcp"))
 
 
 @query("p13_scale_evidence", f"WITH {SPLIT}, {HINT_SQL} SELECT key, round(in_bytes, 6) AS f0, round(proto_tcp * 0.5, 6) AS f1 FROM h")
@@ -561,12 +590,20 @@ def a26(spark, sf_dir):
     return report.schema_probe({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "events")})
 
 
-@query("a27_ranking_scores", f"WITH {LOGITS}, c AS (SELECT round(probs[1], 2) AS s, sum((y = 0)::INT) AS p, sum((y <> 0)::INT) AS m FROM scored GROUP BY 1), r AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(m) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS tot_p, sum(m) OVER () AS tot_m FROM c) SELECT round(sum(m * (tp - p / 2.0)) / (max(tot_p) * max(tot_m)), 6) AS auroc, round(sum(p / tot_p * (tp / (tp + fp))), 6) AS auprc FROM r")
+@query("a27_ranking_scores", f"WITH {LOGITS}, c AS (SELECT probs[1] AS s, sum((y = 0)::INT) AS p, sum((y <> 0)::INT) AS m FROM scored GROUP BY 1), r AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(m) OVER (ORDER BY s DESC) AS fp, sum(p) OVER () AS tot_p, sum(m) OVER () AS tot_m FROM c) SELECT round(sum(m * (tp - p / 2.0)) / (max(tot_p) * max(tot_m)), 6) AS auroc, round(sum(p / tot_p * (tp / (tp + fp))), 6) AS auprc FROM r")
 def a27(spark, sf_dir):
-    df = scored(spark, sf_dir).select(F.round(F.col("probs")[0], 2).alias("s"), (F.col("y") == 0).alias("positive"))
+    df = scored(spark, sf_dir).select(F.col("probs")[0].alias("s"), (F.col("y") == 0).alias("positive"))
     return rounded(metrics.ranking_scores(df, "s", "positive"), "auroc", "auprc")
 
 
+_MACRO = " UNION ALL ".join(f"SELECT {k} AS k, probs[{k + 1}] AS s, sum((y = {k})::INT) AS p, sum((y <> {k})::INT) AS m FROM scored GROUP BY 2" for k in range(10))
+
+
+@query("a27_macro_ranking", f"WITH {LOGITS}, c AS ({_MACRO}), r AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS fp, sum(p) OVER (PARTITION BY k) AS tot_p, sum(m) OVER (PARTITION BY k) AS tot_m FROM c WINDOW w AS (PARTITION BY k ORDER BY s DESC)), e AS (SELECT k, sum(m * (tp - p / 2.0)) / nullif(max(tot_p) * max(tot_m), 0) AS auroc, sum(p / nullif(tot_p, 0) * (tp / (tp + fp))) AS auprc FROM r GROUP BY k) SELECT round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc, count(*) AS n_classes FROM e WHERE auroc IS NOT NULL")
+def a27_macro(spark, sf_dir):
+    return rounded(metrics.macro_ranking(scored(spark, sf_dir), 10), "auroc", "auprc")
+
+
 # ---- windows, samples, splits --------------------------------------------------------------------------------------
 
 
@@ -692,11 +729,10 @@ def m7(spark, sf_dir):
 # ---- the flagship and learning jobs --------------------------------------------------------------------------------
 
 
-@query("flagship_gate_profile", f"WITH {FLOWS}, capped AS (SELECT * EXCLUDE (r, n) FROM ({ranked_sql('cap', 'skewed')}) WHERE r <= 2000), split AS (SELECT *, CASE WHEN r <= {QUOTA} THEN 'test' ELSE 'train' END AS split FROM ({ranked_sql('split', 'skewed', source='capped')})), {HINT_SQL}, {GATE_SQL} SELECT split, skewed AS family, count(*) AS n, round(avg((g1+g2+g3+g4+g5+g6+g7+g8) / 8), 6) AS gate_mean, round(max(greatest(g1,g2,g3,g4,g5,g6,g7,g8)), 6) AS gate_max FROM g GROUP BY ALL")
+@query("flagship_gate_profile", f"WITH {FLOWS}, split AS (SELECT *, CASE WHEN r <= {QUOTA} THEN 'test' ELSE 'train' END AS split FROM ({ranked_sql('split', 'skewed')})), {HINT_SQL}, {GATE_SQL} SELECT split, skewed AS family, count(*) AS n, round(avg((g1+g2+g3+g4+g5+g6+g7+g8) / 8), 6) AS gate_mean, round(max(greatest(g1,g2,g3,g4,g5,g6,g7,g8)), 6) AS gate_max FROM g GROUP BY ALL")
 def flagship(spark, sf_dir):
-    """Capped, split, hinted and gated flows, profiled by split and family."""
-    capped = sampling.family_cap(flows(spark, sf_dir), "skewed", "key", 2000)
-    split = sampling.stratified_split(capped, "skewed", "key")
+    """All flows split by family, hinted and gated, and profiled by split and family."""
+    split = sampling.stratified_split(flows(spark, sf_dir), "skewed", "key")
     out = evidence.add_gates(evidence.add_hints(split, evidence.NETFLOW_HINTS, F.col("split") == "train"), evidence.NETFLOW_HINTS, evidence.RELIABILITY["netflow"])
     p = evidence.PREFIX
     return rounded(out.groupBy("split", F.col("skewed").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.avg(f"{p}source_gate_mean").alias("gate_mean"), F.max(f"{p}source_gate_max").alias("gate_max")), "gate_mean", "gate_max")
@@ -718,8 +754,8 @@ def m1(spark, sf_dir):
     df = df.persist()
     model = train.fit_multinomial(df.where("split = 'train'"), max_iter=20)
     out = model.transform(df.where("split = 'test'").select("key", "y", array_to_vector("features").alias("features")))
-    done = metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(out.select("y", F.col("prediction").cast("int").alias("pred"))), spark.range(3).select(F.col("id").cast("int").alias("label_id")))))
-    return done
+    df.unpersist()
+    return metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(out.select("y", F.col("prediction").cast("int").alias("pred"))), spark.range(3).select(F.col("id").cast("int").alias("label_id")))))
 
 
 @query("m2_h4_softmax")
@@ -729,6 +765,7 @@ def m2(spark, sf_dir):
     df, width = training_rows(spark, sf_dir)
     df = df.persist()
     w, losses = train.fit_softmax(df.where("split = 'train'"), 3, width, steps=8, smoothing=0.05, penalty=0.01)
+    df.unpersist()
     scores = metrics.score_logits(metrics.score_linear(df.where("split = 'test'"), np.asarray(w[:-1]), np.asarray(w[-1])))
     return metrics.calibration(scores).withColumn("first_loss", F.lit(losses[0])).withColumn("last_loss", F.lit(losses[-1]))
 
@@ -743,29 +780,41 @@ def m3(spark, sf_dir):
 
 @query("m4_m5_scenario_matrix")
 def m5(spark, sf_dir):
+    """Rounds of every aggregator and attack, and FedProx, judged on the held-out rows after each round."""
     df, width = training_rows(spark, sf_dir)
-    return federated.scenario_matrix(df.where("split = 'train'"), 3, width, 10, rounds=1, methods=("avg", "median", "trimmed_mean", "krum"), attacks=("none", "label_flip", "update_scale"))
+    return federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, rounds=2, lr=0.5)
 
 
 @query("m6_alpha_grid")
 def m6(spark, sf_dir):
-    """Evidence scaled by each alpha, trained, judged on the held-out rows, and the alpha that W10 picks."""
+    """Evidence scaled by each alpha and trained on the training rows; W10 picks the alpha on the validation rows, on which
+    the temperature is fitted too; the figures are those of the test rows."""
     import numpy as np
 
     df, width = training_rows(spark, sf_dir)
-    df = df.persist()
-    frames = []
-    for alpha in (0.0, 0.5, 1.0):
-        scaled = df.withColumn("features", evidence.scale_evidence(F.col("features"), [evidence.PREFIX] * width, alpha))
-        w, _ = train.fit_softmax(scaled.where("split = 'train'"), 3, width, steps=4)
-        s = metrics.score_logits(metrics.score_linear(scaled.where("split = 'test'"), np.asarray(w[:-1]), np.asarray(w[-1])))
-        f1 = metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(s), spark.range(3).select(F.col("id").cast("int").alias("label_id")))))
-        losses = calibrate.temperature_losses(s).select(F.array_min("nll").alias("nll"))
-        frames.append(f1.join(F.broadcast(metrics.calibration(s))).join(F.broadcast(losses)).withColumn("alpha", F.lit(alpha)).withColumn("scenario", F.lit("cal_source_gate")))
-    return calibrate.select_candidate(report.union_all(frames), ("scenario",))
+    valid = F.conv(F.substring(X.hash_order(42, "valid", F.col("key")), 1, 8), 16, 10).cast("double") < 0.2 * float(1 << 32)
+    df = df.withColumn("split", F.when((F.col("split") == "train") & valid, "valid").otherwise(F.col("split"))).persist()
+    classes = spark.range(3).select(F.col("id").cast("int").alias("label_id"))
+    fitted, frames = {}, []
 
+    def judged(s):
+        return metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(s), classes))).join(F.broadcast(metrics.calibration(s)))
 
-@query("st1_stream_family_cap")
+    for alpha in calibrate.ALPHAS:
+        scaled = df.withColumn("features", evidence.scale_evidence(F.col("features"), [evidence.PREFIX] * width, alpha))
+        w, _ = train.fit_softmax(scaled.where("split = 'train'"), 3, width, steps=8)
+        logit = metrics.score_linear(scaled.where("split <> 'train'"), np.asarray(w[:-1]), np.asarray(w[-1]))
+        best = calibrate.best_temperature(calibrate.temperature_losses(logit.where("split = 'valid'"))).select("temperature", F.array_min("nll").alias("nll")).head()
+        fitted[alpha] = (logit, best["temperature"])
+        frames.append(judged(metrics.score_logits(logit.where("split = 'valid'"), temperature=best["temperature"])).select("*", F.lit(best["nll"]).alias("nll"), F.lit(alpha).alias("alpha"), F.lit("cal_source_gate").alias("scenario")))
+    chosen = calibrate.select_candidate(report.union_all(frames), ("scenario",)).head()
+    logit, temperature = fitted[chosen["alpha"]]
+    out = judged(metrics.score_logits(logit.where("split = 'test'"), temperature=temperature)).select("accuracy", "macro_f1", "ece", "brier", F.lit(chosen["alpha"]).alias("alpha"), F.lit(temperature).alias("temperature"), F.lit(chosen["macro_f1"]).alias("valid_macro_f1")).head()
+    df.unpersist()
+    return spark.createDataFrame([tuple(out)], "accuracy double, macro_f1 double, ece double, brier double, alpha double, temperature double, valid_macro_f1 double")
+
+
+@query("st1_stream_family_cap", "SELECT event_type, least(100, count(*)) AS n FROM events GROUP BY 1")
 def st1(spark, sf_dir):
     """A file stream of events through the stateful cap; the counts equal those of a batch cap."""
     import uuid
@@ -774,10 +823,15 @@ def st1(spark, sf_dir):
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     run = uuid.uuid4().hex
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(f"{sf_dir}/*")
-    capped = stream_family_cap(stream.select("event_id", "event_type"), "event_type", 100)
-    done = capped.writeStream.format("parquet").option("path", f"{root}/st1-{run}").option("checkpointLocation", f"{root}/st1-state-{run}").trigger(availableNow=True).start()
-    done.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(f"{sf_dir}/*")
+        capped = stream_family_cap(stream.select("event_id", "event_type"), "event_type", 100)
+        done = capped.writeStream.format("parquet").option("path", f"{root}/st1-{run}").option("checkpointLocation", f"{root}/st1-state-{run}").trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema("event_id long, event_type string").parquet(f"{root}/st1-{run}").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

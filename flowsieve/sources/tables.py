@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,15 +22,50 @@ def read_table(spark: SparkSession, path: str, label: str | None = None) -> Data
 def list_files(spark: SparkSession, root: str, suffix: str = ".csv", max_files: int | None = None) -> list[str]:
     """Paths below root in sorted order, through Spark's own file listing, so any store works."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path")
-    return [r["path"] for r in found.orderBy("path").limit(max_files or 1_000_000).collect()]
+    ordered = found.orderBy("path")
+    return [r["path"] for r in (ordered.limit(max_files) if max_files else ordered).collect()]
 
 
 def read_csv_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """The first max_files CSV parts below root, as text, with `_file`."""
+    """The first max_files CSV parts below root, as text, with `_file` (S2). Parts are put together by column name: files
+    with the same header are one read, and columns that a file hasn't got are null."""
     paths = list_files(spark, root, ".csv", max_files)
     if not paths:
         raise ValueError(f"no CSV file below {root}")
-    return spark.read.option("header", True).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+    by_header: dict[str, list[str]] = {}
+    for r in headers(spark, paths).collect():  # a row a file
+        by_header.setdefault(r["header"], []).append(r["file"])
+    frames = [spark.read.option("header", True).csv(sorted(some)).withColumn("_file", F.col("_metadata.file_path")) for _, some in sorted(by_header.items(), key=lambda x: min(x[1]))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, header): the first line of every file; empty files have none."""
+    lines = spark.read.format("text").load(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    return lines.where("at = 0").groupBy("file").agg(F.min_by("value", "i").alias("header"))
+
+
+def scan_status(spark: SparkSession, root: str, columns: list[str], label: str | None = None) -> DataFrame:
+    """file, bytes, n_columns, n_rows, n_bad, status and error of every CSV part below root, and with `label` its values by
+    number of rows (S3, A25). A file without header is `empty`, one that has none of the columns or can't be decoded is an
+    `error` with its reason; nothing is dropped."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"), F.col("length").alias("bytes"))
+    paths = [r["file"] for r in listed.collect()]
+    if not paths:
+        return spark.createDataFrame([], "file string, bytes long, n_columns int, n_rows long, n_bad long, labels string, status string, error string")
+    found = headers(spark, paths).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), "header")
+    scan = tolerant_scan(spark, root, columns).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), "n_rows", "n_bad")
+    named = listed.join(found, "file", "left").join(scan, "file", "left")
+    cells = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+    known = F.size(F.array_intersect(cells, F.array(*[F.lit(c.lower()) for c in columns])))
+    error = F.when(F.col("header").isNull(), "no header").when(F.col("header").contains("\ufffd") | F.col("header").contains("\u0000"), "not text").when(known == 0, "none of the columns")
+    status = F.when(F.col("header").isNull(), "empty").when(error.isNotNull(), "error").when(F.col("n_bad") > 0, "partial").otherwise("ok")
+    if label:
+        rows = read_csv_files(spark, root).select(F.regexp_replace("_file", "^file:/+", "file:///").alias("file"), q(label).alias("l")).groupBy("file", "l").count()
+        named = named.join(rows.groupBy("file").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("l", F.lit("")).alias("l"), "count"))))).alias("labels")), "file", "left")
+    else:
+        named = named.withColumn("labels", F.lit(None).cast("string"))
+    return named.select("file", "bytes", F.coalesce(F.size(cells), F.lit(0)).alias("n_columns"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "labels", status.alias("status"), error.alias("error"))
 
 
 def tolerant_scan(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:

@@ -341,3 +341,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         return found.withColumn("_one", F.row_number().over(one)).where("_one = 1")
 
     return filtered(docs, {"doc_id": "doc_id", "text": "text"}, kept)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT t, min(doc_id) AS id, count(*) AS copies, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d GROUP BY t),
+s AS (SELECT DISTINCT id, array_to_string(w[p : p + 4], ' ') AS x FROM n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(p) WHERE len(w) > 0),
+z AS (SELECT id, count(*) AS k FROM s GROUP BY 1),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.id <> b.id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE common.k >= 0.8 * (za.k + zb.k - common.k)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT id, least(id, min(b)) AS class_id FROM n LEFT JOIN reach ON a = id GROUP BY id),
+links AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, copies
+FROM d JOIN n ON d.t = n.t JOIN least ON least.id = n.id LEFT JOIN links ON links.a = n.id
+"""

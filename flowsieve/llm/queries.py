@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op3_chat_formatting": chat.ORACLE, "op6_substring_dedup": fm_dedup.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op3_chat_formatting": chat.ORACLE, "op6_substring_dedup": fm_dedup.ORACLE, "op7_ngram_jaccard_join": jaccard_join.ORACLE, "op10_suffix_array_dedup": suffix_dedup.ORACLE}

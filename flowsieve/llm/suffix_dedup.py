@@ -192,3 +192,18 @@ def _finish(keep_text: bool):
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row of docs (doc_id, text)."""
     return apply(docs, Bytes(), earlier_intervals, _finish(keep_text), RESULT, "byte-parts")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s - 1, 100) AS x FROM d, unnest(range(1, len(h) // 2 - 48)) t(s)),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) AS m FROM w) WHERE m < doc_id),
+step AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM step),
+spans AS (SELECT doc_id, g, min(s) AS a, max(s) + 50 AS b FROM numbered GROUP BY ALL),
+piece AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM spans),
+kept AS (SELECT d.doc_id, count(*) AS n_spans, string_agg(substr(h, CAST(2 * since - 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) || any_value(substr(h, CAST(2 * e - 1 AS BIGINT))) AS k
+  FROM d JOIN piece ON d.doc_id = piece.doc_id JOIN (SELECT doc_id, max(b) AS e FROM spans GROUP BY 1) z ON d.doc_id = z.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(coalesce(k, h))) // 2 AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -48,14 +48,15 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
 def scan_status(spark: SparkSession, root: str, columns: list[str], label: str | None = None) -> DataFrame:
     """file, bytes, n_columns, n_rows, n_bad, status and error of every CSV part below root, and with `label` its values by
     number of rows (S3, A25). A file without header is `empty`, one that has none of the columns or can't be decoded is an
-    `error` with its reason; nothing is dropped."""
+    `error` with its reason. Spark's own listing leaves out files of no bytes."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"), F.col("length").alias("bytes"))
     paths = [r["file"] for r in listed.collect()]
     if not paths:
         return spark.createDataFrame([], "file string, bytes long, n_columns int, n_rows long, n_bad long, labels string, status string, error string")
     found = headers(spark, paths).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), "header")
-    scan = tolerant_scan(spark, root, columns).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), "n_rows", "n_bad")
-    named = listed.join(found, "file", "left").join(scan, "file", "left")
+    # Spark counts bad rows only where it reads a column as well
+    scan = tolerant_scan(spark, root, columns).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), F.greatest(F.col("n_rows"), q(f"n_{columns[0]}")).alias("n_rows"), "n_bad")
+    named = listed.join(found.withColumn("header", F.nullif(F.trim("header"), F.lit(""))), "file", "left").join(scan, "file", "left")
     cells = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
     known = F.size(F.array_intersect(cells, F.array(*[F.lit(c.lower()) for c in columns])))
     error = F.when(F.col("header").isNull(), "no header").when(F.col("header").contains("\ufffd") | F.col("header").contains("\u0000"), "not text").when(known == 0, "none of the columns")

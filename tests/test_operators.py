@@ -186,3 +186,27 @@ def test_permuted_and_poisoned_columns_keep_their_values(spark):
     bad = evidence.poison_evidence(rows, ["x", "y"], 0.3, "split", "key").collect()
     assert sorted(r["x"] for r in bad) == [float(i) for i in range(3000)] and all(r["y"] == 2 * r["x"] and r["x"] % 2 == r["split"] for r in bad)
     assert 700 < sum(r["x"] != r["key"] for r in bad) < 1100
+
+
+def test_csv_parts_by_name_and_status(spark, tmp_path):
+    from flowsieve.sources import tables
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("x,label\n1,dos\n2,benign\n")
+    (tmp_path / "2.csv").write_text("label,x\ndos,3\n")
+    (tmp_path / "3.csv").write_text("\n\n")
+    (tmp_path / "4.csv").write_text("other\n7\n")
+    root = f"file://{tmp_path}"
+    got = tables.read_csv_files(spark, root).where("x IS NOT NULL").select("x", "label").collect()
+    assert sorted((r["x"], r["label"]) for r in got) == [("1", "dos"), ("2", "benign"), ("3", "dos")]
+    status = {r["file"].rsplit("/", 1)[1]: r for r in tables.scan_status(spark, root, ["x", "label"], "label").collect()}
+    assert {k: r["status"] for k, r in status.items()} == {"1.csv": "ok", "2.csv": "ok", "3.csv": "empty", "4.csv": "error"}
+    assert status["4.csv"]["error"] == "none of the columns" and status["1.csv"]["labels"] == '{"benign":1,"dos":1}' and status["1.csv"]["n_columns"] == 2
+
+
+def test_macro_ranking_and_retention(spark):
+    rows = spark.createDataFrame([([0.7, 0.2, 0.1], 0), ([0.1, 0.8, 0.1], 1), ([0.3, 0.4, 0.3], 0)], "probs array<double>, y int")
+    got = metrics.macro_ranking(rows, 3).head()
+    assert got["n_classes"] == 2 and got["auroc"] == 1.0
+    a, b = (spark.createDataFrame([("m", v)], "d string, f double") for v in (0.8, 0.6))
+    assert metrics.retention(a, b, "f", ("d",)).head()["retention"] == pytest.approx(0.75)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,18 +41,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A write's shuffle files go when it ends, not when the driver next collects garbage: what was written is read back
+    from its table, so that nothing asks for them again. Until then lost ones are made anew as ever."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """df as a table of the shared warehouse in buckets of `key`: joins and groups by key read it without an exchange."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    with shuffles_removed(df.sparkSession):
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

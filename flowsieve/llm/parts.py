@@ -25,13 +25,18 @@ PART_BYTES = 4 << 20
 
 
 def squeeze(x: np.ndarray | bytes) -> bytes:
-    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
+    """Compressed; an array byte plane by byte plane, so that the low bytes of hashes don't hide the even high ones."""
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).reshape(-1, 1).view(np.uint8).T.tobytes()
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def expand(x: bytes, dtype=None):
+    """Bytes, or with dtype the array, which must be of the type that was squeezed."""
     raw = zstandard.ZstdDecompressor().decompress(x)
-    return raw if dtype is None else np.frombuffer(raw, dtype=dtype)
+    if dtype is None:
+        return raw
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, part_bytes: int = PART_BYTES, bucketed: bool = False) -> DataFrame:

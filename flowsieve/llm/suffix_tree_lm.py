@@ -46,6 +46,15 @@ ASKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard"
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of unsigned integers, which for sorted hashes are short; climb() undoes them."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def climb(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=x.dtype)
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -71,21 +80,21 @@ def tokenise(ids: list, texts: list[bytes]) -> tuple:
         classes = np.insert(of_word, at[1:], 0)
     held = np.array([is_held_out(i) for i in ids], dtype=bool)
     trained = np.bincount(index[np.repeat(~held, lengths)], minlength=len(distinct))
-    return ids, squeeze(held), squeeze(lengths.astype(np.int32)), squeeze(index.astype(np.uint32)), squeeze(distinct), squeeze(classes[first]), squeeze(trained.astype(np.uint32))
+    return ids, squeeze(held), squeeze(lengths.astype(np.int32)), squeeze(index.astype(np.uint32)), squeeze(steps(distinct)), squeeze(classes[first]), squeeze(trained.astype(np.uint32))
 
 
 def _ask(shards: int):
     def run(row):
-        hashes, classes, counts = expand(row["hashes"], np.uint64), expand(row["classes"], np.uint8), expand(row["counts"], np.uint32)
+        hashes, classes, counts = climb(expand(row["hashes"], np.uint64)), expand(row["classes"], np.uint8), expand(row["counts"], np.uint32)
         for s, a, b in by_shard(hashes, shards):
-            yield row["part"], s, squeeze(hashes[a:b]), squeeze(classes[a:b]), squeeze(counts[a:b])
+            yield row["part"], s, squeeze(steps(hashes[a:b])), squeeze(classes[a:b]), squeeze(counts[a:b])
 
     return run
 
 
 def _total(frame):
     """A shard: totals of its words, sent back to each part in the order it asked, and what the model needs of them."""
-    asked = [expand(x, np.uint64) for x in frame["hashes"]]
+    asked = [climb(expand(x, np.uint64)) for x in frame["hashes"]]
     flat, counts = np.concatenate(asked), np.concatenate([expand(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
     classes = np.concatenate([expand(x, np.uint8) for x in frame["classes"]])
     distinct, first, index = np.unique(flat, return_index=True, return_inverse=True)
@@ -136,7 +145,7 @@ class Walk:
 
     def __init__(self, row, total: np.ndarray, v: Vocabulary):
         self.v, lengths, index = v, expand(row["lengths"], np.int32), expand(row["tokens"], np.uint32)
-        hashes, classes, held = expand(row["hashes"], np.uint64), expand(row["classes"], np.uint8), expand(row["held"], bool)
+        hashes, classes, held = climb(expand(row["hashes"], np.uint64)), expand(row["classes"], np.uint8), expand(row["held"], bool)
         self.lengths, self.begin, self.held = lengths, np.cumsum(lengths) - lengths, held
         self.trained = np.repeat(~held, lengths)
         self.position = np.arange(len(index)) - np.repeat(self.begin, lengths)
@@ -173,7 +182,8 @@ class Walk:
         self.runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.kinds = np.diff(np.append(self.runs, len(key)))
         self.spread_of = np.where(spread[order] > 1, context[order], np.uint64(0))[self.runs]
-        return key, (entries[order] >> np.uint64(32)).astype(np.uint32), counts, np.log(self.p[self.at[first]]).astype(np.float16)
+        parents = np.where(counts > 0, np.log(self.p[self.at[first]]), 0).astype(np.float16)
+        return key, (entries[order] >> np.uint64(32)).astype(np.uint32), counts, parents
 
     def answer(self, totals: np.ndarray, mass: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
         """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), and that of all
@@ -209,7 +219,7 @@ def _ask_depth(model, shards: int):
         runs = np.append(walk.runs, len(key))
         for s, a, b in by_shard(key[walk.runs], shards):
             x, y = runs[a], runs[b]
-            yield int(row["part"]), s, squeeze(np.diff(key[walk.runs[a:b]], prepend=np.uint64(0))), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(entries[x:y]), squeeze(counts[x:y]), squeeze(parents[x:y])
+            yield int(row["part"]), s, squeeze(steps(key[walk.runs[a:b]])), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(steps(entries[x:y])), squeeze(counts[x:y]), squeeze(parents[x:y])
 
     return run
 
@@ -218,17 +228,18 @@ def _states(depth: int):
     """A shard: totals of its pairs and the smoothing mass of its contexts to each part; sums of the spread ones."""
 
     def run(frame):
-        asked = [expand(x, np.uint32) for x in frame["entries"]]
-        keys, kinds = [np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
+        asked = [climb(expand(x, np.uint32)) for x in frame["entries"]]
+        keys, kinds = [climb(expand(x, np.uint64)) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
         key, k = np.concatenate(keys), np.concatenate(kinds)
         spread = np.concatenate([expand(x, np.uint64) for x in frame["spread"]])
         contexts, first, of_run = np.unique(key, return_index=True, return_inverse=True)
         spread = spread[first]
         pairs = np.repeat(of_run, k).astype(np.uint64) << np.uint64(32) | np.concatenate(asked)
-        pairs, first, index = np.unique(pairs, return_index=True, return_inverse=True)
+        pairs, index = np.unique(pairs, return_inverse=True)
         context = (pairs >> np.uint64(32)).astype(np.int64)
         c = np.bincount(index, np.concatenate([expand(x, np.uint32) for x in frame["counts"]]), len(pairs))
-        parent = np.concatenate([expand(x, np.float16) for x in frame["parents"]])[first].astype(np.float64)
+        parent = np.zeros(len(pairs))  # each part that counted the pair sends the same, the others 0
+        np.minimum.at(parent, index, np.concatenate([expand(x, np.float16) for x in frame["parents"]]).astype(np.float64))
         seen = c > 0
         n = np.bincount(context, c, len(contexts))
         followers = np.bincount(context[seen], minlength=len(contexts))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fm_dedup, jaccard_join, packing, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from . import chat, decontaminate, fim_frames, fm_dedup, jaccard_join, packing, quality_rules, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity, vector_codes
 from .common import read
 
 
@@ -59,9 +59,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_frames.digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judge(quality_rules.repetition(read(spark, sf_dir, "documents").select("doc_id", "text"), detail=False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op3_chat_formatting": chat.ORACLE, "op6_substring_dedup": fm_dedup.ORACLE, "op7_ngram_jaccard_join": jaccard_join.ORACLE, "op10_suffix_array_dedup": suffix_dedup.ORACLE}
+    return {
+        "op2_benchmark_decontamination": decontaminate.ORACLE, "op3_chat_formatting": chat.ORACLE, "op6_substring_dedup": fm_dedup.ORACLE, "op7_ngram_jaccard_join": jaccard_join.ORACLE,
+        "op10_suffix_array_dedup": suffix_dedup.ORACLE, "op11_fill_in_middle": fim_frames.ORACLE, "op13_quality_rules": quality_rules.ORACLE,
+    }

@@ -7,7 +7,8 @@ Constants are propagated within the braces that hold them, and by their full pat
 name through other names, concatenation or `${name}` is scored by that name. What a comment assigns is reported but
 reaches nothing outside it. Three fixed patterns are always reported as well. Values and their literals may have any
 length and number: names refer to the values that they are made of, and of a value over `WHOLE` characters only what its
-score depends on is kept (both ends, length, counts of characters).
+score depends on is kept (both ends, length, counts of characters). Time and memory are in proportion to the text, whatever
+is nested in it or left open: a comment is lexed for assignments once, and comments within it are its text.
 
 Defined results: null and empty texts have no spans; rows are judged one by one, so repeated rows give equal results;
 an empty table gives an empty table; columns that clash with the new ones are replaced.
@@ -46,13 +47,16 @@ WHOLE, ENDS = 4096, 64
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS), re.compile(HEX)
 _TARGETS = re.compile(r"password|passwd|secret|token|api_?key")
 _EVENT = re.compile(
-    r"""(?P<comment>(?<![^\s])(?:\#|//)[^\n]*|/\*(?s:.*?)\*/)"""
-    r"""|(?P<string>\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"(?:[^"\\\n]|\\.)*+"|(?<![A-Za-z0-9])'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)"""
+    r"""(?P<comment>(?<![^\s])(?:\#|//))|(?P<block>/\*)|(?P<string>"|'''|(?<![A-Za-z0-9])'|`)"""
     r"""|(?P<open>[\[({])|(?P<close>[\])}])|(?P<assign>(?<![=!<>:+*/%-])(?::=|=>|=(?![=~])|:(?![:/])))"""
 )
-_ATOM = re.compile(r"""[ \t]*(?:(\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*`)|([A-Za-z_][A-Za-z0-9_.]*+)|([A-Za-z0-9+/_.=-]++))""")
+_INSIDE_LINE = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*+"'), "'": re.compile(r"'(?:[^'\\\n]|\\.)*+'"), "`": re.compile(r"`[^`\n]*`")}
+_ATOM = re.compile(r"""(?:([A-Za-z_][A-Za-z0-9_.]*+)|([A-Za-z0-9+/_.=-]++))""")
+_BLANK = re.compile(r"[ \t]*")
 _AHEAD = re.compile(r"[ \t]*([\[({]|\r?\n|$)")
 _CLOSES = {"[": "]", "(": ")", "{": "}"}
+#: Keys that the reported name of a target has at most; its score looks at all of them.
+NAMED = 8
 #: Names that say nothing about what they hold; the key above them does.
 GENERIC = frozenset(("value", "values", "default", "data", "text", "literal", "content", "string", "plain", "current", "items", "main", "prod", "dev"))
 _PLUS = re.compile(r"[ \t]*\+(?!=)")
@@ -127,15 +131,44 @@ def value_score(value: str | Value) -> float:
     return 1.0 + (bits >= 2.8) + (digits and letters) - (not digits)
 
 
-@dataclass
+@dataclass(slots=True)
+class Target:
+    """A name that is assigned to: the names above it by `above`, and the score of the nearest one that says something
+    (`own`: that is the name itself; otherwise it counts a little less)."""
+
+    name: str
+    above: Target | None
+    score: float
+    own: bool
+
+    def path(self) -> str:
+        """The last NAMED keys, for reports."""
+        names, at = [], self
+        while at is not None and len(names) < NAMED:
+            names.append(at.name)
+            at = at.above
+        return ".".join(reversed(names))
+
+
+def target(name: str, above: Target | None) -> Target:
+    score, own = above.score if above else 0.0, False
+    for part in name.split("."):
+        if own := part.lower() not in GENERIC:
+            score = name_score(part)
+    return Target(name, above, score, own)
+
+
+@dataclass(slots=True)
 class Frame:
-    """An open bracket, or a key with an indented block: `path` of names above, the bracket that ends it (or none), the
-    column of the key, the constants in it, and the value that its bare literals belong to."""
+    """An open bracket, or a key with an indented block: the target above, the bracket that ends it (or none), the column
+    of the key, the names of the constants in it, the place of its keys in the tree of full paths, and the value that its
+    bare literals belong to."""
 
-    path: tuple[str, ...]
+    above: Target | None
     closes: str
     column: int
     known: dict[str, Value]
+    tree: dict
     value: Value | None = None
 
 
@@ -159,103 +192,200 @@ def _inside(text: str, start: int, end: int) -> tuple[int, int]:
     return start + n, end - n
 
 
-def literal_pairs(text: str, begin: int = 0, stop: int | None = None) -> list[tuple[str, Value]]:
-    """(target name with the keys above it, value after propagation) of each assignment, in order."""
-    stop = len(text) if stop is None else stop
-    frames = [Frame((), "", -1, {})]
-    out: list[tuple[str, Value]] = []
-    string: tuple[int, int] | None = None
-
-    def find(name: str) -> Value | None:
-        return next((f.known[name] for f in reversed(frames) if name in f.known), None)
-
-    def literal(value: Value, start: int, end: int, quoted: bool) -> None:
+class Lexer:
+    """One pass over a text, or over one comment of it (a comment within a comment is text). What is looked for and isn't
+    there is looked for once: ends of block comments and of long strings, and of a string in what is left of a line. Open
+    names are found by a dictionary, constants of full paths by a tree of keys, so no step looks at all that is open."""
+
+    def __init__(self, text: str, begin: int = 0, stop: int | None = None, comment: bool = False):
+        self.text, self.begin, self.stop, self.comment = text, begin, len(text) if stop is None else stop, comment
+        self.out: list[tuple[Target, Value]] = []
+        self.tree: dict = {}
+        self.frames = [Frame(None, "", -1, {}, self.tree)]
+        self.open_names: dict[str, list[Value]] = {}
+        self.open_brackets = Counter()
+        self.missing: set[str] = set()  # ends that the rest of the text hasn't got
+        self.unclosed = {}  # quote: end of the line to which it isn't closed
+        self.line, self.looked = begin, begin
+
+    # ---- names
+
+    def find(self, name: str) -> Value | None:
+        if held := self.open_names.get(name):
+            return held[-1]
+        if "." not in name:
+            return None
+        at = self.tree
+        for part in name.split("."):
+            if (at := at.get(part)) is None:
+                return None
+        return at.get("")
+
+    def record(self, to: Target, value: Value) -> None:
+        frame = self.frames[-1]
+        held = self.open_names.setdefault(to.name, [])
+        if to.name in frame.known:
+            held[-1] = value
+        else:
+            held.append(value)
+        frame.known[to.name] = value
+        self.below(frame.tree, to.name)[""] = value
+        self.out.append((to, value))
+
+    @staticmethod
+    def below(tree: dict, name: str) -> dict:
+        for part in name.split("."):
+            tree = tree.setdefault(part, {})
+        return tree
+
+    def push(self, above: Target | None, closes: str, column: int, tree: dict, value: Value | None = None) -> None:
+        self.frames.append(Frame(above, closes, column, {}, tree, value))
+        self.open_brackets[closes] += 1
+
+    def pop(self) -> Frame:
+        frame = self.frames.pop()
+        self.open_brackets[frame.closes] -= 1
+        for name in frame.known:
+            self.open_names[name].pop()
+        return frame
+
+    # ---- characters
+
+    def until(self, end: str, at: int) -> int:
+        """Behind the next `end`, or -1."""
+        if end in self.missing:
+            return -1
+        found = self.text.find(end, at, self.stop)
+        if found < 0:
+            self.missing.add(end)
+        return found + len(end) if found >= 0 else -1
+
+    def string_end(self, at: int, value: bool = False) -> int:
+        """Where the string that begins at `at` ends, or -1; an apostrophe behind a letter begins one only as a value."""
+        quote = self.text[at]
+        if quote != "`" and self.text.startswith(quote * 3, at) and (end := self.until(quote * 3, at + 3)) >= 0:
+            return end
+        if at < self.unclosed.get(quote, -1) or quote == "'" and at and self.text[at - 1].isascii() and self.text[at - 1].isalnum() and not value:
+            return -1
+        if m := _INSIDE_LINE[quote].match(self.text, at, self.stop):
+            return m.end()
+        line = self.text.find("\n", at, self.stop)
+        self.unclosed[quote] = self.stop if line < 0 else line
+        return -1
+
+    def line_start(self, at: int) -> int:
+        if at > self.looked:
+            found = self.text.rfind("\n", self.looked, at)
+            self.line, self.looked = (found + 1 if found >= 0 else self.line), at
+        return self.line
+
+    # ---- values
+
+    def literal(self, value: Value, start: int, end: int, quoted: bool) -> None:
         done = start
-        for u in _USE.finditer(text, start, end) if quoted else ():
-            if used := find(u[1] or u[2] or u[3]):
-                value.add(text[done : u.start()])
+        for u in _USE.finditer(self.text, start, end) if quoted else ():
+            if used := self.find(u[1] or u[2] or u[3]):
+                value.add(self.text[done : u.start()])
                 value.use(used)
                 done = u.end()
-        value.add(text[done:end])
+        value.add(self.text[done:end])
         if end > start:
             value.spans.append((start, end))
 
-    def record(path: tuple[str, ...], value: Value) -> None:
-        frames[-1].known[path[-1]] = value
-        if len(path) > 1:
-            frames[0].known[".".join(path)] = value
-        out.append((".".join(path), value))
-
-    at = begin
-    while m := _EVENT.search(text, at, stop):
-        at, kind = m.end(), m.lastgroup
-        if kind == "comment":
-            out += literal_pairs(text, m.start() + 1, m.end())
-        elif kind == "string":
-            string = (m.start(), m.end())
-            if frames[-1].value is not None:
-                item = Value()
-                literal(item, *_inside(text, *string), True)
-                frames[-1].value.uses.append(item)
-                out.append((".".join(frames[-1].path), item))
-        elif kind == "open":
-            frames.append(Frame(frames[-1].path, _CLOSES[m[0]], -1, {}, frames[-1].value if m[0] != "{" else None))
-        elif kind == "close":
-            depth = next((k for k in range(len(frames) - 1, 0, -1) if frames[k].closes == m[0]), 0)
-            if depth:
-                del frames[depth:]
-        else:
-            name, start = _name_before(text, m.start(), string)
-            if not name or start < begin:
-                continue
-            column = start - (text.rfind("\n", 0, start) + 1)
-            while not frames[-1].closes and frames[-1].column >= column and len(frames) > 1:
-                frames.pop()
-            path = (*frames[-1].path[-8:], name)
-            ahead = _AHEAD.match(text, at, stop)
-            if ahead and ahead[1] in _CLOSES:
-                frames.append(Frame(path, _CLOSES[ahead[1]], -1, {}, None if ahead[1] == "{" else Value()))
-                at = ahead.end()
-                continue
-            if ahead:  # a key with an indented block, or without a value
-                if m[0] == ":" and not text[text.rfind("\n", 0, start) + 1 : start].strip(" -\t"):
-                    frames.append(Frame(path, "", column, {}))
-                continue
-            value = Value()
-            while a := _ATOM.match(text, at, stop):
-                at = a.end()
-                group = a.lastindex
-                piece = a[group]
-                if group == 2 and text[at : at + 1] == "(":  # a call: its arguments are the name's
-                    frames.append(Frame(path, ")", -1, {}, value))
-                    at += 1
-                    break
-                if group == 2 and (used := find(piece)):
+    def value_at(self, at: int, to: Target) -> tuple[int, Value]:
+        """(where it ends, the value): literals and names joined by +, or the arguments of a call."""
+        value = Value()
+        while True:
+            at = _BLANK.match(self.text, at, self.stop).end()
+            if at < self.stop and self.text[at] in _INSIDE_LINE and (end := self.string_end(at, True)) >= 0:
+                self.literal(value, *_inside(self.text, at, end), True)
+            elif a := _ATOM.match(self.text, at, self.stop):
+                end = a.end()
+                if a.lastindex == 1 and self.text[end : end + 1] == "(" and end < self.stop:
+                    self.push(to, ")", -1, self.below(self.frames[-1].tree, to.name), value)
+                    return end + 1, value
+                if a.lastindex == 1 and (used := self.find(a[1])):
                     value.use(used)
                 else:
-                    literal(value, *(_inside(text, a.start(1), a.end(1)) if group == 1 else a.span(group)), group == 1)
-                if not (p := _PLUS.match(text, at, stop)):
-                    break
-                at = p.end()
-            if value.spans or value.uses:
-                record(path, value)
-    return out
-
-
-def path_score(path: str) -> float:
-    """The score of the last name; where that says nothing, of the nearest one above that does, a little less."""
-    *above, name = path.split(".") if "." in path else [path]
-    if (own := name_score(name)) or name.lower() not in GENERIC:
-        return own
-    return max(0.0, next((name_score(n) for n in reversed(above) if n.lower() not in GENERIC), 0.0) - 0.5)
+                    self.literal(value, *a.span(), False)
+            else:
+                return at, value
+            at = end
+            if not (p := _PLUS.match(self.text, at, self.stop)):
+                return at, value
+            at = p.end()
+
+    def assign(self, m: re.Match, string: tuple[int, int] | None) -> int:
+        at = m.end()
+        name, start = _name_before(self.text, m.start(), string)
+        if not name or start < self.begin:
+            return at
+        line = self.line_start(start)
+        while not self.frames[-1].closes and self.frames[-1].column >= start - line and len(self.frames) > 1:
+            self.pop()
+        to = target(name, self.frames[-1].above)
+        if ahead := _AHEAD.match(self.text, at, self.stop):
+            if ahead[1] in _CLOSES:
+                self.push(to, _CLOSES[ahead[1]], -1, self.below(self.frames[-1].tree, name), None if ahead[1] == "{" else Value())
+                return ahead.end()
+            # a key with an indented block, or without a value
+            if m[0] == ":" and not self.text[line:start].strip(" -\t"):
+                self.push(to, "", start - line, self.below(self.frames[-1].tree, name))
+            return at
+        at, value = self.value_at(at, to)
+        if value.spans or value.uses:
+            self.record(to, value)
+        return at
+
+    def run(self) -> list[tuple[Target, Value]]:
+        at, string = self.begin, None
+        while m := _EVENT.search(self.text, at, self.stop):
+            at, kind = m.end(), m.lastgroup
+            if kind == "comment" or kind == "block":
+                if self.comment:
+                    continue
+                if kind == "comment":
+                    end = self.text.find("\n", at, self.stop)
+                    end = self.stop if end < 0 else end
+                elif (end := self.until("*/", at)) < 0:
+                    continue
+                self.out += Lexer(self.text, at, end, True).run()
+                at = end
+            elif kind == "string":
+                if (end := self.string_end(m.start())) < 0:
+                    at = m.start() + 1
+                    continue
+                at, string, frame = end, (m.start(), end), self.frames[-1]
+                if frame.value is not None and frame.above is not None:
+                    item = Value()
+                    self.literal(item, *_inside(self.text, *string), True)
+                    frame.value.uses.append(item)
+                    self.out.append((frame.above, item))
+            elif kind == "open":
+                frame = self.frames[-1]
+                self.push(frame.above, _CLOSES[m[0]], -1, frame.tree, frame.value if m[0] != "{" else None)
+            elif kind == "close":
+                if self.open_brackets[m[0]]:
+                    while self.pop().closes != m[0]:
+                        pass
+            else:
+                at = self.assign(m, string)
+        return self.out
+
+
+def literal_pairs(text: str) -> list[tuple[Target, Value]]:
+    """(target, value after propagation) of each assignment, in order."""
+    return Lexer(text).run()
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     if "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value in literal_pairs(text):
-        if (of_name := path_score(name)) >= 2.0 and (score := of_name + value_score(value)) >= LEAST_SCORE:
+    for to, value in literal_pairs(text):
+        of_name = to.score if to.own else max(0.0, to.score - 0.5)
+        if of_name >= 2.0 and (score := of_name + value_score(value)) >= LEAST_SCORE:
+            name = to.path()
             # a value that a name of this score has reached has passed it on, so each is visited once a score at most
             ahead = [value]
             while ahead:

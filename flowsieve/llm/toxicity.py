@@ -9,7 +9,7 @@ telling features of each category, picked anew without each held-out fold; scori
 
 Defined results: texts without any known feature, null and empty ones too, get the base rates and are not rejected; without labelled rows, or with
 labels of one kind only, no document is rejected; labels repeated for a doc_id count once, a category as soon as one
-row has it; repeated documents get equal scores; clashing columns are replaced; an empty table gives an empty table.
+row has it; of documents that share an id the one with the least text is fitted on; repeated documents get equal scores; clashing columns are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -140,7 +140,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     order = F.xxhash64("doc_id")
     chosen = marked.orderBy(order, "doc_id").limit(sample_rows)
     rows = docs.where("doc_id IS NOT NULL")
-    sample = stored(rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(24, "doc_id"), "toxicity-sample")
+    # rows that share an id count once, by their least text, so that the sample has `sample_rows` rows at most
+    labelled = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = stored(labelled.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(f"y_{c}").alias(f"y_{c}") for c in CATEGORIES]).repartition(24, "doc_id"), "toxicity-sample")
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{c}").alias(c) for c in CATEGORIES]).head()
     if not total["n"] or not 0 < (total[CATEGORIES[-1]] or 0) < total["n"]:
         return chain

@@ -639,6 +639,10 @@ def test_toxicity_chain(spark):
     assert sum(got[i]["is_toxic"] == (i % 5 == 0) for i in rest) >= 98
     assert not got[400]["is_toxic"] and not got[401]["is_toxic"]
     assert len(chain.weights) == 2 and len(chain.weights[1]) == len(chain.weights[0]) + 1
+    # rows that share an id are one row of the sample
+    again = docs.unionByName(spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.lit("zzz").alias("text")))
+    same = toxicity.fit_chain(again, toxicity.category_labels(found))
+    assert same.vocabulary == chain.vocabulary and all(np.array_equal(a, b) for a, b in zip(same.weights, chain.weights, strict=True))
     none = toxicity.fit_chain(docs, toxicity.category_labels(found.limit(0)))
     assert toxicity.drop_toxic(docs, none).count() == 402
 
@@ -653,5 +657,8 @@ def test_preferences(spark):
     assert got[0]["chosen"] == "<|assistant|>\ngood < |end|><|end|>\n"
     assert [tuple(s) for s in got[0]["rejected_mask"]] == [(0, len("<|assistant|>\nbad<|end|>\n"))]
     assert got[2]["chosen"] == "" and got[2]["rejected_mask"] == []
-    long = spark.range(600).select(F.lit(1).cast("long").alias("pair_id"), (F.col("id") % 2 == 0).alias("chosen"), (F.col("id") / 2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("t").alias("text"))
-    assert sorted(r["prompt_turns"] for r in chat.format_preferences(long).collect()) == [44, 256]
+    long = spark.range(600).select(F.lit(1).cast("long").alias("pair_id"), (F.col("id") % 2 == 0).alias("chosen"), (F.col("id") / 2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("t" * 3000).alias("text"))
+    assert sorted(r["prompt_turns"] for r in chat.format_preferences(long).collect()) == [300]
+    assert chat.format_preferences(long.withColumn("turn", F.col("turn") * 1_000_000)).count() == 1  # sparse numbers
+    assert chat.format_preferences(long.limit(0)).count() == 0
+    assert chat.format_preferences(long.withColumn("role", F.lit(None).cast("string"))).head()["prompt"].startswith("<||>")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import q, softmax
+from .quantiles import quantiles
 
 #: 26 temperatures from 0.5 to 3 and 20 from 3.25 to 8, evenly spaced.
 GRID = [0.5 + i * 0.1 for i in range(26)] + [3.25 + i * 0.25 for i in range(20)]
@@ -40,9 +41,9 @@ def best_temperature(losses: DataFrame, grid: list[float] | None = None) -> Data
 
 
 def gate_thresholds(df: DataFrame, gate: str, bins: int) -> list[float]:
-    """Distinct inner quantiles of the gate score."""
-    at = [k / bins for k in range(1, bins)]
-    return sorted(set(df.agg(F.percentile(q(gate), F.array(*[F.lit(a) for a in at]))).head()[0] or []))
+    """Distinct inner quantiles of the gate score, exact by selection."""
+    found = quantiles(df, {gate: q(gate)}, [k / bins for k in range(1, bins)])[gate]
+    return sorted({x for x in found if x is not None})
 
 
 def gate_bin(gate: Column, thresholds: list[float]) -> Column:

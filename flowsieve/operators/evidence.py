@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_order, number_of, q, to_double
-from .profile import quantile_thresholds
-from .sampling import bucket_in, distributed_row_number, hash_bucket, quota_thresholds, range_edges
+from .quantiles import quantiles
+from .sampling import distributed_row_number, hash_bucket, quota_thresholds, with_range
 
 #: How far each source of evidence is trusted, by dataset family.
 RELIABILITY = {
@@ -32,6 +32,7 @@ class Hint:
     value: object = None
 
 
+#: The names of the hints, their sources and the columns that they look at, by dataset family.
 NETFLOW_HINTS = (
     Hint("proto_tcp", "tcp", "equal", ("PROTOCOL",), 6), Hint("proto_udp", "udp", "equal", ("PROTOCOL",), 17), Hint("proto_icmp", "icmp", "equal", ("PROTOCOL",), 1),
     Hint("in_bytes_high", "bytes", "high", ("IN_BYTES",)), Hint("out_bytes_high", "bytes", "high", ("OUT_BYTES",)),
@@ -61,13 +62,14 @@ def first_number(df: DataFrame, names: tuple[str, ...]) -> Column:
 
 
 def present(df: DataFrame, names: tuple[str, ...]) -> Column:
-    """Whether any named column (`x.*`: any that starts so) is a number other than 0 or a text that says something."""
+    """Whether any named column (`x.*`: any that starts so) is a number other than 0 or a text that says something, as it
+    stands: `0.00` and a blank do (P7)."""
     found = [c for n in names for c in df.columns if (c.lower().startswith(n[:-1].lower()) if n.endswith("*") else c == n)]
     hit = F.lit(False)
     for c in dict.fromkeys(found):
-        text = F.lower(F.trim(q(c).cast("string")))
-        number = to_double(q(c))
-        hit = hit | F.coalesce(F.when(number.isNotNull(), F.abs(number) > 1e-12).otherwise(~text.isin("", "0", "0.0", "nan", "none")), F.lit(False))
+        number = F.abs(to_double(q(c))) > 1e-12
+        text = ~F.lower(q(c).cast("string")).isin("", "0", "0.0", "nan", "none")
+        hit = hit | F.coalesce(number, F.lit(False)) | F.coalesce(text, F.lit(False))
     return hit
 
 
@@ -77,13 +79,22 @@ def over_threshold(x: Column, threshold: Column | float) -> Column:
     return F.when(t <= 0, x > 0).otherwise(x >= t)
 
 
-def add_hints(df: DataFrame, hints: tuple[Hint, ...], fit_on: Column | None = None, at: float = 0.75) -> DataFrame:
-    """df plus a 0/1 column per hint. Quantiles are fitted on the rows of `fit_on` (all without), in one aggregate, and
-    become literals of the projection (J1)."""
-    high = {h.name: next((c for c in h.columns if c in df.columns), None) for h in hints if h.rule == "high"}
-    columns = [c for c in dict.fromkeys(high.values()) if c]
-    fit = df if fit_on is None else df.where(fit_on)
-    limits = {r["column_name"]: r["threshold"] or 0.0 for r in quantile_thresholds(fit, columns, at).collect()} if columns else {}
+def _high_columns(df: DataFrame, hints: tuple[Hint, ...]) -> dict[str, str | None]:
+    return {h.name: next((c for c in h.columns if c in df.columns), None) for h in hints if h.rule == "high"}
+
+
+def fit_limits(df: DataFrame, hints: tuple[Hint, ...], at: float = 0.75) -> dict[str, float]:
+    """The quantile of each column that a `high` hint looks at, all by one selection."""
+    columns = [c for c in dict.fromkeys(_high_columns(df, hints).values()) if c]
+    return {c: v[0] or 0.0 for c, v in quantiles(df, {c: first_number(df, (c,)) for c in columns}, [at]).items()} if columns else {}
+
+
+def add_hints(df: DataFrame, hints: tuple[Hint, ...], fit_on: Column | None = None, at: float = 0.75, limits: dict[str, float] | None = None) -> DataFrame:
+    """df plus a 0/1 column per hint. Quantiles are fitted on the rows of `fit_on` (all without), unless `limits` has them,
+    and become literals of the projection (J1)."""
+    high = _high_columns(df, hints)
+    if limits is None:
+        limits = fit_limits(df if fit_on is None else df.where(fit_on), hints, at)
 
     def rule(h: Hint) -> Column:
         if h.rule == "equal":
@@ -149,8 +160,8 @@ def permute_binary(df: DataFrame, columns: list[str], within: str, key: str, see
 def permute_column(df: DataFrame, column: str, within: str, key: str, seed: int = 42) -> DataFrame:
     """Any column shuffled within the groups of `within` (few: train, valid, test) by a rank join (J6). Both numberings are
     distributed: by key range and by hash prefix."""
-    cut = [q(within), bucket_in(q(key), range_edges(df, q(key), by=q(within)))]
-    to = distributed_row_number(df, [q(key)], cut, "_pos", within=1)
+    ranged, at = with_range(df, q(key), q(within))
+    to = distributed_row_number(ranged, [q(key)], [q(within), *at], "_pos", within=1).drop("_range")
     h = hash_order(seed, column, q(key))
     source = distributed_row_number(df.select(q(within).alias("_w"), q(column).alias("_value"), h.alias("_h"), q(key).alias("_k")), [F.col("_h"), F.col("_k")], [F.col("_w"), hash_bucket(F.col("_h"))], "_from", within=1)
     return to.join(source, q(within).eqNullSafe(F.col("_w")) & (F.col("_pos") == F.col("_from"))).withColumn(column, F.col("_value")).drop("_w", "_value", "_from", "_pos", "_h", "_k")
@@ -159,19 +170,25 @@ def permute_column(df: DataFrame, column: str, within: str, key: str, seed: int
 MODES = ("traffic_only", "weak_cti_concat", "source_gate", "source_gate_pruned", "random_cti", "random_source_gate")
 
 
-def evidence_mode(df: DataFrame, mode: str, hints: tuple[Hint, ...], reliability: dict[str, float], within: str, key: str, fit_on: Column | None = None, pool: str = "sources", seed: int = 42) -> DataFrame:
-    """df with the evidence columns of a mode."""
-    if mode not in MODES:
-        raise ValueError(f"{mode} is none of {MODES}")
-    if mode == "traffic_only":
-        return df
-    out = add_hints(df, hints, fit_on)
+def evidence_modes(df: DataFrame, modes: tuple[str, ...], hints: tuple[Hint, ...], reliability: dict[str, float], within: str, key: str, fit_on: Column | None = None, pool: str = "sources", seed: int = 42) -> dict[str, DataFrame]:
+    """df with the evidence columns of each mode (P12). Thresholds are fitted once and hints are shuffled once for all."""
+    if unknown := set(modes) - set(MODES):
+        raise ValueError(f"{sorted(unknown)} are none of {MODES}")
     names = [PREFIX + h.name for h in hints]
-    if mode.startswith("random"):
-        out = permute_binary(out, names, within, key, seed)
-    if "source_gate" in mode:
-        out = add_gates(out, hints, reliability, pool)
-    return out.drop(*names) if mode == "source_gate_pruned" else out
+    evident = [m for m in modes if m != "traffic_only"]
+    hinted = add_hints(df, hints, fit_on) if evident else df
+    base = {False: hinted, True: permute_binary(hinted, names, within, key, seed) if any(m.startswith("random") for m in evident) else hinted}
+    out = {m: df for m in modes if m == "traffic_only"}
+    for m in evident:
+        own = base[m.startswith("random")]
+        own = add_gates(own, hints, reliability, pool) if "source_gate" in m else own
+        out[m] = own.drop(*names) if m == "source_gate_pruned" else own
+    return {m: out[m] for m in modes}
+
+
+def evidence_mode(df: DataFrame, mode: str, hints: tuple[Hint, ...], reliability: dict[str, float], within: str, key: str, fit_on: Column | None = None, pool: str = "sources", seed: int = 42) -> DataFrame:
+    """df with the evidence columns of one mode."""
+    return evidence_modes(df, (mode,), hints, reliability, within, key, fit_on, pool, seed)[mode]
 
 
 def scale_evidence(features: Column, names: list[str], alpha: float) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import argmax, brier, ece_bin, linear_logits, q, softmax
-from .sampling import bucket_in, range_edges
+
+#: Confidence bins.
+BINS = 15
 
 
 def score_logits(df: DataFrame, logits: str = "logits", temperature: float = 1.0) -> DataFrame:
@@ -66,47 +67,77 @@ def normal_fpr(df: DataFrame, benign: list[int], y: str = "y", pred: str = "pred
     return df.groupBy(*by).agg(F.avg(F.when(q(y).isin(*benign), (~q(pred).isin(*benign)).cast("double"))).alias("normal_fpr"))
 
 
-def reliability_table(df: DataFrame, bins: int = 15, by: tuple[str, ...] = ()) -> DataFrame:
+def reliability_table(df: DataFrame, bins: int = BINS, by: tuple[str, ...] = ()) -> DataFrame:
     """bin, n, accuracy, confidence, gap: the bins that have rows."""
     hit = (F.col("pred") == F.col("y")).cast("double")
     out = df.groupBy(*by, ece_bin(F.col("confidence"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.avg("confidence").alias("confidence"))
     return out.withColumn("gap", F.abs(F.col("accuracy") - F.col("confidence")))
 
 
-def calibration(df: DataFrame, bins: int = 15, by: tuple[str, ...] = ()) -> DataFrame:
+def calibration(df: DataFrame, bins: int = BINS, by: tuple[str, ...] = ()) -> DataFrame:
     """ece, brier and mean_confidence (A10, A11), all from one aggregate by bin."""
     hit = (F.col("pred") == F.col("y")).cast("double")
     table = df.groupBy(*by, ece_bin(F.col("confidence"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.sum("confidence").alias("conf"), F.sum(brier(F.col("probs"), F.col("y"))).alias("b"))
     return table.groupBy(*by).agg((F.sum(F.abs(F.col("hits") - F.col("conf"))) / F.sum("n")).alias("ece"), (F.sum("b") / F.sum("n")).alias("brier"), (F.sum("conf") / F.sum("n")).alias("mean_confidence"))
 
 
+def ranking_by_class(long: DataFrame, ranges: int = 256) -> DataFrame:
+    """label_id, auroc (ties count half) and auprc (step-wise) from rows (label_id, s, positive), all classes at once.
+    Rows are counted by class and score value; scores are cut into ranges of about equally many values by class, running
+    sums go over a range, and those of the ranges before it are added. So no task holds all scores of a class, and the
+    number of jobs doesn't depend on the classes."""
+    counts = long.where("s IS NOT NULL").groupBy("label_id", "s").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("m"))
+    edges = counts.groupBy("label_id").agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 1000).alias("_edges"))
+    ranged = counts.join(F.broadcast(edges), "label_id").withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("s")))).drop("_edges")
+    before = Window.partitionBy("label_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("label_id", "_part").agg(F.sum("p").alias("_p"), F.sum("m").alias("_m"))  # `ranges` rows a class
+    sums = sums.select("label_id", "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}b") for c in ("_p", "_m")], *[F.sum(c).over(Window.partitionBy("label_id")).alias(f"{c}t") for c in ("_p", "_m")])
+    upto = Window.partitionBy("label_id", "_part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(sums, ["label_id", "_part"]).withColumn("tp", F.col("_pb") + F.sum("p").over(upto)).withColumn("fp", F.col("_mb") + F.sum("m").over(upto))
+    area, all_pairs = F.sum(F.col("m") * (F.col("tp") - F.col("p") / 2.0)), F.max(F.col("_pt").cast("double") * F.col("_mt"))
+    return run.groupBy("label_id").agg((area / F.nullif(all_pairs, F.lit(0.0))).alias("auroc"), F.sum(F.col("p") / F.nullif(F.col("_pt").cast("double"), F.lit(0.0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
+
+
 def ranking_scores(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """auroc (ties count half) and auprc (step-wise) of a score (A27). Rows are first counted by score value; running
-    sums then go over ranges of scores, so that no task holds all rows."""
-    counts = df.groupBy(q(score).alias("s")).agg(F.sum(q(positive).cast("long")).alias("p"), F.sum((~q(positive)).cast("long")).alias("m"))
-    edges = range_edges(df, q(score), 256)
-    ranged = counts.withColumn("_p", bucket_in(F.col("s"), edges))
-    sums = sorted(ranged.groupBy("_p").agg(F.sum("p"), F.sum("m")).collect(), reverse=True)  # a row per range
-    at, offsets = (0, 0), []
-    for part, p, m in sums:
-        offsets.append((part, *at))
-        at = (at[0] + p, at[1] + m)
-    before = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "_q int, _bp long, _bm long"))
-    w = Window.partitionBy("_p").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = ranged.join(before, F.col("_p") == F.col("_q")).withColumn("tp", F.col("_bp") + F.sum("p").over(w)).withColumn("fp", F.col("_bm") + F.sum("m").over(w))
-    total_p, total_m = F.lit(float(at[0])), F.lit(float(at[1]))
-    out = run.agg((F.sum(F.col("m") * (F.col("tp") - F.col("p") / 2.0)) / F.nullif(total_p * total_m, F.lit(0.0))).alias("auroc"), F.sum(F.col("p") / F.nullif(total_p, F.lit(0.0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
-    return out
+    """auroc and auprc of a score (A27); null without rows of both kinds."""
+    one = ranking_by_class(df.select(F.lit(0).alias("label_id"), q(score).alias("s"), q(positive).alias("positive")))
+    return one.agg(F.max("auroc").alias("auroc"), F.max("auprc").alias("auprc"))
 
 
 def macro_ranking(df: DataFrame, classes: int, probs: str = "probs", y: str = "y") -> DataFrame:
     """auroc and auprc, each class against the rest, and the plain mean over the classes that have rows and others."""
-    frames = [ranking_scores(df.select(F.get(q(probs), F.lit(k)).alias("s"), (q(y) == k).alias("p")), "s", "p").withColumn("label_id", F.lit(k)) for k in range(classes)]
-    each = reduce(DataFrame.unionAll, frames).where("auroc IS NOT NULL")
-    return each.agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"), F.count(F.lit(1)).alias("n_classes"))
+    long = df.select(q(y).alias("_y"), F.posexplode(F.slice(q(probs), 1, classes)).alias("label_id", "s")).select("label_id", "s", (F.col("_y") == F.col("label_id")).alias("positive"))
+    return ranking_by_class(long).where("auroc IS NOT NULL").agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"), F.count(F.lit(1)).alias("n_classes"))
 
 
 def retention(clean: DataFrame, poisoned: DataFrame, score: str, by: tuple[str, ...]) -> DataFrame:
     """by, clean, poisoned, retention: the poisoned score as a share of the clean one (A27); null where that is 0."""
     a, b = clean.select(*by, q(score).alias("clean")), poisoned.select(*by, q(score).alias("poisoned"))
     return a.join(b, list(by)).withColumn("retention", F.when(F.col("clean") != 0, F.col("poisoned") / F.col("clean")))
+
+def evaluation_sums(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """models x cells from probabilities rows x models x classes: the confusion counts, then of each confidence bin rows,
+    hits and summed confidence, then the summed squared distance to the labels. Sums of parts are those of the whole."""
+    rows, n_models, classes = p.shape
+    pred, confidence = p.argmax(axis=2), p.max(axis=2)
+    bins = np.minimum(np.floor(confidence * BINS), BINS - 1).astype(np.int64)
+    hit = (pred == y[:, None]).astype(float)
+    away = (p * p).sum(axis=2) - 2 * np.take_along_axis(p, np.broadcast_to(y[:, None, None], (rows, n_models, 1)), 2)[:, :, 0] + 1
+    of = np.arange(n_models)[None, :]
+    count = lambda at, size, weight=None: np.bincount((of * size + at).ravel(), weights=None if weight is None else weight.ravel(), minlength=n_models * size).reshape(n_models, size)
+    return np.hstack([count(y[:, None] * classes + pred, classes * classes), count(bins, BINS), count(bins, BINS, hit), count(bins, BINS, confidence), away.sum(axis=0)[:, None]])
+
+
+def scores_of(cells: np.ndarray, classes: int, benign: Iterable[int] = (0,)) -> dict[str, float | None]:
+    """accuracy, macro_f1, normal_fpr, ece, brier and mean_confidence of one model's evaluation sums."""
+    table, rest = cells[: classes * classes].reshape(classes, classes), cells[classes * classes :]
+    n, hits, confidence = rest[:BINS], rest[BINS : 2 * BINS], rest[2 * BINS : 3 * BINS]
+    tp, total, ordinary = np.diag(table), table.sum(), list(benign)
+    p, r = tp / (table.sum(axis=0) + 1e-12), tp / (table.sum(axis=1) + 1e-12)
+    of_benign = table[ordinary]
+    if not total:
+        return dict.fromkeys(("accuracy", "macro_f1", "normal_fpr", "ece", "brier", "mean_confidence"))
+    return {
+        "accuracy": float(tp.sum() / total), "macro_f1": float((2 * p * r / (p + r + 1e-12)).mean()), "normal_fpr": float(1 - of_benign[:, ordinary].sum() / of_benign.sum()) if of_benign.sum() else None,
+        "ece": float(np.abs(hits - confidence).sum() / total), "brier": float(rest[3 * BINS] / total), "mean_confidence": float(confidence.sum() / total),
+    }

@@ -3,9 +3,10 @@ U1, U2, U4, P16, M7)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import q
@@ -82,9 +83,40 @@ def evidence_matrix(df: DataFrame, keys: list[str], metric: str, scenarios: list
     return wide.select(*keys, *scenarios, *[(F.col("source_gate") - F.col(s)).alias(f"source_delta_vs_{s}") for s in scenarios if s != "source_gate"])
 
 
-def figure_source(matrix: DataFrame, panel: str, metric: str, block: str, note: str) -> DataFrame:
-    """An evidence block tagged for a figure panel (U4)."""
-    return matrix.select(F.lit(panel).alias("panel"), F.lit(block).alias("evidence_block"), F.lit(metric).alias("metric"), *matrix.columns, boundary_tag(F.lit(note)).alias("boundary"))
+#: The columns of a figure source.
+FIGURE = ("panel", "evidence_block", "scope", "metric", "traffic_only", "weak_cti", "source_gate", "random_cti", "source_delta_vs_traffic", "source_delta_vs_weak", "boundary")
+
+
+@dataclass(frozen=True)
+class Block:
+    """An evidence block of a figure: what of the run metrics it shows (`rows`: a condition), and what it says about its
+    reach."""
+
+    panel: str
+    name: str
+    scope: str
+    metric: str
+    boundary: str
+    rows: str = "true"
+    scenarios: tuple[str, ...] = ("traffic_only", "weak_cti", "source_gate", "random_cti")
+
+
+def figure_source(runs: DataFrame, blocks: list[Block], scenario: str = "scenario") -> DataFrame:
+    """A row a block with the columns FIGURE, and `reach`, the tag of its boundary text (U4). All blocks are averages of one
+    pass over the run metrics; scenarios that a block leaves out are null, and so are the leads over them."""
+    cells = [
+        F.struct(*[F.avg(F.when((q(scenario) == s) & F.expr(b.rows), q(b.metric))).alias(s) for s in b.scenarios])
+        for b in blocks
+    ]
+    whole = runs.agg(*[c.alias(f"b{k}") for k, c in enumerate(cells)])
+
+    def row(k: int, b: Block) -> Column:
+        value = {s: F.col(f"b{k}.{s}") if s in b.scenarios else F.lit(None).cast("double") for s in ("traffic_only", "weak_cti", "source_gate", "random_cti")}
+        value |= {"panel": F.lit(b.panel), "evidence_block": F.lit(b.name), "scope": F.lit(b.scope), "metric": F.lit(b.metric), "boundary": F.lit(b.boundary)}
+        value |= {"source_delta_vs_traffic": value["source_gate"] - value["traffic_only"], "source_delta_vs_weak": value["source_gate"] - value["weak_cti"]}
+        return F.struct(*[value[c].alias(c) for c in FIGURE], boundary_tag(F.lit(b.boundary)).alias("reach"))
+
+    return whole.select(F.explode(F.array(*[row(k, b) for k, b in enumerate(blocks)])).alias("r")).select("r.*")
 
 
 def claim_gates(matrix: DataFrame, others: list[str]) -> DataFrame:

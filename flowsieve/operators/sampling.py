@@ -14,20 +14,35 @@ from ..functions.expr import hash_order, q
 DIGITS = 3
 
 
-def quota_thresholds(rows: DataFrame, quota: Column) -> list[tuple]:
+#: Rows of a bucket that are ranked in a task; larger ones are cut by further digits first.
+RANKED = 100_000
+
+
+def quota_thresholds(rows: DataFrame, quota: Column, ranked: int = RANKED) -> list[tuple]:
     """(group, hash, key) of the last row in hash order that is within each group's quota; groups with a quota of 0 are
     left out. rows: _g, _h, _k. No group is sorted as a whole: a histogram of hash prefixes (4096 buckets a group at
-    most) tells the bucket in which the quota is reached, and only that bucket's rows are ranked. One row a group comes
-    to the driver, as groups are families."""
-    h = rows.withColumn("_b", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
-    histogram = h.groupBy("_g", "_b").count()
-    sized = histogram.withColumn("_upto", F.sum("count").over(Window.partitionBy("_g").orderBy("_b"))).withColumn("n", F.sum("count").over(Window.partitionBy("_g")))
-    sized = sized.withColumn("_quota", F.least(F.greatest(quota.cast("long"), F.lit(0)), F.col("n")))
-    edge = sized.where("_upto >= _quota AND _quota > 0").groupBy("_g").agg(F.min(F.struct("_b", (F.col("_quota") - F.col("_upto") + F.col("count")).alias("need"))).alias("_e"))
-    edges = rows.sparkSession.createDataFrame(edge.select("_g", "_e._b", "_e.need").collect(), edge.select(F.col("_g").alias("_eg"), F.col("_e._b").alias("_edge"), F.col("_e.need").alias("_need")).schema)
-    inside = h.join(F.broadcast(edges), F.col("_g").eqNullSafe(F.col("_eg")) & (F.col("_b") == F.col("_edge")))
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_k")))
-    return [tuple(r) for r in ranked.where("_r = _need").select("_g", "_h", "_k").collect()]
+    most) tells the bucket in which the quota is reached; buckets of many rows are cut by `DIGITS` further digits, and
+    only rows of the last buckets are ranked. One row a group comes to the driver, as groups are families."""
+    spark, digits, edges = rows.sparkSession, DIGITS, None
+    kind = rows.select(F.col("_g").alias("_eg"), F.col("_h").alias("_edge"), F.lit(0).cast("long").alias("_need")).schema
+    inside = rows
+    while True:
+        cut = inside.withColumn("_b", F.substring("_h", 1, digits))
+        by = Window.partitionBy("_g")
+        sized = cut.groupBy("_g", "_b").count().withColumn("_upto", F.sum("count").over(by.orderBy("_b"))).withColumn("n", F.sum("count").over(by))
+        if edges is None:
+            sized = sized.withColumn("_quota", F.least(F.greatest(quota.cast("long"), F.lit(0)), F.col("n")))
+        else:
+            sized = sized.join(edges.select("_eg", F.col("_need").alias("_quota")), F.col("_g").eqNullSafe(F.col("_eg")))
+        edge = sized.where("_upto >= _quota AND _quota > 0").groupBy("_g").agg(F.min(F.struct("_b", (F.col("_quota") - F.col("_upto") + F.col("count")).alias("need"), "count")).alias("_e"))
+        found = edge.select("_g", "_e._b", "_e.need", "_e.count").collect()  # a row a group
+        edges = F.broadcast(spark.createDataFrame([(g, b, need) for g, b, need, _ in found], kind))
+        inside = rows.join(edges, F.col("_g").eqNullSafe(F.col("_eg")) & (F.substring("_h", 1, digits) == F.col("_edge")))
+        if digits >= 30 or max((r["count"] for r in found), default=0) <= ranked:
+            break
+        digits, inside = digits + DIGITS, inside.drop("_eg", "_edge", "_need")
+    last = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_k")))
+    return [tuple(r) for r in last.where("_r = _need").select("_g", "_h", "_k").collect()]
 
 
 def pick_quota(df: DataFrame, group: str, key: str, quota: Column, seed: int, salt: str, name: str = "picked") -> DataFrame:
@@ -52,11 +67,27 @@ def family_cap(df: DataFrame, family: str, key: str, cap: int, seed: int = 42) -
     return pick_quota(df, family, key, F.lit(cap), seed, "cap").where("picked").drop("picked")
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int, bucket: list[Column] | None = None) -> DataFrame:
+    """The first n rows in `order` (W2): numbered by runs of the order (`bucket`; without, ranges of the first order column),
+    so that no task sorts more than a run, however large n is."""
+    cut, at = (df, bucket) if bucket else with_range(df, order[0])
+    return distributed_row_number(cut, order, at, "_first").where(F.col("_first") <= n).select(*[q(c) for c in df.columns])
+
+
 def first_come_cap(df: DataFrame, family: str, order: str, cap: int, max_rows: int) -> DataFrame:
-    """Of the first `max_rows` rows in `order`, the first `cap` of each family (W2). A bounded top-n, so the window
-    sees max_rows rows at most."""
-    first = df.orderBy(q(order)).limit(max_rows)
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy(q(family)).orderBy(q(order)))).where(F.col("_r") <= cap).drop("_r")
+    """Of the first `max_rows` rows in `order`, the first `cap` of each family (W2). Both numberings are distributed: a
+    family may have any share of the rows, and max_rows may be any share of the table."""
+    first = first_rows(df, [q(order)], max_rows)
+    cut, at = with_range(first, q(order), q(family))
+    numbered = distributed_row_number(cut, [q(order)], [q(family), *at], "_come", within=1)
+    return numbered.where(F.col("_come") <= cap).select(*[q(c) for c in df.columns])
+
+
+def in_file_order(df: DataFrame, run: int = 1_000_000) -> tuple[DataFrame, list[Column], list[Column]]:
+    """(df plus _file and _row, order, bucket) of a table read from Parquet files: the order of files by path and of rows in
+    them, for first_rows and distributed_row_number; runs are `run` rows of a file."""
+    told = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return told, [F.col("_file"), F.col("_row")], [F.col("_file"), F.floor(F.col("_row") / run)]
 
 
 def test_quota(ratio: float, min_group: int = 2) -> Column:
@@ -93,8 +124,9 @@ def proportional_sample(df: DataFrame, family: str, key: str, size: int, seed: i
 
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int = 42, salt: str = "rows") -> DataFrame:
-    """n rows in hash order (T1): a distributed top-n, not a sort."""
-    return df.withColumn("_h", hash_order(seed, salt, q(key))).orderBy("_h", q(key)).limit(n).drop("_h")
+    """n rows in hash order (T1): a threshold and a filter, as a quota of one group, whatever n is."""
+    one = df.withColumn("_all", F.lit(0))
+    return pick_quota(one, "_all", key, F.lit(n), seed, salt, "_picked").where("_picked").drop("_all", "_picked")
 
 
 def hash_bucket(h: Column) -> Column:
@@ -102,24 +134,36 @@ def hash_bucket(h: Column) -> Column:
     return F.substring(h, 1, DIGITS)
 
 
-def range_edges(df: DataFrame, column: Column, buckets: int = 64, by: Column | None = None) -> Column:
-    """Inner quantiles of a number as an array column literal for `bucket_in`; with `by` (few values, as labels), one array
-    for each of them. The edges only balance the buckets, so approximate ones do; they are found once and are then fixed."""
-    at = [k / buckets for k in range(1, buckets)]
-    one = F.percentile_approx(column.try_cast("double"), at, 1000)
-    as_array = lambda edges: F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
-    if by is None:
-        return as_array(df.agg(one).head()[0])
-    out = F.array().cast("array<double>")
-    for value, edges in df.groupBy(by).agg(one).collect():
-        out = F.when(by.eqNullSafe(F.lit(value)), as_array(edges)).otherwise(out)
-    return out
+#: Ranges of a column, and sampled values to a range.
+RANGES, SAMPLED = 64, 16
+
+
+def sampled_edges(df: DataFrame, column: Column, by: Column | None = None, ranges: int = RANGES) -> DataFrame:
+    """(_by, _edges): inner edges of about equal ranges of any column that has an order, texts too; with `by` (few values,
+    as labels or splits) for each of them. They are those of a sample of about ranges * SAMPLED rows a group, chosen by
+    hash. The edges only balance the ranges, so a sample does."""
+    group = by.cast("string") if by is not None else F.lit("")
+    rows = df.select(group.alias("_by"), column.alias("_x")).where(F.col("_x").isNotNull())
+    sizes = rows.groupBy("_by").count().collect()  # a row a group
+    share = F.lit(1.0)
+    for r in sizes:
+        share = F.when(F.col("_by").eqNullSafe(F.lit(r["_by"])), F.lit(ranges * SAMPLED / max(1, r["count"]))).otherwise(share)
+    chosen = rows.where(F.pmod(F.xxhash64("_x"), F.lit(1 << 30)) < share * float(1 << 30)).distinct()
+    held: dict = {}
+    for r in chosen.orderBy("_by", "_x").collect():  # ranges * SAMPLED rows a group, about
+        held.setdefault(r["_by"], []).append(r["_x"])
+    edges = [(r["_by"], [x[k * len(x) // ranges] for k in range(1, ranges)] if len(x := held.get(r["_by"], [])) >= ranges else x) for r in sizes]
+    kind = rows.select("_by", F.array("_x").alias("_edges")).schema
+    return df.sparkSession.createDataFrame(edges, kind)
 
 
-def bucket_in(column: Column, edges: Column) -> Column:
-    """Number of edges under a number (null: 0)."""
-    x = column.try_cast("double")
-    return F.size(F.filter(edges, lambda e: e < x))
+def with_range(df: DataFrame, column: Column, by: Column | None = None, ranges: int = RANGES) -> tuple[DataFrame, list[Column]]:
+    """(df plus the number of the range that the column is in, from 0, nulls in 0, that number as a bucket)."""
+    edges = sampled_edges(df, column, by, ranges)
+    group = by.cast("string") if by is not None else F.lit("")
+    out = df.join(F.broadcast(edges), group.eqNullSafe(F.col("_by")), "left")  # a row a group, as many as labels or splits
+    place = F.coalesce(F.when(column.isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e <= column))), F.lit(0))
+    return out.withColumn("_range", place).drop("_by", "_edges"), [F.col("_range")]
 
 
 def distributed_row_number(df: DataFrame, order: list[Column], bucket: list[Column], name: str = "row_number", within: int = 0) -> DataFrame:
@@ -157,8 +201,8 @@ def label_skew_clients(df: DataFrame, label: str, key: str, clients: int, classe
     """df plus client_id: rows in label order are cut into max(2 * clients, 2 * classes) shards, and the shards, in
     hash order, are dealt out in turn (W8). Rows are numbered by label and key range, so a label may have any share."""
     shards = max(2 * clients, 2 * classes)
-    bucket = [q(label), bucket_in(q(key), range_edges(df, q(key), by=q(label)))]
-    numbered = distributed_row_number(df, [q(key)], bucket, "_n").withColumn("_shard", _parts(F.col("_n"), df.count(), shards)).drop("_n")
+    cut, at = with_range(df, q(key), q(label))
+    numbered = distributed_row_number(cut, [q(key)], [q(label), *at], "_n").withColumn("_shard", _parts(F.col("_n"), df.count(), shards)).drop("_n", "_range")
     deal = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("_s"), hash_order(seed, "shard", F.col("id")).alias("_h"))
     deal = deal.select("_s", F.pmod(F.row_number().over(Window.orderBy("_h", "_s")) - 1, F.lit(clients)).cast("int").alias("client_id"))
     return numbered.join(F.broadcast(deal), F.col("_shard") == F.col("_s"), "left").drop("_s", "_shard")

@@ -1,17 +1,21 @@
-"""Softmax regression: class weights, MLlib, and full-batch steps with extra loss terms."""
+"""Softmax regression: class weights, MLlib, and stacks of models with extra loss terms by L-BFGS.
+
+A stack holds models that differ in their features' scales, loss terms and training rows. One scan of the table gives the
+losses and gradients of all of them, at several step lengths each, so that the scans don't multiply by models or by the
+trials of a line search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import q
 
-
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """label, n, weight: total / n, divided by the mean of these over the classes."""
     counts = df.groupBy(q(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -38,34 +42,165 @@ def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, row_weig
     return x.T @ g
 
 
-def fit_softmax(df: DataFrame, classes: int, width: int, steps: int = 30, lr: float = 0.5, decay: float = 1e-4, weights: dict[int, float] | None = None, smoothing: float = 0.0, penalty: float = 0.0, features: str = "features", label: str = "y") -> tuple[np.ndarray, list[float]]:
-    """(weights with the bias as last row, mean loss before each step) by full-batch steps from zero (M2, H4). A step is
-    one job: a partial gradient per partition, summed in Spark by coordinate; persist df before."""
-    w, losses = np.zeros((width + 1, classes)), []
-    spark, smoothing = df.sparkSession, min(max(smoothing, 0.0), 0.5)
-    table = np.array([(weights or {}).get(k, 1.0) for k in range(classes)])
-    for _ in range(steps):
-        held = spark.sparkContext.broadcast(w)
-
-        def part(batches: Iterator[pd.DataFrame], held=held):
-            g, n, loss = np.zeros_like(held.value), 0, 0.0
-            for b in batches:
-                if len(b):
-                    x, y = np.column_stack([np.stack(b[features].to_numpy()), np.ones(len(b))]), b[label].to_numpy()
-                    g += gradient(x, y, held.value, classes, table[y], smoothing, penalty)
-                    loss -= float((table[y] * np.log(softmax_rows(x @ held.value)[np.arange(len(y)), y] + 1e-12)).sum())
-                    n += len(b)
-            yield pd.DataFrame({"coord": np.arange(g.size + 2), "value": np.concatenate([g.ravel(), [n, loss]])})
-
-        sums = df.select(features, label).mapInPandas(part, "coord int, value double").groupBy("coord").agg(F.sum("value").alias("value"))
-        flat = np.array([v for _, v in sorted((r["coord"], r["value"]) for r in sums.collect())])  # width * classes numbers
-        if not len(flat) or not flat[-2]:
+#: Rows that a task multiplies at once.
+AT_ONCE = 8192
+#: Step lengths that a line search tries in the same scan.
+LENGTHS = (1.0, 2.0, 0.5, 0.25, 0.1, 0.01)
+
+
+@dataclass(frozen=True)
+class Models:
+    """What the models of a stack differ in, an entry a model: factors of the features (models x width), label smoothing,
+    confidence penalty, and the bit of a row's `member` that says whether the row trains the model."""
+
+    scales: np.ndarray
+    smoothing: np.ndarray
+    penalty: np.ndarray
+    bit: np.ndarray
+
+    @staticmethod
+    def of(width: int, alphas: list[float] | None = None, scaled: np.ndarray | None = None, smoothing: float = 0.0, penalty: float = 0.0, bits: int = 1) -> Models:
+        """Every alpha (the factor of the features marked in `scaled`) for every bit, bits first."""
+        alphas = alphas or [1.0]
+        one = np.array([np.where(scaled, a, 1.0) if scaled is not None else np.ones(width) for a in alphas])
+        n = bits * len(alphas)
+        return Models(np.tile(one, (bits, 1)), np.full(n, min(max(smoothing, 0.0), 0.5)), np.full(n, penalty), np.repeat(np.arange(bits), len(alphas)))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of equally long number lists as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
+def summed(rows: DataFrame, part: Callable, size: int) -> np.ndarray:
+    """The sum over all tasks of part(batches), an array of `size` numbers a task."""
+
+    def run(batches):
+        total = part(batches)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["at", "value"])
+
+    out = np.zeros(size)
+    got = rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out[got.column("at").to_numpy()] = got.column("value").to_numpy()
+    return out
+
+
+def loss_rows(z: np.ndarray, y: np.ndarray, weight: np.ndarray, smoothing: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted losses, their gradients by logit) of logits rows x trials x classes."""
+    e = np.exp(z - z.max(axis=2, keepdims=True))
+    p = e / e.sum(axis=2, keepdims=True)
+    logp = np.log(np.clip(p, 1e-12, 1.0))
+    target = np.full((len(y), 1, z.shape[2]), smoothing / z.shape[2])
+    target[np.arange(len(y)), 0, y] += 1.0 - smoothing
+    loss, g = -(target * logp).sum(axis=2), p - target
+    if penalty:
+        inner = (p * logp).sum(axis=2, keepdims=True)
+        loss, g = loss + penalty * inner[:, :, 0], g + penalty * p * (logp - inner)
+    return loss * weight[:, None], g * weight[:, None, None]
+
+
+def stack_sums(rows: DataFrame, models: Models, w: np.ndarray, class_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of each model, summed loss by model and trial, summed gradient) at weights models x trials x (width + 1) x
+    classes, in one scan of rows (features, y, member)."""
+    n_models, trials, deep, classes = w.shape
+    held = rows.sparkSession.sparkContext.broadcast((models, w, class_weights))
+
+    def part(batches):
+        models, w, class_weights = held.value
+        n, loss, g = np.zeros(n_models), np.zeros((n_models, trials)), np.zeros(w.shape)
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                piece = batch.slice(start, AT_ONCE)
+                x, y, member = matrix(piece.column(0), deep - 1), piece.column(1).to_numpy(), piece.column(2).to_numpy()
+                for m in range(n_models):
+                    own = np.flatnonzero((member >> models.bit[m]) & 1)
+                    if len(own):
+                        xs = np.column_stack([x[own] * models.scales[m], np.ones(len(own))])
+                        z = (xs @ w[m].transpose(1, 0, 2).reshape(deep, -1)).reshape(len(own), trials, classes)
+                        l, gz = loss_rows(z, y[own], class_weights[models.bit[m]][y[own]], models.smoothing[m], models.penalty[m])
+                        n[m] += len(own)
+                        loss[m] += l.sum(axis=0)
+                        g[m] += (xs.T @ gz.reshape(len(own), -1)).reshape(deep, trials, classes).transpose(1, 0, 2)
+        return np.concatenate([n, loss.ravel(), g.ravel()])
+
+    flat = summed(rows.select("features", F.col("y").cast("long"), F.col("member").cast("long")), part, n_models * (1 + trials) + w.size)
+    return flat[:n_models], flat[n_models : n_models * (1 + trials)].reshape(n_models, trials), flat[n_models * (1 + trials) :].reshape(w.shape)
+
+
+def _direction(g: np.ndarray, steps: list[np.ndarray], changes: list[np.ndarray]) -> np.ndarray:
+    """The two-loop recursion over the last steps and changes of the gradient."""
+    d, used = -g, []
+    for s, c in zip(reversed(steps), reversed(changes), strict=True):
+        a = (s @ d) / (c @ s)
+        d = d - a * c
+        used.append(a)
+    if steps:
+        d = d * ((steps[-1] @ changes[-1]) / (changes[-1] @ changes[-1]))
+    for s, c, a in zip(steps, changes, reversed(used), strict=True):
+        d = d + s * (a - (c @ d) / (c @ s))
+    return d
+
+
+def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, iterations: int = 60, tolerance: float = 1e-7, memory: int = 10) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(weights, losses of all models after each iteration) by L-BFGS on a stack: start is models x numbers; evaluate maps
+    models x trials x numbers to losses (models x trials) and gradients. An iteration is one call of evaluate: it tries
+    all step lengths, and of those that lower the loss enough (Armijo) the lowest is taken. A model stands still once no
+    length does, from its plain gradient as well, or once it gains less than `tolerance`."""
+    w, n = start.copy(), len(start)
+    f, g = (x[:, 0] for x in evaluate(w[:, None]))
+    steps, changes = [[] for _ in range(n)], [[] for _ in range(n)]
+    open_, seen = np.ones(n, dtype=bool), [f.copy()]
+    lengths = np.array(LENGTHS)
+    for _ in range(iterations):
+        if not open_.any():
             break
-        losses.append(flat[-1] / flat[-2])
-        g = flat[:-2].reshape(w.shape) / flat[-2]
-        g[:-1] += decay * w[:-1]
-        w = w - lr * g
-    return w, losses
+        d = np.stack([_direction(g[m], steps[m], changes[m]) / (1.0 if steps[m] else max(1.0, np.linalg.norm(g[m]))) for m in range(n)])
+        slope = (d * g).sum(axis=1)
+        trial = w[:, None] + lengths[None, :, None] * d[:, None]
+        fs, gs = evaluate(trial)
+        fs = np.where(np.isfinite(fs) & (fs <= f[:, None] + 1e-4 * lengths * slope[:, None]), fs, np.inf)
+        for m in np.flatnonzero(open_):
+            k = int(np.argmin(fs[m]))
+            if not np.isfinite(fs[m, k]):
+                open_[m] = bool(steps[m])
+                steps[m], changes[m] = [], []
+                continue
+            s, c = trial[m, k] - w[m], gs[m, k] - g[m]
+            if s @ c > 1e-12:
+                steps[m], changes[m] = [*steps[m][1 - memory :], s], [*changes[m][1 - memory :], c]
+            open_[m] = f[m] - fs[m, k] > tolerance * max(1.0, abs(f[m]))
+            w[m], f[m], g[m] = trial[m, k], fs[m, k], gs[m, k]
+        seen.append(f.copy())
+    return w, seen
+
+
+def fit_stack(rows: DataFrame, models: Models, classes: int, class_weights: np.ndarray | None = None, decay: float = 1e-4, iterations: int = 60) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(weights models x (width + 1) x classes with the bias last, mean losses after each iteration) of rows (features, y,
+    member). Persist rows before: every iteration scans them once for all models. class_weights: bits x classes."""
+    n_models, width = models.scales.shape
+    shape = (n_models, width + 1, classes)
+    table = np.ones((int(models.bit.max()) + 1, classes)) if class_weights is None else class_weights
+
+    def evaluate(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = flat.reshape(n_models, -1, width + 1, classes)
+        n, loss, g = stack_sums(rows, models, w, table)
+        n = np.maximum(n, 1.0)
+        inner = w[:, :, :-1]
+        g = g / n[:, None, None, None]
+        g[:, :, :-1] += decay * inner
+        return loss / n[:, None] + decay / 2 * (inner * inner).sum(axis=(2, 3)), g.reshape(flat.shape)
+
+    w, losses = minimise(evaluate, np.zeros((n_models, (width + 1) * classes)), iterations)
+    return w.reshape(shape), losses
+
+
+def fit_softmax(df: DataFrame, classes: int, width: int, iterations: int = 60, decay: float = 1e-4, weights: dict[int, float] | None = None, smoothing: float = 0.0, penalty: float = 0.0, features: str = "features", label: str = "y") -> tuple[np.ndarray, list[float]]:
+    """(weights with the bias as last row, mean loss after each iteration) of one model (M2, H4)."""
+    rows = df.select(q(features).alias("features"), q(label).alias("y"), F.lit(1).alias("member"))
+    table = np.array([[(weights or {}).get(k, 1.0) for k in range(classes)]])
+    w, losses = fit_stack(rows, Models.of(width, smoothing=smoothing, penalty=penalty), classes, table, decay, iterations)
+    return w[0], [float(x[0]) for x in losses]
 
 
 def fit_multinomial(df: DataFrame, decay: float = 1e-4, max_iter: int = 80, features: str = "features", label: str = "y"):

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import calibrate, evidence, features, federated, labels, metrics, profile, report, sampling, train
-from ..sources import tables
+from ..operators import calibrate, evidence, features, federated, labels, metrics, posthoc, profile, report, sampling, train
+from ..sources import csv_scan, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,10 +127,41 @@ def s2(spark, sf_dir):
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", X.to_double(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority")
 
 
-@query("s3_a25_tolerant_scan", "SELECT CAST(sum(1) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_bad, count(o_totalprice) AS n_filled, 'ok' AS status FROM orders")
+_SCANNED = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query("s3_a25_tolerant_scan", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad, count(o_totalprice) AS n_filled, 'ok' AS status FROM orders")
 def s3(spark, sf_dir):
-    scan = tables.tolerant_scan(spark, _csv_copy(spark, sf_dir), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
-    return scan.groupBy("status").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.sum("n_o_totalprice").alias("n_filled")).select("n_rows", "n_bad", "n_filled", "status")
+    scan = csv_scan.scan_csv(spark, _csv_copy(spark, sf_dir), _SCANNED)
+    filled = csv_scan.rows_of(scan).groupBy(F.col("_file").alias("file")).agg(F.count("o_totalprice").alias("filled"))
+    return csv_scan.report(scan).join(filled, "file", "left").groupBy("status").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.sum("filled").alias("n_filled")).select("n_rows", "n_bad", "n_filled", "status")
+
+
+def _broken_copy(spark, sf_dir: str) -> str:
+    """orders as four folders of CSV parts: sound ones, ones where a row has a cell too many, ones whose body isn't UTF-8,
+    and ones under other names."""
+    path = _csv_copy(spark, sf_dir) + "-broken"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_SCANNED).repartition(4, "o_orderkey")
+    write = lambda x, kind, **options: x.write.options(**({"header": True} | options)).csv(f"{path}/{kind}")
+    write(df, "sound")
+    lines = df.select(F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderkey") % 100 == 0, "more")).alias("o_orderkey,o_orderstatus,o_totalprice,o_orderpriority"))
+    write(lines, "unequal", sep="\x01", quote="", emptyValue="")
+    write(df.withColumn("o_orderstatus", F.lit("\u00e9")), "latin", encoding="ISO-8859-1")
+    write(df.toDF("a", "b", "c", "d"), "renamed")
+    return path
+
+
+@query("s3_a25_broken_files", """SELECT 'sound' AS kind, 'ok' AS status, '' AS error, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad, count(*) AS n_read, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS labels FROM orders
+UNION ALL SELECT 'unequal', 'partial', '', count(*) FILTER (o_orderkey % 100 <> 0), count(*) FILTER (o_orderkey % 100 = 0), count(*) FILTER (o_orderkey % 100 <> 0), string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderkey % 100 <> 0) FROM orders
+UNION ALL SELECT 'latin', 'error', 'UnicodeDecodeError', 0, 0, 0, '' UNION ALL SELECT 'renamed', 'error', 'none of the columns', 0, 0, 0, ''""")
+def s3_broken(spark, sf_dir):
+    scan = csv_scan.scan_csv(spark, _broken_copy(spark, sf_dir), _SCANNED)
+    kind = lambda c: F.regexp_extract(c, "-broken/([a-z]+)/", 1)
+    told = csv_scan.report(scan, "o_orderstatus").groupBy(kind("file").alias("kind"), "status", F.coalesce(F.substring_index("error", ":", 1), F.lit("")).alias("error"))
+    keys = F.flatten(F.collect_set(F.coalesce(F.json_object_keys("labels"), F.array().cast("array<string>"))))
+    told = told.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.array_join(F.array_sort(F.array_distinct(keys)), ",").alias("labels"))
+    read = csv_scan.rows_of(scan).groupBy(kind("_file").alias("kind")).agg(F.count(F.lit(1)).alias("n_read"))
+    return told.join(read, "kind", "left").select("kind", "status", "error", "n_rows", "n_bad", F.coalesce("n_read", F.lit(0)).alias("n_read"), "labels")
 
 
 @query("s4_bounded_read", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500")
@@ -193,9 +224,10 @@ def p6(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.unsw_family(text).alias("unsw"), X.netflow_family(text).alias("netflow"))
 
 
-@query("p7_presence_hint", "SELECT l_orderkey, l_partkey, CAST((CASE WHEN l_discount > 1e-12 THEN 1 WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS hint FROM lineitem")
+@query("p7_presence_hint", "SELECT l_orderkey, l_partkey, CAST((CASE WHEN l_discount > 1e-12 THEN 1 WHEN l_linestatus = 'F' THEN 1 WHEN l_tax = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS hint FROM lineitem")
 def p7(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", F.col("l_discount").alias("TCP"), F.when(F.col("l_linestatus") == "F", "F").otherwise("none").alias("tcp.flags"))
+    text = F.when(F.col("l_tax") == 0, "0.00").otherwise("0.0")  # a text of a zero says something unless it is `0` or `0.0`
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", F.col("l_discount").alias("TCP"), F.when(F.col("l_linestatus") == "F", "F").otherwise("None").alias("tcp.flags"), text.alias("tcp.len"))
     return df.select("l_orderkey", "l_partkey", evidence.present(df, ("TCP", "tcp.*")).cast("double").alias("hint"))
 
 
@@ -261,18 +293,20 @@ _MODES_SQL = " UNION ALL ".join((
 
 @query("p12_evidence_modes", f"WITH {SPLIT}, {HINT_SQL}, {GATE_SQL}, {_RANDOM}, {GATE_SQL.replace('g AS (', 'rg AS (', 1).replace('FROM h)', 'FROM r)')} {_MODES_SQL}")
 def p12(spark, sf_dir):
-    base = split_flows(spark, sf_dir)
-    frames = []
-    for mode in evidence.MODES:
-        df = evidence.evidence_mode(base, mode, evidence.NETFLOW_HINTS, evidence.RELIABILITY["netflow"], "split", "key", F.col("split") == "train")
-        n = len([c for c in df.columns if c.startswith(evidence.PREFIX)])
-        held = [X.q(evidence.PREFIX + h) for h in HINTS if evidence.PREFIX + h in df.columns]
-        gate = evidence.PREFIX + "source_gate_mean"
-        hints = F.sum(sum(held, F.lit(0.0))) if held else F.lit(0.0)
-        gates = F.sum(gate) if gate in df.columns else F.lit(0.0)
-        squares = F.sum(F.pow(gate, F.lit(2.0))) if gate in df.columns else F.lit(0.0)
-        frames.append(df.agg(F.count(F.lit(1)).alias("n"), hints.alias("hints"), gates.alias("gates"), squares.alias("squares")).select(F.lit(mode).alias("mode"), F.lit(n).cast("long").alias("n_columns"), "n", "hints", "gates", "squares"))
-    return rounded(report.union_all(frames), "hints", "gates", "squares", places=3)
+    frames = evidence.evidence_modes(split_flows(spark, sf_dir), evidence.MODES, evidence.NETFLOW_HINTS, evidence.RELIABILITY["netflow"], "split", "key", F.col("split") == "train")
+    gate, out = F.col(evidence.PREFIX + "source_gate_mean"), []
+    held = sum((X.q(evidence.PREFIX + h) for h in HINTS), F.lit(0.0))
+    # the modes without random hints show what the gated frame has, the others what the random one has: an aggregate each
+    for full, modes in (("source_gate", evidence.MODES[:4]), ("random_source_gate", evidence.MODES[4:])):
+        one = frames[full].agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("h"), F.sum(gate).alias("g"), F.sum(F.pow(gate, F.lit(2.0))).alias("s"))
+        rows = []
+        for m in modes:
+            columns = frames[m].columns
+            has = {"h": evidence.PREFIX + HINTS[0] in columns, "g": evidence.PREFIX + "source_gate_mean" in columns}
+            pick = lambda c, k: F.col(c) if has[k] else F.lit(0.0)  # noqa: B023, E731
+            rows.append(F.struct(F.lit(m).alias("mode"), F.lit(len([c for c in columns if c.startswith(evidence.PREFIX)])).cast("long").alias("n_columns"), "n", pick("h", "h").alias("hints"), pick("g", "g").alias("gates"), pick("s", "g").alias("squares")))
+        out.append(one.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+    return rounded(report.union_all(out), "hints", "gates", "squares", places=3)
 
 
 @query("p18_evidence_poisoning", f"WITH {SPLIT}, {HINT_SQL}, c AS (SELECT key, split, proto_tcp, substr(md5(concat_ws('|', '42', 'poison', CAST(key AS VARCHAR))), 1, 8) < '4ccccccd' AS chosen FROM h), a AS (SELECT key, split, row_number() OVER (PARTITION BY split ORDER BY key) AS p FROM c WHERE chosen), b AS (SELECT split, proto_tcp, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('|', '42', '_row', CAST(key AS VARCHAR))), key) AS p FROM c WHERE chosen) SELECT a.key, b.proto_tcp FROM a JOIN b ON a.split = b.split AND a.p = b.p UNION ALL SELECT key, proto_tcp FROM c WHERE NOT chosen")
@@ -411,7 +445,7 @@ _PROFILED = ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")
 @query("a3_p4_profile", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, round(avg((TRY_CAST({c} AS DOUBLE) IS NOT NULL)::INT), 6) AS parse_ratio, count(DISTINCT {c}) AS n_distinct, '{k}' AS kind, '' AS reason FROM lineitem" for c, k in zip(_PROFILED, ("numeric", "numeric", "categorical", "categorical"))))
 def a3(spark, sf_dir):
     p = profile.profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_PROFILED), list(_PROFILED))
-    return rounded(p.join(profile.select_by_profile(p), "column_name").select("column_name", "n", "parse_ratio", "n_distinct", "kind", "reason"), "parse_ratio")
+    return rounded(profile.with_kinds(p).select("column_name", "n", "parse_ratio", "n_distinct", "kind", "reason"), "parse_ratio")
 
 
 @query("a4_impute_stats", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(median(x), 3) AS median, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS std FROM (SELECT coalesce(v, (SELECT median(w) FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS w FROM lineitem))) AS x FROM (SELECT CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE {c} END AS v FROM lineitem))" for c in ("l_quantity", "l_extendedprice")))
@@ -604,6 +638,12 @@ def a27_macro(spark, sf_dir):
     return rounded(metrics.macro_ranking(scored(spark, sf_dir), 10), "auroc", "auprc")
 
 
+@query("a27_retention", f"WITH {RUNS} SELECT c.dataset, c.seed, round(c.macro_f1, 6) AS clean, round(p.macro_f1, 6) AS poisoned, round(p.macro_f1 / nullif(c.macro_f1, 0), 6) AS retention FROM runs c JOIN runs p ON c.dataset = p.dataset AND c.seed = p.seed WHERE c.scenario = 'source_gate' AND p.scenario = 'random_cti'")
+def a27_retention(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    return rounded(metrics.retention(r.where("scenario = 'source_gate'"), r.where("scenario = 'random_cti'"), "macro_f1", ("dataset", "seed")), "clean", "poisoned", "retention")
+
+
 # ---- windows, samples, splits --------------------------------------------------------------------------------------
 
 
@@ -617,6 +657,13 @@ def w2(spark, sf_dir):
     return sampling.first_come_cap(flows(spark, sf_dir), "skewed", "key", 200, 5000).select("key")
 
 
+@query("w2_first_half", f"WITH {FLOWS}, f AS (SELECT *, 'k' || CAST(key AS VARCHAR) AS name FROM flows ORDER BY name LIMIT (SELECT count(*) // 2 FROM events)) SELECT name FROM (SELECT name, row_number() OVER (PARTITION BY skewed ORDER BY name) AS r FROM f) WHERE r <= 3000")
+def w2_half(spark, sf_dir):
+    """Half of the table, in the order of a text key."""
+    df = flows(spark, sf_dir).select("skewed", F.concat(F.lit("k"), F.col("key").cast("string")).alias("name"))
+    return sampling.first_come_cap(df, "skewed", "name", 3000, df.count() // 2).select("name")
+
+
 @query("w3_stratified_split", f"WITH {SPLIT} SELECT key, split FROM split")
 def w3(spark, sf_dir):
     return split_flows(spark, sf_dir).select("key", "split")
@@ -650,6 +697,12 @@ def w8(spark, sf_dir):
     return sampling.label_skew_clients(flows(spark, sf_dir), "family", "key", 10, 5).select("key", "client_id")
 
 
+@query("w8_text_keys", f"WITH {FLOWS}, s AS (SELECT 'k' || CAST(key AS VARCHAR) AS name, ntile(20) OVER (ORDER BY family, 'k' || CAST(key AS VARCHAR)) - 1 AS shard FROM flows), d AS (SELECT i AS shard, (row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'shard', CAST(i AS VARCHAR))), i) - 1) % 10 AS client_id FROM range(0, 20) t(i)) SELECT name, CAST(client_id AS INTEGER) AS client_id FROM s JOIN d USING (shard)")
+def w8_text(spark, sf_dir):
+    df = flows(spark, sf_dir).select("family", F.concat(F.lit("k"), F.col("key").cast("string")).alias("name"))
+    return sampling.label_skew_clients(df, "family", "name", 10, 5).select("name", "client_id")
+
+
 @query("w9_shuffled_order", "SELECT event_id AS key, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'shuffle', CAST(event_id AS VARCHAR))), event_id) AS place FROM events")
 def w9_h5(spark, sf_dir):
     df = flows(spark, sf_dir).select("key", X.hash_order(42, "shuffle", F.col("key")).alias("h"))
@@ -715,10 +768,24 @@ def u2(spark, sf_dir):
     return rounded(matrix(spark, sf_dir), *SCENARIOS, *[f"source_delta_vs_{s}" for s in _LEADS])
 
 
-@query("u4_figure_source", f"WITH {MATRIX} SELECT 'A' AS panel, 'capped' AS evidence_block, 'macro_f1' AS metric, dataset, round(source_gate, 6) AS source_gate, 'stress' AS boundary FROM x")
+_BLOCKS = [
+    report.Block("A", "all nations", "every nation, three seeds", "macro_f1", "Supported on every nation."),
+    report.Block("B", "stress", "seed 43 alone", "macro_f1", "Stress probe, not a final result.", "seed = 43"),
+    report.Block("C", "calibrated", "without weak hints", "macro_f1", "Negative or mixed calibration result.", scenarios=("traffic_only", "source_gate", "random_cti")),
+    report.Block("D", "post-hoc calibration", "every nation, three seeds", "ece", "A boundary case.", scenarios=("traffic_only", "source_gate", "random_cti")),
+]
+_REACH = {"A": "supported", "B": "stress", "C": "boundary", "D": "boundary"}
+
+
+def _block_sql(b: report.Block) -> str:
+    value = {s: f"avg({b.metric}) FILTER (scenario = '{s}')" if s in b.scenarios else "CAST(NULL AS DOUBLE)" for s in SCENARIOS}
+    cells = ", ".join(f"round({v}, 6) AS {s}" for s, v in value.items()) + f", round({value['source_gate']} - {value['traffic_only']}, 6) AS source_delta_vs_traffic, round({value['source_gate']} - {value['weak_cti']}, 6) AS source_delta_vs_weak"
+    return f"SELECT '{b.panel}' AS panel, '{b.name}' AS evidence_block, '{b.scope}' AS scope, '{b.metric}' AS metric, {cells}, '{b.boundary}' AS boundary, '{_REACH[b.panel]}' AS reach FROM runs" + f" WHERE {b.rows}"
+
+
+@query("u4_figure_source", f"WITH {RUNS} " + " UNION ALL ".join(map(_block_sql, _BLOCKS)))
 def u4(spark, sf_dir):
-    out = report.figure_source(matrix(spark, sf_dir), "A", "macro_f1", "capped", "Stress test only")
-    return rounded(out.select("panel", "evidence_block", "metric", "dataset", "source_gate", "boundary"), "source_gate")
+    return rounded(report.figure_source(runs(spark, sf_dir), _BLOCKS), *SCENARIOS, "source_delta_vs_traffic", "source_delta_vs_weak")
 
 
 @query("m7_claim_gates", f"WITH {MATRIX} " + " UNION ALL ".join(f"SELECT 'source_gate_beats_{s}' AS claim, bool_and(source_gate > {s}) AS holds, count(*) AS n FROM x" for s in _LEADS))
@@ -739,11 +806,101 @@ def flagship(spark, sf_dir):
 
 
 def training_rows(spark, sf_dir):
-    """features (hints and gates), y, key, client_id, split of the flows."""
+    """features (hints and gates), y, key, client_id, split, gate of the flows."""
     df = gated(spark, sf_dir)
     names = [c for c in df.columns if c.startswith(evidence.PREFIX)]
     y = F.when(F.col("skewed") == "benign", 0).when(F.col("skewed") == "dos", 1).otherwise(2)
-    return df.select("key", "split", y.alias("y"), (F.col("user_id") % 10).cast("int").alias("client_id"), F.array(*[X.q(c) for c in names]).alias("features")), len(names)
+    return df.select("key", "split", y.alias("y"), (F.col("user_id") % 10).cast("int").alias("client_id"), F.array(*[X.q(c) for c in names]).alias("features"), X.q(evidence.PREFIX + "source_gate_mean").alias("gate"), "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"), len(names)
+
+
+def _feature_sql() -> list[str]:
+    """The features of `training_rows` in their order, over the columns of the gates' SQL."""
+    sources = list(evidence.RELIABILITY["netflow"])
+    gates = dict(zip(sources, (f"g{k + 1}" for k in range(len(sources))), strict=True))
+    out = list(HINTS)
+    for s in sources:
+        own = [h.name for h in evidence.NETFLOW_HINTS if h.source == s]
+        out += [" + ".join(own), gates[s], *[f"{h} * {gates[s]}" for h in own]]
+    every = list(gates.values())
+    return [*out, f"({' + '.join(every)}) / {len(every)}", f"greatest({', '.join(every)})"]
+
+
+_DEEP = len(_feature_sql()) + 1
+#: The rows in long form: x of feature i, the last one the bias.
+LONG = f"""{SPLIT}, {HINT_SQL}, {GATE_SQL}, x AS (SELECT key, split, CASE skewed WHEN 'benign' THEN 0 WHEN 'dos' THEN 1 ELSE 2 END AS y, CAST(user_id % 10 AS INTEGER) AS client, [{', '.join(f'CAST({f} AS DOUBLE)' for f in _feature_sql())}, 1.0] AS f FROM g),
+c AS (SELECT k FROM range(0, 3) t(k))"""
+
+
+def _steps_sql(name: str, before: str, of: str, per: str, new: str) -> str:
+    """CTEs {name}p (probabilities by row and class at weights `before`) and {name} (weights after a step on rows `of`)."""
+    on = f"i{', ' + per if per else ''}"
+    return f"""{name}z AS (SELECT l.key, l.client, l.y, k, sum(v * w) AS z FROM l JOIN {before} USING ({on}) WHERE {of} GROUP BY ALL),
+{name}p AS (SELECT key, client, y, k, exp(z) / sum(exp(z)) OVER (PARTITION BY key) AS p FROM {name}z),
+{name}g AS (SELECT l.client, i, k, sum(v * (p - (k = q.y)::INT)) / count(*) AS g, count(*) AS n FROM l JOIN {name}p q ON l.key = q.key GROUP BY ALL),
+{new}"""
+
+
+_HALF = "(SELECT CAST(ceil(max(n) / 2.0) AS BIGINT) FROM (SELECT count(*) AS n FROM x WHERE split = 'train' GROUP BY client))"
+
+
+@query("m3_client_updates", f"""WITH {LONG}, b AS (SELECT *, (row_number() OVER (PARTITION BY client ORDER BY md5(concat_ws('|', '42', 'batch0', CAST(key AS VARCHAR))), key) - 1) // {_HALF} AS batch, count(*) OVER (PARTITION BY client) AS rows_n FROM x WHERE split = 'train'),
+l AS (SELECT key, client, batch, y, i, f[i] AS v FROM b, range(1, {_DEEP + 1}) t(i)), w0 AS (SELECT DISTINCT client, i, k, 0.0 AS w FROM l, c),
+{_steps_sql("a", "w0", "batch = 0", "client", "w1 AS (SELECT client, i, k, w - 0.05 * coalesce(g, 0) AS w FROM w0 LEFT JOIN ag USING (client, i, k))")},
+{_steps_sql("d", "w1", "batch = 1", "client", "w2 AS (SELECT client, i, k, w - CASE WHEN g IS NULL THEN 0 ELSE 0.05 * (g + 0.01 * w) END AS w FROM w1 LEFT JOIN dg USING (client, i, k))")}
+SELECT client, CAST((i - 1) * 3 + k AS INTEGER) AS coord, round(w, 8) + 0.0 AS value, n FROM w2 JOIN (SELECT client, count(*) AS n FROM b GROUP BY 1) USING (client)""")
+def m3(spark, sf_dir):
+    """Two mini-batches of every client's rows, from zero weights."""
+    import numpy as np
+
+    df, width = training_rows(spark, sf_dir)
+    rows = df.where("split = 'train'").persist()
+    most = rows.groupBy("client_id").count().agg(F.max("count")).head()[0]
+    out = federated.train_clients(rows, np.zeros((width + 1, 3)), 3, mu=0.01, batch_rows=-(-most // 2))
+    rows.unpersist()
+    return rounded(out, "value", places=8)
+
+
+_JUDGED = "round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(normal_fpr, 6) AS normal_fpr, round(ece, 6) AS ece, round(brier, 6) AS brier, round(mean_confidence, 6) AS mean_confidence"
+
+
+def _round_sql(name: str, before: str, merge: str, flip: bool) -> str:
+    """A round of full-batch client steps merged into `name`, and its figures of the test rows, {name}m."""
+    said = "CASE WHEN client < 2 THEN (y + 1) % 3 ELSE y END" if flip else "y"
+    return f"""{name}z AS (SELECT key, any_value(client) AS client, any_value({said}) AS y, k, sum(v * w) AS z FROM l JOIN {before} USING (i) WHERE split = 'train' GROUP BY key, k),
+{name}p AS (SELECT key, client, y, k, exp(z) / sum(exp(z)) OVER (PARTITION BY key) AS p FROM {name}z),
+{name}u AS (SELECT q.client, i, k, sum(v * (p - (k = q.y)::INT)) / count(*) AS g, count(*) AS n FROM l JOIN {name}p q ON l.key = q.key GROUP BY ALL),
+{name} AS (SELECT i, k, {merge} AS w FROM (SELECT i, k, w - 0.5 * g AS u, n FROM {name}u JOIN {before} USING (i, k)) GROUP BY i, k),
+{name}t AS (SELECT *, max(p) OVER (PARTITION BY key) AS top FROM (SELECT key, y, k, exp(z) / sum(exp(z)) OVER (PARTITION BY key) AS p FROM (SELECT key, any_value(y) AS y, k, sum(v * w) AS z FROM l JOIN {name} USING (i) WHERE split = 'test' GROUP BY key, k))),
+{name}s AS (SELECT key, any_value(y) AS y, min(k) FILTER (p = top) AS pred, any_value(top) AS top, sum((p - (k = y)::INT) ** 2) AS b FROM {name}t GROUP BY key),
+{name}f AS (SELECT avg(2 * p * r / (p + r + 1e-12)) AS macro_f1 FROM (SELECT k, tp / (np + 1e-12) AS p, tp / (ny + 1e-12) AS r FROM (SELECT k, count(*) FILTER (y = k AND pred = k) AS tp, count(*) FILTER (pred = k) AS np, count(*) FILTER (y = k) AS ny FROM {name}s, c GROUP BY k))),
+{name}e AS (SELECT sum(abs(h - cf)) / sum(n) AS ece FROM (SELECT least(floor(top * 15), 14) AS bin, sum((pred = y)::INT) AS h, sum(top) AS cf, count(*) AS n FROM {name}s GROUP BY 1)),
+{name}m AS (SELECT avg((pred = y)::INT) AS accuracy, any_value(macro_f1) AS macro_f1, avg((pred <> 0)::INT) FILTER (y = 0) AS normal_fpr, any_value(ece) AS ece, avg(b) AS brier, avg(top) AS mean_confidence FROM {name}s, {name}f, {name}e)"""
+
+
+_TWO_RUNS = (("clean_fedavg", "r", "sum(u * n) / sum(n)", False), ("label_flip_median", "q", "median(u)", True))
+
+
+@query("m4_federated_rounds", f"WITH {LONG}, l AS (SELECT key, client, split, y, i, f[i] AS v FROM x, range(1, {_DEEP + 1}) t(i)), w0 AS (SELECT i, k, 0.0 AS w FROM range(1, {_DEEP + 1}) t(i), c), "
+    + ", ".join(_round_sql(f"{n}{t}", f"{n}{t - 1}" if t > 1 else "w0", merge, flip) for _, n, merge, flip in _TWO_RUNS for t in (1, 2))
+    + " " + " UNION ALL ".join(f"SELECT '{scenario}' AS scenario, CAST({t} AS INTEGER) AS round, {_JUDGED} FROM {n}{t}m" for scenario, n, *_ in _TWO_RUNS for t in (1, 2)))
+def m4(spark, sf_dir):
+    """Two rounds from zero weights: averaged clean clients, and the median with a fifth of them flipping labels."""
+    df, width = training_rows(spark, sf_dir)
+    runs_ = (federated.Run("clean_fedavg", rounds=2), federated.Run("label_flip_median", "median", "label_flip", 0.0, 0.2, 2))
+    out = federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, runs=runs_, seeds=(42,), lr=0.5, spread=0.0)
+    return rounded(out.select("scenario", "round", "accuracy", "macro_f1", "normal_fpr", "ece", "brier", "mean_confidence"), "accuracy", "macro_f1", "normal_fpr", "ece", "brier", "mean_confidence")
+
+
+@query("m4_m5_scenario_matrix")
+def m5(spark, sf_dir):
+    """All scenarios over three seeds at their full number of rounds (50 and 30), two mini-batches a client and round,
+    judged on the held-out rows after each round."""
+    df, width = training_rows(spark, sf_dir)
+    df = df.persist()
+    most = df.where("split = 'train'").groupBy("client_id").count().agg(F.max("count")).head()[0]
+    out = federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, batch_rows=-(-most // 2))
+    df.unpersist()
+    return out
 
 
 @query("m1_multinomial")
@@ -752,7 +909,7 @@ def m1(spark, sf_dir):
 
     df, _ = training_rows(spark, sf_dir)
     df = df.persist()
-    model = train.fit_multinomial(df.where("split = 'train'"), max_iter=20)
+    model = train.fit_multinomial(df.where("split = 'train'"))
     out = model.transform(df.where("split = 'test'").select("key", "y", array_to_vector("features").alias("features")))
     df.unpersist()
     return metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(out.select("y", F.col("prediction").cast("int").alias("pred"))), spark.range(3).select(F.col("id").cast("int").alias("label_id")))))
@@ -760,58 +917,29 @@ def m1(spark, sf_dir):
 
 @query("m2_h4_softmax")
 def m2(spark, sf_dir):
+    """Label smoothing and confidence penalty, to the optimum by L-BFGS."""
     import numpy as np
 
     df, width = training_rows(spark, sf_dir)
     df = df.persist()
-    w, losses = train.fit_softmax(df.where("split = 'train'"), 3, width, steps=8, smoothing=0.05, penalty=0.01)
+    w, losses = train.fit_softmax(df.where("split = 'train'"), 3, width, smoothing=0.05, penalty=0.01)
     df.unpersist()
     scores = metrics.score_logits(metrics.score_linear(df.where("split = 'test'"), np.asarray(w[:-1]), np.asarray(w[-1])))
-    return metrics.calibration(scores).withColumn("first_loss", F.lit(losses[0])).withColumn("last_loss", F.lit(losses[-1]))
-
-
-@query("m3_client_updates")
-def m3(spark, sf_dir):
-    import numpy as np
-
-    df, width = training_rows(spark, sf_dir)
-    return federated.train_clients(df.where("split = 'train'"), np.zeros((width + 1, 3)), 3, mu=0.01)
-
-
-@query("m4_m5_scenario_matrix")
-def m5(spark, sf_dir):
-    """Rounds of every aggregator and attack, and FedProx, judged on the held-out rows after each round."""
-    df, width = training_rows(spark, sf_dir)
-    return federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, rounds=2, lr=0.5)
+    return metrics.calibration(scores).withColumn("first_loss", F.lit(losses[0])).withColumn("last_loss", F.lit(losses[-1])).withColumn("iterations", F.lit(len(losses) - 1))
 
 
 @query("m6_alpha_grid")
 def m6(spark, sf_dir):
-    """Evidence scaled by each alpha and trained on the training rows; W10 picks the alpha on the validation rows, on which
-    the temperature is fitted too; the figures are those of the test rows."""
+    """Scale of the evidence chosen on validation rows by both rules over three seeds, among six scales, with the test
+    figures raw, at one temperature and at those of two and three gate bins."""
     import numpy as np
 
     df, width = training_rows(spark, sf_dir)
-    valid = F.conv(F.substring(X.hash_order(42, "valid", F.col("key")), 1, 8), 16, 10).cast("double") < 0.2 * float(1 << 32)
-    df = df.withColumn("split", F.when((F.col("split") == "train") & valid, "valid").otherwise(F.col("split"))).persist()
-    classes = spark.range(3).select(F.col("id").cast("int").alias("label_id"))
-    fitted, frames = {}, []
-
-    def judged(s):
-        return metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(s), classes))).join(F.broadcast(metrics.calibration(s)))
-
-    for alpha in calibrate.ALPHAS:
-        scaled = df.withColumn("features", evidence.scale_evidence(F.col("features"), [evidence.PREFIX] * width, alpha))
-        w, _ = train.fit_softmax(scaled.where("split = 'train'"), 3, width, steps=8)
-        logit = metrics.score_linear(scaled.where("split <> 'train'"), np.asarray(w[:-1]), np.asarray(w[-1]))
-        best = calibrate.best_temperature(calibrate.temperature_losses(logit.where("split = 'valid'"))).select("temperature", F.array_min("nll").alias("nll")).head()
-        fitted[alpha] = (logit, best["temperature"])
-        frames.append(judged(metrics.score_logits(logit.where("split = 'valid'"), temperature=best["temperature"])).select("*", F.lit(best["nll"]).alias("nll"), F.lit(alpha).alias("alpha"), F.lit("cal_source_gate").alias("scenario")))
-    chosen = calibrate.select_candidate(report.union_all(frames), ("scenario",)).head()
-    logit, temperature = fitted[chosen["alpha"]]
-    out = judged(metrics.score_logits(logit.where("split = 'test'"), temperature=temperature)).select("accuracy", "macro_f1", "ece", "brier", F.lit(chosen["alpha"]).alias("alpha"), F.lit(temperature).alias("temperature"), F.lit(chosen["macro_f1"]).alias("valid_macro_f1")).head()
-    df.unpersist()
-    return spark.createDataFrame([tuple(out)], "accuracy double, macro_f1 double, ece double, brier double, alpha double, temperature double, valid_macro_f1 double")
+    spec = features.fit_spec(df.where("split = 'train'").select("IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"))
+    rows = features.transform(df.withColumnRenamed("features", "evidence"), spec, "traffic")
+    n = len(features.feature_names(spec))
+    rows = rows.select("key", "split", "y", "gate", F.concat("traffic", "evidence").alias("features"))
+    return posthoc.alpha_grid(rows, np.arange(n + width) >= n, 3)
 
 
 @query("st1_stream_family_cap", "SELECT event_type, least(100, count(*)) AS n FROM events GROUP BY 1")

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expr import q
+from .csv_scan import report, scan_csv
 
 
 def read_table(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
@@ -46,36 +46,9 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_status(spark: SparkSession, root: str, columns: list[str], label: str | None = None) -> DataFrame:
-    """file, bytes, n_columns, n_rows, n_bad, status and error of every CSV part below root, and with `label` its values by
-    number of rows (S3, A25). A file without header is `empty`, one that has none of the columns or can't be decoded is an
-    `error` with its reason. Spark's own listing leaves out files of no bytes."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"), F.col("length").alias("bytes"))
-    paths = [r["file"] for r in listed.collect()]
-    if not paths:
-        return spark.createDataFrame([], "file string, bytes long, n_columns int, n_rows long, n_bad long, labels string, status string, error string")
-    found = headers(spark, paths).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), "header")
-    # Spark counts bad rows only where it reads a column as well
-    scan = tolerant_scan(spark, root, columns).select(F.regexp_replace("file", "^file:/+", "file:///").alias("file"), F.greatest(F.col("n_rows"), q(f"n_{columns[0]}")).alias("n_rows"), "n_bad")
-    named = listed.join(found.withColumn("header", F.nullif(F.trim("header"), F.lit(""))), "file", "left").join(scan, "file", "left")
-    cells = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
-    known = F.size(F.array_intersect(cells, F.array(*[F.lit(c.lower()) for c in columns])))
-    error = F.when(F.col("header").isNull(), "no header").when(F.col("header").contains("\ufffd") | F.col("header").contains("\u0000"), "not text").when(known == 0, "none of the columns")
-    status = F.when(F.col("header").isNull(), "empty").when(error.isNotNull(), "error").when(F.col("n_bad") > 0, "partial").otherwise("ok")
-    if label:
-        rows = read_csv_files(spark, root).select(F.regexp_replace("_file", "^file:/+", "file:///").alias("file"), q(label).alias("l")).groupBy("file", "l").count()
-        named = named.join(rows.groupBy("file").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("l", F.lit("")).alias("l"), "count"))))).alias("labels")), "file", "left")
-    else:
-        named = named.withColumn("labels", F.lit(None).cast("string"))
-    return named.select("file", "bytes", F.coalesce(F.size(cells), F.lit(0)).alias("n_columns"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "labels", status.alias("status"), error.alias("error"))
-
-
-def tolerant_scan(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """file, n_rows, n_bad, filled values per column and status of every CSV part: malformed rows are counted and not lost, unreadable files are
-    skipped by Spark (S3, A25)."""
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("_bad", T.StringType())])
-    df = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreCorruptFiles=True).csv(root)
-    out = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("_bad").alias("n_bad"), *[F.count(q(c)).alias(f"n_{c}") for c in columns])
-    return out.withColumn("status", F.when(F.col("n_bad") > 0, "partial").otherwise("ok"))
+    """file, n_columns, n_rows, n_bad, labels, status and error of every CSV part below root (S3, A25), read to its end or to
+    where it breaks."""
+    return report(scan_csv(spark, root, columns), label)
 
 
 def bounded_read(df: DataFrame, order: str, first: int) -> DataFrame:

@@ -112,23 +112,68 @@ def test_aggregators(spark):
     assert federated.communication_mb(56, 15, 10) == pytest.approx(0.0652313232421875)
 
 
-def test_softmax_training(spark):
+def descended(x, y, classes, smoothing, penalty, weights, decay=1e-4, steps=20_000):
+    """(weights, loss) at the optimum, by plain gradient steps."""
+    xs, w = np.column_stack([x, np.ones(len(x))]), np.zeros((x.shape[1] + 1, classes))
+    for _ in range(steps):
+        loss, g = train.loss_rows((xs @ w)[:, None], y, weights[y], smoothing, penalty)
+        g = xs.T @ g[:, 0] / len(y)
+        g[:-1] += decay * w[:-1]
+        w = w - 0.5 * g
+    return w, loss.sum() / len(y) + decay / 2 * (w[:-1] ** 2).sum()
+
+
+@pytest.mark.parametrize(("smoothing", "penalty"), [(0.0, 0.0), (0.05, 0.01), (0.2, 0.1)])
+def test_softmax_reaches_the_optimum(spark, smoothing, penalty):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    y = x @ rng.normal(size=(3, 2))
-    rows = [(i, x[i].tolist(), int(y[i].argmax()), i % 2) for i in range(200)]
-    df = spark.createDataFrame(rows, "key long, features array<double>, y int, client_id int")
-    w, losses = train.fit_softmax(df, 2, 3, steps=5, smoothing=0.05, penalty=0.01)
-    assert losses[-1] < losses[0]
-    own, xs = np.zeros((4, 2)), np.column_stack([x, np.ones(200)])
-    for _ in range(5):
-        g = train.gradient(xs, y.argmax(axis=1), own, 2, None, 0.05, 0.01) / 200
-        g[:-1] += 1e-4 * own[:-1]
-        own -= 0.5 * g
-    assert np.allclose(w, own)
-    got = {(r["client"], r["coord"]): r["value"] for r in federated.train_clients(df, np.zeros((4, 2)), 2).collect()}
-    mine = -0.05 * train.gradient(xs[::2], y.argmax(axis=1)[::2], np.zeros((4, 2)), 2) / 100
-    assert np.allclose([got[0, k] for k in range(8)], mine.ravel())
+    x = rng.normal(size=(300, 3))
+    y = (x @ rng.normal(size=(3, 3)) + rng.normal(size=(300, 3))).argmax(axis=1)
+    weights = np.array([1.0, 2.0, 0.5])
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(300)], "key long, features array<double>, y int").repartition(3)
+    w, losses = train.fit_softmax(df, 3, 3, weights=dict(enumerate(weights)), smoothing=smoothing, penalty=penalty)
+    best, loss = descended(x, y, 3, smoothing, penalty, weights)
+    assert all(b <= a for a, b in zip(losses, losses[1:])) and losses[-1] < losses[0]
+    assert abs(losses[-1] - loss) < 1e-4 and np.allclose(w - w.mean(axis=1, keepdims=True), best - best.mean(axis=1, keepdims=True), atol=0.05)
+    # the gradient is that of the loss
+    z, h = rng.normal(size=(5, 1, 3)), 1e-6
+    _, g = train.loss_rows(z, y[:5], weights[y[:5]], smoothing, penalty)
+    for k in range(3):
+        up, down = (train.loss_rows(z + d * np.eye(3)[k], y[:5], weights[y[:5]], smoothing, penalty)[0] for d in (h, -h))
+        assert np.allclose((up - down) / (2 * h), g[:, :, k], atol=1e-5)
+
+
+def test_stack_equals_single_models_in_as_many_scans(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 4))
+    y = (x @ rng.normal(size=(4, 3))).argmax(axis=1)
+    rows = spark.createDataFrame([(x[i].tolist(), int(y[i]), int(1 + (i % 3 > 0) * 2)) for i in range(240)], "features array<double>, y int, member long")
+    scans = []
+    summed = train.summed
+    monkeypatch.setattr(train, "summed", lambda *a: (scans.append(1), summed(*a))[1])
+    models = train.Models.of(4, [0.0, 0.5, 1.0], np.array([False, False, True, True]), 0.05, 0.01, 2)
+    w, seen = train.fit_stack(rows, models, 3, iterations=40)
+    assert len(w) == 6 and len(scans) == len(seen) <= 41
+    for m in range(6):
+        own = rows.where(f"(member & {1 << int(models.bit[m])}) <> 0").select("features", "y")
+        alone = own.select(F.zip_with("features", F.array(*[F.lit(float(v)) for v in models.scales[m]]), lambda a, b: a * b).alias("features"), "y")
+        one, losses = train.fit_softmax(alone, 3, 4, 40, smoothing=0.05, penalty=0.01)
+        assert abs(losses[-1] - seen[-1][m]) < 1e-4
+
+
+def test_multinomial_reaches_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (x @ rng.normal(size=(3, 3)) + rng.normal(size=(400, 3))).argmax(axis=1)
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(400)], "features array<double>, y int")
+    model = train.fit_multinomial(df)
+    counts = np.bincount(y, minlength=3)
+    weights = counts.sum() / counts
+    weights = weights / weights.mean()
+    w, loss = descended(x, y, 3, 0.0, 0.0, weights)
+    own = np.vstack([model.coefficientMatrix.toArray().T, model.interceptVector.toArray()])
+    xs = np.column_stack([x, np.ones(400)])
+    mine = train.loss_rows((xs @ own)[:, None], y, weights[y], 0.0, 0.0)[0].sum() / 400 + 0.5e-4 * (own[:-1] ** 2).sum()
+    assert abs(mine - loss) < 1e-4
 
 
 def test_reports(spark):
@@ -146,24 +191,176 @@ def test_feature_spec(spark):
     assert features.transform(df, spec).head()["features"][1:] == [1.0, 0.0, 0.0]
 
 
-def test_large_clients_are_not_groups(spark, capsys):
-    """A client with most of the rows is trained from partial gradients, for several epochs, as by hand."""
+def in_batches(keys, rows, salt, seed=42):
+    """Keys in hash order, cut into runs."""
+    import hashlib
+
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{salt}|{k}".encode()).hexdigest(), k))
+    return [order[i : i + rows] for i in range(0, len(order), rows)] if rows else [order]
+
+
+def step_of(w, x, y, classes):
+    p = train.softmax_rows(x @ w)
+    p[np.arange(len(y)), y] -= 1
+    return x.T @ p / len(y)
+
+
+@pytest.mark.parametrize("batch_rows", [None, 64])
+def test_clients_train_in_mini_batches(spark, capsys, batch_rows):
+    """As a loop over each client's batches, with a client that has most of the rows; no client meets in one task."""
     rng = np.random.default_rng(5)
-    data = [(i, 0 if i % 10 else 1 + i % 3, [float(v) for v in rng.normal(size=3)], int(rng.integers(0, 2))) for i in range(600)]
+    data = [(i, 0 if i % 10 else 1 + i % 30 // 10, [float(v) for v in rng.normal(size=3)], int(rng.integers(0, 2))) for i in range(600)]
     df = spark.createDataFrame(data, "key long, client_id int, features array<double>, y int").repartition(5)
     start = rng.normal(size=(4, 2))
-    got = federated.train_clients(df, start, 2, epochs=3, mu=0.1)
+    got = federated.train_clients(df, start, 2, epochs=2, mu=0.1, batch_rows=batch_rows)
     assert got.columns == ["client", "coord", "value", "n"]
     found = {(r["client"], r["coord"]): (r["value"], r["n"]) for r in got.collect()}
     for c in {r[1] for r in data}:
-        own = [r for r in data if r[1] == c]
-        x, y, w = np.array([[*r[2], 1.0] for r in own]), np.array([r[3] for r in own]), start
-        for _ in range(3):
-            w = w - 0.05 * (train.gradient(x, y, w, 2) / len(own) + 0.1 * (w - start))
+        own = {r[0]: r for r in data if r[1] == c}
+        w = start
+        for epoch in range(2):
+            for batch in in_batches(list(own), batch_rows, f"batch{epoch}"):
+                x, y = np.array([[*own[k][2], 1.0] for k in batch]), np.array([own[k][3] for k in batch])
+                w = w - 0.05 * (step_of(w, x, y, 2) + 0.1 * (w - start))
         for i, v in enumerate(w.ravel()):
             assert found[c, i] == (pytest.approx(v), len(own))
-    federated.train_clients(df, start, 2).explain()
-    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+    federated.client_gradients(df.select(F.col("client_id").alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), F.array(*[F.lit(0.0)] * 8).alias("w")), (4, 2), 2).explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    assert federated.train_clients(df.limit(0), start, 2).count() == 0
+
+
+def test_scenarios_by_loops(spark):
+    """Stacked runs and seeds against a loop per run, with every aggregator and attack, mini-batches and unequal rounds."""
+    rng = np.random.default_rng(8)
+    data = [(i, int(rng.integers(0, 5)), rng.normal(size=3).tolist(), int(rng.integers(0, 3))) for i in range(300)]
+    df = spark.createDataFrame(data, "key long, client_id int, features array<double>, y int").repartition(3)
+    held = spark.createDataFrame([(rng.normal(size=3).tolist(), int(rng.integers(0, 3))) for _ in range(80)], "features array<double>, y int")
+    runs = (federated.Run("a", rounds=2), federated.Run("b", mu=0.5, rounds=3), *(federated.Run(f"{h}-{x}", h, x, 0.0, 0.4, 2) for h in ("avg", "median", "trimmed_mean", "krum") for x in ("label_flip", "update_scale")))
+    weights, rows = federated.federated_rounds(df, held, 3, 3, 5, runs, (42, 7), lr=0.3, epochs=2, batch_rows=20)
+    assert weights.shape == (10, 2, 4, 3) and len(rows) == sum(r.rounds for r in runs) * 2
+    test = [(np.array([*r["features"], 1.0]), r["y"]) for r in held.collect()]
+    tx, ty = np.array([x for x, _ in test]), np.array([y for _, y in test])
+    for k, run in enumerate(runs):
+        for s, seed in enumerate((42, 7)):
+            w = np.vstack([np.random.default_rng(seed).normal(0.0, 0.01, (3, 3)), np.zeros((1, 3))])
+            for t in range(run.rounds):
+                sent, sizes = [], []
+                for c in range(5):
+                    own, v = {r[0]: r for r in data if r[1] == c}, w
+                    for _ in range(2):
+                        for batch in in_batches(list(own), 20, "batch", seed):
+                            x, y = np.array([[*own[i][2], 1.0] for i in batch]), np.array([own[i][3] for i in batch])
+                            y = (y + 1) % 3 if run.attack == "label_flip" and c < 2 else y
+                            v = v - 0.3 * (step_of(v, x, y, 3) + run.mu * (v - w))
+                    sent.append(w + 5.0 * (v - w) if run.attack == "update_scale" and c < 2 else v)
+                    sizes.append(len(own))
+                table = spark.createDataFrame([(c, i, float(x), sizes[c]) for c in range(5) for i, x in enumerate(sent[c].ravel())], federated.UPDATE)
+                if t == run.rounds - 1 and s == 0:  # the aggregators of the update table
+                    by_table = {r["coord"]: r["value"] for r in federated.aggregate(table, run.aggregator, 0.2, 0 if run.attack == "none" else 2).collect()}
+                w = federated.merged(np.array([x.ravel() for x in sent]), np.array(sizes, float), run.aggregator, 0.2, 0 if run.attack == "none" else 2).reshape(4, 3)
+                got = next(r for r in rows if (r["scenario"], r["seed"], r["round"]) == (run.name, seed, t + 1))
+                p = train.softmax_rows(tx @ w)
+                assert got["accuracy"] == pytest.approx((p.argmax(axis=1) == ty).mean()) and got["brier"] == pytest.approx(((p - np.eye(3)[ty]) ** 2).sum(axis=1).mean())
+                assert got["normal_fpr"] == pytest.approx((p.argmax(axis=1)[ty == 0] != 0).mean()) and got["mean_confidence"] == pytest.approx(p.max(axis=1).mean())
+            assert np.allclose(weights[k, s], w)
+            if s == 0:
+                assert np.allclose([by_table[i] for i in range(12)], w.ravel())
+    with pytest.raises(ValueError):
+        federated.federated_rounds(df, held, 3, 3, 10_000_000, runs)
+
+
+def test_evaluation_sums_are_the_table_metrics(spark):
+    rng = np.random.default_rng(9)
+    z, y = rng.normal(size=(200, 3)) * 3, rng.integers(0, 3, 200)
+    scored = metrics.score_logits(spark.createDataFrame([(z[i].tolist(), int(y[i])) for i in range(200)], "logits array<double>, y int"))
+    p = train.softmax_rows(z)
+    got = metrics.scores_of(metrics.evaluation_sums(p[:120, None], y[:120])[0] + metrics.evaluation_sums(p[120:, None], y[120:])[0], 3)
+    classes = spark.range(3).select(F.col("id").cast("int").alias("label_id"))
+    want = {**metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(scored), classes))).head().asDict(), **metrics.normal_fpr(scored, [0]).head().asDict(), **metrics.calibration(scored).head().asDict()}
+    assert got == pytest.approx(want)
+
+
+def test_alpha_grid_against_single_steps(spark):
+    """Selection, temperatures and gate bins of the stack against the table operators, model by model."""
+    from flowsieve.operators import posthoc
+
+    rng = np.random.default_rng(10)
+    n = 1500
+    x = rng.normal(size=(n, 4))
+    y = (x @ rng.normal(size=(4, 3)) + rng.normal(size=(n, 3)) * 2).argmax(axis=1)
+    rows = [(i, "test" if i % 4 == 0 else "train", int(y[i]), x[i].tolist(), float(i % 7) / 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, split string, y int, features array<double>, gate double")
+    scaled, alphas = np.array([False, False, True, True]), [0.0, 0.5, 1.0]
+    got = {(r["scenario"], r["seed"]): r for r in posthoc.alpha_grid(df, scaled, 3, (1, 2), alphas, iterations=40).collect()}
+    assert set(got) == {(s, k) for s in posthoc.RULES for k in (1, 2)}
+    classes = spark.range(3).select(F.col("id").cast("int").alias("label_id"))
+    for seed in (1, 2):
+        marks = posthoc.marked(df, (seed,), 0.2)
+        fit, valid, test = marks.where("member = 1"), marks.where("valid = 1"), marks.where("split = 'test'")
+        counts = {r["y"]: r["count"] for r in fit.groupBy("y").count().collect()}
+        weights = {k: sum(counts.values()) / c for k, c in counts.items()}
+        weights = {k: w / (sum(weights.values()) / 3) for k, w in weights.items()}
+        tried = {}
+        for alpha in alphas:
+            s = np.where(scaled, alpha, 1.0)
+            by = lambda d: d.withColumn("features", F.zip_with("features", F.array(*[F.lit(float(v)) for v in s]), lambda a, b: a * b))  # noqa: E731, B023
+            w, _ = train.fit_softmax(by(fit), 3, 4, 40, weights=weights, smoothing=0.05, penalty=0.01)
+            logits = lambda d: metrics.score_linear(by(d), w[:-1], w[-1]).select("key", "y", "gate", "logits")  # noqa: E731, B023
+            v = logits(valid)
+            raw = metrics.score_logits(v)
+            best = calibrate.best_temperature(calibrate.temperature_losses(v)).select("temperature", F.array_min("nll").alias("nll")).head()
+            figures = metrics.summary_scores(metrics.family_scores(metrics.class_counts(metrics.confusion(raw), classes))).head()["macro_f1"], *metrics.calibration(raw).select("ece", "brier").head()
+            tried[alpha] = (*figures, best["nll"], best["temperature"], v, logits(test))
+        table = spark.createDataFrame([(seed, a, *t[:4]) for a, t in tried.items()], "seed int, alpha double, macro_f1 double, ece double, brier double, nll double")
+        for name, rule in posthoc.RULES.items():
+            r = got[name, seed]
+            assert r["alpha"] == calibrate.select_candidate(table, ("seed",), rule).head()["alpha"]
+            f1, ece, _, nll, temperature, v, t = tried[r["alpha"]]
+            assert (r["valid_macro_f1"], r["valid_raw_ece"], r["valid_nll"]) == pytest.approx((f1, ece, nll), abs=2e-3) and r["temperature"] == pytest.approx(temperature)
+            assert r["temp_ece"] == pytest.approx(metrics.calibration(metrics.score_logits(t, temperature=temperature)).head()["ece"], abs=5e-3)
+            for bins in (2, 3):
+                fitted, edges = calibrate.binned_temperatures(v, "gate", bins)
+                probs = calibrate.apply_binned(t, "gate", fitted, edges)
+                judged = metrics.calibration(probs.withColumn("pred", X.argmax(F.col("probs"))).withColumn("confidence", F.array_max("probs"))).head()
+                assert (r[f"group{bins}_ece"], r[f"group{bins}_brier"]) == pytest.approx((judged["ece"], judged["brier"]), abs=5e-3)
+
+
+# ---- quantiles -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [0, 300, 200_000])
+def test_quantiles_by_selection(spark, few):
+    import duckdb
+
+    from flowsieve.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    columns = {
+        "uniform": rng.random(n) * 100, "signed": rng.normal(size=n), "skewed": np.exp(rng.normal(size=n) * 20), "tied": rng.integers(0, 4, n).astype(float), "mostly one": np.where(rng.random(n) < 0.9, 7.5, rng.random(n)), "tiny": rng.random(n) * 1e-300, "wide": rng.choice([-1e308, -1.0, 0.0, -0.0, 1e-308, 5e-324, 1e308], n),
+        "close": 1e9 + rng.random(n) * 1e-3, "constant": np.full(n, -3.0),
+    }
+    frame = {k: [None if i % 11 == 0 else float(x) for i, x in enumerate(v)] for k, v in columns.items()}
+    df = spark.createDataFrame(list(zip(*frame.values())), ", ".join(f"`{k}` double" for k in frame)).repartition(5)
+    at = [0.0, 0.25, 0.5, 0.75, 1 / 3, 0.999, 1.0]
+    got = quantiles(df, {k: X.q(k) for k in frame}, at, few=few, parts=16)
+    con = duckdb.connect()
+    for k, values in frame.items():
+        con.execute("CREATE OR REPLACE TABLE t (x DOUBLE)")
+        con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+        want = con.execute(f"SELECT {', '.join(f'quantile_cont(x, {a})' for a in at)} FROM t").fetchone()
+        assert got[k] == pytest.approx(list(want), rel=1e-12, abs=0), k
+    odd = spark.createDataFrame([(float("inf"), None, 1.0), (float("-inf"), None, float("nan")), (1.0, None, 3.0)], "a double, b double, c double")
+    assert quantiles(odd, {c: X.q(c) for c in "abc"}, [0.0, 0.5, 1.0]) == {"a": [float("-inf"), 1.0, float("inf")], "b": [None] * 3, "c": [1.0, 2.0, 3.0]}
+    assert quantiles(odd.limit(0), {"a": X.q("a")}, [0.5]) == {"a": [None]}
+
+
+def test_profile_counts_few_values_exactly(spark):
+    df = spark.range(5000).select((F.col("id") % 81).alias("eighty_one"), (F.col("id") % 80).cast("string").alias("eighty"), F.col("id").cast("string").alias("many"), F.lit(None).cast("string").alias("none"))
+    got = {r["column_name"]: r for r in profile.with_kinds(profile.profile(df, df.columns), numeric_ratio=1.1).collect()}
+    assert (got["eighty_one"]["n_distinct"], got["eighty"]["n_distinct"], got["none"]["n_distinct"]) == (81, 80, 0) and abs(got["many"]["n_distinct"] - 5000) < 250
+    assert [got[c]["kind"] for c in df.columns] == ["dropped", "categorical", "dropped", "dropped"]
+    assert profile.profile(df.limit(0), df.columns).count() == 4 and profile.profile(df, []).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 8, 33])
@@ -188,6 +385,59 @@ def test_permuted_and_poisoned_columns_keep_their_values(spark):
     assert 700 < sum(r["x"] != r["key"] for r in bad) < 1100
 
 
+@pytest.mark.parametrize("parts", [1, 33])
+def test_text_keys_are_numbered_in_ranges(spark, parts):
+    n = 6000
+    rows = spark.range(n).select(F.concat(F.lit("device-000-"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("label"), (F.col("id") * 1.0).alias("x")).repartition(parts)
+    cut, at = sampling.with_range(rows, X.q("key"), X.q("label"))
+    sizes = {(r["label"], r["_range"]): r["count"] for r in cut.groupBy("label", "_range").count().collect()}
+    assert sum(sizes.values()) == n and max(v for (k, _), v in sizes.items() if k == "a") < 5400 / 64 * 4
+    order = [r["key"] for r in sampling.distributed_row_number(cut, [X.q("key")], [X.q("label"), *at], "n", within=1).where("label = 'a'").orderBy("n").collect()]
+    assert order == sorted(order) and len(order) == 5400
+    skew = sampling.label_skew_clients(rows, "label", "key", 5, 3).collect()
+    assert len({r["key"] for r in skew}) == n and {r["client_id"] for r in skew} == set(range(5))
+    moved = evidence.permute_column(rows, "x", "label", "key").collect()
+    assert sorted(r["x"] for r in moved) == [float(i) for i in range(n)]
+
+
+def test_prefixes_without_a_limit(spark, capsys, tmp_path):
+    n = 4000
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("family")).repartition(7)
+    names = sorted(f"k{i}" for i in range(n))
+    assert sorted(r["key"] for r in sampling.first_rows(rows, [X.q("key")], 2500).collect()) == names[:2500]
+    want = [k for f in ("hot", "rare") for k in [x for x in names[:2500] if (int(x[1:]) % 10 == 0) == (f == "rare")][:800]]
+    assert sorted(r["key"] for r in sampling.first_come_cap(rows, "family", "key", 800, 2500).collect()) == sorted(want)
+    import hashlib
+
+    order = sorted(names, key=lambda k: (hashlib.md5(f"42|rows|{k}".encode()).hexdigest(), k))
+    assert sorted(r["key"] for r in sampling.random_rows(rows, "key", 2000).collect()) == sorted(order[:2000])
+    sampling.random_rows(rows, "key", 2000).explain()
+    assert "Limit" not in capsys.readouterr().out
+    path = f"file://{tmp_path}/t"
+    rows.write.parquet(path)
+    told, by, at = sampling.in_file_order(spark.read.parquet(path), run=100)
+    first = sampling.first_rows(told, by, 1700, at).select("_file", "_row").collect()
+    files = sorted((r["_file"], r["_row"]) for r in told.collect())
+    assert sorted(map(tuple, first)) == files[:1700]
+
+
+def test_quota_cuts_large_buckets_again(spark):
+    rows = spark.range(2000).select(F.lit("g").alias("_g"), F.md5(F.col("id").cast("string")).alias("_h"), F.col("id").alias("_k"))
+    whole = sorted((r["_h"], r["_k"]) for r in rows.collect())
+    for need in (1, 777, 2000):
+        for ranked in (1, 100_000):
+            assert sampling.quota_thresholds(rows, F.lit(need), ranked) == [("g", *whole[need - 1])]
+
+
+def test_distances_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 50)) + 1000
+    updates = spark.createDataFrame([(c, k, float(x[c, k]), 1) for c in range(60) for k in range(50)], federated.UPDATE)
+    got = {(r["a"], r["b"]): r["distance"] for r in federated.client_distances(updates, clients_at_once=7, coords_at_once=16).collect()}
+    assert set(got) == {(a, b) for a in range(60) for b in range(60) if a != b}
+    assert all(d == pytest.approx(((x[a] - x[b]) ** 2).sum()) for (a, b), d in got.items())
+
+
 def test_csv_parts_by_name_and_status(spark, tmp_path):
     from flowsieve.sources import tables
 
@@ -204,6 +454,53 @@ def test_csv_parts_by_name_and_status(spark, tmp_path):
     assert status["4.csv"]["error"] == "none of the columns" and status["1.csv"]["labels"] == '{"benign":1,"dos":1}' and status["1.csv"]["n_columns"] == 2
 
 
+def test_broken_files_tell_what_they_lose(spark, tmp_path):
+    import gzip
+
+    from flowsieve.sources import csv_scan
+
+    lines = [f"{i},{'dos' if i % 3 else 'benign'}" for i in range(5000)]
+    whole = "x,label\n" + "\n".join(lines) + "\n"
+    (tmp_path / "good one.csv").write_text("\ufeffX,LABEL\r\n1,dos\r\n\r\n2\r\n", newline="")  # a mark, other case, a blank line, a short row
+    (tmp_path / "zipped.csv.gz").write_bytes(gzip.compress(whole.encode()))
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(whole.encode())[:-9000])
+    (tmp_path / "body.csv").write_bytes(whole.encode() + b"7,\xff\xfe\n8,dos\n")
+    (tmp_path / "wide.csv").write_text('x,label\n1,"a,b"\n1,2,3\n"two\nlines",dos\n')
+    (tmp_path / "binary.csv").write_bytes(bytes(range(256)))
+    scan = csv_scan.scan_csv(spark, f"file://{tmp_path}", ["x", "label"])
+    told = {r["file"].rsplit("/", 1)[1]: r for r in csv_scan.report(scan, "label").collect()}
+    assert {k.replace("%20", " "): (r["status"], r["n_bad"]) for k, r in told.items()} == {"good one.csv": ("ok", 0), "zipped.csv.gz": ("ok", 0), "cut.csv.gz": ("partial", 0), "body.csv": ("partial", 0), "wide.csv": ("partial", 1), "binary.csv": ("error", 0)}
+    assert told["zipped.csv.gz"]["n_rows"] == 5000 and told["body.csv"]["n_rows"] == 5000 and 0 < told["cut.csv.gz"]["n_rows"] < 5000
+    assert told["body.csv"]["error"].startswith("UnicodeDecodeError") and told["cut.csv.gz"]["error"].startswith("EOFError") and told["zipped.csv.gz"]["labels"] == '{"benign":1667,"dos":3333}'
+    rows = csv_scan.rows_of(scan).groupBy("_file").count().collect()
+    assert {r["_file"].rsplit("/", 1)[1]: r["count"] for r in rows} == {k: r["n_rows"] for k, r in told.items() if r["n_rows"]}
+    assert sorted((r["x"], r["label"]) for r in csv_scan.rows_of(scan).where("_file LIKE '%wide.csv'").collect()) == [("1", "a,b"), ("two\nlines", "dos")]
+
+
+def test_presence_by_number_or_text(spark):
+    df = spark.createDataFrame([(0.0, "0.00"), (0.0, "0.0"), (0.0, " "), (0.0, "None"), (0.0, None), (1e-13, ""), (float("nan"), "NaN"), (None, "nan"), (2.0, "0"), (0.0, "-1")], "TCP double, `tcp.x` string")
+    assert [r[0] for r in df.select(evidence.present(df, ("TCP", "tcp.*"))).collect()] == [True, False, True, False, False, True, False, False, True, True]
+
+
+def test_ranking_in_one_query_for_all_classes(spark):
+    rng = np.random.default_rng(6)
+    probs = np.round(rng.dirichlet(np.ones(4) * 0.3, 500), 3)
+    y = np.array([rng.choice(4, p=p / p.sum()) for p in probs])
+    y[y == 3] = 2
+    long = spark.createDataFrame([(p.tolist(), int(k)) for p, k in zip(probs, y)], "probs array<double>, y int")
+    rows = long.select("y", F.posexplode("probs").alias("label_id", "s")).select("label_id", "s", (F.col("y") == F.col("label_id")).alias("positive"))
+    got = {r["label_id"]: r for r in metrics.ranking_by_class(rows, ranges=8).collect()}
+    for k in range(4):
+        a, b = probs[y == k, k], probs[y != k, k]
+        if not len(a):
+            assert got[k]["auroc"] is None
+            continue
+        assert got[k]["auroc"] == pytest.approx(((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()) / (len(a) * len(b)))
+        cut = sorted(set(probs[:, k]), reverse=True)
+        tp, n = np.array([(a >= c).sum() for c in cut]), np.array([(probs[:, k] >= c).sum() for c in cut])
+        assert got[k]["auprc"] == pytest.approx((np.diff(np.concatenate([[0], tp])) / len(a) * tp / n).sum())
+
+
 def test_macro_ranking_and_retention(spark):
     rows = spark.createDataFrame([([0.7, 0.2, 0.1], 0), ([0.1, 0.8, 0.1], 1), ([0.3, 0.4, 0.3], 0)], "probs array<double>, y int")
     got = metrics.macro_ranking(rows, 3).head()

@@ -50,3 +50,29 @@ def test_streaming_cap(spark):
     got = {r["event_type"]: r["n"] for r in P.st1(spark, SF).collect()}
     whole = {r["event_type"]: r["count"] for r in spark.read.parquet(f"{SF}/events.parquet").groupBy("event_type").count().collect()}
     assert got == {k: min(100, n) for k, n in whole.items()}
+
+
+def test_streaming_cap_holds_over_a_restart(spark, tmp_path):
+    """A family with nine tenths of the rows, files that come in one by one, and a query that stops and starts again."""
+    from pyspark.sql import functions as F
+
+    from flowsieve.streaming.caps import stream_family_cap
+
+    root = f"file://{tmp_path}"
+    rows = lambda k: spark.range(k * 1000, k * 1000 + 1000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 100 == 0, None).otherwise(F.concat(F.lit("f"), (F.col("id") % 70).cast("string"))).alias("family"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            rows(k).coalesce(2).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema("event_id long, family string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            done = stream_family_cap(stream, "family", 1200, salts=4).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            done.awaitTermination()
+            seen = spark.read.parquet(f"{root}/in").groupBy("family").count().collect()
+            got = {r["family"]: r["count"] for r in spark.read.parquet(f"{root}/out").groupBy("family").count().collect()}
+            assert got == {r["family"]: min(1200, r["count"]) for r in seen}
+        whole = spark.read.parquet(f"{root}/out")
+        assert whole.distinct().count() == whole.count()
+    finally:
+        spark.conf.set(provider, before)

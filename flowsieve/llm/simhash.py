@@ -2,12 +2,14 @@
 
 Terms are shingles of five lower-cased words, weighted by how often they occur; each term's hash votes on 64 signed
 bits. Votes are added in eight longs of eight 8-bit counters per run of 127 terms, so no row needs 64 sums per term.
-Permuted block tables (three of six bit blocks as key) find every fingerprint within Hamming distance three.
 
 Near documents are those of a shingle similarity (Jaccard) of `SIMILAR`. Of two such texts 15 % of the bits differ, ten of
-64, which many unrelated fingerprints of a large table do as well; so 64 more bits are voted on for the search, and
-`NEAR` of the 128 bits may differ: the least radius that keeps `RECALL` of the pairs at exactly SIMILAR (more above it).
-No key of agreeing blocks is selective at that radius, so every asked fingerprint is held against all distinct ones.
+64, which many unrelated fingerprints of a large table do as well; so 64 more bits are voted on for the search. The 128
+bits are cut into `BLOCKS` blocks; if two fingerprints differ in at most `NEAR` bits, some block of them differs in at most
+`ERRORS`. So there is a table for each block in which that block stands first, as the key: every fingerprint is in each of
+the tables once, an asked one is looked up with its block and with all blocks that differ from it in at most ERRORS bits,
+and what is found is counted in the first table that finds it. That gives all fingerprints within NEAR and no other; of
+the pairs at exactly SIMILAR it is `radius_recall` of them (99 %), above it more.
 
 Defined results: null texts count as empty; texts of under five words are one term, the empty text too; equal texts
 have equal fingerprints. The next document is that of the next greater doc_id (of repeated ids the least text), after
@@ -16,36 +18,31 @@ the last the first; a row without doc_id has no next one and nothing takes the p
 
 from __future__ import annotations
 
+import json
 import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import stored
 
-WORDS, BITS, RADIUS, RUN = 5, 64, 3, 127
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+WORDS, BITS, RUN = 5, 64, 127
 _LANES = 0x0101010101010101
-SIMILAR, RECALL = 0.8, 0.98
-#: Fingerprints that are broadcast at once.
-ASKED = 1 << 20
+SIMILAR = 0.8
+BLOCKS, ERRORS = 10, 2
+#: The greatest radius at which one of the blocks differs in no more than ERRORS bits.
+NEAR = BLOCKS * (ERRORS + 1) - 1
+#: Ids of a range in which neighbours are found, and ranges at most.
+IDS_A_RANGE, RANGES = 250_000, 4096
 
 
-def radius(similarity: float, bits: int, recall: float = RECALL) -> int:
-    """The least Hamming distance within which `recall` of the pairs of this Jaccard similarity are; two sets of one
-    size have the cosine 2 J / (1 + J), and a bit differs with the probability angle / pi."""
-    p, seen = math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.0
-    for r in range(bits + 1):
-        seen += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
-        if seen >= recall:
-            return r
-    return bits
-
-
-NEAR = radius(SIMILAR, 2 * BITS)
+def radius_recall(similarity: float, bits: int, radius: int) -> float:
+    """The share of the pairs of this Jaccard similarity that differ in at most `radius` bits; two sets of one size have the
+    cosine 2 J / (1 + J), and a bit differs with the probability angle / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return sum(math.comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(radius + 1))
 
 
 def _signed(x: int) -> int:
@@ -91,48 +88,56 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) of distinct ids in ascending order, the first after the last. Neighbours are found in blocks
-    of 2^12 and 2^24 ids, so that only the firsts of the largest blocks meet in one task."""
-    ids = ids.where("doc_id IS NOT NULL").distinct().withColumn("_a", F.shiftright("doc_id", 12)).withColumn("_b", F.shiftright("doc_id", 24))
-    a = ids.withColumn("_x", F.lead("doc_id").over(Window.partitionBy("_a").orderBy("doc_id")))
-    firsts = ids.groupBy("_a", "_b").agg(F.min("doc_id").alias("_f"))
-    b = firsts.select("_a", F.lead("_f").over(Window.partitionBy("_b").orderBy("_a")).alias("_y"))
-    c = firsts.groupBy("_b").agg(F.min("_f").alias("_g"))
-    c = c.select("_b", F.coalesce(F.lead("_g").over(Window.orderBy("_b")), F.first("_g").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_z"))
-    return a.join(b, "_a", "left").join(c, "_b", "left").select("doc_id", F.coalesce("_x", "_y", "_z").alias("next_id"))
-
-
-def within_radius(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """index: distinct fingerprint, n; queries: distinct fingerprint. (fingerprint, found, n) of all pairs that differ
-    in at most RADIUS bits. A pair is reported by the first table in which it agrees."""
-    masks = [sum(((1 << BLOCKS[b][1]) - 1) << BLOCKS[b][0] for b in c) for c in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).cast("long").alias("m")) for i, m in enumerate(masks)])
-
-    def keyed(df, name):
-        x = df.select("*", F.explode(tables).alias("_m"))
-        return x.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns], F.col("_m.i").alias(f"{name}_i"), F.col("fingerprint").bitwiseAND(F.col("_m.m")).alias(f"{name}_k"))
-
-    q, x = keyed(queries.select("fingerprint"), "q"), keyed(index.select("fingerprint", "n"), "x")
-    differ = F.col("q_fingerprint").bitwiseXOR(F.col("x_fingerprint"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    pairs = q.join(x, (F.col("q_i") == F.col("x_i")) & (F.col("q_k") == F.col("x_k")) & (F.bit_count(differ) <= RADIUS) & (first == F.col("q_i")))
-    return pairs.select(F.col("q_fingerprint").alias("fingerprint"), F.col("x_fingerprint").alias("found"), F.col("x_n").alias("n"))
-
-
-def count_near(index: DataFrame, queries: DataFrame, columns: list[str], radius: int) -> DataFrame:
-    """index: distinct fingerprints (`columns`, 64 bits each), n; queries: distinct fingerprints. For each query the sum
-    of n over all fingerprints that differ in at most `radius` bits. The comparisons are spread over the index and their
-    number is the product of both sizes; only the hits become rows."""
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartition(tasks, *columns).select(*[F.col(c).alias(f"x_{c}") for c in columns], "n")
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in columns[1:]), F.bit_count(F.col(columns[0]).bitwiseXOR(F.col(f"x_{columns[0]}"))))
-    chunks = -(-queries.count() // ASKED) or 1
-    found = None
-    for k in range(chunks):
-        some = queries.select(*columns).where(F.pmod(F.xxhash64(*columns), F.lit(chunks)) == k) if chunks > 1 else queries.select(*columns)
-        pairs = dealt.join(F.broadcast(some), differ <= radius).select(*columns, "n")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.groupBy(*columns).agg(F.sum("n").alias("n_found"))
+    """(doc_id, next_id) of distinct ids in ascending order, the first after the last. Neighbours are found in ranges of
+    about equally many ids, however thinly these are spread; the firsts of the ranges, a row each, make the links between
+    them."""
+    ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    n, ends = ids.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [k / 64 for k in range(1, 64)], 2000)).head()
+    if n > 64 * IDS_A_RANGE:
+        ranges = min(RANGES, -(-n // IDS_A_RANGE))
+        ends = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).head()[0]
+    place = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in sorted(set(ends or []))]).cast("array<long>"), lambda e: e <= F.col("doc_id")))
+    ranged = ids.withColumn("_a", place)
+    inside = ranged.withColumn("_x", F.lead("doc_id").over(Window.partitionBy("_a").orderBy("doc_id")))
+    firsts = ranged.groupBy("_a").agg(F.min("doc_id").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("_a", "_f"))).alias("_s"))
+    # the range behind each; a row a range
+    links = firsts.select(F.explode(F.transform("_s", lambda x, k: F.struct(x["_a"].alias("_b"), F.coalesce(F.get("_s", k + 1), F.get("_s", F.lit(0)))["_f"].alias("_y")))).alias("l")).select("l.*")
+    return inside.join(links, F.col("_a") == F.col("_b")).select("doc_id", F.coalesce("_x", "_y").alias("next_id"))
+
+
+def block_masks(bits: int = 2 * BITS, blocks: int = BLOCKS) -> list[tuple[int, int]]:
+    """(mask of the first long, mask of the second) of each block of the bits."""
+    edges = [k * bits // blocks for k in range(blocks + 1)]
+    whole = [sum(1 << b for b in range(x, y)) for x, y in zip(edges, edges[1:])]
+    return [(m & ((1 << BITS) - 1), m >> BITS) for m in whole]
+
+
+def probes(errors: int = ERRORS) -> list[dict[str, int]]:
+    """For each block every change of at most `errors` of its bits: block i, its masks ma and mb, the changes xa and xb."""
+    out = []
+    for i, (ma, mb) in enumerate(block_masks()):
+        own = [(1 << b, 0) for b in range(BITS) if ma >> b & 1] + [(0, 1 << b) for b in range(BITS) if mb >> b & 1]
+        for n in range(errors + 1):
+            for some in combinations(own, n):
+                out.append({"i": i, "ma": _signed(ma), "mb": _signed(mb), "xa": _signed(sum(a for a, _ in some)), "xb": _signed(sum(b for _, b in some))})
+    return out
+
+
+def count_near(index: DataFrame, queries: DataFrame, a: str = "fp", b: str = "fp_more") -> DataFrame:
+    """index: distinct fingerprints (two longs), n; queries: distinct fingerprints. For each query n_found, the sum of n over
+    all fingerprints that differ from it in at most NEAR bits."""
+
+    def table(rows: list[dict]) -> Column:
+        return F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<i:int,ma:bigint,mb:bigint,xa:bigint,xb:bigint>>"))
+
+    key = lambda x, y: F.xxhash64("m.i", x.bitwiseAND(F.col("m.ma")), y.bitwiseAND(F.col("m.mb")))
+    every = index.select(a, b, "n", table(probes(0)).alias("m")).select(F.col(a).alias("_xa"), F.col(b).alias("_xb"), "n", key(F.col(a), F.col(b)).alias("_xk"))
+    asked = queries.select(a, b, table(probes()).alias("m")).select(a, b, F.col("m.i").alias("_i"), key(F.col(a).bitwiseXOR(F.col("m.xa")), F.col(b).bitwiseXOR(F.col("m.xb"))).alias("_k"))
+    da, db = F.col(a).bitwiseXOR(F.col("_xa")), F.col(b).bitwiseXOR(F.col("_xb"))
+    in_block = lambda ma, mb: sum([F.bit_count(d.bitwiseAND(F.lit(_signed(m)).cast("long"))) for d, m in ((da, ma), (db, mb)) if m], F.lit(0))
+    first = F.coalesce(*[F.when(in_block(ma, mb) <= ERRORS, F.lit(i)) for i, (ma, mb) in enumerate(block_masks())])
+    pairs = asked.join(every, (F.col("_k") == F.col("_xk")) & (F.bit_count(da) + F.bit_count(db) <= NEAR) & (first == F.col("_i")))
+    return pairs.groupBy(a, b).agg(F.sum("n").alias("n_found"))
 
 
 def fingerprints(docs: DataFrame, query_step: int = 50) -> DataFrame:
@@ -155,7 +160,7 @@ def fingerprints(docs: DataFrame, query_step: int = 50) -> DataFrame:
     following = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
     index = made.groupBy("fp", "fp_more").agg(F.count(F.lit(1)).alias("n"))
     asked = made.where(F.col("doc_id") % query_step == 0).select("fp", "fp_more").distinct()
-    near = count_near(index, asked, ["fp", "fp_more"], NEAR).withColumn("is_query", F.lit(True))
+    near = count_near(index, asked).withColumn("is_query", F.lit(True))
     out = made.withColumn("is_query", F.when(F.col("doc_id") % query_step == 0, True)).join(following, "next_id", "left").join(near, ["fp", "fp_more", "is_query"], "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp")).alias("fingerprint"), hex_of(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), (F.col("n_found") - 1).alias("n_near")

@@ -271,43 +271,6 @@ def _spread(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys, smoothing_mass(*[np.bincount(index, x, len(keys)) for x in sums])
 
 
-def _contexts(stream: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with `depth` symbols before them in their document, and these packed with the latest one lowest."""
-    position = np.arange(len(stream)) - np.repeat(starts, np.diff(np.append(starts, len(stream))))
-    at = np.flatnonzero(position >= depth)
-    key = np.zeros(len(at), dtype=np.uint64)
-    for k in range(depth, 0, -1):
-        key = key << np.uint64(16) | stream[at - k].astype(np.uint64)
-    return at, key
-
-
-@dataclass
-class Level:
-    """A tree small enough for one place: states of one depth: sorted context keys; totals and smoothing mass; entries (state << 16 | symbol) and counts."""
-
-    keys: np.ndarray
-    totals: np.ndarray
-    mass: np.ndarray
-    entries: np.ndarray
-    counts: np.ndarray
-
-
-def probabilities(stream: np.ndarray, starts: np.ndarray, root: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Of each symbol by the longest suffix of what is before it in its document that is a state."""
-    p = root[stream].copy()
-    for depth, level in enumerate(levels, 1):
-        if not len(level.keys):
-            continue
-        at, key = _contexts(stream, starts, depth)
-        state = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-        at, state = at[level.keys[state] == key], state[level.keys[state] == key]
-        want = state.astype(np.uint64) << np.uint64(16) | stream[at].astype(np.uint64)
-        place = np.minimum(np.searchsorted(level.entries, want), max(0, len(level.entries) - 1))
-        c = np.where(level.entries[place] == want, level.counts[place], 0) if len(level.entries) else 0
-        p[at] = (c + level.mass[state] * p[at]) / level.totals[state]
-    return p
-
-
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score of every row of docs."""
     spark = docs.sparkSession

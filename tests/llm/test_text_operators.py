@@ -363,14 +363,54 @@ def test_simhash_finds_similar_texts(spark):
     assert sum(near) >= 0.95 * sum(similar)
 
 
-def test_block_tables_find_all(spark):
+def simhash_by_hand(text):
+    """(64 bits, 64 further bits) of a text by plain votes over its shingles."""
+    import xxhash
+
+    def chained(values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v, h)
+        return h
+
+    words = [chained([w.encode()]).to_bytes(8, "little") for w in text.lower().split()]
+    terms = [chained([words[k + j] if k + j < len(words) else None for j in range(5)]) for k in range(max(1, len(words) - 4))]
+    more = [chained([t.to_bytes(8, "little"), (1).to_bytes(4, "little")]) for t in terms]
+    return tuple(sum(1 << b for b in range(64) if sum(1 if t >> b & 1 else -1 for t in ts) > 0) for ts in (terms, more))
+
+
+def test_simhash_by_hand(spark):
+    rng = np.random.default_rng(21)
+    texts = [word_text(rng, int(n), 60) for n in [*rng.integers(0, 40, 20), 127, 131, 132, 260, 700]] + ["Été ÉTÉ x", "a a a a a a a"]
+    df = simhash.with_fingerprint(frame(spark, texts), F.col("text"), "a", "b").select("doc_id", "a", "b").collect()
+    assert {r["doc_id"]: (r["a"] % 2**64, r["b"] % 2**64) for r in df} == {k: simhash_by_hand(t) for k, t in enumerate(texts)}
+
+
+def test_block_tables_find_all(spark, capsys):
+    """All fingerprints within the radius and no other, against every pair."""
     rng = np.random.default_rng(7)
-    base = rng.integers(-(2**62), 2**62, 30)
-    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(1, 6)), replace=False)) for b in base]
-    prints = sorted({int(b) for b in base} | set(near))
-    df = spark.createDataFrame([(p, 1) for p in prints], "fingerprint long, n long")
-    got = {(r["fingerprint"], r["found"]) for r in simhash.within_radius(df, df.select("fingerprint")).collect()}
-    assert got == {(a, b) for a in prints for b in prints if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    word = lambda: int(rng.integers(0, 2**63)) * 2 + int(rng.integers(0, 2))
+    base = [word() | word() << 64 for _ in range(40)]
+    near = [b ^ sum(1 << int(k) for k in rng.choice(128, n, replace=False)) for b in base for n in (1, 5, 20, 27, 28, 29, 30, 31)]
+    prints = sorted({*base, *near})
+    df = spark.createDataFrame([(simhash._signed(p % 2**64), simhash._signed(p >> 64), k % 3 + 1) for k, p in enumerate(prints)], "fp long, fp_more long, n long")
+    found = simhash.count_near(df, df.select("fp", "fp_more"))
+    got = {(r["fp"] % 2**64) | (r["fp_more"] % 2**64) << 64: r["n_found"] for r in found.collect()}
+    assert got == {a: sum(k % 3 + 1 for k, b in enumerate(prints) if (a ^ b).bit_count() <= simhash.NEAR) for a in prints}
+    found.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+    assert simhash.radius_recall(simhash.SIMILAR, 128, simhash.NEAR) > 0.95
+
+
+@pytest.mark.parametrize("ids", [[7], list(range(300)), [-(2**62), -5, 0, 3, 2**40, 2**62]])
+def test_next_ids(spark, ids):
+    import random
+
+    rows_ = ids * 2 + [None]
+    random.Random(1).shuffle(rows_)
+    got = {r["doc_id"]: r["next_id"] for r in simhash.next_ids(spark.createDataFrame([(i,) for i in rows_], "doc_id long")).collect()}
+    assert got == dict(zip(sorted(ids), sorted(ids)[1:] + [min(ids)]))
 
 
 # ---- language model ------------------------------------------------------------------------------------------------
@@ -433,6 +473,8 @@ def suffix_tree_by_hand(tokens, held, depth=3):
         if n >= 4 and sum(c * np.log(c / n / p(context[1:], s)) for s, c in at.items()) > 0.5 * len(at) * np.log(n):
             states[context] = at
     within = lambda w: 1.0 if words.get(w, 0) >= 2 else (words.get(w, 0) + 0.5) / (count[symbol(w)] + 0.5 * (own.get(symbol(w), 0) + 1))
+    for context in states:  # a distribution
+        assert sum(p(context, s) for s in count) == pytest.approx(1)
     return [sum(np.log10(p(tuple(symbol(x) for x in t[max(0, i - depth) : i]), symbol(w)) * within(w)) for i, w in enumerate(t)) for t in tokens], len(states)
 
 
@@ -458,13 +500,6 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert sum(r["score"] - r["base_score"] for r in got) / n > 2
 
 
-def test_suffix_tree_sums_to_one():
-    root = np.array([0.5, 0.3, 0.2])
-    levels = [suffix_tree_lm.Level(np.array([1], np.uint64), np.array([12.0]), np.array([4.0]), np.array([0, 2], np.uint64), np.array([5.0, 3.0]))]
-    stream = np.array([s for n in range(3) for s in (1, n)], dtype=np.uint16)
-    assert suffix_tree_lm.probabilities(stream, np.array([0, 2, 4]), root, levels)[1::2].sum() == pytest.approx(1)
-
-
 # ---- repeated passages ---------------------------------------------------------------------------------------------
 
 

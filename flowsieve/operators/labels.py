@@ -20,9 +20,9 @@ def unseen_labels(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 def encode(df: DataFrame, dimension: DataFrame, label: str, strict: bool = True) -> DataFrame:
-    """df plus label_id (J2). A label dimension has one row per class, so it may be broadcast. Strict: labels that the
-    dimension lacks are an error."""
-    small = F.broadcast(dimension.select(F.col("label").alias("_label"), "label_id"))
+    """df plus label_id (J2). Strict: labels that the dimension lacks are an error. The dimension is broadcast if Spark
+    finds it small, as it does for all joins here."""
+    small = dimension.select(F.col("label").alias("_label"), "label_id")
     out = df.join(small, q(label).cast("string") == F.col("_label"), "left").drop("_label")
     if strict and (missing := [r[0] for r in out.where("label_id IS NULL").select(q(label)).distinct().limit(5).collect()]):
         raise ValueError(f"labels not seen in training: {missing}")
@@ -31,16 +31,16 @@ def encode(df: DataFrame, dimension: DataFrame, label: str, strict: bool = True)
 
 def map_labels(df: DataFrame, mapping: DataFrame, label: str) -> DataFrame:
     """df plus the mapping's columns by raw label, null where it has none (J8); mapping: raw, family, ..."""
-    return df.join(F.broadcast(mapping), q(label) == mapping["raw"], "left").drop("raw")
+    return df.join(mapping, q(label) == mapping["raw"], "left").drop("raw")
 
 
 def unmapped(df: DataFrame, mapping: DataFrame, label: str) -> DataFrame:
     """Raw labels without a mapping and their counts."""
-    return df.join(F.broadcast(mapping), q(label) == mapping["raw"], "left_anti").groupBy(q(label).alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+    return df.join(mapping, q(label) == mapping["raw"], "left_anti").groupBy(q(label).alias("raw")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def leave_families_out(df: DataFrame, held_out: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """(rows of other families, rows of the families held out) (J9); held_out: column `family`."""
-    k = F.broadcast(held_out.select(F.col("family").alias("_f")))
+    k = held_out.select(F.col("family").alias("_f"))
     on = q(family) == F.col("_f")
     return df.join(k, on, "left_anti"), df.join(k, on, "left_semi")

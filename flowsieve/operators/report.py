@@ -127,7 +127,7 @@ def claim_gates(matrix: DataFrame, others: list[str]) -> DataFrame:
 
 def family_rollup(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     """family, recall: tp and support of fine labels summed by family (A24); mapping: label, family."""
-    joined = counts.join(F.broadcast(mapping), "label")
+    joined = counts.join(mapping, "label")
     return joined.groupBy("family").agg((F.sum("tp") / (F.sum("support") + 1e-12)).alias("recall"), F.sum("support").alias("support"))
 
 

@@ -16,6 +16,8 @@ DIGITS = 3
 
 #: Rows of a bucket that are ranked in a task; larger ones are cut by further digits first.
 RANKED = 100_000
+#: Groups whose thresholds come to the driver and are broadcast again.
+MOST_GROUPS = 100_000
 
 
 def quota_thresholds(rows: DataFrame, quota: Column, ranked: int = RANKED) -> list[tuple]:
@@ -35,7 +37,9 @@ def quota_thresholds(rows: DataFrame, quota: Column, ranked: int = RANKED) -> li
         else:
             sized = sized.join(edges.select("_eg", F.col("_need").alias("_quota")), F.col("_g").eqNullSafe(F.col("_eg")))
         edge = sized.where("_upto >= _quota AND _quota > 0").groupBy("_g").agg(F.min(F.struct("_b", (F.col("_quota") - F.col("_upto") + F.col("count")).alias("need"), "count")).alias("_e"))
-        found = edge.select("_g", "_e._b", "_e.need", "_e.count").collect()  # a row a group
+        found = edge.select("_g", "_e._b", "_e.need", "_e.count").limit(MOST_GROUPS + 1).collect()  # a row a group
+        if len(found) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups; pick_quota_by_window takes any number of small ones")
         edges = F.broadcast(spark.createDataFrame([(g, b, need) for g, b, need, _ in found], kind))
         inside = rows.join(edges, F.col("_g").eqNullSafe(F.col("_eg")) & (F.substring("_h", 1, digits) == F.col("_edge")))
         if digits >= 30 or max((r["count"] for r in found), default=0) <= ranked:
@@ -144,7 +148,9 @@ def sampled_edges(df: DataFrame, column: Column, by: Column | None = None, range
     hash. The edges only balance the ranges, so a sample does."""
     group = by.cast("string") if by is not None else F.lit("")
     rows = df.select(group.alias("_by"), column.alias("_x")).where(F.col("_x").isNotNull())
-    sizes = rows.groupBy("_by").count().collect()  # a row a group
+    sizes = rows.groupBy("_by").count().limit(MOST_GROUPS + 1).collect()  # a row a group
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     share = F.lit(1.0)
     for r in sizes:
         share = F.when(F.col("_by").eqNullSafe(F.lit(r["_by"])), F.lit(ranges * SAMPLED / max(1, r["count"]))).otherwise(share)

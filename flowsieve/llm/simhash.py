@@ -136,7 +136,8 @@ def count_near(index: DataFrame, queries: DataFrame, a: str = "fp", b: str = "fp
     da, db = F.col(a).bitwiseXOR(F.col("_xa")), F.col(b).bitwiseXOR(F.col("_xb"))
     in_block = lambda ma, mb: sum([F.bit_count(d.bitwiseAND(F.lit(_signed(m)).cast("long"))) for d, m in ((da, ma), (db, mb)) if m], F.lit(0))
     first = F.coalesce(*[F.when(in_block(ma, mb) <= ERRORS, F.lit(i)) for i, (ma, mb) in enumerate(block_masks())])
-    pairs = asked.join(every, (F.col("_k") == F.col("_xk")) & (F.bit_count(da) + F.bit_count(db) <= NEAR) & (first == F.col("_i")))
+    # Spark takes a table that an explode has multiplied for as small as it was
+    pairs = asked.hint("merge").join(every, (F.col("_k") == F.col("_xk")) & (F.bit_count(da) + F.bit_count(db) <= NEAR) & (first == F.col("_i")))
     return pairs.groupBy(a, b).agg(F.sum("n").alias("n_found"))
 
 

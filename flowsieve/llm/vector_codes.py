@@ -256,5 +256,6 @@ def digest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     # a label may hold any share of the rows: they are dealt to salts, and each label's sum goes to all of them
     totals = coded.groupBy("label").agg(F.sum("error").alias("label_error")).select(F.col("label").alias("_label"), "label_error", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("_salt"))
     salted = coded.withColumn("_s", F.pmod(F.xxhash64("vec_id", "code", "error"), F.lit(LABEL_SALTS)).cast("int"))
-    both = salted.join(totals, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_s") == F.col("_salt")))
+    # Spark takes a table that an explode has multiplied for as small as it was, hence the hint
+    both = salted.hint("merge").join(totals, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_s") == F.col("_salt")))
     return both.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(codebooks_text(books).encode()).hexdigest()).alias("codebooks_sha256"))

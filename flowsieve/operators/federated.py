@@ -118,7 +118,7 @@ def communication_mb(features: int, classes: int, clients: int) -> float:
     return (features * classes + classes) * 4 / 2**20 * clients * 2
 
 
-#: Numbers of partial gradients that a task holds before it passes them on.
+#: Numbers of partial gradients that a task holds before it passes them on, and of weights that are broadcast.
 HELD = 4_000_000
 
 
@@ -184,12 +184,14 @@ def train_clients(df: DataFrame, weights: np.ndarray, classes: int, lr: float =
     rows = df.where(q(client).isNotNull()).select(q(client).cast("int").alias("client"), q(features).alias("x"), q(label).cast("long").alias("y"), q(key).alias("key"))
     first = F.lit([float(v) for v in weights.ravel()])
     state = _cut(rows.groupBy("client").agg(F.count(F.lit(1)).alias("n")).select("client", "n", first.alias("w")))
+    few = state.count() * weights.size <= HELD  # then rows needn't be dealt out by client to meet the weights
     for epoch in range(epochs):
         # sorted by batch, so that a step skips the cached blocks of the others
         cut = batched(rows, "client", "key", batch_rows, seed, f"batch{epoch}").sortWithinPartitions("batch").persist()
         steps = cut.agg(F.max("batch")).head()[0]
         for b in range(0 if steps is None else steps + 1):
-            some = cut.where(F.col("batch") == b).join(state.select("client", "w"), "client")
+            own = state.select("client", "w")
+            some = cut.where(F.col("batch") == b).join(F.broadcast(own) if few else own, "client")
             sums = client_gradients(some, weights.shape, classes).groupBy("client").agg(F.sort_array(F.collect_list(F.struct("coord", "gradient"))).getField("gradient").alias("g"), F.first("n").alias("m"))
             joined = state.join(sums, "client", "left")
             w0 = F.transform(F.arrays_zip("w", "g", first.alias("w0")), lambda v: v["w"] - lr * (v["g"] / F.col("m") + mu * (v["w"] - v["w0"])))

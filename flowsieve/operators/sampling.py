@@ -71,17 +71,44 @@ def family_cap(df: DataFrame, family: str, key: str, cap: int, seed: int = 42) -
     return pick_quota(df, family, key, F.lit(cap), seed, "cap").where("picked").drop("picked")
 
 
-def first_rows(df: DataFrame, order: list[Column], n: int, bucket: list[Column] | None = None) -> DataFrame:
-    """The first n rows in `order` (W2): numbered by runs of the order (`bucket`; without, ranges of the first order column),
-    so that no task sorts more than a run, however large n is."""
-    cut, at = (df, bucket) if bucket else with_range(df, order[0])
-    return distributed_row_number(cut, order, at, "_first").where(F.col("_first") <= n).select(*[q(c) for c in df.columns])
+def prefix_bound(df: DataFrame, order: str, n: int, ranked: int = RANKED) -> tuple | None:
+    """(the n-th least value of a column,) or None if it has fewer: ranges of a sample tell where it is, the range that
+    holds it is cut again until it has `ranked` rows or values that a sample can't part, and those alone are ordered."""
+    rows, need, before = df.select(q(order).alias("_o")).where("_o IS NOT NULL"), n, None
+    while True:
+        edges = [e for r in sampled_edges(rows, F.col("_o")).collect() for e in r["_edges"]]
+        place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_o"))) if edges else F.lit(0)
+        counts = {r["p"]: r["count"] for r in rows.groupBy(place.alias("p")).count().collect()}  # a row a range
+        at = 0
+        while at <= len(edges) and need > counts.get(at, 0):
+            need -= counts.get(at, 0)
+            at += 1
+        if at > len(edges):
+            return None
+        if at:
+            rows = rows.where(F.col("_o") >= F.lit(edges[at - 1]))
+        if at < len(edges):
+            rows = rows.where(F.col("_o") < F.lit(edges[at]))
+        if counts[at] <= ranked or counts[at] == before:
+            break
+        before = counts[at]
+    by_value = rows.groupBy("_o").count().withColumn("_upto", F.sum("count").over(Window.orderBy("_o")))  # a range's values
+    return tuple(by_value.where(F.col("_upto") >= need).agg(F.min("_o")).head())
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows by a column of any type that has an order and doesn't repeat (W2): a bound and a filter, so nothing
+    is shuffled however large n is. Rows without a value aren't among them."""
+    bound = prefix_bound(df, order, n) if n > 0 else None
+    if bound is None:
+        return df.where(q(order).isNotNull() & F.lit(n > 0))
+    return df.where(q(order) <= F.lit(bound[0]))
 
 
 def first_come_cap(df: DataFrame, family: str, order: str, cap: int, max_rows: int) -> DataFrame:
-    """Of the first `max_rows` rows in `order`, the first `cap` of each family (W2). Both numberings are distributed: a
-    family may have any share of the rows, and max_rows may be any share of the table."""
-    first = first_rows(df, [q(order)], max_rows)
+    """Of the first `max_rows` rows in `order`, the first `cap` of each family (W2). Families are numbered by ranges of the
+    order: a family may have any share of the rows, and max_rows may be any share of the table."""
+    first = first_rows(df, order, max_rows)
     cut, at = with_range(first, q(order), q(family))
     numbered = distributed_row_number(cut, [q(order)], [q(family), *at], "_come", within=1)
     return numbered.where(F.col("_come") <= cap).select(*[q(c) for c in df.columns])
@@ -89,7 +116,7 @@ def first_come_cap(df: DataFrame, family: str, order: str, cap: int, max_rows: i
 
 def in_file_order(df: DataFrame, run: int = 1_000_000) -> tuple[DataFrame, list[Column], list[Column]]:
     """(df plus _file and _row, order, bucket) of a table read from Parquet files: the order of files by path and of rows in
-    them, for first_rows and distributed_row_number; runs are `run` rows of a file."""
+    them, for distributed_row_number; runs are `run` rows of a file."""
     told = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     return told, [F.col("_file"), F.col("_row")], [F.col("_file"), F.floor(F.col("_row") / run)]
 
@@ -138,34 +165,34 @@ def hash_bucket(h: Column) -> Column:
     return F.substring(h, 1, DIGITS)
 
 
-#: Ranges of a column, and sampled values to a range.
-RANGES, SAMPLED = 64, 16
+#: Ranges of a column at least and at most (a range has about RANKED rows in between), and sampled values to a range.
+RANGES, MOST_RANGES, SAMPLED = 64, 4096, 16
 
 
-def sampled_edges(df: DataFrame, column: Column, by: Column | None = None, ranges: int = RANGES) -> DataFrame:
+def sampled_edges(df: DataFrame, column: Column, by: Column | None = None) -> DataFrame:
     """(_by, _edges): inner edges of about equal ranges of any column that has an order, texts too; with `by` (few values,
-    as labels or splits) for each of them. They are those of a sample of about ranges * SAMPLED rows a group, chosen by
-    hash. The edges only balance the ranges, so a sample does."""
+    as labels or splits) for each of them. They are those of a sample of about SAMPLED rows a range, chosen by hash. The
+    edges only balance the ranges, so a sample does."""
     group = by.cast("string") if by is not None else F.lit("")
     rows = df.select(group.alias("_by"), column.alias("_x")).where(F.col("_x").isNotNull())
     sizes = rows.groupBy("_by").count().limit(MOST_GROUPS + 1).collect()  # a row a group
     if len(sizes) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups")
-    share = F.lit(1.0)
+    share, ranges = F.lit(1.0), min(MOST_RANGES, max(RANGES, max((r["count"] for r in sizes), default=0) // RANKED))
     for r in sizes:
         share = F.when(F.col("_by").eqNullSafe(F.lit(r["_by"])), F.lit(ranges * SAMPLED / max(1, r["count"]))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("_x"), F.lit(1 << 30)) < share * float(1 << 30)).distinct()
     held: dict = {}
-    for r in chosen.orderBy("_by", "_x").collect():  # ranges * SAMPLED rows a group, about
+    for r in chosen.orderBy("_by", "_x").collect():  # SAMPLED rows a range and group, about
         held.setdefault(r["_by"], []).append(r["_x"])
     edges = [(r["_by"], [x[k * len(x) // ranges] for k in range(1, ranges)] if len(x := held.get(r["_by"], [])) >= ranges else x) for r in sizes]
     kind = rows.select("_by", F.array("_x").alias("_edges")).schema
     return df.sparkSession.createDataFrame(edges, kind)
 
 
-def with_range(df: DataFrame, column: Column, by: Column | None = None, ranges: int = RANGES) -> tuple[DataFrame, list[Column]]:
+def with_range(df: DataFrame, column: Column, by: Column | None = None) -> tuple[DataFrame, list[Column]]:
     """(df plus the number of the range that the column is in, from 0, nulls in 0, that number as a bucket)."""
-    edges = sampled_edges(df, column, by, ranges)
+    edges = sampled_edges(df, column, by)
     group = by.cast("string") if by is not None else F.lit("")
     out = df.join(F.broadcast(edges), group.eqNullSafe(F.col("_by")), "left")  # a row a group, as many as labels or splits
     place = F.coalesce(F.when(column.isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e <= column))), F.lit(0))

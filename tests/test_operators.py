@@ -404,7 +404,11 @@ def test_prefixes_without_a_limit(spark, capsys, tmp_path):
     n = 4000
     rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("family")).repartition(7)
     names = sorted(f"k{i}" for i in range(n))
-    assert sorted(r["key"] for r in sampling.first_rows(rows, [X.q("key")], 2500).collect()) == names[:2500]
+    for first in (0, 1, 63, 2500, n, n + 1):
+        assert sorted(r["key"] for r in sampling.first_rows(rows, "key", first).collect()) == names[:first]
+    for ranked in (1, 10, 100_000):
+        assert sampling.prefix_bound(rows, "key", 2500, ranked) == (names[2499],)
+    assert sampling.prefix_bound(rows.select(F.lit(7).alias("x")), "x", 9, 1) == (7,)
     want = [k for f in ("hot", "rare") for k in [x for x in names[:2500] if (int(x[1:]) % 10 == 0) == (f == "rare")][:800]]
     assert sorted(r["key"] for r in sampling.first_come_cap(rows, "family", "key", 800, 2500).collect()) == sorted(want)
     import hashlib
@@ -416,7 +420,7 @@ def test_prefixes_without_a_limit(spark, capsys, tmp_path):
     path = f"file://{tmp_path}/t"
     rows.write.parquet(path)
     told, by, at = sampling.in_file_order(spark.read.parquet(path), run=100)
-    first = sampling.first_rows(told, by, 1700, at).select("_file", "_row").collect()
+    first = sampling.distributed_row_number(told, by, at, "n").where("n <= 1700").select("_file", "_row").collect()
     files = sorted((r["_file"], r["_row"]) for r in told.collect())
     assert sorted(map(tuple, first)) == files[:1700]
 

@@ -54,10 +54,28 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+#: Folders and tables that this driver has stored, for remove_stored.
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Removes what `stored` and `stored_in_buckets` have written for this driver, once no result that reads it is wanted
+    any more; the number of folders and tables."""
+    n = len(_FOLDERS) + len(_TABLES)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,6 +84,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """df as a table of the shared warehouse in buckets of `key`: joins and groups by key read it without an exchange."""
     table = f"{name}_{uuid.uuid4().hex}"
+    _TABLES.append(table)
     with shuffles_removed(df.sparkSession):
         df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
     return df.sparkSession.table(table)

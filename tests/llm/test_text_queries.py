@@ -61,3 +61,16 @@ def test_pipeline_keeps_clean_documents(spark):
     whole = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.5 * whole < docs.count() <= whole
     assert P.run(spark, SF).select("doc_id").distinct().count() == docs.count()
+
+
+def test_stored_tables_are_removed_on_request(spark):
+    from urllib.parse import urlparse
+
+    from flowsieve.llm import common
+
+    common.remove_stored(spark)
+    df = spark.range(5)
+    one, two = common.stored(df, "one"), common.stored_in_buckets(df, "id", 2, "two")
+    path = Path(urlparse(common._FOLDERS[-1]).path)
+    assert one.count() == two.count() == 5 and path.exists()
+    assert common.remove_stored(spark) == 2 and not path.exists() and not spark.catalog.listTables(pattern="two_*")

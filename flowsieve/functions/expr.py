@@ -14,10 +14,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: A number as text; a cast of anything else would raise and catch an exception a row.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
+
+
 def to_double(c: Column) -> Column:
     """Lenient number: null where the text is no number. Java's `1d` and `1.0f` are refused, NaN becomes null."""
     text = c.cast("string")
-    number = F.when(text.rlike(r"[0-9.][dDfF]\s*$"), None).otherwise(text.try_cast("double"))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash_order, q
 from .metrics import BINS, evaluation_sums, scores_of
 from .sampling import distributed_row_number, hash_bucket
-from .train import AT_ONCE, matrix, softmax_rows, summed
+from .train import AT_ONCE, matrix, over_cores, softmax_rows, summed
 
 UPDATE = "client int, coord int, value double, n long"
 
@@ -294,7 +294,7 @@ def federated_rounds(df: DataFrame, test: DataFrame, classes: int, width: int, c
     for k, seed in enumerate(seeds):
         rows = batched(rows, "client", "key", batch_rows, seed).withColumnRenamed("batch", f"b{k}")
     both = rows.select("client", "x", "y", F.array(*[F.col(f"b{k}") for k in range(len(seeds))]).alias("batches"))
-    both = both.unionByName(test.select(F.lit(-1).alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), F.array(*[F.lit(-1)] * len(seeds)).alias("batches"))).persist()
+    both = over_cores(both.unionByName(test.select(F.lit(-1).alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), F.array(*[F.lit(-1)] * len(seeds)).alias("batches")))).persist()
     steps = max(1, (both.agg(F.max(F.array_max("batches"))).head()[0] or 0) + 1)
     seed_of = np.tile(np.arange(len(seeds)), len(runs))
     runs_of = [r for r in runs for _ in seeds]

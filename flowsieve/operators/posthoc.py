@@ -18,7 +18,7 @@ from ..functions.expr import hash_order, q
 from .calibrate import ALPHAS, GRID, select_candidate
 from .metrics import BINS, evaluation_sums, scores_of
 from .quantiles import quantiles
-from .train import AT_ONCE, Models, fit_stack, matrix, summed
+from .train import AT_ONCE, Models, fit_stack, matrix, over_cores, summed
 
 #: Scenario of each rule of W10.
 RULES = {"cal_source_gate": "band", "cal_source_gate_ece": "score"}
@@ -78,7 +78,7 @@ def alpha_grid(df: DataFrame, scaled: np.ndarray, classes: int, seeds: tuple[int
     features are evidence."""
     alphas = alphas or ALPHAS
     spark, n_seeds, width, cells = df.sparkSession, len(seeds), len(scaled), classes * classes + 3 * BINS + 1
-    rows = marked(df, seeds, valid_ratio).select("features", F.col("y").cast("long").alias("y"), "member", "valid", F.when(F.col("split") == "test", (1 << n_seeds) - 1).otherwise(0).cast("long").alias("test"), F.col("gate").cast("double").alias("gate")).persist()
+    rows = over_cores(marked(df, seeds, valid_ratio).select("features", F.col("y").cast("long").alias("y"), "member", "valid", F.when(F.col("split") == "test", (1 << n_seeds) - 1).otherwise(0).cast("long").alias("test"), F.col("gate").cast("double").alias("gate"))).persist()
     of = lambda name: rows.where(F.col(name) > 0).select("features", "y", F.col(name).alias("of"), "gate")
 
     sizes = rows.groupBy("y").agg(*[F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}{k}") for c in ("member", "valid", "test") for k in range(n_seeds)]).collect()  # a row a class

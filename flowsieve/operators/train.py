@@ -45,7 +45,7 @@ def gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, row_weig
 #: Rows that a task multiplies at once.
 AT_ONCE = 8192
 #: Step lengths that a line search tries in the same scan.
-LENGTHS = (1.0, 2.0, 0.5, 0.25, 0.1, 0.01)
+LENGTHS = (1.0, 2.0, 0.3, 0.03)
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,9 @@ class Models:
     penalty: np.ndarray
     bit: np.ndarray
 
+    def some(self, which: np.ndarray) -> Models:
+        return Models(self.scales[which], self.smoothing[which], self.penalty[which], self.bit[which])
+
     @staticmethod
     def of(width: int, alphas: list[float] | None = None, scaled: np.ndarray | None = None, smoothing: float = 0.0, penalty: float = 0.0, bits: int = 1) -> Models:
         """Every alpha (the factor of the features marked in `scaled`) for every bit, bits first."""
@@ -67,6 +70,12 @@ class Models:
         return Models(np.tile(one, (bits, 1)), np.full(n, min(max(smoothing, 0.0), 0.5)), np.full(n, penalty), np.repeat(np.arange(bits), len(alphas)))
 
 
+def over_cores(rows: DataFrame) -> DataFrame:
+    """rows over all cores, for a table that many scans will read: small tables come in one or two partitions."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """An Arrow column of equally long number lists as rows."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
@@ -142,35 +151,37 @@ def _direction(g: np.ndarray, steps: list[np.ndarray], changes: list[np.ndarray]
     return d
 
 
-def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, iterations: int = 60, tolerance: float = 1e-7, memory: int = 10) -> tuple[np.ndarray, list[np.ndarray]]:
+def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, iterations: int = 60, tolerance: float = 1e-7, memory: int = 10) -> tuple[np.ndarray, list[np.ndarray]]:
     """(weights, losses of all models after each iteration) by L-BFGS on a stack: start is models x numbers; evaluate maps
-    models x trials x numbers to losses (models x trials) and gradients. An iteration is one call of evaluate: it tries
-    all step lengths, and of those that lower the loss enough (Armijo) the lowest is taken. A model stands still once no
-    length does, from its plain gradient as well, or once it gains less than `tolerance`."""
+    models x trials x numbers, and which models these are, to losses (models x trials) and gradients. An iteration is one
+    call of evaluate for the models that still move: it tries all step lengths, and of those that lower the loss enough
+    (Armijo) the lowest is taken. A model stands still once no length does, from its plain gradient as well, or once it
+    gains less than `tolerance`."""
     w, n = start.copy(), len(start)
-    f, g = (x[:, 0] for x in evaluate(w[:, None]))
+    f, g = (x[:, 0].copy() for x in evaluate(w[:, None], np.arange(n)))
     steps, changes = [[] for _ in range(n)], [[] for _ in range(n)]
     open_, seen = np.ones(n, dtype=bool), [f.copy()]
     lengths = np.array(LENGTHS)
     for _ in range(iterations):
-        if not open_.any():
+        which = np.flatnonzero(open_)
+        if not len(which):
             break
-        d = np.stack([_direction(g[m], steps[m], changes[m]) / (1.0 if steps[m] else max(1.0, np.linalg.norm(g[m]))) for m in range(n)])
-        slope = (d * g).sum(axis=1)
-        trial = w[:, None] + lengths[None, :, None] * d[:, None]
-        fs, gs = evaluate(trial)
-        fs = np.where(np.isfinite(fs) & (fs <= f[:, None] + 1e-4 * lengths * slope[:, None]), fs, np.inf)
-        for m in np.flatnonzero(open_):
-            k = int(np.argmin(fs[m]))
-            if not np.isfinite(fs[m, k]):
+        d = np.stack([_direction(g[m], steps[m], changes[m]) / (1.0 if steps[m] else max(1.0, np.linalg.norm(g[m]))) for m in which])
+        slope = (d * g[which]).sum(axis=1)
+        trial = w[which, None] + lengths[None, :, None] * d[:, None]
+        fs, gs = evaluate(trial, which)
+        fs = np.where(np.isfinite(fs) & (fs <= f[which, None] + 1e-4 * lengths * slope[:, None]), fs, np.inf)
+        for i, m in enumerate(which):
+            k = int(np.argmin(fs[i]))
+            if not np.isfinite(fs[i, k]):
                 open_[m] = bool(steps[m])
                 steps[m], changes[m] = [], []
                 continue
-            s, c = trial[m, k] - w[m], gs[m, k] - g[m]
+            s, c = trial[i, k] - w[m], gs[i, k] - g[m]
             if s @ c > 1e-12:
                 steps[m], changes[m] = [*steps[m][1 - memory :], s], [*changes[m][1 - memory :], c]
-            open_[m] = f[m] - fs[m, k] > tolerance * max(1.0, abs(f[m]))
-            w[m], f[m], g[m] = trial[m, k], fs[m, k], gs[m, k]
+            open_[m] = f[m] - fs[i, k] > tolerance * max(1.0, abs(f[m]))
+            w[m], f[m], g[m] = trial[i, k], fs[i, k], gs[i, k]
         seen.append(f.copy())
     return w, seen
 
@@ -179,12 +190,11 @@ def fit_stack(rows: DataFrame, models: Models, classes: int, class_weights: np.n
     """(weights models x (width + 1) x classes with the bias last, mean losses after each iteration) of rows (features, y,
     member). Persist rows before: every iteration scans them once for all models. class_weights: bits x classes."""
     n_models, width = models.scales.shape
-    shape = (n_models, width + 1, classes)
     table = np.ones((int(models.bit.max()) + 1, classes)) if class_weights is None else class_weights
 
-    def evaluate(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = flat.reshape(n_models, -1, width + 1, classes)
-        n, loss, g = stack_sums(rows, models, w, table)
+    def evaluate(flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = flat.reshape(len(which), -1, width + 1, classes)
+        n, loss, g = stack_sums(rows, models.some(which), w, table)
         n = np.maximum(n, 1.0)
         inner = w[:, :, :-1]
         g = g / n[:, None, None, None]
@@ -192,7 +202,7 @@ def fit_stack(rows: DataFrame, models: Models, classes: int, class_weights: np.n
         return loss / n[:, None] + decay / 2 * (inner * inner).sum(axis=(2, 3)), g.reshape(flat.shape)
 
     w, losses = minimise(evaluate, np.zeros((n_models, (width + 1) * classes)), iterations)
-    return w.reshape(shape), losses
+    return w.reshape(n_models, width + 1, classes), losses
 
 
 def fit_softmax(df: DataFrame, classes: int, width: int, iterations: int = 60, decay: float = 1e-4, weights: dict[int, float] | None = None, smoothing: float = 0.0, penalty: float = 0.0, features: str = "features", label: str = "y") -> tuple[np.ndarray, list[float]]:

@@ -921,7 +921,7 @@ def m2(spark, sf_dir):
     import numpy as np
 
     df, width = training_rows(spark, sf_dir)
-    df = df.persist()
+    df = train.over_cores(df).persist()
     w, losses = train.fit_softmax(df.where("split = 'train'"), 3, width, smoothing=0.05, penalty=0.01)
     df.unpersist()
     scores = metrics.score_logits(metrics.score_linear(df.where("split = 'test'"), np.asarray(w[:-1]), np.asarray(w[-1])))

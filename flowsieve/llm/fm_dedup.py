@@ -4,7 +4,9 @@ A shard holds the distinct contents that may repeat, as one sequence of word num
 Burrows-Wheeler transform (suffixes sorted to the length of the longest content) is kept in a wavelet matrix of packed
 bits with sampled ranks. The streamed contents are searched backwards from every word at once, one word and one rank
 pair a step, for as long as the suffix interval holds an occurrence that starts earlier in the order of (doc_id, word).
-The steps taken are the matching statistics; those of at least a window are reported as intervals, which are removed.
+The first steps are taken together: sorting the suffixes ranks them by a power of two of words on its way, and the run of
+an equal rank is the suffix interval of as many words. The steps taken are the matching statistics; those of at least a
+window are reported as intervals, which are removed.
 
 Statistics are cut at `DEPTH` words. That loses nothing: behind a match of DEPTH words that ends at one word stands one of
 at least DEPTH that ends at the next, or it has ended.
@@ -64,15 +66,22 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over a sequence of numbers from 1, in which 0 marks ends (the last number has to be 0)."""
+    """Backward search over a sequence of numbers from 1, in which 0 marks ends (the last number has to be 0). `begin` and
+    `end` are the suffix interval of the `head` numbers from each place on; `head` is the greatest width up to `window`
+    by which the suffixes were ranked."""
 
-    def __init__(self, sequence: np.ndarray, longest: int):
+    def __init__(self, sequence: np.ndarray, longest: int, window: int = 1):
         n, width = len(sequence), 1
         r = ranks(np.concatenate([sequence, np.zeros(longest, np.uint64)]))
+        self.head, head = width, r[:n]
         while width < longest and int(r[:n].max()) + 1 < n:
             step = min(width, longest - width)
             r = doubled(r, step)
             width += step
+            if width <= window:
+                self.head, head = width, r[:n]
+        ends = np.cumsum(np.bincount(head))
+        self.begin, self.end = np.concatenate([[0], ends])[head], ends[head]
         self.order = np.argsort(r[:n], kind="stable")
         transform = np.roll(sequence, 1)[self.order]  # the symbol before each suffix
         levels = max(1, int(sequence.max()).bit_length())
@@ -112,14 +121,16 @@ def matching_statistics(index: FMIndex, sequence: np.ndarray, key: np.ndarray, w
     of a lesser key than its own; lengths under `window` may be greater, as their keys aren't compared."""
     least = Minima(key[index.order])
     length = np.zeros(len(sequence) + 1, np.int64)
-    live = np.arange(1, len(sequence) + 1)
-    a, b = np.zeros(len(live), np.int64), np.full(len(live), len(sequence), dtype=np.int64)
-    for k in range(1, depth + 1):
-        there = live >= k
-        there[there] = sequence[live[there] - k] > 0
-        live, a, b = live[there], a[there], b[there]
-        symbol = sequence[live - k]
-        a, b = index.step(symbol, a), index.step(symbol, b)
+    ends = np.concatenate([[0], np.cumsum(sequence == 0)])
+    live = np.flatnonzero(ends[index.head :] == ends[: len(ends) - index.head]) + index.head
+    a, b = index.begin[live - index.head], index.end[live - index.head]
+    for k in range(index.head, depth + 1):
+        if k > index.head:
+            there = live >= k
+            there[there] = sequence[live[there] - k] > 0
+            live, a, b = live[there], a[there], b[there]
+            symbol = sequence[live - k]
+            a, b = index.step(symbol, a), index.step(symbol, b)
         more = b - a > 1
         if k >= window:
             more[more] = least.least(a[more], b[more]) < key[live[more] - k]
@@ -157,7 +168,7 @@ def earlier_intervals(contents: list[bytes], ids: np.ndarray, starts: np.ndarray
     step = np.concatenate([[False], (word[order][1:] != word[order][:-1]) | (document[order][1:] != document[order][:-1])])
     key = np.empty(len(sequence), dtype=np.int64)
     key[order] = np.cumsum(step)  # order of (doc_id, word)
-    length = matching_statistics(FMIndex(sequence, int(lengths.max()) + 1), sequence, key, window, depth)
+    length = matching_statistics(FMIndex(sequence, int(lengths.max()) + 1, window), sequence, key, window, depth)
     hit = np.flatnonzero(length >= window)
     content = owner[hit - 1]
     stop = hit - first[content]

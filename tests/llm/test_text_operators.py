@@ -567,6 +567,23 @@ def test_matching_statistics(seed):
         assert best == (got[e] if got[e] >= 4 else 0)
 
 
+@pytest.mark.parametrize("window", [1, 4, 5, 16, 20])
+def test_statistics_begin_at_the_ranked_width(window):
+    """Passages of all lengths around the window: the search begins at the greatest ranked width and finds the same."""
+    rng = np.random.default_rng(window)
+    base = rng.integers(1, 9, 60).astype(np.uint64)
+    s = np.concatenate([np.append(base[a : a + n], 0) for a in range(0, 30, 3) for n in (1, window - 1, window, window + 1, 30)]).astype(np.uint64)
+    key, depth = np.arange(len(s)) // 2, window + 6
+    index = fm_dedup.FMIndex(s, 31, window)
+    assert index.head == 1 << (window.bit_length() - 1)
+    one, got = (fm_dedup.matching_statistics(i, s, key, window, depth) for i in (fm_dedup.FMIndex(s, 31), index))
+    assert np.array_equal(np.where(one >= window, one, 0), np.where(got >= window, got, 0)) and (got >= window).sum() > 20
+    for p in range(0, len(s) - index.head, 7):
+        same = [q for q in range(len(s)) if np.array_equal(s[q : q + index.head], s[p : p + index.head])]
+        if s[p : p + index.head].all():
+            assert sorted(index.order[index.begin[p] : index.end[p]]) == same
+
+
 def test_words_with_one_hash_are_told_apart():
     raw = b"aa bb aa cc"
     begin, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])

@@ -10,7 +10,8 @@ is scored by the longest suffix of its history that is a state.
 
 The least counts are absolute: the tree grows with the corpus and is never in one place. For each depth a part sends
 every shard the next symbols it saw behind the shard's contexts, with their counts and their probabilities by the suffix
-state, and gets back the totals over all parts and which contexts are states. A frequent context is dealt to several
+state, and gets back the totals over all parts, which contexts are states, and numbers for the pairs that are contexts of
+the next depth: numbers without gaps, by which their keys are short to send. A frequent context is dealt to several
 shards by its next symbols; its sums (count, next symbols, divergence) meet on the driver, a few numbers a shard. Words
 and contexts are told apart by 64-bit hashes.
 
@@ -41,7 +42,7 @@ END = np.uint64(0x656E64)
 
 PART = T.StructType([T.StructField(n, t) for n, t in (("ids", T.ArrayType(T.LongType())), ("held", T.BinaryType()), ("lengths", T.BinaryType()), ("tokens", T.BinaryType()), ("hashes", T.BinaryType()), ("classes", T.BinaryType()), ("counts", T.BinaryType()))])
 MESSAGE = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-ANSWER = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("kind", T.StringType()), T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in "abc"]])
 ASKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("keys", "kinds", "spread", "entries", "counts", "parents")]])
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -55,6 +56,25 @@ def climb(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype)
 
 
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending; a place of each; the number of each entry's value)."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(y), dtype=bool)
+    np.not_equal(y[1:], y[:-1], out=new[1:])
+    number = np.empty(len(x), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return y[new], order[new], number
+
+
+def names(shard: int, numbers: np.ndarray, shards: int) -> np.ndarray:
+    """Keys, not 0, of the contexts that a shard has numbered: dealt evenly over the ranges of all shards, and in each of them as
+    close together as the numbers of the shards where they come from."""
+    numbers = numbers.astype(np.uint64)
+    at = (numbers + np.uint64(shard)) % np.uint64(shards)
+    return at * np.uint64((1 << 64) // shards) + numbers // np.uint64(shards) * np.uint64(shards) + np.uint64(shard + 1)
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -67,7 +87,7 @@ def tokenise(ids: list, texts: list[bytes]) -> tuple:
     at = np.searchsorted(starts, begin)
     lengths = np.diff(at) + 1
     stream = np.insert(hashes, at[1:], END)
-    distinct, first, index = np.unique(stream, return_index=True, return_inverse=True)
+    distinct, first, index = grouped(stream)
     classes = np.zeros(len(stream), dtype=np.uint8)
     if len(starts):
         high = data >= 128
@@ -97,11 +117,11 @@ def _total(frame):
     asked = [climb(expand(x, np.uint64)) for x in frame["hashes"]]
     flat, counts = np.concatenate(asked), np.concatenate([expand(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
     classes = np.concatenate([expand(x, np.uint8) for x in frame["classes"]])
-    distinct, first, index = np.unique(flat, return_index=True, return_inverse=True)
+    distinct, first, index = grouped(flat)
     total = np.bincount(index, counts, len(distinct)).astype(np.int64)
     at = 0
     for part, x in zip(frame["part"], asked, strict=True):
-        yield "counts", int(part), int(frame["shard"].iloc[0]), squeeze(total[index[at : at + len(x)]]), None
+        yield "counts", int(part), int(frame["shard"].iloc[0]), squeeze(total[index[at : at + len(x)]]), None, None
         at += len(x)
     own = total >= LEAST_SYMBOL
     rare = (total > 0) & ~own
@@ -109,7 +129,7 @@ def _total(frame):
     found[0] = np.bincount(classes[first][rare], total[rare], CLASSES).astype(np.int64)
     found[1] = np.bincount(classes[first][rare], minlength=CLASSES)
     found[2, 0], found[2, 1] = total[own].sum(), own.sum()
-    yield "classes", -1, int(frame["shard"].iloc[0]), squeeze(found), None
+    yield "classes", -1, int(frame["shard"].iloc[0]), squeeze(found), None, None
 
 
 @dataclass
@@ -159,36 +179,30 @@ class Walk:
         self.depth, self.entry, self.c = 0, self.symbol, count[index]
 
     def ask(self):
-        """Down to the next depth: the distinct (context, next symbol) pairs of contexts that may be states, by the key
-        that deals them out."""
+        """Down to the next depth: the keys that deal out the contexts that may be states, and behind one another the
+        distinct next symbols of each."""
         self.depth += 1
         n = np.concatenate([[0], self.c[:-1]])
         n[self.position < self.depth] = 0
         self.at = np.flatnonzero(n >= LEAST_CONTEXT)
         self.n, self.context = n[self.at], self.entry[self.at - 1]
         pair = _mix(self.context * np.uint64(0x9E3779B97F4A7C15) + self.symbol[self.at])
-        self.entry = np.zeros(len(n), dtype=np.uint64)
-        self.entry[self.at] = pair
-        entries, first, index = np.unique(pair, return_index=True, return_inverse=True)
-        spread = (self.n[first] // self.v.spread + 1).astype(np.uint64)
-        context = self.context[first]
-        key = np.where(spread > 1, _mix(context + entries % spread), context)
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.place = rank[index]
-        counts = np.bincount(self.place, self.trained[self.at], len(order)).astype(np.uint32)
-        key, first = key[order], first[order]
-        self.runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.kinds = np.diff(np.append(self.runs, len(key)))
-        self.spread_of = np.where(spread[order] > 1, context[order], np.uint64(0))[self.runs]
+        spread = (self.n // self.v.spread + 1).astype(np.uint64)
+        keys, _, number = grouped(np.where(spread > 1, _mix(self.context + pair % spread), self.context))
+        entries, first, self.place = grouped(number.astype(np.uint64) << np.uint64(32) | pair >> np.uint64(32))
+        counts = np.bincount(self.place, self.trained[self.at], len(entries)).astype(np.uint32)
+        run = entries >> np.uint64(32)
+        self.runs = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        self.kinds = np.diff(np.append(self.runs, len(run)))
+        of = first[self.runs]
+        self.spread_of = np.where(spread[of] > 1, self.context[of], np.uint64(0))
         parents = np.where(counts > 0, np.log(self.p[self.at[first]]), 0).astype(np.float16)
-        return key, (entries[order] >> np.uint64(32)).astype(np.uint32), counts, parents
+        return keys, entries.astype(np.uint32), counts, parents
 
-    def answer(self, totals: np.ndarray, mass: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
-        """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), and that of all
-        contexts that were spread."""
-        self.c = np.zeros(len(self.p), dtype=np.int64)
+    def answer(self, totals: np.ndarray, mass: np.ndarray, named: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
+        """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), names of the pairs that
+        are contexts of the next depth, and the smoothing mass of all contexts that were spread."""
+        self.c, self.entry = np.zeros(len(self.p), dtype=np.int64), np.zeros(len(self.p), dtype=np.uint64)
         if not len(self.at):
             return
         keys, of_spread = spread
@@ -197,10 +211,14 @@ class Walk:
             mass = np.where(self.spread_of == 0, mass, np.where(keys[where] == self.spread_of, of_spread[where], 0))
         m, c = np.repeat(mass, self.kinds)[self.place], totals[self.place]
         self.c[self.at] = c
+        if len(named):
+            name = np.zeros(len(totals), dtype=np.uint64)
+            name[totals >= LEAST_CONTEXT] = named
+            self.entry[self.at] = name[self.place]
         self.p[self.at] = np.where(m > 0, (c + m * self.p[self.at]) / (self.n + m), self.p[self.at])
 
 
-def _walk(row, answers, model) -> Walk:
+def _walk(row, answers, model, shards: int) -> Walk:
     """A part's tokens after the depths that are answered."""
     v, spreads = model
     by = {k: x.sort_values("shard") for k, x in answers.groupby("kind")}
@@ -208,34 +226,37 @@ def _walk(row, answers, model) -> Walk:
     walk = Walk(row, gather("counts", "a"), v)
     for d, spread in enumerate(spreads, 1):
         walk.ask()
-        walk.answer(gather(f"depth{d}", "a"), gather(f"depth{d}", "b"), spread)
+        found = by.get(f"depth{d}")
+        named = [] if found is None else [names(int(s), climb(expand(x, np.uint32)), shards) for s, x in zip(found["shard"], found["c"], strict=True) if x is not None]
+        walk.answer(gather(f"depth{d}", "a"), gather(f"depth{d}", "b"), np.concatenate([np.zeros(0, np.uint64), *named]), spread)
     return walk
 
 
 def _ask_depth(model, shards: int):
     def run(row, answers):
-        walk = _walk(row, answers, model.value)
-        key, entries, counts, parents = walk.ask()
-        runs = np.append(walk.runs, len(key))
-        for s, a, b in by_shard(key[walk.runs], shards):
+        walk = _walk(row, answers, model.value, shards)
+        keys, entries, counts, parents = walk.ask()
+        runs = np.append(walk.runs, len(entries))
+        for s, a, b in by_shard(keys, shards):
             x, y = runs[a], runs[b]
-            yield int(row["part"]), s, squeeze(steps(key[walk.runs[a:b]])), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(steps(entries[x:y])), squeeze(counts[x:y]), squeeze(parents[x:y])
+            yield int(row["part"]), s, squeeze(steps(keys[a:b])), squeeze(walk.kinds[a:b].astype(np.uint32)), squeeze(walk.spread_of[a:b]), squeeze(steps(entries[x:y])), squeeze(counts[x:y]), squeeze(parents[x:y])
 
     return run
 
 
-def _states(depth: int):
-    """A shard: totals of its pairs and the smoothing mass of its contexts to each part; sums of the spread ones."""
+def _states(depth: int, last: bool):
+    """A shard: totals of its pairs, the smoothing mass of its contexts and the numbers of the next ones to each part; sums
+    of the spread ones. Below the last depth only totals behind states are asked for."""
 
     def run(frame):
         asked = [climb(expand(x, np.uint32)) for x in frame["entries"]]
         keys, kinds = [climb(expand(x, np.uint64)) for x in frame["keys"]], [expand(x, np.uint32) for x in frame["kinds"]]
         key, k = np.concatenate(keys), np.concatenate(kinds)
         spread = np.concatenate([expand(x, np.uint64) for x in frame["spread"]])
-        contexts, first, of_run = np.unique(key, return_index=True, return_inverse=True)
+        contexts, first, of_run = grouped(key)
         spread = spread[first]
         pairs = np.repeat(of_run, k).astype(np.uint64) << np.uint64(32) | np.concatenate(asked)
-        pairs, index = np.unique(pairs, return_inverse=True)
+        pairs, _, index = grouped(pairs)
         context = (pairs >> np.uint64(32)).astype(np.int64)
         c = np.bincount(index, np.concatenate([expand(x, np.uint32) for x in frame["counts"]]), len(pairs))
         parent = np.zeros(len(pairs))  # each part that counted the pair sends the same, the others 0
@@ -246,11 +267,16 @@ def _states(depth: int):
         gain = np.bincount(context[seen], c[seen] * (np.log(c[seen]) - parent[seen]), len(contexts))
         mass = np.where(spread == 0, smoothing_mass(n, followers, gain), 0)
         c, at, run = c.astype(np.int64), 0, 0
+        if last:
+            c[(mass[context] == 0) & (spread[context] == 0)] = 0
+        often = c >= LEAST_CONTEXT
+        number = (np.cumsum(often) - 1).astype(np.uint32)
         for part, x, y in zip(frame["part"], asked, keys, strict=True):
-            yield f"depth{depth}", int(part), int(frame["shard"].iloc[0]), squeeze(c[index[at : at + len(x)]]), squeeze(mass[of_run[run : run + len(y)]])
+            own = index[at : at + len(x)]
+            yield f"depth{depth}", int(part), int(frame["shard"].iloc[0]), squeeze(c[own]), squeeze(mass[of_run[run : run + len(y)]]), None if last else squeeze(steps(number[own[often[own]]]))
             at, run = at + len(x), run + len(y)
         if (parts := spread > 0).any():
-            yield "spread", -1, int(frame["shard"].iloc[0]), squeeze(spread[parts]), squeeze(np.stack([n[parts], followers[parts], gain[parts]]))
+            yield "spread", -1, int(frame["shard"].iloc[0]), squeeze(spread[parts]), squeeze(np.stack([n[parts], followers[parts], gain[parts]])), None
 
     return run
 
@@ -282,13 +308,13 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     for d in range(1, depth + 1):
         model = spark.sparkContext.broadcast((v, list(spreads)))
         messages = with_answers(parts.drop("ids"), answers.where("part >= 0"), _ask_depth(model, shards), ASKED)
-        found = stored(in_shards(messages, "shard", _states(d), ANSWER), f"depth{d}")
+        found = stored(in_shards(messages, "shard", _states(d, d == depth), ANSWER), f"depth{d}")
         spreads.append(_spread(found))
         answers = answers.unionByName(found)
     model = spark.sparkContext.broadcast((v, spreads))
 
     def run(row, answers):
-        walk = _walk(row, answers, model.value)
+        walk = _walk(row, answers, model.value, shards)
         sums = [np.add.reduceat(x, walk.begin) for x in (walk.known, walk.base, np.log10(walk.p) + walk.rare)]
         for i, x in enumerate(row["ids"]):
             yield None if x is None or x != x else int(x), bool(walk.held[i]), int(walk.lengths[i]), int(sums[0][i]), float(sums[1][i]), float(sums[2][i])

@@ -491,6 +491,24 @@ def test_suffix_tree_by_hand(spark):
         assert got[i]["score"] == pytest.approx(x, rel=1e-4)
 
 
+@pytest.mark.parametrize("shards", [4, 7, 1 << 15])
+def test_names_of_contexts_are_short_to_send(shards):
+    """All shards number their contexts: names differ, are dealt evenly, and stand close together in each range."""
+    n = 5 * shards
+    got = [suffix_tree_lm.names(s, np.arange(n, dtype=np.uint32), shards) for s in (0, 1, shards - 1)]
+    keys = np.sort(np.concatenate(got))
+    runs = suffix_tree_lm.by_shard(keys, shards)
+    assert len(np.unique(keys)) == 3 * n and keys[0] > 0 and len(runs) == shards
+    assert all(b - a == 15 and keys[b - 1] - keys[a] < n for _, a, b in runs)
+
+
+def test_grouped():
+    x = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
+    for y in (x, x[:0]):
+        distinct, at, number = suffix_tree_lm.grouped(y)
+        assert np.array_equal(distinct, np.unique(y)) and np.array_equal(y[at], distinct) and np.array_equal(distinct[number], y)
+
+
 def test_suffix_tree_grows_with_the_corpus(spark):
     """Sequences of words that are a vanishing share of the tokens are still learnt."""
     rng = np.random.default_rng(19)

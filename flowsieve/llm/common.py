@@ -83,10 +83,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def stored_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """df as a table of the shared warehouse in buckets of `key`: joins and groups by key read it without an exchange."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    _TABLES.append(table)
+    return added_in_buckets(df, key, buckets, table_name(name))
+
+
+def table_name(name: str) -> str:
+    _TABLES.append(f"{name}_{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
+def added_in_buckets(df: DataFrame, key: str, buckets: int, table: str) -> DataFrame:
+    """The table of that name with the rows of df added to its buckets; it is made if it isn't there."""
     with shuffles_removed(df.sparkSession):
-        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+        df.write.format("parquet").option("compression", "zstd").mode("append").bucketBy(buckets, key).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

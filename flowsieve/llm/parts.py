@@ -78,7 +78,12 @@ def make_parts(docs: DataFrame, fn: Callable, schema: T.StructType, name: str, p
     made = source.mapInArrow(run, full)
     if not bucketed:
         return stored(made, name)
-    return stored_in_buckets(made, "part", max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions()), name)
+    return stored_in_buckets(made, "part", part_buckets(docs), name)
+
+
+def part_buckets(docs: DataFrame) -> int:
+    """Buckets that parts made of docs are written by."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select(col("doc_id"), col("text")).rdd.getNumPartitions())
 
 
 def shard_count(parts: DataFrame) -> int:

@@ -12,8 +12,9 @@ The least counts are absolute: the tree grows with the corpus and is never in on
 every shard the next symbols it saw behind the shard's contexts, with their counts and their probabilities by the suffix
 state, and gets back the totals over all parts, which contexts are states, and numbers for the pairs that are contexts of
 the next depth: numbers without gaps, by which their keys are short to send. A frequent context is dealt to several
-shards by its next symbols; its sums (count, next symbols, divergence) meet on the driver, a few numbers a shard. Words
-and contexts are told apart by 64-bit hashes.
+shards by its next symbols; its sums (count, next symbols, divergence) meet on the driver, a few numbers a shard. Answers are
+stored in the buckets of the parts, so that every depth meets those of all depths before it without shuffling them again.
+Words and contexts are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are the end token alone; a row without doc_id is never held out (there is no
 number to take); without training documents all probabilities come from the smoothing; repeated rows count and are
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
-from .parts import by_shard, expand, in_shards, make_parts, map_rows, shard_count, squeeze, with_answers
+from .common import added_in_buckets, table_name
+from .parts import by_shard, expand, in_shards, make_parts, map_rows, part_buckets, shard_count, squeeze, with_answers
 from .tokens import LOWER, joined, words
 
 DEPTH, LEAST_SYMBOL, LEAST_CONTEXT = 3, 2, 4
@@ -129,7 +130,7 @@ def _total(frame):
     found[0] = np.bincount(classes[first][rare], total[rare], CLASSES).astype(np.int64)
     found[1] = np.bincount(classes[first][rare], minlength=CLASSES)
     found[2, 0], found[2, 1] = total[own].sum(), own.sum()
-    yield "classes", -1, int(frame["shard"].iloc[0]), squeeze(found), None, None
+    yield "classes", -1 - int(frame["shard"].iloc[0]), int(frame["shard"].iloc[0]), squeeze(found), None, None
 
 
 @dataclass
@@ -276,7 +277,7 @@ def _states(depth: int, last: bool):
             yield f"depth{depth}", int(part), int(frame["shard"].iloc[0]), squeeze(c[own]), squeeze(mass[of_run[run : run + len(y)]]), None if last else squeeze(steps(number[own[often[own]]]))
             at, run = at + len(x), run + len(y)
         if (parts := spread > 0).any():
-            yield "spread", -1, int(frame["shard"].iloc[0]), squeeze(spread[parts]), squeeze(np.stack([n[parts], followers[parts], gain[parts]])), None
+            yield f"spread{depth}", -1 - int(frame["shard"].iloc[0]), int(frame["shard"].iloc[0]), squeeze(spread[parts]), squeeze(np.stack([n[parts], followers[parts], gain[parts]])), None
 
     return run
 
@@ -288,9 +289,9 @@ def smoothing_mass(n: np.ndarray, followers: np.ndarray, gain: np.ndarray) -> np
     return np.where((n >= LEAST_CONTEXT) & (gain > 0.5 * followers * np.log(np.maximum(n, 2))), followers, 0).astype(np.int64)
 
 
-def _spread(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _spread(answers: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(contexts that were dealt to several shards, their smoothing mass); at most 2 * SPREAD rows a shard."""
-    rows = answers.where("kind = 'spread'").select("a", "b").collect()
+    rows = answers.where(f"kind = 'spread{depth}'").select("a", "b").collect()
     keys = np.concatenate([np.zeros(0, np.uint64), *[expand(bytes(r["a"]), np.uint64) for r in rows]])
     sums = np.concatenate([np.zeros((3, 0)), *[expand(bytes(r["b"]), np.float64).reshape(3, -1) for r in rows]], axis=1)
     keys, index = np.unique(keys, return_inverse=True)
@@ -301,16 +302,17 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score of every row of docs."""
     spark = docs.sparkSession
     parts = make_parts(docs, tokenise, PART, "tokens", bucketed=True)
-    shards = shard_count(parts)
-    answers = stored(in_shards(map_rows(parts.select("part", "hashes", "classes", "counts"), _ask(shards), MESSAGE), "shard", _total, ANSWER), "counts")
+    shards, buckets = shard_count(parts), part_buckets(docs)
+    table = table_name("answers")
+    kept = lambda found: added_in_buckets(found.repartition(buckets, "part"), "part", buckets, table)
+    answers = kept(in_shards(map_rows(parts.select("part", "hashes", "classes", "counts"), _ask(shards), MESSAGE), "shard", _total, ANSWER))
     v, spreads = _vocabulary(answers, shards), []
     parts = parts.drop("counts")
     for d in range(1, depth + 1):
         model = spark.sparkContext.broadcast((v, list(spreads)))
         messages = with_answers(parts.drop("ids"), answers.where("part >= 0"), _ask_depth(model, shards), ASKED)
-        found = stored(in_shards(messages, "shard", _states(d, d == depth), ANSWER), f"depth{d}")
-        spreads.append(_spread(found))
-        answers = answers.unionByName(found)
+        answers = kept(in_shards(messages, "shard", _states(d, d == depth), ANSWER))
+        spreads.append(_spread(answers, d))
     model = spark.sparkContext.broadcast((v, spreads))
 
     def run(row, answers):

@@ -502,6 +502,12 @@ def test_names_of_contexts_are_short_to_send(shards):
     assert all(b - a == 15 and keys[b - 1] - keys[a] < n for _, a, b in runs)
 
 
+def test_answers_meet_parts_without_an_exchange(spark):
+    scored = suffix_tree_lm.score(frame(spark, ["a b c a b c", "a b c d", None] * 9))
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 27
+
+
 def test_grouped():
     x = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
     for y in (x, x[:0]):

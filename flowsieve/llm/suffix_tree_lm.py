@@ -71,9 +71,10 @@ def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def names(shard: int, numbers: np.ndarray, shards: int) -> np.ndarray:
     """Keys, not 0, of the contexts that a shard has numbered: dealt evenly over the ranges of all shards, and in each of them as
     close together as the numbers of the shards where they come from."""
-    numbers = numbers.astype(np.uint64)
-    at = (numbers + np.uint64(shard)) % np.uint64(shards)
-    return at * np.uint64((1 << 64) // shards) + numbers // np.uint64(shards) * np.uint64(shards) + np.uint64(shard + 1)
+    whole = numbers // np.uint32(shards) * np.uint32(shards)
+    at = numbers - whole + np.uint32(shard)
+    at[at >= shards] -= np.uint32(shards)
+    return at * np.uint64((1 << 64) // shards) + (whole + np.uint64(shard + 1))
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -189,16 +190,23 @@ class Walk:
         self.n, self.context = n[self.at], self.entry[self.at - 1]
         pair = _mix(self.context * np.uint64(0x9E3779B97F4A7C15) + self.symbol[self.at])
         spread = (self.n // self.v.spread + 1).astype(np.uint64)
-        keys, _, number = grouped(np.where(spread > 1, _mix(self.context + pair % spread), self.context))
-        entries, first, self.place = grouped(number.astype(np.uint64) << np.uint64(32) | pair >> np.uint64(32))
-        counts = np.bincount(self.place, self.trained[self.at], len(entries)).astype(np.uint32)
-        run = entries >> np.uint64(32)
+        key = self.context
+        if (several := np.flatnonzero(spread > 1)).size:
+            key = key.copy()
+            key[several] = _mix(key[several] + pair[several] % spread[several])
+        self.keys, _, number = grouped(key)
+        self.entries, self.first, self.place = grouped(number.astype(np.uint64) << np.uint64(32) | pair >> np.uint64(32))
+        run = self.entries >> np.uint64(32)
         self.runs = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
         self.kinds = np.diff(np.append(self.runs, len(run)))
-        of = first[self.runs]
+        of = self.first[self.runs]
         self.spread_of = np.where(spread[of] > 1, self.context[of], np.uint64(0))
-        parents = np.where(counts > 0, np.log(self.p[self.at[first]]), 0).astype(np.float16)
-        return keys, entries.astype(np.uint32), counts, parents
+
+    def asked(self):
+        """(keys, entries, counts, logarithms of the probabilities by the suffix states) to send."""
+        counts = np.bincount(self.place, self.trained[self.at], len(self.entries)).astype(np.uint32)
+        parents = np.where(counts > 0, np.log(self.p[self.at[self.first]]), 0).astype(np.float16)
+        return self.keys, self.entries.astype(np.uint32), counts, parents
 
     def answer(self, totals: np.ndarray, mass: np.ndarray, named: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> None:
         """Totals of the pairs asked for, the smoothing mass of their contexts (0: not a state), names of the pairs that
@@ -236,7 +244,8 @@ def _walk(row, answers, model, shards: int) -> Walk:
 def _ask_depth(model, shards: int):
     def run(row, answers):
         walk = _walk(row, answers, model.value, shards)
-        keys, entries, counts, parents = walk.ask()
+        walk.ask()
+        keys, entries, counts, parents = walk.asked()
         runs = np.append(walk.runs, len(entries))
         for s, a, b in by_shard(keys, shards):
             x, y = runs[a], runs[b]

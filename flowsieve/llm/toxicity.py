@@ -15,9 +15,11 @@ row has it; of documents that share an id the one with the least text is fitted
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,8 @@ FEATURES = 2_000
 FOLDS = 3
 PREFIXES = (4, 5, 6)
 LEAST_ROWS = 4
+#: Rows whose features a fit expands at once.
+BLOCK = 1024
 
 
 @dataclass
@@ -53,16 +57,24 @@ def features_of(text: str | None) -> set[bytes]:
     return found
 
 
+def _blocks(starts: np.ndarray, index: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """BLOCK rows at a time: which, the row of each of their features within the block, the features."""
+    for a in range(0, len(starts) - 1, BLOCK):
+        at = starts[a : a + BLOCK + 1]
+        yield slice(a, a + len(at) - 1), np.repeat(np.arange(len(at) - 1), np.diff(at)), index[at[0] : at[-1]].astype(np.intp)
+
+
 def fit_linear(starts: np.ndarray, index: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, steps: int = 160, rate: float = 0.15, l2: float = 2e-5) -> np.ndarray:
     """Logistic regression over sparse 0/1 rows and dense extra columns, by full-batch Adam from zero."""
     n, m = len(y), extra.shape[1]
-    rows = np.repeat(np.arange(n), np.diff(starts))
     w = np.zeros(width + m + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[index], n) + extra @ w[width:-1] + w[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.concatenate([np.bincount(index, g[rows], width), extra.T @ g, [g.sum()]])
+        grad = np.zeros_like(w)
+        for at, rows, features in _blocks(starts, index):
+            z = np.bincount(rows, w[features], at.stop - at.start) + extra[at] @ w[width:-1] + w[-1]
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / n
+            grad += np.concatenate([np.bincount(features, g[rows], width), extra[at].T @ g, [g.sum()]])
         grad[:-1] += l2 * w[:-1]
         first += 0.1 * (grad - first)
         second += 0.02 * (grad * grad - second)
@@ -71,26 +83,26 @@ def fit_linear(starts: np.ndarray, index: np.ndarray, extra: np.ndarray, y: np.n
 
 
 def logits(starts: np.ndarray, index: np.ndarray, extra: np.ndarray, w: np.ndarray) -> np.ndarray:
-    n = len(starts) - 1
-    rows = np.repeat(np.arange(n), np.diff(starts))
-    return np.clip(np.bincount(rows, w[index], n) + extra @ w[-1 - extra.shape[1] : -1] + w[-1], -12, 12)
+    z = [np.bincount(rows, w[features], at.stop - at.start) + extra[at] @ w[-1 - extra.shape[1] : -1] + w[-1] for at, rows, features in _blocks(starts, index)]
+    return np.clip(np.concatenate([np.zeros(0), *z]), -12, 12)
 
 
-def _take(starts, index, rows):
-    lengths = np.diff(starts)[rows]
-    out = np.concatenate([[0], np.cumsum(lengths)])
-    at = np.repeat(starts[rows] - out[:-1], lengths) + np.arange(out[-1])
-    return out, index[at]
+def _take(starts: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are marked."""
+    lengths = np.diff(starts)
+    return np.concatenate([[0], np.cumsum(lengths[rows])]), index[np.repeat(rows, lengths)]
 
 
 def pick_features(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, width: int, features: int) -> np.ndarray:
     """Which of `width` candidates speak most for or against a category in these rows: the `features` of the greatest
     signed root of the 2 x 2 chi-square, of each category."""
-    n, rows = len(labels), np.repeat(np.arange(len(labels)), np.diff(starts))
-    df, picked = np.bincount(index, minlength=width), np.zeros(width, dtype=bool)
-    for y in labels.T.astype(float):
+    n, counts = len(labels), np.zeros((1 + labels.shape[1], width))
+    for at, rows, found in _blocks(starts, index):
+        counts += [np.bincount(found, minlength=width), *[np.bincount(found, y[rows], width) for y in labels[at].T]]
+    df, picked = counts[0], np.zeros(width, dtype=bool)
+    for y, hits in zip(labels.T.astype(float), counts[1:], strict=True):
         expected = df * y.mean()
-        score = np.abs(np.bincount(index, y[rows], width) - expected) / np.sqrt(expected * (1 - y.sum() / n) + 0.5)
+        score = np.abs(hits - expected) / np.sqrt(expected * (1 - y.sum() / n) + 0.5)
         score[df < LEAST_ROWS] = -1
         best = np.argsort(-score, kind="stable")[:features]
         picked[best[score[best] >= 0]] = True
@@ -99,29 +111,63 @@ def pick_features(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, wid
 
 def _only(starts: np.ndarray, index: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with the picked features alone, numbered anew."""
-    keep = picked[index]
-    return np.concatenate([[0], np.cumsum(keep)])[starts], (np.cumsum(picked) - 1)[index[keep]]
-
-
-def fit_rows(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, folds: np.ndarray, chain: Chain, candidates: list[bytes], features: int = FEATURES) -> np.ndarray:
-    """Fits chain.weights and the threshold of the last category on rows of candidate features; returns the out-of-fold
-    log-odds. Features are picked without the fold that is held out, as the weights are."""
-    held, width = np.zeros((len(labels), 0)), len(candidates)
-    parts = [(np.flatnonzero(folds != f), np.flatnonzero(folds == f)) for f in np.unique(folds)]
-    views = [_only(starts, index, pick_features(*_take(starts, index, fit), labels[fit], width, features)) for fit, _ in parts]
-    picked = pick_features(starts, index, labels, width, features)
-    whole = _only(starts, index, picked)
-    chain.vocabulary = {candidates[i]: k for k, i in enumerate(np.flatnonzero(picked).tolist())}
-    for k in range(len(chain.categories)):
-        y, out = labels[:, k].astype(float), np.zeros(len(labels))
-        for (fit, rest), view in zip(parts, views, strict=True):
-            if len(fit):
-                size = int(view[1].max()) + 1 if len(view[1]) else 0
-                out[rest] = logits(*_take(*view, rest), held[rest], fit_linear(*_take(*view, fit), held[fit], y[fit], size))
-        chain.weights.append(fit_linear(*whole, held, y, int(picked.sum())))
-        chain.base.append(float(y.mean()))
+    number, lengths, kept = (np.cumsum(picked) - 1).astype(np.uint32), [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+    for at, rows, features in _blocks(starts, index):
+        keep = picked[features]
+        lengths.append(np.bincount(rows[keep], minlength=at.stop - at.start))
+        kept.append(number[features[keep]])
+    return np.cumsum(np.concatenate(lengths)), np.concatenate(kept)
+
+
+def fit_part(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, held_out: np.ndarray, held: np.ndarray, width: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of the category that follows those of `held` (log-odds by category), fitted on the rows that aren't
+    held out, with features picked on these alone: picked of the `width` candidates, weights, log-odds of the others.
+    Beside the rows' features, which may be of 4 bytes, only blocks of rows are held."""
+    fit, k = ~held_out, held.shape[1]
+    if not fit.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(len(labels))
+    rows = _take(starts, index, fit)
+    picked = pick_features(*rows, labels[fit], width, features)
+    rows = _only(*rows, picked)
+    w = fit_linear(*rows, held[fit], labels[fit, k].astype(float), int(picked.sum()))
+    del rows
+    return np.flatnonzero(picked), w, logits(*_only(*_take(starts, index, held_out), picked), held[held_out], w)
+
+
+#: What a task gives the driver: of a fold the places of its rows, their labels and log-odds, of all rows the model.
+_FITTED = "part int, picked binary, weights binary, at binary, y binary, odds binary"
+
+
+def _fitter(names: list[str], held: np.ndarray, width: int, features: int) -> Callable:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id")
+        starts = np.concatenate([[0], np.cumsum([len(i) // 4 for i in frame["i"]])]).astype(np.int64)
+        index = np.frombuffer(b"".join(frame["i"]), dtype="<u4")
+        labels, out, none = frame[names].to_numpy(), frame["fold"].to_numpy() == key[0], np.zeros(0)
+        picked, w, odds = fit_part(starts, index, labels, out, held, width, features) if key[0] < 0 or out.any() else (none, none, none)
+        sent = [*((picked, w) if key[0] < 0 else (none, none)), np.flatnonzero(out), labels[out, -1], odds]
+        return pd.DataFrame([[key[0], *[x.astype(t).tobytes() for x, t in zip(sent, ("<u4", "<f8", "<u4", "<u1", "<f8"), strict=True)]]], columns=["part", "picked", "weights", "at", "y", "odds"])
+
+    return run
+
+
+def fit_rows(rows: DataFrame, n: int, chain: Chain, candidates: list[bytes], features: int, folds: int) -> np.ndarray:
+    """Fits chain.weights and the threshold of the last category on `n` rows with `i`, their candidate features, and
+    returns the out-of-fold log-odds, by doc_id. Each model is fitted in a task of its own: without one of the folds, or (-1) on
+    all rows. Features are picked without the fold that is held out, as the weights are."""
+    names, width, held = [f"y_{c}" for c in chain.categories], len(candidates), np.zeros((n, 0))
+    # more partitions than parts, so that no two parts share a range
+    dealt = rows.withColumn("part", F.explode(F.array(*[F.lit(f) for f in range(-1, folds)]))).repartitionByRange(4 * (folds + 1), "part")
+    for _ in chain.categories:
+        out, y = np.zeros(n), np.zeros(n, dtype=bool)
+        for r in dealt.groupBy("part").applyInPandas(_fitter(names, held, width, features), _FITTED).collect():
+            at = np.frombuffer(r["at"], dtype="<u4")
+            out[at], y[at] = np.frombuffer(r["odds"], dtype="<f8"), np.frombuffer(r["y"], dtype="<u1") > 0
+            if r["part"] < 0:
+                chain.vocabulary = {candidates[i]: k for k, i in enumerate(np.frombuffer(r["picked"], dtype="<u4").tolist())}
+                chain.weights.append(np.frombuffer(r["weights"], dtype="<f8"))
         held = np.column_stack([held, out])
-    p, y = held[:, -1], labels[:, -1].astype(bool)
+    p = held[:, -1]
     if y.any() and not y.all():
         order = np.argsort(-p, kind="stable")
         hits = np.cumsum(y[order])
@@ -134,7 +180,7 @@ def fit_rows(starts: np.ndarray, index: np.ndarray, labels: np.ndarray, folds: n
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """docs: doc_id, text; labels: doc_id and a 0/1 column per category. Only a sample of at most `sample_rows` rows is
-    fitted on; of each row the driver gets the numbers of its candidate features."""
+    fitted on, in tasks; the driver gets the candidate features, the models, and a number a row and category."""
     chain = Chain(CATEGORIES, key=uuid.uuid4().hex)
     marked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.coalesce(col(c).cast("int"), F.lit(0))).alias(f"y_{c}") for c in CATEGORIES])
     order = F.xxhash64("doc_id")
@@ -164,10 +210,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     candidates = sorted(picked)
     numbers = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(candidates)})
     indexed = add_columns(sample.select("doc_id", "text", *[f"y_{c}" for c in CATEGORIES]), ["text"], [T.StructField("i", T.BinaryType())], lambda texts: [[np.array(sorted(numbers.value[f] for f in features_of(t) if f in numbers.value), dtype="<u4").tobytes() for t in texts]])
-    got = indexed.select("i", fold.alias("fold"), *[f"y_{c}" for c in CATEGORIES]).orderBy("doc_id", "i").collect()
-    starts = np.concatenate([[0], np.cumsum([len(r["i"]) // 4 for r in got])]).astype(np.int64)
-    index = np.frombuffer(b"".join(bytes(r["i"]) for r in got), dtype="<u4").astype(np.int64)
-    fit_rows(starts, index, np.array([[r[f"y_{c}"] for c in CATEGORIES] for r in got]), np.array([r["fold"] for r in got]), chain, candidates, features)
+    chain.base = [(total[c] or 0) / total["n"] for c in CATEGORIES]
+    fit_rows(stored(indexed.select("doc_id", "i", fold.alias("fold"), *[f"y_{c}" for c in CATEGORIES]), "toxicity-rows"), total["n"], chain, candidates, features, folds)
     return chain
 
 
@@ -180,7 +224,7 @@ def _indices(text: str | None, chain: Chain) -> list[int]:
         _WORDS.clear()
         _WORDS[chain.key] = {}
     memo, vocabulary, found = _WORDS[chain.key], chain.vocabulary, set()
-    if len(memo) > 400_000:
+    if len(memo) > 100_000:
         memo.clear()
     for w in set(words_of(text.lower())) if text else ():
         if (x := memo.get(w)) is None:

@@ -1,6 +1,7 @@
 """The text operators against brute force on small rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -723,6 +724,64 @@ def test_toxicity_chain(spark):
     assert toxicity.drop_toxic(docs, none).count() == 402
 
 
+def test_toxicity_chain_is_fitted_in_tasks(spark, monkeypatch):
+    """The driver fits nothing and holds no row's features; the chain is that of a plain loop over the folds."""
+    rng = np.random.default_rng(12)
+    texts = [word_text(rng, 30) + (" foulword" if i % 5 == 0 else "") + (" spam" if i % 3 == 0 else "") for i in range(300)]
+    marks = [(i, int(i % 3 != 0), int(i % 5 == 0 or i % 17 == 0)) for i in range(300)]
+    docs, found = frame(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    fold = np.array([r["f"] for r in found.select("doc_id", F.expr("int(pmod(xxhash64(doc_id, 7), 3))").alias("f")).orderBy("doc_id").collect()])
+    labels = np.array([(int(q == 0), t) for _, q, t in marks])
+    names = sorted(set().union(*map(toxicity.features_of, texts)))
+    lists = [[k for k, f in enumerate(names) if f in has] for has in map(toxicity.features_of, texts)]
+
+    def flat(at):
+        return np.concatenate([[0], np.cumsum([len(lists[i]) for i in at])]), np.array([k for i in at for k in lists[i]])
+
+    def fitted(at, k, held):
+        picked = toxicity.pick_features(*flat(at), labels[at], len(names), toxicity.FEATURES)
+        return picked, toxicity.fit_linear(*toxicity._only(*flat(at), picked), held[at], labels[at, k].astype(float), int(picked.sum()))
+
+    held, weights = np.zeros((300, 0)), []
+    for k in range(2):
+        odds = np.zeros(300)
+        for f in range(3):
+            rest = np.flatnonzero(fold == f)
+            picked, w = fitted(np.flatnonzero(fold != f), k, held)
+            odds[rest] = toxicity.logits(*toxicity._only(*flat(rest), picked), held[rest], w)
+        picked, w = fitted(np.arange(300), k, held)
+        weights.append(w)
+        held = np.column_stack([held, odds])
+
+    def in_driver(*_):
+        raise AssertionError("fitted in the driver")
+
+    for name in ("fit_linear", "pick_features", "logits"):
+        monkeypatch.setattr(toxicity, name, in_driver)
+    chain = toxicity.fit_chain(docs, toxicity.category_labels(found))
+    assert list(chain.vocabulary) == [names[i] for i in np.flatnonzero(picked)] and chain.base == [labels[:, k].mean() for k in range(2)]
+    assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(chain.weights, weights, strict=True))
+    p = 1 / (1 + np.exp(-held[:, -1]))
+    f_half = lambda said: 1.25 * (said & (labels[:, 1] > 0)).sum() / (said.sum() + 0.25 * labels[:, 1].sum())
+    assert f_half(p >= chain.threshold) == max(f_half(p >= x) for x in p)
+
+
+def test_toxicity_fit_expands_few_rows_at_once():
+    """Beside the 4 bytes a feature of its rows, a fit holds blocks only, and blocks give what all rows at once give."""
+    rng = np.random.default_rng(13)
+    n, width = 8000, 3000
+    starts, index = np.arange(n + 1) * 100, rng.integers(0, width, n * 100).astype(np.uint32)
+    y = np.column_stack([rng.random(n) < 0.2, rng.random(n) < 0.1]).astype(int)
+    tracemalloc.start()
+    picked, w, odds = toxicity.fit_part(starts, index, y, np.arange(n) % 3 == 0, np.zeros((n, 0)), width, 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * index.nbytes, peak
+    dense = np.zeros((n, width))
+    np.add.at(dense, (np.repeat(np.arange(n), 100), index), 1)
+    assert np.allclose(odds, np.clip(dense[::3][:, picked] @ w[:-1] + w[-1], -12, 12), atol=1e-9)
+
+
 # ---- chat ----------------------------------------------------------------------------------------------------------
 
 

@@ -132,6 +132,28 @@ def batched(df: DataFrame, client: str, key: str, rows: int | None, seed: int =
     return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / rows).cast("int")).drop("_h", "_n")
 
 
+def with_batches(df: DataFrame, client: str, key: str, rows: int | None, seeds: tuple[int, ...], salt: str = "batch") -> DataFrame:
+    """df plus the array `batches`: for every seed the number that `batched` gives, without a shuffle of df. The last (hash,
+    key) of each batch of a client is found first: a histogram of hash prefixes tells the prefixes that hold one, and only
+    the keys under these are ranked. There are seeds x clients x batches of them; keys don't repeat."""
+    if not rows:
+        return df.withColumn("batches", F.array(*[F.lit(0)] * len(seeds)))
+    hashes = [hash_order(seed, salt, q(key)) for seed in seeds]
+    narrow = df.select(q(client).alias("_c"), q(key).alias("_k"), F.posexplode(F.array(*hashes)).alias("_s", "_h")).withColumn("_b", hash_bucket(F.col("_h")))
+    own = Window.partitionBy("_c", "_s").orderBy("_b")
+    sizes = narrow.groupBy("_c", "_s", "_b").agg(F.count(F.lit(1)).alias("_m")).withColumn("_start", F.sum("_m").over(own) - F.col("_m"))
+    holding = sizes.where(F.floor((F.col("_start") + F.col("_m")) / rows) > F.floor(F.col("_start") / rows)).drop("_m")
+    ranked = narrow.join(F.broadcast(holding), ["_c", "_s", "_b"]).withColumn("_n", F.col("_start") + F.row_number().over(Window.partitionBy("_c", "_s", "_b").orderBy("_h", "_k")))
+    last = ranked.where(F.col("_n") % rows == 0).groupBy("_c").agg(*[F.collect_list(F.when(F.col("_s") == k, F.struct("_h", "_k"))).alias(f"_l{k}") for k in range(len(seeds))])
+
+    def before(k: int) -> Column:
+        at = F.struct(hashes[k].alias("_h"), q(key).alias("_k"))
+        return F.when(F.col(f"_l{k}").isNull(), 0).otherwise(F.size(F.filter(f"_l{k}", lambda e: e < at)))
+
+    numbers = [before(k) for k in range(len(seeds))]
+    return df.join(F.broadcast(last), q(client) == F.col("_c"), "left").withColumn("batches", F.array(*numbers)).select(*df.columns, "batches")
+
+
 def client_gradients(rows: DataFrame, shape: tuple[int, int], classes: int) -> DataFrame:
     """client, coord, gradient, n: summed over the rows (client, x, y, and w: the client's weights) of each client. A
     partial gradient per partition and client, so no client's rows meet in one task."""
@@ -242,7 +264,8 @@ def merged(updates: np.ndarray, sizes: np.ndarray, how: str, trim: float = 0.2,
 
 def _stack_pass(rows: DataFrame, local: np.ndarray, whole: np.ndarray, step: int, seed_of: np.ndarray, flips: np.ndarray, test: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One scan for all models: (gradients models x clients x weights, rows seeds x clients of batch number `step`, and with
-    `test` the evaluation sums of the test rows). rows: client (-1 for test rows), x, y, batches (one a seed)."""
+    `test` the evaluation sums of the test rows). rows: client (-1 for test rows), x, y, batches (one a seed), times (how
+    many equal rows a row stands for)."""
     n_models, clients, deep, classes = local.shape
     seeds, cells = int(seed_of.max()) + 1, classes * classes + 3 * BINS + 1
     held = rows.sparkSession.sparkContext.broadcast((local, whole))
@@ -254,25 +277,26 @@ def _stack_pass(rows: DataFrame, local: np.ndarray, whole: np.ndarray, step: int
             for start in range(0, batch.num_rows, AT_ONCE):
                 piece = batch.slice(start, AT_ONCE)
                 client, x, y = piece.column(0).to_numpy(), matrix(piece.column(1), deep - 1), piece.column(2).to_numpy()
-                x, number = np.column_stack([x, np.ones(len(x))]), matrix(piece.column(3), seeds).astype(np.int64)
+                x, number, times = np.column_stack([x, np.ones(len(x))]), matrix(piece.column(3), seeds).astype(np.int64), piece.column(4).to_numpy().astype(float)
                 for c in np.unique(client):
                     for s in range(seeds) if c >= 0 else ():
                         own = np.flatnonzero((client == c) & (number[:, s] == step))
                         if not len(own):
                             continue
-                        n[s, c] += len(own)
+                        n[s, c] += times[own].sum()
                         xs, of = x[own], np.flatnonzero(seed_of == s)
                         z = (xs @ local[of, c].transpose(1, 0, 2).reshape(deep, -1)).reshape(len(own), len(of), classes)
                         p = np.exp(z - z.max(axis=2, keepdims=True))
                         p /= p.sum(axis=2, keepdims=True)
                         said = np.where(flips[of, c][None, :], (y[own, None] + 1) % classes, y[own, None])
                         np.put_along_axis(p, said[:, :, None], np.take_along_axis(p, said[:, :, None], 2) - 1, 2)
+                        p *= times[own, None, None]
                         g[of, c] += (xs.T @ p.reshape(len(own), -1)).reshape(deep, len(of), classes).transpose(1, 0, 2)
                 if test and len(own := np.flatnonzero(client < 0)):
                     z = (x[own] @ whole.transpose(1, 0, 2).reshape(deep, -1)).reshape(len(own), n_models, classes)
                     p = np.exp(z - z.max(axis=2, keepdims=True))
                     p /= p.sum(axis=2, keepdims=True)
-                    e += evaluation_sums(p, y[own])
+                    e += evaluation_sums(p, y[own], times[own])
         return np.concatenate([g.ravel(), n.ravel(), e.ravel()])
 
     flat = summed(rows, part, local.size + seeds * clients + n_models * cells)
@@ -283,18 +307,21 @@ def federated_rounds(df: DataFrame, test: DataFrame, classes: int, width: int, c
     """(last weights runs x seeds x (width + 1) x classes, a row a run, seed and round) of all runs and seeds together (M4,
     M5). A step is one scan for all of them: each row meets the weights of its client in every model, and the first step of
     a round also judges the weights of the round before on the test rows. So there are as many scans as steps of the
-    longest run. Weights and gradients of the models (runs x seeds x clients of them, checked against MOST_WEIGHTS) travel
-    by the driver; rows stay where they are. df: client_id (0 .. clients - 1), features, y, key; test: features, y. Each
-    seed has its own first weights (normal, `spread`) and its own batches, which all runs and rounds share."""
+    longest run, and they go over the distinct rows with their numbers: rows of a client that are equal in features, label
+    and batches are one, which weighs as much. Weights and gradients of the models (runs x seeds x clients of them, checked
+    against MOST_WEIGHTS) travel by the driver; rows stay where they are. df: client_id (0 .. clients - 1), features, y, key;
+    test: features, y. Each seed has its own first weights (normal, `spread`) and its own batches, which all runs and rounds
+    share."""
     n_models, spark = len(runs) * len(seeds), df.sparkSession
     shape = (n_models, clients, width + 1, classes)
     if math.prod(shape) > MOST_WEIGHTS:
         raise ValueError(f"{math.prod(shape)} weights are more than MOST_WEIGHTS; train_clients takes any number of clients")
     rows = df.where(F.col("client_id").between(0, clients - 1)).select(F.col("client_id").cast("int").alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), "key")
-    for k, seed in enumerate(seeds):
-        rows = batched(rows, "client", "key", batch_rows, seed).withColumnRenamed("batch", f"b{k}")
-    both = rows.select("client", "x", "y", F.array(*[F.col(f"b{k}") for k in range(len(seeds))]).alias("batches"))
-    both = over_cores(both.unionByName(test.select(F.lit(-1).alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), F.array(*[F.lit(-1)] * len(seeds)).alias("batches")))).persist()
+    rows = with_batches(rows, "client", "key", batch_rows, seeds).drop("key")
+    both = rows.unionByName(test.select(F.lit(-1).alias("client"), F.col("features").alias("x"), F.col("y").cast("long").alias("y"), F.array(*[F.lit(-1)] * len(seeds)).alias("batches")))
+    distinct = _cut(both.groupBy("client", "x", "y", "batches").agg(F.count(F.lit(1)).alias("times")))
+    both = over_cores(distinct)
+    both = both if both is distinct else both.persist()
     steps = max(1, (both.agg(F.max(F.array_max("batches"))).head()[0] or 0) + 1)
     seed_of = np.tile(np.arange(len(seeds)), len(runs))
     runs_of = [r for r in runs for _ in seeds]
@@ -331,6 +358,7 @@ def federated_rounds(df: DataFrame, test: DataFrame, classes: int, width: int, c
         seconds = time.monotonic() - began
     judged(_stack_pass(both, np.repeat(whole[:, None], clients, axis=1), whole, -2, seed_of, flips, True)[2], rounds)
     both.unpersist()
+    distinct.unpersist()
     return whole.reshape(len(runs), len(seeds), width + 1, classes), out
 
 

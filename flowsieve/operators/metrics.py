@@ -115,17 +115,19 @@ def retention(clean: DataFrame, poisoned: DataFrame, score: str, by: tuple[str,
     a, b = clean.select(*by, q(score).alias("clean")), poisoned.select(*by, q(score).alias("poisoned"))
     return a.join(b, list(by)).withColumn("retention", F.when(F.col("clean") != 0, F.col("poisoned") / F.col("clean")))
 
-def evaluation_sums(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+def evaluation_sums(p: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     """models x cells from probabilities rows x models x classes: the confusion counts, then of each confidence bin rows,
-    hits and summed confidence, then the summed squared distance to the labels. Sums of parts are those of the whole."""
+    hits and summed confidence, then the summed squared distance to the labels. Sums of parts are those of the whole;
+    times: how many equal rows each row stands for."""
     rows, n_models, classes = p.shape
+    times = np.broadcast_to(np.ones(1) if times is None else np.asarray(times, float)[:, None], (rows, n_models))
     pred, confidence = p.argmax(axis=2), p.max(axis=2)
     bins = np.minimum(np.floor(confidence * BINS), BINS - 1).astype(np.int64)
     hit = (pred == y[:, None]).astype(float)
     away = (p * p).sum(axis=2) - 2 * np.take_along_axis(p, np.broadcast_to(y[:, None, None], (rows, n_models, 1)), 2)[:, :, 0] + 1
     of = np.arange(n_models)[None, :]
-    count = lambda at, size, weight=None: np.bincount((of * size + at).ravel(), weights=None if weight is None else weight.ravel(), minlength=n_models * size).reshape(n_models, size)
-    return np.hstack([count(y[:, None] * classes + pred, classes * classes), count(bins, BINS), count(bins, BINS, hit), count(bins, BINS, confidence), away.sum(axis=0)[:, None]])
+    count = lambda at, size, weight: np.bincount((of * size + at).ravel(), weights=weight.ravel(), minlength=n_models * size).reshape(n_models, size)
+    return np.hstack([count(y[:, None] * classes + pred, classes * classes, times), count(bins, BINS, times), count(bins, BINS, hit * times), count(bins, BINS, confidence * times), (away * times).sum(axis=0)[:, None]])
 
 
 def scores_of(cells: np.ndarray, classes: int, benign: Iterable[int] = (0,)) -> dict[str, float | None]:

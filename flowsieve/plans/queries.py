@@ -896,11 +896,8 @@ def m5(spark, sf_dir):
     """All scenarios over three seeds at their full number of rounds (50 and 30), two mini-batches a client and round,
     judged on the held-out rows after each round."""
     df, width = training_rows(spark, sf_dir)
-    df = df.persist()
     most = df.where("split = 'train'").groupBy("client_id").count().agg(F.max("count")).head()[0]
-    out = federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, batch_rows=-(-most // 2))
-    df.unpersist()
-    return out
+    return federated.scenario_matrix(df.where("split = 'train'"), df.where("split = 'test'"), 3, width, 10, batch_rows=-(-most // 2))
 
 
 @query("m1_multinomial")

@@ -269,6 +269,39 @@ def test_scenarios_by_loops(spark):
         federated.federated_rounds(df, held, 3, 3, 10_000_000, runs)
 
 
+def test_scenarios_scan_distinct_rows(spark, monkeypatch):
+    """Rows that are equal but for the key are one row of every scan, whatever their number, with the same weights and
+    figures; their batches are those of `batched`, and one client with most rows changes nothing."""
+    rng = np.random.default_rng(12)
+    few = [(rng.integers(0, 2, 3).astype(float).tolist(), int(rng.integers(0, 3))) for _ in range(6)]
+    data = [(i, 0 if i % 10 < 7 else i % 3, *few[i % 6]) for i in range(3000)]
+    df = spark.createDataFrame(data, "key long, client_id int, features array<double>, y int").repartition(3)
+    rows = df.where("client_id IS NOT NULL")
+    want = {r["key"]: r["batch"] for r in federated.batched(rows, "client_id", "key", 700, 7).collect()}
+    got = federated.with_batches(rows, "client_id", "key", 700, (42, 7))
+    assert {r["key"]: r["batches"][1] for r in got.collect()} == want and max(want.values()) == 3
+    scanned, sums = [], federated.summed
+    monkeypatch.setattr(federated, "summed", lambda rows, *rest: (scanned.append(rows.count()), sums(rows, *rest))[1])
+    runs = (federated.Run("a", rounds=2), federated.Run("b", "median", "label_flip", 0.1, 0.4, 2))
+    weights, figures = federated.federated_rounds(df, df.where("key < 300"), 3, 3, 3, runs, (42, 7), batch_rows=700)
+    assert max(scanned) <= len({(c, tuple(x), y) for _, c, x, y in data}) * 4 * 4 + 6  # batches of both seeds, and test rows
+    for s, seed in enumerate((42, 7)):
+        w = np.vstack([np.random.default_rng(seed).normal(0.0, 0.01, (3, 3)), np.zeros((1, 3))])
+        for _ in range(2):
+            sent, sizes = [], []
+            for c in range(3):
+                own, v = {r[0]: r for r in data if r[1] == c}, w
+                for batch in in_batches(list(own), 700, "batch", seed):
+                    v = v - 0.05 * step_of(v, np.array([[*own[i][2], 1.0] for i in batch]), np.array([own[i][3] for i in batch]), 3)
+                sent.append(v)
+                sizes.append(len(own))
+            w = np.average(sent, axis=0, weights=sizes)
+        assert np.allclose(weights[0, s], w)
+        p, ty = train.softmax_rows(np.array([[*x, 1.0] for k, _, x, _ in data if k < 300]) @ w), np.array([y for k, *_, y in data if k < 300])
+        last = next(r for r in figures if (r["scenario"], r["seed"], r["round"]) == ("a", seed, 2))
+        assert last["accuracy"] == pytest.approx((p.argmax(axis=1) == ty).mean()) and last["brier"] == pytest.approx(((p - np.eye(3)[ty]) ** 2).sum(axis=1).mean())
+
+
 def test_evaluation_sums_are_the_table_metrics(spark):
     rng = np.random.default_rng(9)
     z, y = rng.normal(size=(200, 3)) * 3, rng.integers(0, 3, 200)

@@ -18,7 +18,7 @@ from ..functions.expr import hash_order, q
 from .calibrate import ALPHAS, GRID, select_candidate
 from .metrics import BINS, evaluation_sums, scores_of
 from .quantiles import quantiles
-from .train import AT_ONCE, Models, fit_stack, matrix, over_cores, summed
+from .train import AT_ONCE, Models, fit_stack, matrix, stored, summed
 
 #: Scenario of each rule of W10.
 RULES = {"cal_source_gate": "band", "cal_source_gate_ece": "score"}
@@ -39,9 +39,17 @@ def _valid(seed: int, ratio: float):
     return F.conv(F.substring(hash_order(seed, "valid", q("key")), 1, 8), 16, 10).cast("double") < ratio * float(1 << 32)
 
 
+def role_counts(df: DataFrame, by: list[str], seeds: tuple[int, ...], valid_ratio: float) -> DataFrame:
+    """A row for every value of `by`, with the numbers of its rows: arrays over the seeds `member` of those that train and
+    `valid` of those that validate, and `test`. df: key, split (train, test) and `by`."""
+    marks = marked(df, seeds, valid_ratio).select(*by, "member", "valid", (F.col("split") == "test").alias("_t"))
+    bit = lambda c, k: F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")))
+    return marks.groupBy(*by).agg(*[F.array(*[bit(c, k) for k in range(len(seeds))]).alias(c) for c in ("member", "valid")], F.count(F.when(F.col("_t"), 1)).alias("test"))
+
+
 def judge(rows: DataFrame, w: np.ndarray, bits: np.ndarray, part: Callable, size: int) -> np.ndarray:
-    """models x size: sums of part(model, logits, y, gate) over the rows (features, y, of, gate) whose `of` has the
-    model's bit. w: models x (width + 1) x classes, for features that aren't scaled."""
+    """models x size: sums of part(model, logits, y, gate, times) over the rows (features, y, of, gate) that the model's
+    place in `of` numbers. w: models x (width + 1) x classes, for features that aren't scaled."""
     held = rows.sparkSession.sparkContext.broadcast((w, bits))
 
     def run(batches):
@@ -50,12 +58,12 @@ def judge(rows: DataFrame, w: np.ndarray, bits: np.ndarray, part: Callable, size
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 piece = batch.slice(start, AT_ONCE)
-                x, y, of, gate = matrix(piece.column(0), w.shape[1] - 1), piece.column(1).to_numpy(), piece.column(2).to_numpy(), piece.column(3).to_numpy(zero_copy_only=False)
-                x = np.column_stack([x, np.ones(len(x))])
+                x, y, gate = matrix(piece.column(0), w.shape[1] - 1), piece.column(1).to_numpy(), piece.column(3).to_numpy(zero_copy_only=False)
+                x, of = np.column_stack([x, np.ones(len(x))]), matrix(piece.column(2), bits.max() + 1)
                 for m in range(len(w)):
-                    own = np.flatnonzero((of >> bits[m]) & 1)
+                    own = np.flatnonzero(of[:, bits[m]])
                     if len(own):
-                        out[m] += part(m, x[own] @ w[m], y[own], gate[own])
+                        out[m] += part(m, x[own] @ w[m], y[own], gate[own], of[own, bits[m]])
         return out.ravel()
 
     return summed(rows, run, len(w) * size).reshape(len(w), size)
@@ -66,32 +74,38 @@ def probabilities(z: np.ndarray, temperature: np.ndarray | float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _losses(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _losses(z: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Summed loss at each temperature of the grid."""
     shifted = z - z.max(axis=1, keepdims=True)
     own = shifted[np.arange(len(y)), y]
-    return np.array([-np.log(np.exp(own / t) / np.exp(shifted / t).sum(axis=1) + 1e-12).sum() for t in GRID])
+    return np.array([-np.log(np.exp(own / t) / np.exp(shifted / t).sum(axis=1) + 1e-12) @ times for t in GRID])
 
 
 def alpha_grid(df: DataFrame, scaled: np.ndarray, classes: int, seeds: tuple[int, ...] = (42, 43, 44), alphas: list[float] | None = None, valid_ratio: float = 0.2, smoothing: float = 0.05, penalty: float = 0.01, decay: float = 1e-4, iterations: int = 80, min_rows: int = 50, benign: tuple[int, ...] = (0,)) -> DataFrame:
     """A row a rule and seed with the columns RESULT. df: key, split (train, test), y, features, gate; scaled: which
     features are evidence."""
+    return counted_grid(role_counts(df, ["features", "y", "gate"], seeds, valid_ratio), scaled, classes, seeds, alphas, smoothing, penalty, decay, iterations, min_rows, benign)
+
+
+def counted_grid(df: DataFrame, scaled: np.ndarray, classes: int, seeds: tuple[int, ...] = (42, 43, 44), alphas: list[float] | None = None, smoothing: float = 0.05, penalty: float = 0.01, decay: float = 1e-4, iterations: int = 80, min_rows: int = 50, benign: tuple[int, ...] = (0,)) -> DataFrame:
+    """The same from rows with the numbers of `role_counts`: features, y, gate, member, valid, test. Every scan goes over
+    these rows, which are stored once; what many rows share is computed once and weighs as much."""
     alphas = alphas or ALPHAS
     spark, n_seeds, width, cells = df.sparkSession, len(seeds), len(scaled), classes * classes + 3 * BINS + 1
-    rows = over_cores(marked(df, seeds, valid_ratio).select("features", F.col("y").cast("long").alias("y"), "member", "valid", F.when(F.col("split") == "test", (1 << n_seeds) - 1).otherwise(0).cast("long").alias("test"), F.col("gate").cast("double").alias("gate"))).persist()
-    of = lambda name: rows.where(F.col(name) > 0).select("features", "y", F.col(name).alias("of"), "gate")
+    rows = stored(df.select("features", F.col("y").cast("long").alias("y"), "member", "valid", F.array(*[F.col("test")] * n_seeds).alias("test"), F.col("gate").cast("double").alias("gate")))
+    of = lambda name: rows.select("features", "y", F.col(name).alias("of"), "gate")
 
-    sizes = rows.groupBy("y").agg(*[F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}{k}") for c in ("member", "valid", "test") for k in range(n_seeds)]).collect()  # a row a class
+    sizes = rows.groupBy("y").agg(*[F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in ("member", "valid", "test") for k in range(n_seeds)]).collect()  # a row a class
     counts = {c: np.array([[next((r[f"{c}{k}"] for r in sizes if r["y"] == y), 0) for y in range(classes)] for k in range(n_seeds)], dtype=float) for c in ("member", "valid", "test")}
     weights = counts["member"].sum(axis=1, keepdims=True) / np.maximum(counts["member"], 1.0)
     weights /= weights.mean(axis=1, keepdims=True)
 
     models = Models.of(width, alphas, scaled, smoothing, penalty, n_seeds)
-    w, _ = fit_stack(rows.where("member > 0"), models, classes, weights, decay, iterations)
+    w, _ = fit_stack(rows, models, classes, weights, decay, iterations)
     plain = np.concatenate([w[:, :-1] * models.scales[:, :, None], w[:, -1:]], axis=1)
 
     # judged as they are, with the loss at every temperature
-    seen = judge(of("valid"), plain, models.bit, lambda m, z, y, gate: np.concatenate([evaluation_sums(probabilities(z, 1.0)[:, None], y)[0], _losses(z, y)]), cells + len(GRID))
+    seen = judge(of("valid"), plain, models.bit, lambda m, z, y, gate, times: np.concatenate([evaluation_sums(probabilities(z, 1.0)[:, None], y, times)[0], _losses(z, y, times)]), cells + len(GRID))
     candidates = []
     for m in range(len(plain)):
         n, s = max(1.0, counts["valid"][models.bit[m]].sum()), scores_of(seen[m, :cells], classes, benign)
@@ -102,18 +116,18 @@ def alpha_grid(df: DataFrame, scaled: np.ndarray, classes: int, seeds: tuple[int
 
     # temperatures of the bins of the gate score, whose edges are those of the seed's validation rows
     at = sorted({k / b for b in BIN_NUMBERS for k in range(1, b)})
-    found = quantiles(rows, {str(k): F.when(F.shiftright("valid", k).bitwiseAND(F.lit(1).cast("long")) == 1, F.col("gate")) for k in range(n_seeds)}, at)
+    found = quantiles(rows, {str(k): F.col("gate") for k in range(n_seeds)}, at, times={str(k): F.col("valid")[k] for k in range(n_seeds)})
     edges = [[np.array(sorted({found[str(k)][at.index(j / b)] for j in range(1, b)} - {None})) for b in BIN_NUMBERS] for k in range(n_seeds)]
     w, bits = plain[[r["model"] for _, r in chosen]], np.array([seeds.index(r["seed"]) for _, r in chosen])
     most = max(BIN_NUMBERS)
 
-    def bin_sums(m, z, y, gate):
+    def bin_sums(m, z, y, gate, times):
         out = np.zeros((len(BIN_NUMBERS), most, len(GRID) + classes))
         for b, e in enumerate(edges[bits[m]]):
             bins = np.searchsorted(e, gate, side="left")
             for k in np.unique(bins):
                 own = bins == k
-                out[b, k] = np.concatenate([_losses(z[own], y[own]), np.bincount(y[own], minlength=classes)])
+                out[b, k] = np.concatenate([_losses(z[own], y[own], times[own]), np.bincount(y[own], times[own], minlength=classes)])
         return out.ravel()
 
     fitted = judge(of("valid"), w, bits, bin_sums, len(BIN_NUMBERS) * most * (len(GRID) + classes)).reshape(len(w), len(BIN_NUMBERS), most, -1)
@@ -123,9 +137,9 @@ def alpha_grid(df: DataFrame, scaled: np.ndarray, classes: int, seeds: tuple[int
     binned = np.where(enough, np.array(GRID)[losses.argmin(axis=3)], whole[:, None, None])
     binned = np.where(labels.sum(axis=3) > 0, binned, 1.0)  # a bin without rows has no temperature
 
-    def test_sums(m, z, y, gate):
+    def test_sums(m, z, y, gate, times):
         at = [1.0, whole[m], *[binned[m, b][np.searchsorted(e, gate, side="left")] for b, e in enumerate(edges[bits[m]])]]
-        return np.concatenate([evaluation_sums(probabilities(z, t)[:, None], y)[0] for t in at])
+        return np.concatenate([evaluation_sums(probabilities(z, t)[:, None], y, times)[0] for t in at])
 
     tested = judge(of("test"), w, bits, test_sums, (2 + len(BIN_NUMBERS)) * cells).reshape(len(w), -1, cells)
     rows.unpersist()

@@ -49,14 +49,15 @@ def _holding(found: dict, wanted: dict[int, set[int]], below: dict) -> dict[tupl
     return out
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], few: int = FEW, parts: int = PARTS) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], few: int = FEW, parts: int = PARTS, times: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
     """The values at the shares `at` of every column, between neighbours in proportion; nulls and NaN don't count, and a
-    column without values has none."""
+    column without values has none. times: how many equal rows a row stands for, by column (one without)."""
     names = list(columns)
-    values = [F.struct(F.lit(i).alias("c"), F.when(~F.isnan(x), x).alias("v")) for i, x in enumerate(c.cast("double") for c in columns.values())]
+    number = [(times or {}).get(n, F.lit(1)).cast("long") for n in names]
+    values = [F.struct(F.lit(i).alias("c"), F.when(~F.isnan(x) & (number[i] > 0), x).alias("v"), number[i].alias("m")) for i, x in enumerate(c.cast("double") for c in columns.values())]
     long = df.select(F.explode(F.array(*values)).alias("x")).select("x.*").where("v IS NOT NULL")
     first: dict = {}
-    for r in long.groupBy("c", _octaves(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+    for r in long.groupBy("c", _octaves(F.col("v")).alias("b")).agg(F.sum("m").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
         first.setdefault((r["c"],), []).append((r["b"], r["n"], r["low"], r["high"]))
     sizes = {c: sum(n for _, n, _, _ in buckets) for (c,), buckets in first.items()}
     ranks = {c: {r for a in at for r in (math.floor(a * (n - 1)), math.ceil(a * (n - 1)))} for c, n in sizes.items()}
@@ -67,10 +68,10 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], few: i
 
     while (open_ := open_brackets()) and sum(b.rows for b in open_) > few:
         cut = [b for b in open_ if b.rows > few // len(open_)]
-        inside = [_in_bracket(columns[names[b.column]], b, i, parts) for i, b in enumerate(cut)]
+        inside = [_in_bracket(columns[names[b.column]], number[b.column], b, i, parts) for i, b in enumerate(cut)]
         again = df.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("x")).select("x.*")
         finer: dict = {}
-        for r in again.groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+        for r in again.groupBy("i", "b").agg(F.sum("m").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
             finer.setdefault(r["i"], []).append((r["b"], r["n"], r["low"], r["high"]))
         for i, b in enumerate(cut):
             if sum(n for _, n, _, _ in finer.get(i, [])) != b.rows:
@@ -79,10 +80,10 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], few: i
             held |= _holding({(b.column,): finer[i]}, {b.column: mine}, {b.column: b.below})
     exact = {(c, r): b.low for (c, r), b in held.items() if b.low == b.high}
     if open_ := open_brackets():
-        inside = [_in_bracket(columns[names[b.column]], b, i, 1) for i, b in enumerate(open_)]
+        inside = [_in_bracket(columns[names[b.column]], number[b.column], b, i, 1) for i, b in enumerate(open_)]
         last: dict[int, list] = {}
-        for r in df.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("x")).select("x.*").groupBy("i", "v").count().collect():
-            last.setdefault(r["i"], []).append((r["v"], r["count"]))
+        for r in df.select(F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("x")).select("x.*").groupBy("i", "v").agg(F.sum("m").alias("n")).collect():
+            last.setdefault(r["i"], []).append((r["v"], r["n"]))
         for i, b in enumerate(open_):
             found = _holding({(b.column,): [(v, n, v, v) for v, n in last.get(i, [])]}, {b.column: {r for (c, r), x in held.items() if x == b}}, {b.column: b.below})
             exact |= {k: x.low for k, x in found.items()}
@@ -94,8 +95,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], few: i
     return out
 
 
-def _in_bracket(value: Column, b: Bracket, i: int, parts: int) -> Column:
-    """struct(bracket, part of it, value) of a row within the bracket, else null."""
+def _in_bracket(value: Column, times: Column, b: Bracket, i: int, parts: int) -> Column:
+    """struct(bracket, part of it, value, number) of a row within the bracket, else null."""
     v = value.cast("double")
     part = F.least(F.floor((v - b.low) / (b.high - b.low) * parts), F.lit(parts - 1)).cast("int") if parts > 1 else F.lit(0)
-    return F.when((v >= b.low) & (v <= b.high) & ~F.isnan(v), F.struct(F.lit(i).alias("i"), part.alias("b"), v.alias("v")))
+    return F.when((v >= b.low) & (v <= b.high) & ~F.isnan(v) & (times > 0), F.struct(F.lit(i).alias("i"), part.alias("b"), v.alias("v"), times.alias("m")))

@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.expr import q
 
+
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """label, n, weight: total / n, divided by the mean of these over the classes."""
     counts = df.groupBy(q(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -51,7 +53,7 @@ LENGTHS = (1.0, 2.0, 0.3, 0.03)
 @dataclass(frozen=True)
 class Models:
     """What the models of a stack differ in, an entry a model: factors of the features (models x width), label smoothing,
-    confidence penalty, and the bit of a row's `member` that says whether the row trains the model."""
+    confidence penalty, and the place in a row's `member` that says how often the row trains the model."""
 
     scales: np.ndarray
     smoothing: np.ndarray
@@ -76,6 +78,23 @@ def over_cores(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def cut_off(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder, or a cached table where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir() and (path := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(path)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows cut off from what they were made of and over all cores, for many scans; unpersist() when these are done. They
+    are read as a stream, so an executor holds batches of them however large a partition is; only what is too small to have
+    a partition a core is cached as well."""
+    cut = cut_off(rows)
+    spread = over_cores(cut)
+    return cut if spread is cut else spread.persist()
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """An Arrow column of equally long number lists as rows."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
@@ -95,45 +114,62 @@ def summed(rows: DataFrame, part: Callable, size: int) -> np.ndarray:
     return out
 
 
+def losses_by_class(z: np.ndarray, y: np.ndarray, weight: np.ndarray, smoothing: np.ndarray | float, penalty: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted losses rows x columns, their gradients by logit) of logits classes x rows x columns; weight: rows x columns,
+    smoothing and penalty: a number or one a column."""
+    e = np.exp(z - z.max(axis=0))
+    p = e / e.sum(axis=0)
+    logp = np.log(np.clip(p, 1e-12, 1.0))
+    at = (y, np.arange(len(y)))
+    loss, g = -smoothing / len(z) * logp.sum(axis=0) - (1.0 - smoothing) * logp[at], p - smoothing / len(z)
+    g[at] -= 1.0 - smoothing
+    if np.any(penalty):
+        inner = (p * logp).sum(axis=0)
+        loss, g = loss + penalty * inner, g + penalty * p * (logp - inner)
+    return loss * weight, g * weight
+
+
 def loss_rows(z: np.ndarray, y: np.ndarray, weight: np.ndarray, smoothing: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """(weighted losses, their gradients by logit) of logits rows x trials x classes."""
-    e = np.exp(z - z.max(axis=2, keepdims=True))
-    p = e / e.sum(axis=2, keepdims=True)
-    logp = np.log(np.clip(p, 1e-12, 1.0))
-    target = np.full((len(y), 1, z.shape[2]), smoothing / z.shape[2])
-    target[np.arange(len(y)), 0, y] += 1.0 - smoothing
-    loss, g = -(target * logp).sum(axis=2), p - target
-    if penalty:
-        inner = (p * logp).sum(axis=2, keepdims=True)
-        loss, g = loss + penalty * inner[:, :, 0], g + penalty * p * (logp - inner)
-    return loss * weight[:, None], g * weight[:, None, None]
+    loss, g = losses_by_class(z.transpose(2, 0, 1), y, weight[:, None], smoothing, penalty)
+    return loss, g.transpose(1, 2, 0)
+
+
+#: Logits that a task holds at once.
+LOGITS = 1 << 19
 
 
 def stack_sums(rows: DataFrame, models: Models, w: np.ndarray, class_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of each model, summed loss by model and trial, summed gradient) at weights models x trials x (width + 1) x
-    classes, in one scan of rows (features, y, member)."""
+    classes, in one scan of rows (features, y, member). member: an array of how often the row is among those of each place,
+    or a bit set. The factor of a feature is moved to its weights, so that all models and trials are one product with the
+    rows as they are."""
     n_models, trials, deep, classes = w.shape
     held = rows.sparkSession.sparkContext.broadcast((models, w, class_weights))
+    member = F.col("member")
+    if not isinstance(rows.schema["member"].dataType, ArrayType):
+        member = F.array(*[F.shiftright(member.cast("long"), k).bitwiseAND(F.lit(1).cast("long")) for k in range(len(class_weights))])
+    at_once = max(1, min(AT_ONCE, LOGITS // (n_models * trials * classes)))
 
     def part(batches):
         models, w, class_weights = held.value
-        n, loss, g = np.zeros(n_models), np.zeros((n_models, trials)), np.zeros(w.shape)
+        factors = np.column_stack([models.scales, np.ones(n_models)])[:, None, :, None]
+        wide = (w * factors).transpose(3, 2, 0, 1).reshape(classes, deep, -1)  # a column a model and trial
+        smoothing, penalty = np.repeat(models.smoothing, trials), np.repeat(models.penalty, trials)
+        n, loss, g = np.zeros(n_models), np.zeros(n_models * trials), np.zeros(wide.shape)
         for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                piece = batch.slice(start, AT_ONCE)
-                x, y, member = matrix(piece.column(0), deep - 1), piece.column(1).to_numpy(), piece.column(2).to_numpy()
-                for m in range(n_models):
-                    own = np.flatnonzero((member >> models.bit[m]) & 1)
-                    if len(own):
-                        xs = np.column_stack([x[own] * models.scales[m], np.ones(len(own))])
-                        z = (xs @ w[m].transpose(1, 0, 2).reshape(deep, -1)).reshape(len(own), trials, classes)
-                        l, gz = loss_rows(z, y[own], class_weights[models.bit[m]][y[own]], models.smoothing[m], models.penalty[m])
-                        n[m] += len(own)
-                        loss[m] += l.sum(axis=0)
-                        g[m] += (xs.T @ gz.reshape(len(own), -1)).reshape(deep, trials, classes).transpose(1, 0, 2)
-        return np.concatenate([n, loss.ravel(), g.ravel()])
-
-    flat = summed(rows.select("features", F.col("y").cast("long"), F.col("member").cast("long")), part, n_models * (1 + trials) + w.size)
+            for start in range(0, batch.num_rows, at_once):
+                piece = batch.slice(start, at_once)
+                x, y = matrix(piece.column(0), deep - 1), piece.column(1).to_numpy()
+                x, times = np.column_stack([x, np.ones(len(x))]), matrix(piece.column(2), len(class_weights))
+                n += times.sum(axis=0)[models.bit]
+                weight = np.repeat((times * class_weights[:, y].T)[:, models.bit], trials, axis=1)
+                l, gz = losses_by_class(np.matmul(x, wide), y, weight, smoothing, penalty)
+                loss += l.sum(axis=0)
+                g += np.matmul(x.T, gz)
+        return np.concatenate([n, loss, (g.reshape(classes, deep, n_models, trials).transpose(2, 3, 1, 0) * factors).ravel()])
+
+    flat = summed(rows.select("features", F.col("y").cast("long"), member.alias("member")), part, n_models * (1 + trials) + w.size)
     return flat[:n_models], flat[n_models : n_models * (1 + trials)].reshape(n_models, trials), flat[n_models * (1 + trials) :].reshape(w.shape)
 
 
@@ -188,7 +224,8 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
 
 def fit_stack(rows: DataFrame, models: Models, classes: int, class_weights: np.ndarray | None = None, decay: float = 1e-4, iterations: int = 60) -> tuple[np.ndarray, list[np.ndarray]]:
     """(weights models x (width + 1) x classes with the bias last, mean losses after each iteration) of rows (features, y,
-    member). Persist rows before: every iteration scans them once for all models. class_weights: bits x classes."""
+    member). Persist rows before: every iteration scans them once for all models. class_weights: places of member x
+    classes."""
     n_models, width = models.scales.shape
     table = np.ones((int(models.bit.max()) + 1, classes)) if class_weights is None else class_weights
 

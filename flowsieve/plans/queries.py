@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -805,12 +805,15 @@ def flagship(spark, sf_dir):
     return rounded(out.groupBy("split", F.col("skewed").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.avg(f"{p}source_gate_mean").alias("gate_mean"), F.max(f"{p}source_gate_max").alias("gate_max")), "gate_mean", "gate_max")
 
 
+def _target() -> Column:
+    return F.when(F.col("skewed") == "benign", 0).when(F.col("skewed") == "dos", 1).otherwise(2).alias("y")
+
+
 def training_rows(spark, sf_dir):
     """features (hints and gates), y, key, client_id, split, gate of the flows."""
     df = gated(spark, sf_dir)
     names = [c for c in df.columns if c.startswith(evidence.PREFIX)]
-    y = F.when(F.col("skewed") == "benign", 0).when(F.col("skewed") == "dos", 1).otherwise(2)
-    return df.select("key", "split", y.alias("y"), (F.col("user_id") % 10).cast("int").alias("client_id"), F.array(*[X.q(c) for c in names]).alias("features"), X.q(evidence.PREFIX + "source_gate_mean").alias("gate"), "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"), len(names)
+    return df.select("key", "split", _target(), (F.col("user_id") % 10).cast("int").alias("client_id"), F.array(*[X.q(c) for c in names]).alias("features"), X.q(evidence.PREFIX + "source_gate_mean").alias("gate"), "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"), len(names)
 
 
 def _feature_sql() -> list[str]:
@@ -931,12 +934,17 @@ def m6(spark, sf_dir):
     figures raw, at one temperature and at those of two and three gate bins."""
     import numpy as np
 
-    df, width = training_rows(spark, sf_dir)
-    spec = features.fit_spec(df.where("split = 'train'").select("IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"))
-    rows = features.transform(df.withColumnRenamed("features", "evidence"), spec, "traffic")
+    traffic, seeds = ["IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS"], (42, 43, 44)
+    df = hinted(spark, sf_dir)
+    hints = [c for c in df.columns if c.startswith(evidence.PREFIX)]
+    spec = features.fit_spec(df.where("split = 'train'").select(*traffic))
+    # what the features are made of is counted first, so that gates and features are those of distinct flows
+    flows_ = posthoc.role_counts(df.select("key", "split", _target(), *traffic, *hints), ["y", *traffic, *hints], seeds, 0.2)
+    rows = evidence.add_gates(flows_, evidence.NETFLOW_HINTS, evidence.RELIABILITY["netflow"])
+    names = [c for c in rows.columns if c.startswith(evidence.PREFIX)]
+    rows = features.transform(rows, spec, "traffic").select("y", "member", "valid", "test", X.q(evidence.PREFIX + "source_gate_mean").alias("gate"), F.concat("traffic", F.array(*[X.q(c) for c in names])).alias("features"))
     n = len(features.feature_names(spec))
-    rows = rows.select("key", "split", "y", "gate", F.concat("traffic", "evidence").alias("features"))
-    return posthoc.alpha_grid(rows, np.arange(n + width) >= n, 3)
+    return posthoc.counted_grid(rows, np.arange(n + len(names)) >= n, 3, seeds)
 
 
 @query("st1_stream_family_cap", "SELECT event_type, least(100, count(*)) AS n FROM events GROUP BY 1")

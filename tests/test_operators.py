@@ -358,6 +358,39 @@ def test_alpha_grid_against_single_steps(spark):
                 assert (r[f"group{bins}_ece"], r[f"group{bins}_brier"]) == pytest.approx((judged["ece"], judged["brier"]), abs=5e-3)
 
 
+def test_alpha_grid_scans_distinct_rows(spark, monkeypatch):
+    """Rows that are equal but for the key are one row of every scan, numbered by role; sums, quantiles and the numbers of
+    rows are those of all rows."""
+    from flowsieve.operators import posthoc
+    from flowsieve.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(13)
+    kinds = [(rng.normal(size=4).tolist(), int(rng.integers(0, 3)), float(i % 5)) for i in range(40)]
+    rows = [(i, "test" if i % 4 == 0 else "train", kinds[i * i % 40][1], kinds[i * i % 40][0], kinds[i * i % 40][2]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key long, split string, y int, features array<double>, gate double").repartition(5)
+    distinct = len({(y, tuple(x)) for _, _, y, x, _ in rows})
+    counted, marks = posthoc.role_counts(df, ["features", "y", "gate"], (1, 2), 0.2).persist(), posthoc.marked(df, (1, 2), 0.2).persist()
+    assert counted.count() == distinct < 50
+    models = train.Models.of(4, [0.0, 1.5], np.array([False, False, True, True]), 0.05, 0.01, 2)
+    w, by_class = rng.normal(size=(4, 2, 5, 3)), rng.random((2, 3)) + 0.5
+    for a, b in zip(train.stack_sums(counted, models, w, by_class), train.stack_sums(marks, models, w, by_class), strict=True):
+        assert np.allclose(a, b, rtol=1e-10)
+    valid = marks.select(*[F.when(F.shiftright("valid", k).bitwiseAND(F.lit(1).cast("long")) == 1, F.col("gate")).alias(str(k)) for k in (0, 1)])
+    at = [0.1, 1 / 3, 0.5, 2 / 3]
+    for few in (5, 200_000):
+        assert quantiles(counted, {str(k): F.col("gate") for k in (0, 1)}, at, few, times={str(k): F.col("valid")[k] for k in (0, 1)}) == quantiles(valid, {"0": F.col("0"), "1": F.col("1")}, at)
+    scanned, sums = [], train.summed
+    note = lambda rows, *rest: (scanned.append(rows.count()), sums(rows, *rest))[1]
+    monkeypatch.setattr(train, "summed", note)
+    monkeypatch.setattr(posthoc, "summed", note)
+    got = posthoc.alpha_grid(df, np.array([False, False, True, True]), 3, (1, 2), [0.0, 1.0], iterations=2).collect()
+    assert scanned and max(scanned) == distinct
+    for r in got:
+        k = (1, 2).index(r["seed"])
+        want = marks.agg(*[F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))) for c in ("member", "valid")]).head()
+        assert (r["train_rows"], r["valid_rows"], r["test_rows"]) == (*want, 1000)
+
+
 # ---- quantiles -----------------------------------------------------------------------------------------------------
 
 
